@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes behind ``df``; 0 where it has none."""
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return n if n < 1 << 60 else 0
 
 
@@ -88,7 +89,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         run = np.cumsum(sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

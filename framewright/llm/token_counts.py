@@ -22,6 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -95,7 +96,7 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
             for i, x in enumerate(texts):
                 if len(x) > chunk_chars:
                     counts[i], widened[i] = count_long(tok, x, chunk_chars, overlap_chars)
-            sizes = pa.compute.binary_length(part.column(text)).fill_null(0).cast(pa.int64())
+            sizes = pc.binary_length(part.column(text)).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(key), sizes, pa.array(counts), pa.array(counts > limit), pa.array(widened)], schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)
