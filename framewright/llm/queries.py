@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, token_counts
+from . import quality_rules, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +17,27 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.find(_documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op8_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_substring_dedup, op8_quality_rules)}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+        w AS (SELECT doc_id, words, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+        v AS (SELECT doc_id, n, word, i, CASE WHEN i + 19 <= n THEN array_to_string(list_slice(words, i, i + 19), ' ') END AS win FROM w),
+        f AS (SELECT win, min({{'d': doc_id, 'i': i}}) AS first FROM v WHERE win IS NOT NULL GROUP BY win),
+        g AS (SELECT v.doc_id, n, word, v.i, coalesce(first < {{'d': v.doc_id, 'i': v.i}}, false) AS later FROM v LEFT JOIN f ON v.win = f.win),
+        c AS (SELECT *, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS 19 PRECEDING) AS gone FROM g),
+        r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN r ON d.doc_id = r.doc_id""",
+}
