@@ -171,6 +171,7 @@ class Index:
         total = len(text) + 1
         new, far = before < half, before < half - 1
         bound = np.bincount(half[new], weight[new], total)[:-1] + np.bincount(half[far], weight[far], total)[1:]
+        bound[base + halves] = 0  # the gaps
         for h in np.flatnonzero(bound >= threshold - 1e-9).tolist():
             row = words[text[h]]
             a = (h - int(base[text[h]])) * step
