@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, quality_rules, sharding, substring_dedup, token_counts
+from . import chat_format, decontaminate, jaccard_join, quality_rules, sharding, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], real.schema)
+    return chat_format.read_back(chat_format.format_conversations(real.union(extra)))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_documents(spark, sf_dir))
 
@@ -39,10 +46,24 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_substring_dedup, op5_jaccard_join, op8_quality_rules, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_substring_dedup, op5_jaccard_join, op6_chat_formatting, op8_quality_rules, op10_benchmark_decontamination)}
+def _escaped_chars(column: str) -> str:
+    return f"(length({column}) + length(regexp_replace({column}, '[^<\\[\\\\]', '', 'g')))"
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_chat_formatting": f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*)::BIGINT AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(length('<|turn|><|text|><|end|>') + {_escaped_chars("role")} + {_escaped_chars("text")})::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id""",
     "op4_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
         w AS (SELECT doc_id, words, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
