@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, quality_rules, sharding, substring_dedup, token_counts
+from . import chat_format, decontaminate, html_extract, jaccard_join, quality_rules, sharding, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(real.union(extra)))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_documents(spark, sf_dir))
 
@@ -46,7 +50,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_substring_dedup, op5_jaccard_join, op6_chat_formatting, op8_quality_rules, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_substring_dedup, op5_jaccard_join, op6_chat_formatting, op7_html_extraction, op8_quality_rules, op10_benchmark_decontamination)}
 def _escaped_chars(column: str) -> str:
     return f"(length({column}) + length(regexp_replace({column}, '[^<\\[\\\\]', '', 'g')))"
 
