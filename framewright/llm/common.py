@@ -6,6 +6,7 @@ Words are the maximal runs of bytes outside space and \\x09-\\x0D, which is what
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,8 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Words whose hash a Python worker keeps; beyond it the cache starts anew (a cache only, results don't depend on it).
-CACHE_WORDS = 400_000
 #: Text bytes that one step of a Python worker handles together.
 SLICE_BYTES = 8 << 20
 
@@ -34,12 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives the loss of executors; deleted when the session ends."""
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives the loss of executors; deleted by ``discard`` or when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/framewright/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+_TABLES: dict[str, SparkSession] = {}
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes written tables that no later step reads, and lets Spark drop the shuffle files of finished jobs."""
+    for df in tables:
+        spark = _TABLES.pop(getattr(df, "written_path", None), None)
+        if spark is not None:
+            _delete(spark, df.written_path)
+    gc.collect()
+    jvm = SparkSession.getActiveSession()
+    if jvm is not None:
+        jvm.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -50,6 +66,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in _TABLES.items():
+        _delete(spark, path)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes behind ``df``; 0 where it has none."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -65,19 +87,6 @@ def block_of(key: Column | str, blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(blocks)).cast("int")
 
 
-class WordHash(dict):
-    """word (bytes) -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of each text; null: empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -97,19 +106,31 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 yield batch.slice(a, b - a)
 
 
+def _finish(x: np.ndarray) -> np.ndarray:
+    """Mixes the 64-bit numbers in place; bijective."""
+    t = x >> U64(32)
+    x ^= t
+    x *= U64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, U64(29), out=t)
+    x ^= t
+    x *= U64(0x94D049BB133111EB)
+    np.right_shift(x, U64(32), out=t)
+    x ^= t
+    return x
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective 64-bit mixer; another one for each salt."""
-    with np.errstate(over="ignore"):
-        x = x + U64((0x9E3779B97F4A7C15 * (2 * salt + 1)) & (2**64 - 1))
-        x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-        return x ^ (x >> U64(31))
+    return _finish(x + U64((0x9E3779B97F4A7C15 * (2 * salt + 1)) & (2**64 - 1)))
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A hash of the ordered pair."""
-    with np.errstate(over="ignore"):
-        return mix(a * U64(0xD6E8FEB86659FD93) + mix(b, salt), salt + 1)
+    """A hash of the ordered pair of hashes."""
+    x = a * U64(0xD6E8FEB86659FD93)
+    t = b * U64(0xA0761D6478BD642F)
+    x += t
+    x += U64((0x9E3779B97F4A7C15 * (2 * salt + 1)) & (2**64 - 1))
+    return _finish(x)
 
 
 def window_hash(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
@@ -135,18 +156,50 @@ def unsigned(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.uint64)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+#: Longer words are hashed one by one.
+_LONG_WORD = 256
+
+
+def hash_ranges(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hash of each range of bytes; ``data`` has 8 bytes more than the ranges need."""
+    size = last - first
+    eight = np.ndarray((max(1, len(data) - 7),), "<u8", data.data, 0, (1,))
+    hashes = mix(eight[first] & _LOW_BYTES[np.minimum(size, 8)], 900)
+    hashes += size.astype(np.uint64)
+    todo, done = np.flatnonzero((size > 8) & (size <= _LONG_WORD)), 8
+    while len(todo):
+        more = eight[first[todo] + done] & _LOW_BYTES[np.minimum(size[todo] - done, 8)]
+        hashes[todo] = pair_hash(hashes[todo], more, 901)
+        done += 8
+        todo = todo[size[todo] > done]
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[first[i] : last[i]])
+    return hashes
+
+
 class Tokens:
-    """The words of some texts one after another: ``words`` by text, all hashes, first word and count of each text."""
-
-    def __init__(self, texts: list[bytes], hashes: WordHash):
-        self.words = [t.split() for t in texts]
-        self.counts = np.fromiter(map(len, self.words), dtype=np.int64, count=len(self.words))
-        self.ends = np.cumsum(self.counts)
-        self.starts = self.ends - self.counts
-        total = int(self.ends[-1]) if len(texts) else 0
-        self.hashes = np.empty(total, np.uint64)
-        for words, a, b in zip(self.words, self.starts.tolist(), self.ends.tolist()):
-            self.hashes[a:b] = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=b - a)
+    """The words of some texts one after another: the hash and the text of each, and each text's first word, end and count.
+
+    Words are hashed 8 bytes at a time, all words together; a word of up to 8 bytes has a hash that no other such word has.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.texts = texts
+        data = b"\n".join(texts) + b"\n        "
+        raw = np.frombuffer(data, np.uint8)[:-8]
+        space = _SPACE[raw]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if len(raw) and not space[0]:
+            edge = np.concatenate([[0], edge])
+        self.first, self.last = edge[0::2], edge[1::2]  # the words' bytes in the run of all texts
+        self.hashes = hash_ranges(np.frombuffer(data, np.uint8), self.first, self.last)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        self.ends = np.searchsorted(self.first, ends)
+        self.starts = np.concatenate([[0], self.ends[:-1]]) if len(texts) else self.ends
+        self.counts = self.ends - self.starts
         self.text = np.repeat(np.arange(len(texts)), self.counts)
 
     def whole(self, size: int) -> np.ndarray:

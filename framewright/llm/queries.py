@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, quality_rules, sharding, substring_dedup, token_counts
+from . import chat_format, decontaminate, html_extract, jaccard_join, quality_rules, sentencepiece_nbest, sharding, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +46,24 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_documents(spark, sf_dir))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    made = sentencepiece_nbest.encode(_documents(spark, sf_dir), model, keep=("doc_id", "text"))
+    return sentencepiece_nbest.decode(made, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "cost",
+        F.transform("others", lambda x: x["cost"]).alias("other_costs"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
+    )
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_substring_dedup, op5_jaccard_join, op6_chat_formatting, op7_html_extraction, op8_quality_rules, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_substring_dedup, op5_jaccard_join, op6_chat_formatting, op7_html_extraction, op8_quality_rules, op9_sentencepiece, op10_benchmark_decontamination)}
 def _escaped_chars(column: str) -> str:
     return f"(length({column}) + length(regexp_replace({column}, '[^<\\[\\\\]', '', 'g')))"
 
