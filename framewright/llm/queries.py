@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, quality_rules, sentencepiece_nbest, sharding, substring_dedup, token_counts
+from . import chat_format, decontaminate, html_extract, jaccard_join, lm_scoring, quality_rules, sentencepiece_nbest, sharding, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle(docs, 16).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_documents(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -63,7 +67,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_substring_dedup, op5_jaccard_join, op6_chat_formatting, op7_html_extraction, op8_quality_rules, op9_sentencepiece, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_token_counts, op4_substring_dedup, op5_jaccard_join, op6_chat_formatting, op7_html_extraction, op8_quality_rules, op9_sentencepiece, op10_benchmark_decontamination)}
 def _escaped_chars(column: str) -> str:
     return f"(length({column}) + length(regexp_replace({column}, '[^<\\[\\\\]', '', 'g')))"
 
