@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -21,7 +21,9 @@ def connected(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
         moves = written(both.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a"))).getField("v").alias("to")).withColumnRenamed("a", "v"))
+        before = (edges, roots)
         if roots is None:
+            first = moves
             roots = moves.select("v", F.col("to").alias("root"))
         else:
             after = moves.select(F.col("v").alias("root"), "to")

@@ -3,7 +3,8 @@
 Candidates come from prefix filtering under several global token orders. If J(x, y) >= t, then x and y share a token among
 the first n - ceil(t n) + 1 of each under any one order of all tokens. The first order has the tokens of high frequency
 last and is otherwise by hash; sets that share a prefix token under it are brought together. Before two sets are compared,
-they must also share a prefix token under each further order (other hashes); the filters' intersection is verified exactly.
+their parity bitmaps must allow the similarity and they must also share a prefix token under each further order (other
+hashes); what passes all filters is verified exactly.
 
 Equal sets are one vertex, however many texts have it. Tokens that come together are linked through a leader (the least
 set with the token) first: per slice of the input and then over all slices, so no key has more rows than there are
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Tokens, WordHash, as_bytes, mix, signed, slices, unsigned, window_hash, written
+from .common import Tokens, as_bytes, discard, mix, signed, slices, unsigned, window_hash, written
 from .components import connected
 
-_SLICE = 16 << 20
+_SLICE = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -48,19 +49,19 @@ class Options:
     orders: int = 2
 
 
-def shingles(texts: list[bytes], size: int, hashes: WordHash) -> list[np.ndarray]:
+def shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    tokens = Tokens([t.lower() for t in texts], hashes)
+    tokens = Tokens([t.lower() for t in texts])
     runs = window_hash(tokens.hashes, size)
     sets = []
-    for words, a, b in zip(tokens.words, tokens.starts.tolist(), tokens.ends.tolist()):
+    for text, a, b in zip(tokens.texts, tokens.starts.tolist(), tokens.ends.tolist()):
         if b - a >= size:
             found = np.sort(runs[a : b - size + 1])
             new = np.ones(len(found), bool)
             np.not_equal(found[1:], found[:-1], out=new[1:])
             sets.append(found[new])
         elif b > a:
-            sets.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=b - a)], np.uint64))
+            sets.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(text.split()), seed=b - a)], np.uint64))
         else:
             sets.append(np.empty(0, np.uint64))
     return sets
@@ -86,17 +87,35 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray
     return early[:size] if len(early) >= size else np.concatenate([early, tokens[late][: size - len(early)]])
 
 
-_DIGEST = "doc_id long, sid long, n int, tok long, sets int"
+def parities(tokens: np.ndarray) -> bytes:
+    """For each of 2 to 4 times as many buckets as tokens (a power of two, 64 at least), whether an odd number of tokens falls in it.
+
+    Two sets' bitmaps, the larger folded to the smaller's size, differ in no more bits than the sets differ in tokens.
+    """
+    buckets = max(64, 1 << (2 * len(tokens)).bit_length())
+    hit = np.bincount((mix(tokens, 30) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(hit.astype(np.uint8)).tobytes()
+
+
+def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """False only for sets that aren't similar: J >= t means that at most (1 - t) / (1 + t) of both sizes' sum differs."""
+    if len(x) > len(y):
+        x, y = y, x
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return (100 + percent) * int(np.bitwise_count(a ^ b).sum()) <= (100 - percent) * (n + m)
+
+
+_DIGEST = "doc_id long, sid long, n int, parity binary, tok long, sets int"
 _ROWS = "tok long, sid long, n int, leader long, leader_n int, members boolean"
 
 
 def _digest(docs: DataFrame, options: Options) -> DataFrame:
-    """A row (doc_id, sid, n) for each text; a row (tok, sets) for each token that several sets of one slice have."""
+    """A row (doc_id, sid, n, parity) for each text; a row (tok, sets) for each token that several sets of one slice have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for part in slices(batches, "text", _SLICE):
-            sets = shingles(as_bytes(part.column("text")), options.words, hashes)
+            sets = shingles(as_bytes(part.column("text")), options.words)
             sizes = np.fromiter(map(len, sets), np.int32, len(sets))
             names = set_names(sets)
             _, first = np.unique(names, return_index=True)
@@ -108,8 +127,8 @@ def _digest(docs: DataFrame, options: Options) -> DataFrame:
             none = pa.nulls
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([part.column("doc_id"), none(m, pa.int64())]), pa.concat_arrays([pa.array(signed(names), mask=sizes == 0), none(m, pa.int64())]),
-                 pa.concat_arrays([pa.array(sizes), none(m, pa.int32())]), pa.concat_arrays([none(k, pa.int64()), pa.array(signed(every[starts[often]]))]), pa.concat_arrays([none(k, pa.int32()), pa.array(times[often].astype(np.int32))])],
-                ["doc_id", "sid", "n", "tok", "sets"],
+                 pa.concat_arrays([pa.array(sizes), none(m, pa.int32())]), pa.concat_arrays([pa.array([parities(x) for x in sets], pa.binary()), none(m, pa.binary())]), pa.concat_arrays([none(k, pa.int64()), pa.array(signed(every[starts[often]]))]), pa.concat_arrays([none(k, pa.int32()), pa.array(times[often].astype(np.int32))])],
+                ["doc_id", "sid", "n", "parity", "tok", "sets"],
             )
 
     return docs.mapInArrow(run, _DIGEST)
@@ -119,9 +138,8 @@ def _prefix_rows(docs: DataFrame, frequent, options: Options) -> DataFrame:
     """For each prefix token of a slice's sets the least set (leader null; members: whether there are others), and the others with their leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for part in slices(batches, "text", _SLICE):
-            sets = shingles(as_bytes(part.column("text")), options.words, hashes)
+            sets = shingles(as_bytes(part.column("text")), options.words)
             names, first = np.unique(set_names(sets), return_index=True)
             prefixes = [prefix(sets[i], frequent.value, options.percent) for i in first]
             sizes = np.fromiter((len(sets[i]) for i in first), np.int64, len(first))
@@ -143,15 +161,14 @@ def _prefix_rows(docs: DataFrame, frequent, options: Options) -> DataFrame:
     return docs.mapInArrow(run, _ROWS)
 
 
-def _sets(docs: DataFrame, digest: DataFrame, wanted: DataFrame, options: Options) -> DataFrame:
+def _sets(docs: DataFrame, vertices: DataFrame, wanted: DataFrame, options: Options) -> DataFrame:
     """(sid, tokens: the set as 8-byte numbers) for the sets in ``wanted`` (sid), each read from one text."""
-    source = digest.where("sid is not null").join(wanted.distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    chosen = docs.join(written(source).select("sid", F.col("doc_id").alias("source")), F.col("doc_id").eqNullSafe(F.col("source"))).select("sid", "text")
+    source = vertices.select("sid", F.col("doc_id").alias("source")).join(wanted.distinct(), "sid", "left_semi")
+    chosen = docs.join(source, F.col("doc_id").eqNullSafe(F.col("source"))).select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for part in slices(batches, "text"):
-            sets = shingles(as_bytes(part.column("text")), options.words, hashes)
+            sets = shingles(as_bytes(part.column("text")), options.words)
             right = signed(set_names(sets)) == part.column("sid").to_numpy()  # another text may have the same id
             yield pa.RecordBatch.from_arrays([part.column("sid").filter(pa.array(right)), pa.array([s.tobytes() for s, x in zip(sets, right) if x], pa.binary())], ["sid", "tokens"])
 
@@ -204,40 +221,65 @@ def _close(a: str, b: str, options: Options):
     return (F.col(a) * 100 >= F.col(b) * options.percent) & (F.col(b) * 100 >= F.col(a) * options.percent)
 
 
+def _possible(pairs: DataFrame, vertices: DataFrame, options: Options) -> DataFrame:
+    """The pairs (a, b) whose bitmaps don't rule them out."""
+    one, two = (vertices.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a_parity", "b_parity", "a_n", "b_n")))
+            yield batch.select(["a", "b"]).filter(pa.array([may_link(*row, options.percent) for row in rows], pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "a_parity", "b_parity", "a_n", "b_n").mapInArrow(run, "a long, b long")
+
+
+def _links(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, options: Options) -> DataFrame:
+    """Those of the pairs that are links, as a written table."""
+    possible = written(_possible(pairs, vertices, options))
+    sets = _sets(docs, vertices, possible.select(F.col("a").alias("sid")).union(possible.select("b")), options)
+    links = written(_verified(possible, sets, options))
+    discard(possible, sets)
+    return links
+
+
 def _vertices(docs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
     """The digest (doc_id, sid, n) of all texts, and (sid, root) of all sets that have a link."""
     spark = docs.sparkSession
     table = written(_digest(docs, options))
-    digest = table.where("tok is null").select("doc_id", "sid", "n")
     counts = table.where("tok is not null").groupBy("tok").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= options.frequent_from)
     top = [r["tok"] for r in counts.orderBy(F.desc("sets"), "tok").limit(options.frequent).select("tok").collect()]
     frequent = spark.sparkContext.broadcast(np.sort(unsigned(np.array(top, np.int64))))
+    digest = written(table.where("tok is null").select("doc_id", "sid", "n"))
+    vertices = written(table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")))
+    discard(table)
 
     rows = written(_prefix_rows(docs, frequent, options))
     of_token = Window.partitionBy("tok")
     least = F.min(F.struct("n", "sid")).over(of_token)
     met = rows.where("leader is null").select("tok", "sid", "n", "members", least.alias("least"), F.count("*").over(of_token).alias("slices")).where("slices > 1 or members")
-    met = written(met.select("tok", "sid", "n", F.col("least.sid").alias("leader"), F.col("least.n").alias("leader_n")))
-    others = rows.where("leader is not null").select("tok", "sid", "n", "leader", "leader_n")
-    together = met.union(others)
+    met = met.select("tok", "sid", "n", F.col("least.sid").alias("leader"), F.col("least.n").alias("leader_n"))
+    together = written(met.union(rows.where("leader is not null").select("tok", "sid", "n", "leader", "leader_n")))
+    discard(rows)
 
     stars = written(together.where(F.col("leader") != F.col("sid")).where(_close("leader_n", "n", options)).select(F.least("leader", "sid").alias("a"), F.greatest("leader", "sid").alias("b")).distinct())
-    sets = _sets(docs, digest, stars.select(F.col("a").alias("sid")).union(stars.select("b")), options)
-    links = written(_verified(stars, sets, options))
+    links = _links(docs, vertices, stars, options)
     roots = connected(links)
 
     # Tokens that three sets or more have, not all of one component: every pair across components.
-    located = together.join(roots.withColumnRenamed("v", "sid"), "sid", "left").select("tok", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    located = written(located)
-    mixed = located.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).where("low <> high and k > 2").select("tok")
-    left = written(located.join(written(mixed), "tok").distinct())
+    located = written(together.join(roots.withColumnRenamed("v", "sid"), "sid", "left").select("tok", "sid", "n", F.coalesce("root", "sid").alias("root")))
+    discard(together)
+    mixed = written(located.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).where("low <> high and k > 2").select("tok"))
+    left = written(located.join(mixed, "tok").distinct())
+    discard(located, mixed)
     x, y = (left.select("tok", *(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "root"))) for s in "xy")
     across = x.join(y, "tok").where("x_root < y_root").where(_close("x_n", "y_n", options)).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b"))
     across = written(across.distinct().join(stars, ["a", "b"], "left_anti"))
+    discard(left, stars)
     if across.isEmpty():
         return digest, roots
-    more = _sets(docs, digest, across.select(F.col("a").alias("sid")).union(across.select("b")), options)
-    return digest, connected(links.union(_verified(across, more, options)))
+    more = _links(docs, vertices, across, options)
+    discard(across, vertices)
+    return digest, connected(links.union(more))
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", options: Options = Options()) -> DataFrame:
@@ -260,9 +302,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", options: Op
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType()), T.StructField(size, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for part in slices(batches, text, _SLICE):
-            sets = shingles(as_bytes(part.column(text)), options.words, hashes)
+            sets = shingles(as_bytes(part.column(text)), options.words)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signed(set_names(sets)), mask=sizes == 0), pa.array(sizes)], schema.names)
 

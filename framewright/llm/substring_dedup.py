@@ -11,8 +11,8 @@ stands at the same place in every copy of the window, with the same symbols arou
 boundary whose surroundings have the least hash (windows without one, such as those within a long run, by their own).
 
 1. Each block of documents lists its windows' boundaries once; those found twice or more among all blocks go back.
-2. Each block lists its windows at these, with 128-bit names and the first place; the least place of all goes back.
-3. Each block removes what is covered by windows whose first place is an earlier one.
+2. Each block lists its windows at these, with 96-bit names and the first place; names that are elsewhere earlier go back.
+3. Each block removes what is covered by these windows and by those that it has earlier itself.
 
 Blocks are dealt by a hash of the id, and a block lists a window once however often it holds it: no key has more rows
 than there are blocks, and no document's copies meet in one task.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Tokens, WordHash, as_bytes, block_count, block_of, covered, mix, pair_hash, signed, unsigned, window_hash
+from .common import Tokens, as_bytes, block_count, block_of, covered, mix, pair_hash, signed, unsigned, window_hash
 
 SIZE = 20
 ROUNDS = 2
@@ -134,7 +134,44 @@ def _place(ids: np.ndarray, tokens: Tokens, words: np.ndarray) -> tuple[np.ndarr
     return ids[text], words - tokens.starts[text]
 
 
-_PLACES = "block int, name1 long, name2 long, id long, at long, twice boolean"
+def _window_names(tokens: Tokens, size: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits for the windows at these words."""
+    one = signed(window_hash(tokens.hashes, size, 300))[words]
+    two = (window_hash(tokens.hashes, size, 400) >> np.uint64(32)).astype(np.uint32).view(np.int32)[words]
+    return one, two
+
+
+def _ranked(one: np.ndarray, two: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the order by name and then place, whether each there is its name's first)."""
+    order = np.argsort(one, kind="stable")
+    one = one[order]
+    same = np.flatnonzero(one[1:] == one[:-1])
+    if len(same):  # few names come twice: only these are put in order of their places
+        group = np.zeros(len(one), bool)
+        group[same] = group[same + 1] = True
+        some = np.flatnonzero(group)
+        mine = order[some]
+        order[some] = mine[np.lexsort((at[mine], ids[mine], two[mine], one[some]))]
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[order][1:] != two[order][:-1])
+    return order, new
+
+
+def _first_places(one: np.ndarray, two: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    order, new = _ranked(one, two, ids, at)
+    return order[new]
+
+
+def _after_first(one: np.ndarray, two: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which windows have the name of another that starts earlier."""
+    order, new = _ranked(one, two, ids, at)
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = np.zeros(len(one), bool)
+    later[order] = (ids[order] != ids[first]) | (at[order] != at[first])
+    return later
+
+
+_PLACES = pa.schema([("block", pa.int32()), ("name1", pa.int64()), ("name2", pa.int32()), ("id", pa.int64()), ("at", pa.int32())])
 _RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.LongType()))]
 
 
@@ -152,64 +189,49 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
 
     def list_names(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        tokens = Tokens(as_bytes(table.column("text")), WordHash())
+        tokens = Tokens(as_bytes(table.column("text")))
         _, names, twice = anchors(tokens, size)
         names = np.unique(names)
         return pa.table({"name": signed(names), "block": np.full(len(names), block, np.int32), "twice": _isin(names, twice)})
 
     def list_places(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        found = {c: np.empty(0, np.int64) for c in ("name1", "name2", "id", "at")}
-        block, twice = 0, np.empty(0, bool)
+        block, words, tokens = 0, np.empty(0, np.int64), None
         if table.num_rows and wanted.num_rows:
             block = table.column("block")[0].as_py()
-            tokens = Tokens(as_bytes(table.column("text")), WordHash())
+            tokens = Tokens(as_bytes(table.column("text")))
             words, names, _ = anchors(tokens, size)
             words = words[_isin(names, np.sort(unsigned(wanted.column("name").to_numpy())))]
-            ids, at = _place(_ids(table, "id"), tokens, words)
-            one, two = (signed(window_hash(tokens.hashes, size, s)[words]) for s in (300, 400))
-            order = np.lexsort((at, ids, two, one))
-            one, two, ids, at = one[order], two[order], ids[order], at[order]
-            new = np.ones(len(one), bool)
-            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-            first = np.flatnonzero(new)
-            found = {"name1": one[first], "name2": two[first], "id": ids[first], "at": at[first]}
-            twice = np.diff(np.append(first, len(one))) > 1
-        n = len(found["at"])
-        return pa.table({"block": np.full(n, block, np.int32), **found, "twice": twice})
-
-    def remove_words(table: pa.Table, first: pa.Table) -> pa.Table:
+        if not len(words):
+            return _PLACES.empty_table()
+        one, two = _window_names(tokens, size, words)
+        ids, at = _place(_ids(table, "id"), tokens, words)
+        first = _first_places(one, two, ids, at)
+        return pa.table([np.full(len(first), block, np.int32), one[first], two[first], ids[first], at[first].astype(np.int32)], schema=_PLACES)
+
+    def remove_words(table: pa.Table, earlier: pa.Table) -> pa.Table:
         texts = as_bytes(table.column("text"))
-        tokens = Tokens(texts, WordHash())
+        tokens = Tokens(texts)
         gone = np.zeros(len(tokens.hashes), bool)
         words = np.flatnonzero(tokens.whole(size))
-        if first.num_rows and len(words):
-            one, two, id_, at = (first.column(c).to_numpy() for c in ("name1", "name2", "id", "at"))
-            order = np.argsort(one, kind="stable")
-            one, two, id_, at = one[order], two[order], id_[order], at[order]
-            mine = signed(window_hash(tokens.hashes, size, 300))[words]
-            some = np.flatnonzero(_isin(mine, one))
-            words, mine = words[some], mine[some]
-            other = signed(window_hash(tokens.hashes, size, 400)[words])
-            i = np.searchsorted(one, mine)
-            wrong = two[i] != other  # equal first halves: look on
-            while wrong.any():
-                i[wrong] += 1
-                i = np.minimum(i, len(one) - 1)
-                again = two[i] != other
-                words, mine, other, i = (x[~again | (one[i] == mine)] for x in (words, mine, other, i))
-                wrong = two[i] != other
-            ids, place = _place(_ids(table, "id"), tokens, words)
-            later = (ids > id_[i]) | (ids == id_[i]) & (place > at[i])
+        if len(words):
+            one, two = _window_names(tokens, size, words)
+            # Later than another of this block, or known to be elsewhere earlier than the block's first.
+            ids, at = _place(_ids(table, "id"), tokens, words)
+            later = _after_first(one, two, ids, at)
+            if earlier.num_rows:
+                there = np.rec.fromarrays([earlier.column("name1").to_numpy(), earlier.column("name2").to_numpy()], names="one,two")
+                maybe = np.flatnonzero(_isin(one, np.sort(there.one)))
+                known = set(there.tolist())
+                later[maybe[[x in known for x in zip(one[maybe].tolist(), two[maybe].tolist())]]] = True
             gone = covered(len(gone), words[later], size)
         kept, spans = [], []
-        for row, (a, b) in zip(tokens.words, zip(tokens.starts.tolist(), tokens.ends.tolist())):
-            out = gone[a:b]
+        for text, a, b in zip(texts, tokens.starts.tolist(), tokens.ends.tolist()):
+            out, row = gone[a:b], text.split()
+            edges = np.empty(0, np.int64)
             if out.any():
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]])))
-                spans.append(edges)
                 row = [w for w, x in zip(row, out.tolist()) if not x]
-            else:
-                spans.append(np.empty(0, np.int64))
+            spans.append(edges)
             kept.append(b" ".join(row))
         lost = np.bincount(tokens.text[gone], minlength=len(texts))
         return pa.table({"id": table.column("id"), "text": table.column("text"), "rest": table.column("rest"), "n_words": tokens.counts, "n_removed": lost, "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "removed_spans": pa.array(spans, pa.list_(pa.int64()))})
@@ -217,13 +239,11 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
     names = docs.groupBy("block").applyInArrow(list_names, "name long, block int, twice boolean")
     of_name = Window.partitionBy("name")
     wanted = names.select("block", "name", (F.count("*").over(of_name) + F.max(F.col("twice").cast("int")).over(of_name)).alias("n")).where("n > 1").select("block", "name")
-    places = docs.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(list_places, _PLACES)
-    of_window = Window.partitionBy("name1", "name2")
-    first = places.select(
-        "block", "name1", "name2", F.min(F.struct("id", "at")).over(of_window).alias("first"), (F.count("*").over(of_window) + F.max(F.col("twice").cast("int")).over(of_window)).alias("n")
-    ).where("n > 1").select("block", "name1", "name2", "first.id", "first.at")
+    places = docs.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(list_places, "block int, name1 long, name2 int, id long, at int")
+    least = F.min(F.struct("id", "at")).over(Window.partitionBy("name1", "name2"))
+    earlier = places.select("block", "name1", "name2", "id", "at", least.alias("least")).where(F.col("least") < F.struct("id", "at")).select("block", "name1", "name2")
     schema = T.StructType([*docs.schema.fields[1:], *_RESULT])
-    return docs.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(remove_words, schema)
+    return docs.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(remove_words, schema)
 
 
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
