@@ -5,9 +5,9 @@ item's length, so that a copy of an item lies whole in some passage. Each passag
 score reaches ``threshold`` of the score that the item has with itself. Words are ASCII-lower-cased and split at ASCII
 white space and punctuation.
 
-A passage's upper bound, the sum of its distinct words' largest weights, is computed for all passages of a batch at once;
-that is WAND's test for a pivot, and passages below the threshold have none. The others go through the posting lists by
-block-max WAND. A retrieved item is then verified: enough of its question's word 3-grams and of its answer's words must
+All passages of a batch are searched at once. A passage's upper bound, the sum of its distinct words' largest weights, is
+WAND's test for a pivot, and passages below the threshold have none. For the others the same test is made with the largest
+weights of each block of items, and only blocks that pass it are scored. A retrieved item is then verified: enough of its question's word 3-grams and of its answer's words must
 be in the passage. The answer is the last sentence of an item (its last quarter where it has one sentence only), the
 question the rest; an item of under 8 words must be there as it is.
 
@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, slices
+from .common import Tokens, as_bytes, slices
 
 _TO_WORDS = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256))
 _SENTENCE = re.compile(rb"(?<=[.!?])\s+|\n+")
 K1, B = 1.2, 0.75
-POSTINGS = 8  # in a block
+POSTINGS = 8  # items in a block
+SPREAD = 2 << 20  # entries of lists handled at once
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -79,7 +80,7 @@ class Item:
 
 
 class Index:
-    """Posting lists of the items of one shard; weights are shares of an item's score with itself."""
+    """Posting lists of the items of one shard, in blocks; weights are shares of an item's score with itself."""
 
     def __init__(self, items: list[tuple], df: dict[bytes, int], n_items: int, mean_words: float, step: int):
         self.items = [Item(*x) for x in items]
@@ -92,106 +93,103 @@ class Index:
             own = sum(score.values())
             for t, s in score.items():
                 lists.setdefault(t, []).append((i, s / own))
-        self.terms = {t: k for k, t in enumerate(lists)}
-        self.docs = [[i for i, _ in x] for x in lists.values()]
-        self.weights = [[w for _, w in x] for x in lists.values()]
-        self.most = np.array([max(x) for x in self.weights])
-        self.blocks = [[(d[min(k + POSTINGS, len(d)) - 1], max(w[k : k + POSTINGS])) for k in range(0, len(d), POSTINGS)] for d, w in zip(self.docs, self.weights)]
-
-    def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items whose score with the query reaches the threshold, by block-max WAND."""
-        docs, weights, blocks, most = self.docs, self.weights, self.blocks, self.most
-        at = {t: 0 for t in terms}
-        live, found = list(at), []
+        hashes = Tokens([b" ".join(lists)]).hashes
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        terms = list(lists)
+        self.terms = {terms[k]: t for t, k in enumerate(order.tolist())}
+        ranked = [lists[terms[k]] for k in order.tolist()]
+        # Postings of all terms one after another, by item; blocks of items, by term.
+        size = np.array([len(x) for x in ranked])
+        term = np.repeat(np.arange(len(ranked)), size)
+        self.item = np.array([i for x in ranked for i, _ in x])
+        self.weight = np.array([w for x in ranked for _, w in x])
+        self.n_blocks = -(-len(self.items) // POSTINGS)
+        key = term * self.n_blocks + self.item // POSTINGS
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.from_, self.to = first, np.append(first[1:], len(key))
+        self.block, self.block_most = key[first] % self.n_blocks, np.maximum.reduceat(self.weight, first)
+        self.block_cut = np.searchsorted(key[first] // self.n_blocks, np.arange(len(ranked) + 1))
+        self.most = np.maximum.reduceat(self.weight, np.cumsum(size) - size)
+
+    def retrieve(self, passage: np.ndarray, term: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) of all pairs that reach the threshold, for n passages given by their distinct terms.
+
+        WAND's test with the terms' largest weights drops passages, the same test with the largest weights of each block
+        of items drops blocks, and what is left is scored.
+        """
         floor = threshold - 1e-9
-        while live:
-            live.sort(key=lambda t: docs[t][at[t]])
-            bound, pivot = 0.0, -1
-            for k, t in enumerate(live):
-                bound += most[t]
-                if bound >= floor:
-                    pivot = k
-                    break
-            if pivot < 0:
-                return found
-            doc = docs[live[pivot]][at[live[pivot]]]
-            while pivot + 1 < len(live) and docs[live[pivot + 1]][at[live[pivot + 1]]] == doc:
-                pivot += 1
-            upto, best = math.inf, 0.0
-            for t in live[: pivot + 1]:
-                b = at[t] // POSTINGS
-                while b < len(blocks[t]) and blocks[t][b][0] < doc:
-                    b += 1
-                if b < len(blocks[t]):
-                    best += blocks[t][b][1]
-                    upto = min(upto, blocks[t][b][0])
-            if best >= floor:
-                if docs[live[0]][at[live[0]]] == doc:
-                    score = sum(weights[t][at[t]] for t in live[: pivot + 1])
-                    if score >= floor:
-                        found.append((doc, score))
-                    target = doc + 1
-                else:
-                    target = doc
-            else:  # no item up to the end of these blocks, or up to the next list's item, can reach it
-                target = upto + 1
-                if pivot + 1 < len(live):
-                    target = min(target, docs[live[pivot + 1]][at[live[pivot + 1]]])
-                target = max(target, doc + 1)
-            for t in live[: pivot + 1]:
-                d, k = docs[t], at[t]
-                while k < len(d) and d[k] < target:
-                    k += 1
-                at[t] = k
-            live = [t for t in live if at[t] < len(docs[t])]
-        return found
-
-    def passages(self, texts: list[bytes], threshold: float) -> Iterator[tuple[int, int, list[bytes], list[int]]]:
-        """(text, first word, words, terms) of each passage whose upper bound reaches the threshold."""
-        get, step = self.terms.get, self.step
-        words = [words_of(t) for t in texts]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        halves = -(-counts // step)
+        alive = np.bincount(passage, self.most[term], n) >= floor
+        keep = np.flatnonzero(alive[passage])
+        keep = keep[np.argsort(passage[keep], kind="stable")]
+        passage, term = passage[keep], term[keep]
+        spread = self.block_cut[term + 1] - self.block_cut[term]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        at, done = 0, np.cumsum(spread)
+        while at < len(passage):  # some passages at a time, so that what is spread out stays small
+            end = int(np.searchsorted(done, (done[at - 1] if at else 0) + SPREAD))
+            end = int(np.searchsorted(passage, passage[min(max(end, at), len(passage) - 1)], "right"))
+            found.append(self._blocks(passage[at:end], term[at:end], spread[at:end], floor))
+            at = end
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _blocks(self, passage: np.ndarray, term: np.ndarray, spread: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        entry = _ranges(self.block_cut[term], spread)
+        pair = np.repeat(passage, spread) * self.n_blocks + self.block[entry]
+        pairs, bound, which = _sums(pair, self.block_most[entry])
+        entry = entry[(bound >= floor)[which]]
+        pair = pair[(bound >= floor)[which]]
+        size = self.to[entry] - self.from_[entry]
+        posting = _ranges(self.from_[entry], size)
+        pairs, score, _ = _sums(np.repeat(pair // self.n_blocks, size) * len(self.items) + self.item[posting], self.weight[posting])
+        hit = score >= floor
+        return pairs[hit] // len(self.items), pairs[hit] % len(self.items), score[hit]
+
+    def passages(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(passage and term of each distinct term of each passage, text and first word of each passage)."""
+        halves = -(-tokens.counts // self.step)
         base = np.cumsum(halves + 1) - halves - 1  # a gap after each text
-        ids, half = [], []
-        for k, row in enumerate(words):
-            found = np.fromiter((get(w, -1) for w in row), np.int64, len(row))
-            place = np.flatnonzero(found >= 0)
-            ids.append(found[place])
-            half.append(base[k] + place // step)
-        if not ids:
-            return
-        ids, half = np.concatenate(ids), np.concatenate(half)
-        text = np.repeat(np.arange(len(words)), halves + 1)
-        order = np.argsort(ids, kind="stable")
-        before = np.full(len(ids), -2, np.int64)  # the half in which the word came before
-        same = ids[order][1:] == ids[order][:-1]
+        at = np.minimum(np.searchsorted(self.hashes, tokens.hashes), len(self.hashes) - 1)
+        place = np.flatnonzero(self.hashes[at] == tokens.hashes)
+        term, text = at[place], tokens.text[place]
+        half = base[text] + (place - tokens.starts[text]) // self.step
+        order = np.argsort(term, kind="stable")
+        before = np.full(len(term), -2, np.int64)  # the half in which the word came before
+        same = term[order][1:] == term[order][:-1]
         before[order[1:][same]] = half[order[:-1][same]]
-        weight = self.most[ids] if len(ids) else np.empty(0)
-        total = len(text) + 1
-        new, far = before < half, before < half - 1
-        bound = np.bincount(half[new], weight[new], total)[:-1] + np.bincount(half[far], weight[far], total)[1:]
-        bound[base + halves] = 0  # the gaps
-        for h in np.flatnonzero(bound >= threshold - 1e-9).tolist():
-            row = words[text[h]]
-            a = (h - int(base[text[h]])) * step
-            part = row[a : a + 2 * step]
-            yield int(text[h]), a, part, list(dict.fromkeys(t for w in part if (t := get(w, -1)) >= 0))
+        new, far = before < half, (before < half - 1) & (half > base[text])
+        texts = np.repeat(np.arange(len(halves)), halves + 1)
+        return np.concatenate([half[new], half[far] - 1]), np.concatenate([term[new], term[far]]), texts, (np.arange(len(texts)) - base[texts]) * self.step
 
     def search(self, texts: list[bytes], limits: Limits) -> Iterator[tuple]:
         """(text, item key, first word of the best passage, score, question overlap, answer overlap)."""
         best: dict[tuple[int, int], tuple] = {}
-        for k, a, part, terms in self.passages(texts, limits.threshold):
-            for i, score in self.retrieve(terms, limits.threshold):
-                question, answer = self.items[i].overlaps(part)
-                if question >= limits.question and answer >= limits.answer:
-                    was = best.get((k, i))
-                    if was is None or (score, question, answer) > was[1:]:
-                        best[k, i] = (a, score, question, answer)
+        tokens = Tokens([t.lower().translate(_TO_WORDS) for t in texts])
+        passage, term, text, first = self.passages(tokens)
+        for p, i, score in zip(*(x.tolist() for x in self.retrieve(passage, term, len(text), limits.threshold))):
+            k, a = int(text[p]), int(first[p])
+            part = tokens.texts[k].split()[a : a + 2 * self.step]
+            question, answer = self.items[i].overlaps(part)
+            if question >= limits.question and answer >= limits.answer:
+                was = best.get((k, i))
+                if was is None or (score, question, answer) > was[1:]:
+                    best[k, i] = (a, score, question, answer)
         for (k, i), (a, score, question, answer) in best.items():
             yield k, self.items[i].key, a, score, question, answer
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), first[1], ..."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
+def _sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the distinct keys, the sum of each one's values, where each value's key is among them)."""
+    keys, which = np.unique(key, return_inverse=True)
+    return keys, np.bincount(which, value, len(keys)), which
+
+
 def _indexes(benchmark: DataFrame, key: str, text: str, limits: Limits) -> Iterator[Index]:
     """One shard after another; each holds at most about ``shard_bytes`` of text."""
 
