@@ -70,7 +70,7 @@ def _filtered(rows: DataFrame) -> DataFrame:
         state.update((int(last), float(y)))
         yield pd.DataFrame({"frame": rows["frame"], "sample": pd.Series(out, rows.index).astype("float32")})
 
-    return rows.groupBy(F.lit(0).alias("signal")).applyInPandasWithState(run, _ROWS, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.withColumn("signal", F.lit(0)).groupBy("signal").applyInPandasWithState(run, _ROWS, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream(signal: FrameSignal) -> DataFrame:
