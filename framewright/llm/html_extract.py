@@ -42,7 +42,7 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\
 _WORD = re.compile(r"[a-z]+")
 
 #: The classifier: what a node's traits add to the log odds of being content.
-WEIGHTS = {"bias": -0.4, "boilerplate": -6.0, "main": 3.0, "content_hint": 0.8, "hidden": -8.0, "linked": -2.5, "paragraph": 0.8, "heading": 0.3, "list": -0.4, "per_100_chars": 0.5, "most_chars": 2.5}
+WEIGHTS = {"bias": -0.4, "boilerplate": -6.0, "main": 3.0, "content_hint": 2.0, "hidden": -8.0, "linked": -2.5, "paragraph": 0.8, "heading": 0.3, "list": -0.4, "per_100_chars": 0.5, "most_chars": 2.5}
 #: Edges: between neighbours in page order, and between nodes next in one parent.
 ADJACENT, SIBLING = 0.3, 0.6
 
