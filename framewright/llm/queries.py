@@ -72,6 +72,7 @@ def _escaped_chars(column: str) -> str:
     return f"(length({column}) + length(regexp_replace({column}, '[^<\\[\\\\]', '', 'g')))"
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,6 +86,16 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(length('<|turn|><|text|><|end|>') + {_escaped_chars("role")} + {_escaped_chars("text")})::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op5_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        sets AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+            ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingles FROM d),
+        s AS MATERIALIZED (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+        links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+        SELECT sets.doc_id, len(shingles)::BIGINT AS n_shingles, least(sets.doc_id, coalesce(min(other), sets.doc_id)) AS component_id
+        FROM sets LEFT JOIN reach ON reach.doc_id = sets.doc_id GROUP BY sets.doc_id, shingles""",
     "op4_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
         w AS (SELECT doc_id, words, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
