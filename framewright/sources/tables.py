@@ -23,6 +23,8 @@ def read_graph(path: str) -> str:
         return f.read()
 
 
+# Two graph texts.
+
 #: 440 Hz and a pulse wave, through a filter that opens and closes once a second.
 DEFAULT_GRAPH = """
 sine(440.0) -> $tone;
