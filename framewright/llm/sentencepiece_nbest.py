@@ -24,6 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -256,7 +257,7 @@ class Lattices:
 class Known:
     """The best path, cost and least extra cost of units met so far, and the N best of some, by hash: a cache, whose bound changes no result."""
 
-    def __init__(self, model: Pieces, n: int, most: int = 1_000_000, most_nbest: int = 200_000):
+    def __init__(self, model: Pieces, n: int, most: int = 600_000, most_nbest: int = 30_000):
         self.model, self.n, self.most, self.most_nbest = model, n, most, most_nbest
         self.lists: dict[int, list] = {}
         self._clear()
@@ -375,7 +376,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(pieces(path), n)
-        for part in slices(batches, text, 4 << 20):
+        for part in slices(batches, text, 2 << 20):
             ids, counts, cost, others = segment(known, as_bytes(part.column(text)))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(cost), pa.array(others, arrow)], schema.names)
@@ -392,6 +393,16 @@ def decode_ids(model: Pieces, ids: np.ndarray, offsets: np.ndarray) -> list[byte
     return [out[a + 1 : b] if b > a else b"" for a, b in zip(cuts, cuts[1:])]
 
 
+def _by_ids(batches: Iterator[pa.RecordBatch], ids: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about ``most`` ids."""
+    for batch in batches:
+        run = np.cumsum(pc.list_value_length(batch.column(ids)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the column ``out``, the text of ``ids`` (null: empty); an id that is no piece fails."""
     name = T.StructField(out, T.StringType())
@@ -399,7 +410,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for batch in batches:
+        for batch in _by_ids(batches, ids):
             column = pa.concat_arrays([batch.column(ids)])
             offsets = column.offsets.to_numpy()
             texts = decode_ids(model, column.values.to_numpy()[: offsets[-1]].astype(np.int64), offsets)
