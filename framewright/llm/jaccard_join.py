@@ -1,15 +1,17 @@
 """Near duplicates: texts whose sets of word shingles have a Jaccard similarity of at least a threshold, and their components.
 
 Candidates come from prefix filtering under several global token orders. If J(x, y) >= t, then x and y share a token among
-the first n - ceil(t n) + 1 of each under any one order of all tokens. The first order has the tokens of high frequency
-last and is otherwise by hash; sets that share a prefix token under it are brought together. Before two sets are compared,
-their parity bitmaps must allow the similarity and they must also share a prefix token under each further order (other
-hashes); what passes all filters is verified exactly.
-
-Equal sets are one vertex, however many texts have it. Tokens that come together are linked through a leader (the least
-set with the token) first: per slice of the input and then over all slices, so no key has more rows than there are
-slices. Links found so give components; then every pair with a common prefix token whose two sets are still in different
-components is compared too. So no link between components is lost and pairs within one needn't be listed.
+the first n - ceil(t n) + 1 of each under any one order of all tokens. Under the first order, by hash, the tokens of
+prefixes (and those that several sets of a slice have) are only counted; the second order has the tokens that were counted
+often last, by their counts. Sets that share a prefix
+token under it are brought together. Before two sets are compared, their parity bitmaps must allow the similarity and they
+must also share a prefix token under each further order (other hashes); what passes all filters is verified exactly.
+
+Equal sets are one vertex, however many texts have it. Sets with a common prefix token are a bucket; each slice of the
+input lists a token once, so a token has no more rows in one task than there are slices. In rounds, each bucket's leader
+(first the set with the most shared tokens, then others by hash) is compared with those of the bucket that are in other
+components, and leaves it; buckets all in one component are done. When few pairs are left, each of them is compared once. So no
+link between components is lost, and pairs within one needn't be listed.
 
 Words are ASCII-lower-cased. A text with fewer words than a shingle has one shingle, all its words.
 
@@ -20,8 +22,10 @@ extra columns are not read by ``join`` and pass through ``keep_one``. Sets and s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +45,18 @@ class Options:
     words: int = 5
     #: The least similarity in percent.
     percent: int = 75
-    #: How many of the most frequent tokens go last in the first order; they are sent to all workers (8 bytes each).
-    frequent: int = 1 << 16
-    #: Tokens in fewer sets are not called frequent.
-    frequent_from: int = 16
+    #: How many of the most frequent tokens go last in the second order; they are sent to all workers (16 bytes each).
+    frequent: int = 1 << 20
+    #: Tokens that fewer sets have in their first prefixes aren't called frequent.
+    frequent_from: int = 4
+    #: How many tokens more than the prefix are counted, in percent of it.
+    counted_percent: int = 30
     #: Further token orders that candidates must pass.
     orders: int = 2
+    #: Rounds go on while there are more pairs left than this many times the buckets' rows and the last round settled at least
+    #: this share of them.
+    pairs_per_row: int = 4
+    settled: float = 0.15
 
 
 def shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -77,14 +87,18 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens of a sorted set under the first order."""
+def prefix(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens of a sorted set under the second order: the others by hash, then the frequent ones by their counts."""
     size = prefix_size(len(tokens), percent)
     if not len(frequent) or not len(tokens):
         return tokens[:size]
-    late = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+    late = frequent[at] == tokens
     early = tokens[~late]
-    return early[:size] if len(early) >= size else np.concatenate([early, tokens[late][: size - len(early)]])
+    if len(early) >= size:
+        return early[:size]
+    rest = tokens[late]
+    return np.concatenate([early, rest[np.lexsort((rest, counts[at[late]]))][: size - len(early)]])
 
 
 def parities(tokens: np.ndarray) -> bytes:
@@ -107,11 +121,12 @@ def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
 
 
 _DIGEST = "doc_id long, sid long, n int, parity binary, tok long, sets int"
-_ROWS = "tok long, sid long, n int, leader long, leader_n int, members boolean"
+_ROWS = "tok long, sid long, n int, first boolean, others boolean"
 
 
 def _digest(docs: DataFrame, options: Options) -> DataFrame:
-    """A row (doc_id, sid, n, parity) for each text; a row (tok, sets) for each token that several sets of one slice have."""
+    """A row (doc_id, sid, n, parity) for each text; for each slice a row (tok, sets) for each
+    token that is in the first prefix of one of its sets, or in several of its sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", _SLICE):
@@ -119,15 +134,17 @@ def _digest(docs: DataFrame, options: Options) -> DataFrame:
             sizes = np.fromiter(map(len, sets), np.int32, len(sets))
             names = set_names(sets)
             _, first = np.unique(names, return_index=True)
-            every = np.sort(np.concatenate([sets[i] for i in first]))
-            starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
-            times = np.diff(np.append(starts, len(every)))
-            often = times > 1
-            k, m = len(sets), int(often.sum())
+            every, times = np.unique(np.concatenate([sets[i] for i in first]), return_counts=True)
+            counted = times > 1
+            for i in first.tolist():
+                counted[np.searchsorted(every, sets[i][: -(-prefix_size(len(sets[i]), options.percent) * (100 + options.counted_percent) // 100)])] = True
+            every, times = every[counted], times[counted].astype(np.int32)
+            k, m = len(sets), len(every)
             none = pa.nulls
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([part.column("doc_id"), none(m, pa.int64())]), pa.concat_arrays([pa.array(signed(names), mask=sizes == 0), none(m, pa.int64())]),
-                 pa.concat_arrays([pa.array(sizes), none(m, pa.int32())]), pa.concat_arrays([pa.array([parities(x) for x in sets], pa.binary()), none(m, pa.binary())]), pa.concat_arrays([none(k, pa.int64()), pa.array(signed(every[starts[often]]))]), pa.concat_arrays([none(k, pa.int32()), pa.array(times[often].astype(np.int32))])],
+                 pa.concat_arrays([pa.array(sizes), none(m, pa.int32())]), pa.concat_arrays([pa.array([parities(x) for x in sets], pa.binary()), none(m, pa.binary())]),
+                 pa.concat_arrays([none(k, pa.int64()), pa.array(signed(every))]), pa.concat_arrays([none(k, pa.int32()), pa.array(times)])],
                 ["doc_id", "sid", "n", "parity", "tok", "sets"],
             )
 
@@ -135,28 +152,22 @@ def _digest(docs: DataFrame, options: Options) -> DataFrame:
 
 
 def _prefix_rows(docs: DataFrame, frequent, options: Options) -> DataFrame:
-    """For each prefix token of a slice's sets the least set (leader null; members: whether there are others), and the others with their leader."""
+    """For each prefix token of a slice's sets one of them (first; others: whether there are more), and the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", _SLICE):
             sets = shingles(as_bytes(part.column("text")), options.words)
-            names, first = np.unique(set_names(sets), return_index=True)
-            prefixes = [prefix(sets[i], frequent.value, options.percent) for i in first]
-            sizes = np.fromiter((len(sets[i]) for i in first), np.int64, len(first))
+            names, at = np.unique(set_names(sets), return_index=True)
+            prefixes = [prefix(sets[i], *frequent.value, options.percent) for i in at]
+            sizes = np.fromiter((len(sets[i]) for i in at), np.int32, len(at))
             if not sizes.any():
                 continue
-            of = np.repeat(np.arange(len(first)), list(map(len, prefixes)))
+            of = np.repeat(np.arange(len(at)), list(map(len, prefixes)))
             tok = np.concatenate(prefixes)
-            rank = np.empty(len(first), np.int64)
-            rank[np.lexsort((names, sizes))] = np.arange(len(first))
-            order = np.lexsort((rank[of], tok))
+            order = np.argsort(tok, kind="stable")
             tok, of = tok[order], of[order]
-            lead = np.concatenate([[True], tok[1:] != tok[:-1]])
-            leader = of[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(tok)), pa.array(signed(names[of])), pa.array(sizes[of].astype(np.int32)), pa.array(signed(names[leader]), mask=lead), pa.array(sizes[leader].astype(np.int32), mask=lead), pa.array(np.append(~lead[1:], False))],
-                ["tok", "sid", "n", "leader", "leader_n", "members"],
-            )
+            first = np.concatenate([[True], tok[1:] != tok[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(tok)), pa.array(signed(names[of])), pa.array(sizes[of]), pa.array(first), pa.array(np.append(~first[1:], False))], ["tok", "sid", "n", "first", "others"])
 
     return docs.mapInArrow(run, _ROWS)
 
@@ -247,39 +258,50 @@ def _vertices(docs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     table = written(_digest(docs, options))
     counts = table.where("tok is not null").groupBy("tok").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= options.frequent_from)
-    top = [r["tok"] for r in counts.orderBy(F.desc("sets"), "tok").limit(options.frequent).select("tok").collect()]
-    frequent = spark.sparkContext.broadcast(np.sort(unsigned(np.array(top, np.int64))))
+    top = counts.orderBy(F.desc("sets"), "tok").limit(options.frequent).toArrow()
+    tokens, times = unsigned(top.column("tok").to_numpy().astype(np.int64)), top.column("sets").to_numpy().astype(np.int64)
+    order = np.argsort(tokens)
+    frequent = spark.sparkContext.broadcast((tokens[order], times[order]))
     digest = written(table.where("tok is null").select("doc_id", "sid", "n"))
     vertices = written(table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")))
     discard(table)
 
     rows = written(_prefix_rows(docs, frequent, options))
-    of_token = Window.partitionBy("tok")
-    least = F.min(F.struct("n", "sid")).over(of_token)
-    met = rows.where("leader is null").select("tok", "sid", "n", "members", least.alias("least"), F.count("*").over(of_token).alias("slices")).where("slices > 1 or members")
-    met = met.select("tok", "sid", "n", F.col("least.sid").alias("leader"), F.col("least.n").alias("leader_n"))
-    together = written(met.union(rows.where("leader is not null").select("tok", "sid", "n", "leader", "leader_n")))
+    met = rows.where("first").select("tok", "sid", "n", "others", F.count("*").over(Window.partitionBy("tok")).alias("slices")).where("slices > 1 or others")
+    together = written(met.select("tok", "sid", "n").union(rows.where("not first").select("tok", "sid", "n")).distinct())
     discard(rows)
-
-    stars = written(together.where(F.col("leader") != F.col("sid")).where(_close("leader_n", "n", options)).select(F.least("leader", "sid").alias("a"), F.greatest("leader", "sid").alias("b")).distinct())
-    links = _links(docs, vertices, stars, options)
-    roots = connected(links)
-
-    # Tokens that three sets or more have, not all of one component: every pair across components.
-    located = written(together.join(roots.withColumnRenamed("v", "sid"), "sid", "left").select("tok", "sid", "n", F.coalesce("root", "sid").alias("root")))
+    shared = together.groupBy("sid").agg(F.count("*").cast("int").alias("shared"))
+    left = written(together.join(shared, "sid").select("tok", "sid", "n", "shared", F.col("sid").alias("root")))
     discard(together)
-    mixed = written(located.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).where("low <> high and k > 2").select("tok"))
-    left = written(located.join(mixed, "tok").distinct())
-    discard(located, mixed)
-    x, y = (left.select("tok", *(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "root"))) for s in "xy")
-    across = x.join(y, "tok").where("x_root < y_root").where(_close("x_n", "y_n", options)).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b"))
-    across = written(across.distinct().join(stars, ["a", "b"], "left_anti"))
-    discard(left, stars)
-    if across.isEmpty():
-        return digest, roots
-    more = _links(docs, vertices, across, options)
-    discard(across, vertices)
-    return digest, connected(links.union(more))
+
+    links, roots, r, pairs_before = [], None, 0, math.inf
+    while True:
+        leader = F.max(F.struct(F.col("shared") if r == 0 else F.xxhash64("sid", F.lit(r)), "sid", "n", "root"))
+        leaders = written(left.groupBy("tok").agg(leader.alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("tok", F.col("lead.sid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.root").alias("lead_root")))
+        met = left.join(leaders, "tok")
+        pairs = met.where("root <> lead_root").where(_close("lead_n", "n", options)).select(F.least("lead", "sid").alias("a"), F.greatest("lead", "sid").alias("b")).distinct()
+        links.append(_links(docs, vertices, pairs, options))
+        roots = connected(reduce(DataFrame.union, links))
+        rest = met.where("sid <> lead").select("tok", "sid", "n", "shared").join(roots.withColumnRenamed("v", "sid"), "sid", "left").select("tok", "sid", "n", "shared", F.coalesce("root", "sid").alias("root"))
+        before, left = left, written(rest)
+        discard(before, leaders)
+        parts = left.groupBy("tok", "root").count().groupBy("tok").agg(F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("kk"), F.count("*").alias("parts")).where("parts > 1")
+        size = parts.agg(F.sum("k").alias("rows"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs")).first()
+        if not size["rows"]:
+            break
+        if size["pairs"] <= options.pairs_per_row * size["rows"] or size["pairs"] > (1 - options.settled) * pairs_before:
+            # A pair is listed where its first common token of those left is.
+            earlier = Window.partitionBy("sid").orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
+            named = written(left.join(parts.select("tok"), "tok").withColumn("earlier", F.collect_list("tok").over(earlier)))
+            x, y = (named.select("tok", *(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "root", "earlier"))) for s in "xy")
+            across = x.join(y, "tok").where("x_root < y_root").where(_close("x_n", "y_n", options)).where(~F.arrays_overlap("x_earlier", "y_earlier")).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b"))
+            links.append(_links(docs, vertices, across, options))
+            roots = connected(reduce(DataFrame.union, links))
+            discard(named)
+            break
+        r, pairs_before = r + 1, size["pairs"]
+    discard(left, vertices)
+    return digest, roots
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", options: Options = Options()) -> DataFrame:

@@ -58,7 +58,10 @@ def test_chains_and_borderline_pairs(spark):
     line = words(rng, 14)
     rows += [(len(rows) + i, line + " " + words(rng, rng.randrange(3))) for i in range(60)]  # a line that many short texts have
     rng.shuffle(rows)
-    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), rows, frequent_from=4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    check(df, rows)
+    check(df, rows, pairs_per_row=0, settled=0.0)
+    check(df, rows, pairs_per_row=10**6)
 
 
 def test_filters_never_drop_a_link():
@@ -74,7 +77,8 @@ def test_filters_never_drop_a_link():
         if linked:
             assert jaccard_join.may_link(jaccard_join.parities(base), jaccard_join.parities(other), len(base), len(other), 75)
             frequent = np.sort(rng.choice(base, len(base) // 3))
-            assert np.intersect1d(jaccard_join.prefix(base, frequent, 75), jaccard_join.prefix(other, frequent, 75)).size
+            counts = rng.integers(4, 9, len(frequent))
+            assert np.intersect1d(jaccard_join.prefix(base, frequent, counts, 75), jaccard_join.prefix(other, frequent, counts, 75)).size
 
 
 def test_components(spark):
