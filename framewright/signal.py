@@ -77,6 +77,12 @@ class FrameSignal:
         """The rows; a signal without end has the configuration's frames."""
         return lower(self.node, self.spark, self.config.frame_count)
 
+    def as_view(self, name: str) -> DataFrame:
+        """The rows as a temporary view for SQL."""
+        df = self.to_df()
+        df.createOrReplaceTempView(name)
+        return df
+
     def decode(self) -> np.ndarray:
         return decode.decode(self.to_df(), self.config)
 

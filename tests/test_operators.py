@@ -270,3 +270,8 @@ def test_waveform_buckets(spark, n):
     for i, r in enumerate(got):
         part = samples[i * n // b : (i + 1) * n // b]
         assert (r.minimum, r.maximum) == (part.min(), part.max()) and abs(r["mean"] - part.mean()) < 1e-6
+
+
+def test_view(spark):
+    FrameSignal.sine(spark, SMALL, 2).as_view("tone")
+    assert spark.sql("SELECT count(*) FROM tone WHERE abs(sample) > 0.5").first()[0] == 5
