@@ -2,15 +2,15 @@
 
 A text's words, ASCII-lower-cased, joined by one space and closed by an end, are a string of symbols (the 62 most frequent
 bytes of the training texts, an escape for the others, the end), each a path of binary decisions in a Huffman tree. Each
-decision is predicted under several contexts: the last one, two, three and four symbols, and the word so far; contexts
-after the second are hashed. A predictor gives log odds from how often the training texts went either way there. The log
+decision is predicted under several contexts: the last two, three and four symbols, and the word so far; contexts of more
+than two symbols are hashed. A predictor gives log odds from how often the training texts went either way there. The log
 odds are added with weights, a shared set and a gate's set, which counts where the longest context is known; after each
 decision the weights move along the gradient, and so do a scale and an offset that refine the sum. A text is cut into
 segments of a fixed number of decisions, each mixed from the same first weights, all segments of a batch side by side.
 
 What is gathered from the corpus are counts of (context, symbol) by each partition, summed in two levels, and counts of all
 words; the number of hashed contexts doubles with the corpus up to ``max_context_bits``, which bounds the model that goes
-to the workers (64 bytes a context, three hashed tables: at most 50 MB). The base score is an add-one unigram model; its
+to the workers (64 bytes a context, two hashed tables and a four times larger one: at most 26 MB). The base score is an add-one unigram model; its
 word counts are never on one machine: blocks of texts list their distinct words, and get the sums back.
 
 Cases: null and empty text has the end only; a null id is a training text; repeated rows are scored (and counted) each; an
@@ -23,6 +23,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +32,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Tokens, as_bytes, block_of, mix, plan_bytes, signed, slices, unsigned, written
+from .common import U64, Tokens, as_bytes, block_of, mix, plan_bytes, signed, slices, unsigned, written
 
 SYMBOLS, END, ESCAPE = 64, 0, 63
 PAD = 4  # symbols before each text, so that no context holds another text
-TABLES = 5
+TABLES = 4
+LONGEST = 2  # the table whose knowing a context opens the gate
 SEGMENT = 1 << 10  # contexts in a row of gathered counts
+STEP_BYTES = 1 << 17  # of text that is looked up together, so that a processor's cache holds it
 
 
 @dataclass(frozen=True)
 class Options:
-    decisions: int = 4096  # in a segment
+    decisions: int = 2048  # in a segment
     rate: float = 0.02
     least_rate: float = 0.002
-    first_weights: tuple = (0.10, 0.20, 0.35, 0.45, 0.30)
+    first_weights: tuple = (0.25, 0.35, 0.45, 0.35)
     #: Contexts of a hashed table: 2 ** 10 for up to 2 ** 16 bytes of training text, twice as many for each doubling.
-    max_context_bits: int = 18
+    max_context_bits: int = 16
+    #: The table of word beginnings has this many bits more.
+    word_bits: int = 2
 
 
 def held_out(key: Column) -> Column:
@@ -92,8 +97,8 @@ class Alphabet:
         walk(node - 1, [])
         self.length = np.array([len(p) for p in paths])
         self.offset = np.cumsum(self.length) - self.length
-        self.node = np.array([n for p in paths for n, _ in p], np.int32)
-        self.bit = np.array([b for p in paths for _, b in p], np.float32)
+        self.node = np.array([n for p in paths for n, _ in p], np.uint8)
+        self.bit = np.array([b for p in paths for _, b in p], np.int8)
 
 
 def sequence(alphabet: Alphabet, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,32 +115,58 @@ def sequence(alphabet: Alphabet, texts: list[bytes]) -> tuple[np.ndarray, np.nda
     return symbols, np.flatnonzero(real), size
 
 
-def contexts(symbols: np.ndarray, at: np.ndarray, space: int, bits: int) -> list[np.ndarray]:
-    """The context of each symbol to predict in each table."""
-    s = symbols.astype(np.int64)
-    one = s[at - 1]
-    two = one | s[at - 2] << 6
-    three = two | s[at - 3] << 12
-    four = three | s[at - 4] << 18
-    # The word so far: a sum of its symbols' values times powers of its positions.
+_ODD = 0x9E3779B97F4A7C15
+_VALUES = mix(np.arange(SYMBOLS, dtype=np.uint64), 50)
+
+
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2 ** bits powers of _ODD and of its inverse."""
+    back = pow(_ODD, -1, 2**64)
+    out = np.empty((2, 1 << bits), np.uint64)
+    out[:] = np.array([[_ODD], [back]], np.uint64)
+    out[:, 0] = 1
+    return tuple(np.cumprod(out, axis=1))
+
+
+def contexts(symbols: np.ndarray, at: np.ndarray, space: int, bits: int, word_bits: int) -> list[np.ndarray]:
+    """The context of each symbol to predict in each table, as int32."""
+    s = symbols.astype(np.int32)
+    two = s[3:-1] | s[2:-2] << 6
+    three = two | s[1:-3] << 12
+    four = three | s[:-4] << 18
+    down = np.uint64(64 - bits)
+    hashed = lambda x, odd: ((x.astype(np.uint64) + U64(1)) * U64(odd) >> down).astype(np.int32)
+    # The word so far: the sum of its symbols' values times powers of their places in it.
     n = len(s)
-    powers = np.cumprod(np.full(n + 1, 0x9E3779B97F4A7C15 | 1, np.uint64))
-    back = np.cumprod(np.full(n + 1, pow(0x9E3779B97F4A7C15 | 1, -1, 2**64), np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s.astype(np.uint64), 50) * powers[:n])])
-    begins = np.maximum.accumulate(np.where((s == space) | (s == END), np.arange(1, n + 1), 0))
-    start = begins[at - 1]
+    powers, back = _powers(n.bit_length())
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUES[symbols] * powers[:n], out=sums[1:])
+    edge = np.flatnonzero((symbols == space) | (symbols == END))
+    begin = np.zeros(n + 1, np.int32)
+    begin[edge + 1] = edge + 1
+    start = np.maximum.accumulate(begin)[at]
     word = (sums[at] - sums[start]) * back[start]
     word += (at - start).astype(np.uint64)
-    down = np.uint64(64 - bits)
-    hashed = lambda x, salt: (mix(x.astype(np.uint64), salt) >> down).astype(np.int64)
-    return [one, two, hashed(three, 51), hashed(four, 52), hashed(word, 53)]
+    at = at - PAD
+    return [two[at], hashed(three[at], 0xD6E8FEB86659FD93), hashed(four[at], 0xA0761D6478BD642F), (word * U64(0xE7037ED1A0B428DB) >> np.uint64(64 - bits - word_bits)).astype(np.int32)]
 
 
-def table_bits(bits: int) -> list[int]:
-    return [6, 12, bits, bits, bits]
+def table_bits(bits: int, word_bits: int) -> list[int]:
+    return [12, bits, bits, bits + word_bits]
 
 
-def _partial_counts(docs: DataFrame, alphabet, bits: int) -> DataFrame:
+def _tally(counts: np.ndarray, at: np.ndarray, part: int = 1 << 22) -> None:
+    """Adds one at each place, a part of a large table after another, so that no second table of its size is made."""
+    if len(counts) <= part:
+        counts += np.bincount(at, minlength=len(counts)).astype(np.int32)
+        return
+    which = at // part
+    for k in range(len(counts) // part):
+        counts[k * part : (k + 1) * part] += np.bincount(at[which == k] - k * part, minlength=part).astype(np.int32)
+
+
+def _partial_counts(docs: DataFrame, alphabet, bits: int, word_bits: int) -> DataFrame:
     """The counts of (context, symbol) of each partition's training texts, in compressed rows of SEGMENT contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +174,22 @@ def _partial_counts(docs: DataFrame, alphabet, bits: int) -> DataFrame:
 
         letters = alphabet.value
         space = int(letters.symbol[0x20])
-        counts = [np.zeros(SYMBOLS << b, np.int32) for b in table_bits(bits)]
-        for part in slices(batches, "text", 4 << 20):
+        counts = [np.zeros(SYMBOLS << b, np.int32) for b in table_bits(bits, word_bits)]
+        waiting: list[list[np.ndarray]] = [[] for _ in counts]
+
+        def tally() -> None:
+            for count, places in zip(counts, waiting):
+                if places:
+                    _tally(count, np.concatenate(places))
+                places.clear()
+
+        for part in slices(batches, "text", STEP_BYTES):
             symbols, at, _ = sequence(letters, normalised(as_bytes(part.column("text"))))
-            here = symbols[at].astype(np.int64)
-            for count, context in zip(counts, contexts(symbols, at, space, bits)):
-                count += np.bincount(context * SYMBOLS + here, minlength=len(count)).astype(np.int32)
+            for places, context in zip(waiting, contexts(symbols, at, space, bits, word_bits)):
+                places.append(context * np.int32(SYMBOLS) + symbols[at])
+            if sum(map(len, waiting[0])) > 4 << 20:
+                tally()
+        tally()
         press = zstandard.ZstdCompressor(level=1)
         task = TaskContext.get().partitionId()
         for k, count in enumerate(counts):
@@ -188,13 +229,14 @@ def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 SCALE = 8 / 127
+SEEN = 0.02  # what either way counts before anything is seen
 
 
 def log_odds(alphabet: Alphabet, counts: np.ndarray) -> np.ndarray:
     """A byte for each context and node: the log odds of going right, in units of SCALE; 0 where nothing is known."""
     rows = counts.reshape(-1, SYMBOLS).astype(np.float32)
     left, right = rows @ alphabet.sides[0], rows @ alphabet.sides[1]
-    odds = np.log((right + 0.4) / (left + 0.4))
+    odds = np.log((right + SEEN) / (left + SEEN))
     return np.clip(np.rint(odds / SCALE), -127, 127).astype(np.int8)
 
 
@@ -202,79 +244,81 @@ class Model:
     def __init__(self, alphabet: Alphabet, tables: list[np.ndarray], bits: int, options: Options):
         self.alphabet, self.tables, self.bits, self.options = alphabet, tables, bits, options
 
-    def bits_of(self, texts: list[bytes]) -> np.ndarray:
-        """The negative log2 probability of each normalised text and its end."""
+    def _looked_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(of each decision 8 bytes: the tables' log odds, and which way it went; decisions of each text; cost of its escaped bytes)."""
         letters = self.alphabet
         symbols, at, size = sequence(letters, texts)
         here = symbols[at]
         lengths = letters.length[here]
-        total = int(lengths.sum())
         stop = np.cumsum(lengths)
-        path = np.arange(total) + np.repeat(letters.offset[here] - (stop - lengths), lengths)
-        node, bit = letters.node[path], letters.bit[path]
-        inputs = np.empty((TABLES, total), np.int8)
-        for k, context in enumerate(contexts(symbols, at, int(letters.symbol[0x20]), self.bits)):
-            np.take(self.tables[k], np.repeat(context * SYMBOLS, lengths) + node, out=inputs[k])
-        # Segments: each text's decisions, cut.
+        path = np.arange(int(stop[-1])) + np.repeat(letters.offset[here] - (stop - lengths), lengths)
+        node = letters.node[path]
+        inputs = np.zeros((len(path), 8), np.int8)
+        inputs[:, TABLES] = letters.bit[path]
+        for k, context in enumerate(contexts(symbols, at, int(letters.symbol[0x20]), self.bits, self.options.word_bits)):
+            inputs[:, k] = np.take(self.tables[k], np.repeat(context.astype(np.int64) * SYMBOLS, lengths) + node, mode="clip")
         ends = np.cumsum(size)
-        text_stop = stop[ends - 1]
-        n = np.diff(text_stop, prepend=0)
+        rare = np.zeros(len(texts))
+        escaped = np.flatnonzero(here == ESCAPE)
+        if len(escaped):
+            raw = np.frombuffer(b"".join(b"\0" * PAD + t + b"\0" for t in texts), np.uint8)
+            rare = np.bincount(np.searchsorted(ends, escaped, "right"), letters.rare_cost[raw[at[escaped]]], len(texts))
+        return inputs, np.diff(stop[ends - 1], prepend=0), rare
+
+    def bits_of(self, texts: list[bytes]) -> np.ndarray:
+        """The negative log2 probability of each normalised text and its end."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // STEP_BYTES)) + 1).tolist(), len(texts)]
+        found = [self._looked_up(texts[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
+        inputs, n, out = (np.concatenate(x) for x in zip(*found))
+        # Segments: each text's decisions, cut.
         parts = -(-n // self.options.decisions)
         text = np.repeat(np.arange(len(texts)), parts)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = (text_stop - n)[text] + nth * self.options.decisions
+        begin = (np.cumsum(n) - n)[text] + nth * self.options.decisions
         length = np.minimum(n[text] - nth * self.options.decisions, self.options.decisions)
         order = np.argsort(-length, kind="stable")
-        cost = self._mixed(inputs, bit, begin[order], length[order])
-        out = np.bincount(text[order], cost, len(texts))
-        raw = np.frombuffer(b"".join(b"\0" * PAD + t + b"\0" for t in texts), np.uint8)
-        escaped = np.flatnonzero(here == ESCAPE)
-        if len(escaped):
-            out += np.bincount(np.searchsorted(ends, escaped, "right"), letters.rare_cost[raw[at[escaped]]], len(texts))
-        return out
+        cost = self._mixed(inputs, begin[order], length[order])
+        return out + np.bincount(text[order], cost, len(texts))
 
-    def _mixed(self, inputs: np.ndarray, bit: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def _mixed(self, inputs: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The cost in bits of each segment; segments are sorted from long to short and go on side by side."""
         o, lanes = self.options, len(begin)
-        shared = np.repeat(np.array(o.first_weights, np.float32)[:, None], lanes, axis=1)
-        gated = np.zeros((TABLES, lanes), np.float32)
+        packed = inputs.view(np.int64).ravel()
+        weights = np.zeros((2 * TABLES, lanes), np.float32)  # the shared set, the gate's set
+        weights[:TABLES] = np.array(o.first_weights, np.float32)[:, None]
         scale, offset = np.ones(lanes, np.float32), np.zeros(lanes, np.float32)
         cost, product = np.zeros(lanes), np.ones(lanes)
-        live_at = np.searchsorted(-length, -np.arange(int(length[0])) if lanes else np.empty(0), "left")
-        for t in range(int(length[0]) if lanes else 0):
-            live = int(live_at[t])
-            if live < shared.shape[1]:
-                done = shared.shape[1]
-                cost[live:done] -= np.log2(product[live:])
-                shared, gated, scale, offset, product = (np.ascontiguousarray(x[..., :live]) for x in (shared, gated, scale, offset, product))
-            i = begin[:live] + t
-            x = np.take(inputs, i, axis=1).astype(np.float32)
-            gate = (x[3] != 0).astype(np.float32)
-            x *= np.float32(SCALE)
-            own = np.einsum("kn,kn->n", shared, x)
-            plus = np.einsum("kn,kn->n", gated, x)
-            plus *= gate
-            own += plus
-            odds = scale * own
-            odds += offset
-            np.clip(odds, -14, 14, out=odds)
-            p = 1 / (1 + np.exp(-odds))
-            y = bit[i]
-            error = y - p
-            product *= 1 - np.abs(error)
+        x, p, sure = np.empty((2 * TABLES, lanes), np.float32), np.empty(lanes, np.float32), np.empty(lanes, np.float32)
+        live_at = np.searchsorted(-length, -np.arange(int(length[0])) if lanes else np.empty(0), "left").tolist()
+        for t, live in enumerate(live_at):
+            if live < len(product):
+                cost[live : len(product)] -= np.log2(product[live:])
+                weights, x = (np.ascontiguousarray(a[:, :live]) for a in (weights, x))
+                scale, offset, product, p, sure = (a[:live].copy() for a in (scale, offset, product, p, sure))
+            row = packed[begin[:live] + t].view(np.int8).reshape(-1, 8)
+            np.multiply(row[:, :TABLES].T, np.float32(SCALE), out=x[:TABLES])
+            np.multiply(x[:TABLES], row[:, LONGEST] != 0, out=x[TABLES:])
+            own = np.einsum("kn,kn->n", weights, x)
+            np.multiply(scale, own, out=p)
+            p += offset
+            np.maximum(np.minimum(p, 14, out=p), -14, out=p)
+            np.exp(np.negative(p, out=p), out=p)
+            p += 1
+            np.reciprocal(p, out=p)
+            np.subtract(row[:, TABLES], p, out=p)  # the error
+            np.subtract(1, np.abs(p, out=sure), out=sure)
+            product *= sure
             if t & 15 == 15:
                 cost[:live] -= np.log2(product)
                 product[:] = 1
-            rate = np.float32(max(o.least_rate, o.rate / (1 + t / 256)))
-            error *= rate
-            x *= error
-            shared += x
-            x *= gate
-            gated += x
-            own *= error
-            own *= np.float32(0.1)
+            p *= np.float32(max(o.least_rate, o.rate / (1 + t / 256)))
+            x *= p
+            weights += x
+            offset += p
+            p *= np.float32(0.1)
+            own *= p
             scale += own
-            offset += error
         cost[: len(product)] -= np.log2(product)
         return cost
 
@@ -297,11 +341,11 @@ def train(docs: DataFrame, options: Options) -> Model:
     alphabet = Alphabet(seen[:256], int(seen[256]))
     bits = min(options.max_context_bits, 10 + max(0, int(seen[:256].sum()).bit_length() - 16))
     sent = spark.sparkContext.broadcast(alphabet)
-    parts = _partial_counts(docs, sent, bits)
+    parts = _partial_counts(docs, sent, bits, options.word_bits)
     groups = max(1, math.isqrt(plan_bytes(docs) // (64 << 20)))
     some = _summed(parts.withColumn("salt", F.col("salt") % groups), ["k", "segment", "salt"])
     whole = _summed(some.withColumn("salt", F.lit(0)), ["k", "segment"])
-    tables = [np.zeros(SYMBOLS << b, np.int8) for b in table_bits(bits)]
+    tables = [np.zeros(SYMBOLS << b, np.int8) for b in table_bits(bits, options.word_bits)]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -330,8 +374,10 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
     def list_words(table: pa.Table) -> pa.Table:
         learned = ~table.column("held").to_numpy()
         tokens = Tokens([t.lower() for t in as_bytes(table.column("text"))])
-        words, which = np.unique(tokens.hashes, return_inverse=True)
-        counts = np.bincount(which, learned[tokens.text], len(words)).astype(np.int64)
+        mine = learned[tokens.text]
+        words, counts = np.unique(tokens.hashes[mine], return_counts=True)
+        others = np.setdiff1d(tokens.hashes[~mine], words)
+        words, counts = np.concatenate([words, others]), np.concatenate([counts, np.zeros(len(others), np.int64)])
         return pa.table({"word": signed(words), "block": np.full(len(words), table.column("block")[0].as_py(), np.int32), "n": counts})
 
     of_word = Window.partitionBy("word")
