@@ -6,6 +6,7 @@ Words are the maximal runs of bytes outside space and \\x09-\\x0D, which is what
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -104,6 +105,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
 
 
 def _finish(x: np.ndarray) -> np.ndarray:
@@ -119,6 +121,13 @@ def _finish(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Returns freed memory to the system (where its C library can), for workers that live on between stages."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective 64-bit mixer; another one for each salt."""
     return _finish(x + U64((0x9E3779B97F4A7C15 * (2 * salt + 1)) & (2**64 - 1)))

@@ -52,8 +52,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    made = sentencepiece_nbest.encode(_documents(spark, sf_dir), model, keep=("doc_id", "text"))
-    return sentencepiece_nbest.decode(made, model).select(
+    return sentencepiece_nbest.encode(_documents(spark, sf_dir), model, keep=("doc_id", "text"), decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         "cost",

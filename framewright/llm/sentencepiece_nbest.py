@@ -369,9 +369,14 @@ def edited(ids: list[int], edits: list) -> list[int]:
     return out + ids[done:]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), n: int = 4) -> DataFrame:
-    """The columns ``keep``, ids (of the best segmentation), cost (micro-nats) and others (the next n - 1: cost and edits of ids)."""
+def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), n: int = 4, decoded: str | None = None) -> DataFrame:
+    """The columns ``keep``, ids (of the best segmentation), cost (micro-nats) and others (the next n - 1: cost and edits of ids).
+
+    ``decoded``: a further column with the text of the ids, decoded in the same pass.
+    """
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("cost", T.LongType()), T.StructField("others", T.ArrayType(_OTHER))])
+    if decoded is not None:
+        schema = schema.add(decoded, T.StringType())
     arrow = pa.list_(pa.struct([("cost", pa.int64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +384,10 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
         for part in slices(batches, text, 2 << 20):
             ids, counts, cost, others = segment(known, as_bytes(part.column(text)))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(cost), pa.array(others, arrow)], schema.names)
+            columns = [*(part.column(c) for c in keep), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(cost), pa.array(others, arrow)]
+            if decoded is not None:
+                columns.append(pa.array(decode_ids(known.model, ids, offsets.to_numpy()), pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return df.select(*dict.fromkeys((*keep, text))).mapInArrow(run, schema)
 

@@ -63,7 +63,7 @@ def test_the_cache_changes_nothing(model):
 
 
 def test_edges(edge_docs, no_docs):
-    made = sp.decode(sp.encode(edge_docs, PATH, keep=("doc_id", "text")), PATH)
+    made = sp.decode(sp.encode(edge_docs, PATH, keep=("doc_id", "text"), decoded="again"), PATH).where("again = decoded")
     assert made.where(F.coalesce("text", F.lit("")) != F.col("decoded")).count() == 0
     assert made.count() == edge_docs.count()
     assert sp.decode(sp.encode(no_docs, PATH), PATH).collect() == []
