@@ -33,7 +33,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    made = sentencepiece_nbest.decode(sentencepiece_nbest.encode(docs, model, keep=("doc_id", "text")), model)
+    made = sentencepiece_nbest.encode(docs, model, keep=("doc_id", "text"), decoded="decoded")
     return made.select("doc_id", "text", "ids", F.size("ids").cast("long").alias("n_pieces"), "cost", "others", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
 
 
