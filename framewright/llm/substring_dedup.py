@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Tokens, as_bytes, block_count, block_of, covered, mix, pair_hash, signed, unsigned, window_hash
+from .common import Tokens, as_bytes, block_count, block_of, covered, give_back, mix, pair_hash, signed, unsigned, window_hash
 
 SIZE = 20
 ROUNDS = 2
@@ -171,7 +171,7 @@ def _after_first(one: np.ndarray, two: np.ndarray, ids: np.ndarray, at: np.ndarr
     return later
 
 
-_PLACES = pa.schema([("block", pa.int32()), ("name1", pa.int64()), ("name2", pa.int32()), ("id", pa.int64()), ("at", pa.int32())])
+_PLACES = pa.schema([("block", pa.int32()), ("id", pa.int64()), ("at", pa.int32()), ("name1", pa.int64()), ("name2", pa.int32())])
 _RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.LongType()))]
 
 
@@ -188,6 +188,7 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
     docs = docs.select(block_of(F.struct("id", F.length("text")), blocks).alias("block"), "id", "text", "rest")
 
     def list_names(table: pa.Table) -> pa.Table:
+        give_back()
         block = table.column("block")[0].as_py()
         tokens = Tokens(as_bytes(table.column("text")))
         _, names, twice = anchors(tokens, size)
@@ -195,6 +196,7 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
         return pa.table({"name": signed(names), "block": np.full(len(names), block, np.int32), "twice": _isin(names, twice)})
 
     def list_places(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        give_back()
         block, words, tokens = 0, np.empty(0, np.int64), None
         if table.num_rows and wanted.num_rows:
             block = table.column("block")[0].as_py()
@@ -205,10 +207,11 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
             return _PLACES.empty_table()
         one, two = _window_names(tokens, size, words)
         ids, at = _place(_ids(table, "id"), tokens, words)
-        first = _first_places(one, two, ids, at)
-        return pa.table([np.full(len(first), block, np.int32), one[first], two[first], ids[first], at[first].astype(np.int32)], schema=_PLACES)
+        first = np.sort(_first_places(one, two, ids, at))  # by place: neighbouring rows share their ids, which packs well
+        return pa.table([np.full(len(first), block, np.int32), ids[first], at[first].astype(np.int32), one[first], two[first]], schema=_PLACES)
 
     def remove_words(table: pa.Table, earlier: pa.Table) -> pa.Table:
+        give_back()
         texts = as_bytes(table.column("text"))
         tokens = Tokens(texts)
         gone = np.zeros(len(tokens.hashes), bool)
@@ -239,7 +242,7 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
     names = docs.groupBy("block").applyInArrow(list_names, "name long, block int, twice boolean")
     of_name = Window.partitionBy("name")
     wanted = names.select("block", "name", (F.count("*").over(of_name) + F.max(F.col("twice").cast("int")).over(of_name)).alias("n")).where("n > 1").select("block", "name")
-    places = docs.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(list_places, "block int, name1 long, name2 int, id long, at int")
+    places = docs.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(list_places, "block int, id long, at int, name1 long, name2 int")
     least = F.min(F.struct("id", "at")).over(Window.partitionBy("name1", "name2"))
     earlier = places.select("block", "name1", "name2", "id", "at", least.alias("least")).where(F.col("least") < F.struct("id", "at")).select("block", "name1", "name2")
     schema = T.StructType([*docs.schema.fields[1:], *_RESULT])
