@@ -30,7 +30,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,7 @@ from .common import Tokens, as_bytes, discard, mix, signed, slices, unsigned, wi
 from .components import connected
 
 _SLICE = 8 << 20
+SKETCH = 8
 
 
 @dataclass(frozen=True)
@@ -111,6 +112,12 @@ def parities(tokens: np.ndarray) -> bytes:
     return np.packbits(hit.astype(np.uint8)).tobytes()
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """The parities of SKETCH * 64 buckets as longs, which a join's condition can compare."""
+    hit = np.bincount((mix(tokens, 30) & np.uint64(SKETCH * 64 - 1)).astype(np.int64), minlength=SKETCH * 64) & 1
+    return np.packbits(hit.astype(np.uint8)).view(np.int64)
+
+
 def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
     """False only for sets that aren't similar: J >= t means that at most (1 - t) / (1 + t) of both sizes' sum differs."""
     if len(x) > len(y):
@@ -120,7 +127,7 @@ def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
     return (100 + percent) * int(np.bitwise_count(a ^ b).sum()) <= (100 - percent) * (n + m)
 
 
-_DIGEST = "doc_id long, sid long, n int, parity binary, tok long, sets int"
+_DIGEST = "doc_id long, sid long, n int, parity binary, sketch array<long>, tok long, sets int"
 _ROWS = "tok long, sid long, n int, first boolean, others boolean"
 
 
@@ -144,8 +151,8 @@ def _digest(docs: DataFrame, options: Options) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([part.column("doc_id"), none(m, pa.int64())]), pa.concat_arrays([pa.array(signed(names), mask=sizes == 0), none(m, pa.int64())]),
                  pa.concat_arrays([pa.array(sizes), none(m, pa.int32())]), pa.concat_arrays([pa.array([parities(x) for x in sets], pa.binary()), none(m, pa.binary())]),
-                 pa.concat_arrays([none(k, pa.int64()), pa.array(signed(every))]), pa.concat_arrays([none(k, pa.int32()), pa.array(times)])],
-                ["doc_id", "sid", "n", "parity", "tok", "sets"],
+                 pa.concat_arrays([pa.array([sketch(x) for x in sets], pa.list_(pa.int64())), none(m, pa.list_(pa.int64()))]), pa.concat_arrays([none(k, pa.int64()), pa.array(signed(every))]), pa.concat_arrays([none(k, pa.int32()), pa.array(times)])],
+                ["doc_id", "sid", "n", "parity", "sketch", "tok", "sets"],
             )
 
     return docs.mapInArrow(run, _DIGEST)
@@ -263,7 +270,7 @@ def _vertices(docs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
     order = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[order], times[order]))
     digest = written(table.where("tok is null").select("doc_id", "sid", "n"))
-    vertices = written(table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")))
+    vertices = written(table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("sketch").alias("sketch")))
     discard(table)
 
     rows = written(_prefix_rows(docs, frequent, options))
@@ -292,9 +299,11 @@ def _vertices(docs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
         if size["pairs"] <= options.pairs_per_row * size["rows"] or size["pairs"] > (1 - options.settled) * pairs_before:
             # A pair is listed where its first common token of those left is.
             earlier = Window.partitionBy("sid").orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
-            named = written(left.join(parts.select("tok"), "tok").withColumn("earlier", F.collect_list("tok").over(earlier)))
-            x, y = (named.select("tok", *(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "root", "earlier"))) for s in "xy")
-            across = x.join(y, "tok").where("x_root < y_root").where(_close("x_n", "y_n", options)).where(~F.arrays_overlap("x_earlier", "y_earlier")).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b"))
+            named = written(left.join(parts.select("tok"), "tok").withColumn("earlier", F.collect_list("tok").over(earlier)).join(vertices.select("sid", "sketch"), "sid"))
+            x, y = (named.select("tok", *(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "root", "earlier", "sketch"))) for s in "xy")
+            differ = reduce(Column.__add__, (F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("y_sketch")[i])) for i in range(SKETCH)))
+            similar = differ * (100 + options.percent) <= (F.col("x_n") + F.col("y_n")) * (100 - options.percent)
+            across = x.join(y, "tok").where("x_root < y_root").where(_close("x_n", "y_n", options)).where(similar).where(~F.arrays_overlap("x_earlier", "y_earlier")).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b"))
             links.append(_links(docs, vertices, across, options))
             roots = connected(reduce(DataFrame.union, links))
             discard(named)

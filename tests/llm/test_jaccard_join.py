@@ -77,6 +77,8 @@ def test_filters_never_drop_a_link():
         if linked:
             assert jaccard_join.may_link(jaccard_join.parities(base), jaccard_join.parities(other), len(base), len(other), 75)
             frequent = np.sort(rng.choice(base, len(base) // 3))
+            differ = np.bitwise_count((jaccard_join.sketch(base) ^ jaccard_join.sketch(other)).view(np.uint64)).sum()
+            assert not linked or 175 * differ <= 25 * (len(base) + len(other))
             counts = rng.integers(4, 9, len(frequent))
             assert np.intersect1d(jaccard_join.prefix(base, frequent, counts, 75), jaccard_join.prefix(other, frequent, counts, 75)).size
 
