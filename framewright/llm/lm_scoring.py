@@ -32,12 +32,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Tokens, as_bytes, block_of, mix, plan_bytes, signed, slices, unsigned, written
+from .common import U64, Tokens, as_bytes, block_of, give_back, mix, plan_bytes, signed, slices, unsigned, written
 
 SYMBOLS, END, ESCAPE = 64, 0, 63
 PAD = 4  # symbols before each text, so that no context holds another text
 TABLES = 4
-LONGEST = 2  # the table whose knowing a context opens the gate
+LONGEST = 2  # the table whose knowing a context opens the gate; the gate's weights are for it and the one after it
+INPUTS = TABLES + TABLES - LONGEST
 SEGMENT = 1 << 10  # contexts in a row of gathered counts
 STEP_BYTES = 1 << 17  # of text that is looked up together, so that a processor's cache holds it
 
@@ -156,14 +157,12 @@ def table_bits(bits: int, word_bits: int) -> list[int]:
     return [12, bits, bits, bits + word_bits]
 
 
-def _tally(counts: np.ndarray, at: np.ndarray, part: int = 1 << 22) -> None:
+def _tally(counts: np.ndarray, at: np.ndarray, part: int = 1 << 23) -> None:
     """Adds one at each place, a part of a large table after another, so that no second table of its size is made."""
-    if len(counts) <= part:
-        counts += np.bincount(at, minlength=len(counts)).astype(np.int32)
-        return
-    which = at // part
-    for k in range(len(counts) // part):
-        counts[k * part : (k + 1) * part] += np.bincount(at[which == k] - k * part, minlength=part).astype(np.int32)
+    for a in range(0, len(counts), part):
+        here = counts[a : a + part]
+        mine = at if len(here) == len(counts) else at[(at >= a) & (at < a + part)] - a
+        here += np.bincount(mine, minlength=len(here)).astype(np.int32)
 
 
 def _partial_counts(docs: DataFrame, alphabet, bits: int, word_bits: int) -> DataFrame:
@@ -270,7 +269,13 @@ class Model:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // STEP_BYTES)) + 1).tolist(), len(texts)]
         found = [self._looked_up(texts[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
-        inputs, n, out = (np.concatenate(x) for x in zip(*found))
+        n, out = (np.concatenate([f[k] for f in found]) for k in (1, 2))
+        inputs, begin = np.empty((int(n.sum()), 8), np.int8), 0
+        for k, (rows, *_) in enumerate(found):
+            inputs[begin : begin + len(rows)] = rows
+            begin += len(rows)
+            found[k] = (None,)  # its memory is free
+            del rows
         # Segments: each text's decisions, cut.
         parts = -(-n // self.options.decisions)
         text = np.repeat(np.arange(len(texts)), parts)
@@ -285,11 +290,11 @@ class Model:
         """The cost in bits of each segment; segments are sorted from long to short and go on side by side."""
         o, lanes = self.options, len(begin)
         packed = inputs.view(np.int64).ravel()
-        weights = np.zeros((2 * TABLES, lanes), np.float32)  # the shared set, the gate's set
+        weights = np.zeros((INPUTS, lanes), np.float32)  # the shared set, the gate's set
         weights[:TABLES] = np.array(o.first_weights, np.float32)[:, None]
         scale, offset = np.ones(lanes, np.float32), np.zeros(lanes, np.float32)
         cost, product = np.zeros(lanes), np.ones(lanes)
-        x, p, sure = np.empty((2 * TABLES, lanes), np.float32), np.empty(lanes, np.float32), np.empty(lanes, np.float32)
+        x, p, sure = np.empty((INPUTS, lanes), np.float32), np.empty(lanes, np.float32), np.empty(lanes, np.float32)
         live_at = np.searchsorted(-length, -np.arange(int(length[0])) if lanes else np.empty(0), "left").tolist()
         for t, live in enumerate(live_at):
             if live < len(product):
@@ -298,7 +303,7 @@ class Model:
                 scale, offset, product, p, sure = (a[:live].copy() for a in (scale, offset, product, p, sure))
             row = packed[begin[:live] + t].view(np.int8).reshape(-1, 8)
             np.multiply(row[:, :TABLES].T, np.float32(SCALE), out=x[:TABLES])
-            np.multiply(x[:TABLES], row[:, LONGEST] != 0, out=x[TABLES:])
+            np.multiply(x[LONGEST:TABLES], row[:, LONGEST] != 0, out=x[TABLES:])
             own = np.einsum("kn,kn->n", weights, x)
             np.multiply(scale, own, out=p)
             p += offset
@@ -330,9 +335,11 @@ def train(docs: DataFrame, options: Options) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, ends = np.zeros(256, np.int64), 0
         for part in slices(batches):
-            texts = normalised(as_bytes(part.column("text")))
-            counts += np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
+            texts = as_bytes(part.column("text"))
+            counts += np.bincount(np.frombuffer(b"".join(texts).lower(), np.uint8), minlength=256)
             ends += len(texts)
+        counts[0x20] += counts[0x09:0x0E].sum()
+        counts[0x09:0x0E] = 0
         yield pa.RecordBatch.from_pydict({"byte": np.arange(257, dtype=np.int32), "n": np.append(counts, ends)})
 
     seen = np.zeros(257, np.int64)
@@ -372,6 +379,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
     docs = docs.select(block_of(F.struct("id", F.length("text")), blocks).alias("block"), "id", "text", "held")
 
     def list_words(table: pa.Table) -> pa.Table:
+        give_back()
         learned = ~table.column("held").to_numpy()
         tokens = Tokens([t.lower() for t in as_bytes(table.column("text"))])
         mine = learned[tokens.text]
@@ -389,6 +397,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(c, t) for c, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType())))])
 
     def score_texts(table: pa.Table, words: pa.Table) -> pa.Table:
+        give_back()
         texts = as_bytes(table.column("text"))
         tokens = Tokens([t.lower() for t in texts])
         counts = np.zeros(len(tokens.hashes), np.int64)

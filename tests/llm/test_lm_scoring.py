@@ -62,15 +62,15 @@ def step_by_step(m, text):
     for i, s in enumerate(symbols[at]):
         for k in range(a.length[s]):
             if t % o.decisions == 0:
-                w, g, scale, offset = np.array(o.first_weights), np.zeros(4), 1.0, 0.0
+                w, g, scale, offset = np.array(o.first_weights), np.zeros(2), 1.0, 0.0
             node, bit = a.node[a.offset[s] + k], a.bit[a.offset[s] + k]
             x = np.array([m.tables[j][rows[j][i] * 64 + node] for j in range(4)], float) * lm_scoring.SCALE
             gate = float(x[2] != 0)
-            own = w @ x + gate * (g @ x)
+            own = w @ x + gate * (g @ x[2:])
             p = 1 / (1 + math.exp(-min(14, max(-14, scale * own + offset))))
             bits -= math.log2(p if bit else 1 - p)
             step = (bit - p) * max(o.least_rate, o.rate / (1 + (t % o.decisions) / 256))
-            w, g = w + step * x, g + gate * step * x
+            w, g = w + step * x, g + gate * step * x[2:]
             scale, offset = scale + 0.1 * step * own, offset + step
             t += 1
         if s == lm_scoring.ESCAPE:
