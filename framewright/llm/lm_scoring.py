@@ -3,15 +3,15 @@
 A text's words, ASCII-lower-cased, joined by one space and closed by an end, are a string of symbols (the 62 most frequent
 bytes of the training texts, an escape for the others, the end), each a path of binary decisions in a Huffman tree. Each
 decision is predicted under several contexts: the last two, three and four symbols, and the word so far; contexts of more
-than two symbols are hashed. A predictor gives log odds from how often the training texts went either way there. The log
+than three symbols are known by 57-bit hashes. A predictor gives log odds from how often the training texts went either way there. The log
 odds are added with weights, a shared set and a gate's set, which counts where the longest context is known; after each
 decision the weights move along the gradient, and so do a scale and an offset that refine the sum. A text is cut into
 segments of a fixed number of decisions, each mixed from the same first weights, all segments of a batch side by side.
 
-What is gathered from the corpus are counts of (context, symbol) by each partition, summed in two levels, and counts of all
-words; the number of hashed contexts doubles with the corpus up to ``max_context_bits``, which bounds the model that goes
-to the workers (64 bytes a context, two hashed tables and a four times larger one: at most 26 MB). The base score is an add-one unigram model; its
-word counts are never on one machine: blocks of texts list their distinct words, and get the sums back.
+What is gathered from the corpus are counts of (context, symbol) and of words. Contexts of two and three symbols have a
+row each in tables that go to all workers (17 MB). The others grow with the corpus and are never on one machine: blocks of
+texts list their distinct contexts with the counts of their training texts, buckets of contexts add them up, and each block
+gets the rows of the contexts it has. Words, for the base score, an add-one unigram model, do the same.
 
 Cases: null and empty text has the end only; a null id is a training text; repeated rows are scored (and counted) each; an
 empty table gives an empty result; without training texts all counts are 0; extra columns are not read.
@@ -27,6 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,9 +50,7 @@ class Options:
     rate: float = 0.02
     least_rate: float = 0.002
     first_weights: tuple = (0.25, 0.35, 0.45, 0.35)
-    #: Contexts of a hashed table: 2 ** 10 for up to 2 ** 16 bytes of training text, twice as many for each doubling.
-    max_context_bits: int = 16
-    #: The table of word beginnings has this many bits more.
+    #: In a ``Model`` of hashed tables that of word beginnings has this many bits more.
     word_bits: int = 2
 
 
@@ -130,14 +129,12 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(out, axis=1))
 
 
-def contexts(symbols: np.ndarray, at: np.ndarray, space: int, bits: int, word_bits: int) -> list[np.ndarray]:
-    """The context of each symbol to predict in each table, as int32."""
+def exact_contexts(symbols: np.ndarray, at: np.ndarray, space: int) -> list[np.ndarray]:
+    """The context of each symbol to predict: the last two, three and four symbols, and a 64-bit hash of the word so far."""
     s = symbols.astype(np.int32)
     two = s[3:-1] | s[2:-2] << 6
     three = two | s[1:-3] << 12
     four = three | s[:-4] << 18
-    down = np.uint64(64 - bits)
-    hashed = lambda x, odd: ((x.astype(np.uint64) + U64(1)) * U64(odd) >> down).astype(np.int32)
     # The word so far: the sum of its symbols' values times powers of their places in it.
     n = len(s)
     powers, back = _powers(n.bit_length())
@@ -150,7 +147,56 @@ def contexts(symbols: np.ndarray, at: np.ndarray, space: int, bits: int, word_bi
     word = (sums[at] - sums[start]) * back[start]
     word += (at - start).astype(np.uint64)
     at = at - PAD
-    return [two[at], hashed(three[at], 0xD6E8FEB86659FD93), hashed(four[at], 0xA0761D6478BD642F), (word * U64(0xE7037ED1A0B428DB) >> np.uint64(64 - bits - word_bits)).astype(np.int32)]
+    return [two[at], three[at], four[at], word]
+
+
+def contexts(symbols: np.ndarray, at: np.ndarray, space: int, bits: int, word_bits: int) -> list[np.ndarray]:
+    """The context of each symbol to predict in each of a ``Model``'s hashed tables, as int32."""
+    two, three, four, word = exact_contexts(symbols, at, space)
+    down = np.uint64(64 - bits)
+    hashed = lambda x, odd: ((x.astype(np.uint64) + U64(1)) * U64(odd) >> down).astype(np.int32)
+    return [two, hashed(three, 0xD6E8FEB86659FD93), hashed(four, 0xA0761D6478BD642F), (word * U64(0xE7037ED1A0B428DB) >> np.uint64(64 - bits - word_bits)).astype(np.int32)]
+
+
+_WORD = 1 << 57
+
+
+def names(four: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts that grow with the corpus as numbers of 58 bits: four symbols as they are, word beginnings by a hash."""
+    return four.astype(np.uint64), mix(word, 51) >> U64(7) | U64(_WORD)
+
+
+def bucket_of(context: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix(context, 52) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
+
+
+def distinct(numbers: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, sorted, and the sums of their times."""
+    every, n = np.concatenate(numbers), np.concatenate(times)
+    if not len(every):
+        return every, n
+    order = np.argsort(every)
+    every, n = every[order], n[order]
+    begin = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    return every[begin], np.add.reduceat(n, begin)
+
+
+def listed_pairs(letters: Alphabet, texts: list[bytes], learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (context << 6 | symbol) of normalised texts, sorted, and how often those that are learned from have them."""
+    space = int(letters.symbol[0x20])
+    pairs, times = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for mine in (True, False):
+        chosen = [t for t, x in zip(texts, learned.tolist()) if x == mine]
+        sizes = np.fromiter(map(len, chosen), np.int64, len(chosen))
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // (1 << 20))) + 1).tolist(), len(chosen)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                symbols, at, _ = sequence(letters, chosen[a:b])
+                for name in names(*exact_contexts(symbols, at, space)[2:]):
+                    found, n = np.unique(name << U64(6) | symbols[at], return_counts=True)
+                    pairs.append(found)
+                    times.append(n if mine else np.zeros(len(n), np.int64))
+    return distinct(pairs, times)
 
 
 def table_bits(bits: int, word_bits: int) -> list[int]:
@@ -165,7 +211,10 @@ def _tally(counts: np.ndarray, at: np.ndarray, part: int = 1 << 23) -> None:
         here += np.bincount(mine, minlength=len(here)).astype(np.int32)
 
 
-def _partial_counts(docs: DataFrame, alphabet, bits: int, word_bits: int) -> DataFrame:
+SHARED_BITS = [12, 18]  # of the tables that all workers have whole
+
+
+def _partial_counts(docs: DataFrame, alphabet) -> DataFrame:
     """The counts of (context, symbol) of each partition's training texts, in compressed rows of SEGMENT contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +222,7 @@ def _partial_counts(docs: DataFrame, alphabet, bits: int, word_bits: int) -> Dat
 
         letters = alphabet.value
         space = int(letters.symbol[0x20])
-        counts = [np.zeros(SYMBOLS << b, np.int32) for b in table_bits(bits, word_bits)]
+        counts = [np.zeros(SYMBOLS << b, np.int32) for b in SHARED_BITS]
         waiting: list[list[np.ndarray]] = [[] for _ in counts]
 
         def tally() -> None:
@@ -184,7 +233,7 @@ def _partial_counts(docs: DataFrame, alphabet, bits: int, word_bits: int) -> Dat
 
         for part in slices(batches, "text", STEP_BYTES):
             symbols, at, _ = sequence(letters, normalised(as_bytes(part.column("text"))))
-            for places, context in zip(waiting, contexts(symbols, at, space, bits, word_bits)):
+            for places, context in zip(waiting, exact_contexts(symbols, at, space)):
                 places.append(context * np.int32(SYMBOLS) + symbols[at])
             if sum(map(len, waiting[0])) > 4 << 20:
                 tally()
@@ -243,6 +292,10 @@ class Model:
     def __init__(self, alphabet: Alphabet, tables: list[np.ndarray], bits: int, options: Options):
         self.alphabet, self.tables, self.bits, self.options = alphabet, tables, bits, options
 
+    def _rows(self, symbols: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """The row of each table for each symbol to predict."""
+        return contexts(symbols, at, int(self.alphabet.symbol[0x20]), self.bits, self.options.word_bits)
+
     def _looked_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(of each decision 8 bytes: the tables' log odds, and which way it went; decisions of each text; cost of its escaped bytes)."""
         letters = self.alphabet
@@ -254,7 +307,7 @@ class Model:
         node = letters.node[path]
         inputs = np.zeros((len(path), 8), np.int8)
         inputs[:, TABLES] = letters.bit[path]
-        for k, context in enumerate(contexts(symbols, at, int(letters.symbol[0x20]), self.bits, self.options.word_bits)):
+        for k, context in enumerate(self._rows(symbols, at)):
             inputs[:, k] = np.take(self.tables[k], np.repeat(context.astype(np.int64) * SYMBOLS, lengths) + node, mode="clip")
         ends = np.cumsum(size)
         rare = np.zeros(len(texts))
@@ -328,8 +381,8 @@ class Model:
         return cost
 
 
-def train(docs: DataFrame, options: Options) -> Model:
-    """The model of the rows of ``docs`` (text, held) that are not held."""
+def train(docs: DataFrame) -> tuple[Alphabet, list[np.ndarray]]:
+    """The alphabet and the shared tables from the rows of ``docs`` (text, held) that are not held."""
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,13 +399,12 @@ def train(docs: DataFrame, options: Options) -> Model:
     for row in docs.where("not held").select("text").mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         seen[row["byte"]] = row["n"]
     alphabet = Alphabet(seen[:256], int(seen[256]))
-    bits = min(options.max_context_bits, 10 + max(0, int(seen[:256].sum()).bit_length() - 16))
     sent = spark.sparkContext.broadcast(alphabet)
-    parts = _partial_counts(docs, sent, bits, options.word_bits)
+    parts = _partial_counts(docs, sent)
     groups = max(1, math.isqrt(plan_bytes(docs) // (64 << 20)))
     some = _summed(parts.withColumn("salt", F.col("salt") % groups), ["k", "segment", "salt"])
     whole = _summed(some.withColumn("salt", F.lit(0)), ["k", "segment"])
-    tables = [np.zeros(SYMBOLS << b, np.int8) for b in table_bits(bits, options.word_bits)]
+    tables = [np.zeros(SYMBOLS << b, np.int8) for b in SHARED_BITS]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -363,7 +415,66 @@ def train(docs: DataFrame, options: Options) -> Model:
     for row in whole.mapInArrow(finish, "k int, segment int, odds binary").toLocalIterator():
         odds = np.frombuffer(row["odds"], np.int8)
         tables[row["k"]][row["segment"] * SEGMENT * SYMBOLS :][: len(odds)] = odds
-    return Model(alphabet, tables, bits, options)
+    return alphabet, tables
+
+
+def _context_rows(docs: DataFrame, alphabet, buckets: int) -> DataFrame:
+    """For each block and bucket the log odds of the block's contexts in the bucket, ordered by context; all training texts count."""
+
+    def list_contexts(table: pa.Table) -> pa.Table:
+        give_back()
+        pairs, times = listed_pairs(alphabet.value, normalised(as_bytes(table.column("text"))), ~table.column("held").to_numpy())
+        place = bucket_of(pairs >> U64(6), buckets)
+        order = np.argsort(place, kind="stable")
+        found, begin = np.unique(place[order], return_index=True)
+        press = zstandard.ZstdCompressor(level=1)
+        rows = [(press.compress(np.diff(pairs[x], prepend=U64(0)).tobytes()), press.compress(times[x].astype(np.int32).tobytes())) for x in np.split(order, begin[1:])]
+        return pa.table({"bucket": found, "block": np.full(len(found), table.column("block")[0].as_py(), np.int32), "pairs": pa.array([p for p, _ in rows], pa.binary()), "times": pa.array([n for _, n in rows], pa.binary())})
+
+    def add_up(table: pa.Table) -> pa.Table:
+        give_back()
+        press, open_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        pairs = [np.cumsum(np.frombuffer(open_.decompress(x), np.uint64), dtype=np.uint64) for x in table.column("pairs").to_pylist()]
+        every, times = distinct(pairs, [np.frombuffer(open_.decompress(x), np.int32).astype(np.int64) for x in table.column("times").to_pylist()])
+        known, row = np.unique(every >> U64(6), return_inverse=True)
+        symbol = (every & U64(63)).astype(np.int64)
+        odds = np.empty((len(known), SYMBOLS), np.int8)
+        step = 1 << 14
+        for a in range(0, len(known), step):
+            i, j = np.searchsorted(row, [a, a + step])
+            counts = np.zeros((min(step, len(known) - a), SYMBOLS), np.float32)
+            counts[row[i:j] - a, symbol[i:j]] = times[i:j]
+            odds[a : a + step] = log_odds(alphabet.value, counts)
+        packed = [press.compress(odds[np.searchsorted(known, np.unique(p >> U64(6)))].tobytes()) for p in pairs]
+        return pa.table([table.column("block"), table.column("bucket"), pa.array(packed, pa.binary())], names=["block", "bucket", "odds"])
+
+    listed = docs.groupBy("block").applyInArrow(list_contexts, "bucket int, block int, pairs binary, times binary")
+    return listed.groupBy("bucket").applyInArrow(add_up, "block int, bucket int, odds binary")
+
+
+class BlockModel(Model):
+    """The model for the texts of one block: of the growing tables it has the rows of the block's contexts."""
+
+    def __init__(self, alphabet: Alphabet, shared: list[np.ndarray], options: Options, texts: list[bytes], odds: dict[int, bytes], buckets: int):
+        pairs, _ = listed_pairs(alphabet, texts, np.zeros(len(texts), bool))
+        self.known = np.unique(pairs >> U64(6))
+        del pairs
+        rows = np.empty((len(self.known), SYMBOLS), np.int8)
+        place = bucket_of(self.known, buckets)
+        order = np.argsort(place, kind="stable")
+        found, begin = np.unique(place[order], return_index=True)
+        open_ = zstandard.ZstdDecompressor()
+        for bucket, mine in zip(found.tolist(), np.split(order, begin[1:])):
+            rows[mine] = np.frombuffer(open_.decompress(odds[bucket]), np.int8).reshape(-1, SYMBOLS)
+        super().__init__(alphabet, [*shared, rows.ravel(), rows.ravel()], 0, options)
+
+    def _rows(self, symbols: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        two, three, four, word = exact_contexts(symbols, at, int(self.alphabet.symbol[0x20]))
+        own = []
+        for name in names(four, word):
+            found, back = np.unique(name, return_inverse=True)
+            own.append(np.searchsorted(self.known, found)[back])
+        return [two, three, *own]
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column | None = None, options: Options = Options(), block_bytes: int = 8 << 20) -> DataFrame:
@@ -375,7 +486,10 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df) // block_bytes)
     held = held_out(df[key]) if held is None else held
     docs = df.select(df[key].alias("id"), df[text].alias("text"), held.alias("held"))
-    model = spark.sparkContext.broadcast(train(docs, options))
+    letters, tables = train(docs)
+    alphabet, shared = spark.sparkContext.broadcast(letters), spark.sparkContext.broadcast(tables)
+    del tables
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 2)
     docs = docs.select(block_of(F.struct("id", F.length("text")), blocks).alias("block"), "id", "text", "held")
 
     def list_words(table: pa.Table) -> pa.Table:
@@ -396,8 +510,12 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
     n, v = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(c, t) for c, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType())))])
 
-    def score_texts(table: pa.Table, words: pa.Table) -> pa.Table:
+    def score_texts(table: pa.Table, gathered: pa.Table) -> pa.Table:
         give_back()
+        words = gathered.filter(pc.is_valid(gathered.column("word")))
+        rows = gathered.filter(pc.is_valid(gathered.column("bucket")))
+        odds = dict(zip(rows.column("bucket").to_pylist(), rows.column("odds").to_pylist()))
+        del rows, gathered
         texts = as_bytes(table.column("text"))
         tokens = Tokens([t.lower() for t in texts])
         counts = np.zeros(len(tokens.hashes), np.int64)
@@ -410,12 +528,16 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
         base = np.bincount(tokens.text, np.log10((counts + 1) / (n + v + 1)), len(texts)) + math.log10((ends + 1) / (n + v + 1))
         hit = np.bincount(tokens.text, counts > 0, len(texts)).astype(np.int64) + (ends > 0)
         clean = normalised(texts)
+        model = BlockModel(alphabet.value, shared.value, options, clean, odds, buckets)
+        odds.clear()
         sizes = np.fromiter(map(len, clean), np.int64, len(clean)) + 1
         bits = np.empty(len(texts))
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes) // (2 << 20))) + 1, [len(texts)]])
         for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
             if b > a:
-                bits[a:b] = model.value.bits_of(clean[a:b])
+                bits[a:b] = model.bits_of(clean[a:b])
         return pa.table([table.column("id"), table.column("held"), pa.array(tokens.counts + 1), pa.array(hit), pa.array(np.full(len(texts), n)), pa.array(base), pa.array(-bits * math.log10(2)), pa.array(bits / sizes)], names=schema.names)
 
-    return docs.groupBy("block").cogroup(known.select("block", "word", "n").groupBy("block")).applyInArrow(score_texts, schema)
+    rows = _context_rows(docs, alphabet, buckets)
+    gathered = known.select("block", "word", "n", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("odds")).unionByName(rows, allowMissingColumns=True)
+    return docs.groupBy("block").cogroup(gathered.groupBy("block")).applyInArrow(score_texts, schema)

@@ -95,3 +95,35 @@ def test_held_out_texts_score_better_than_the_base(spark):
     rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(120))) for i in range(150)]
     found = [r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
     assert found and sum(r.score for r in found) > 1.05 * sum(r.base_score for r in found)
+
+
+def test_no_two_contexts_share_a_row_however_large_the_corpus(spark):
+    rng = random.Random(4)
+    train = [d for d in range(2000) if zlib.crc32(str(d).encode()) % 7 != 2]
+    # Over 500,000 word beginnings, twice the rows that a table of 2 ** 18 has: each is followed by one letter only.
+    rows = [(d, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(100))) for d in train[:1200]]
+    letters, shared = lm_scoring.train(spark.createDataFrame([(t, False) for _, t in rows], "text string, held boolean"))
+    assert [len(t) for t in shared] == [64 << 12, 64 << 18]
+    docs = spark.createDataFrame([(i % 8, t, False) for i, (_, t) in enumerate(rows)], "block int, text string, held boolean")
+    found = lm_scoring._context_rows(docs, spark.sparkContext.broadcast(letters), 8).collect()
+    mine = [t.encode() for i, (_, t) in enumerate(rows) if i % 8 == 3]
+    m = lm_scoring.BlockModel(letters, shared, lm_scoring.Options(), mine, {r.bucket: r.odds for r in found if r.block == 3}, 8)
+    counts = {}
+    for _, t in rows:
+        for word in t.split():
+            for k in range(len(word) + 1):
+                counts.setdefault(word[:k], Counter())[word[k] if k < len(word) else " "] += 1
+    for _, t in rows:  # a text's last word is followed by the end
+        counts[t.split()[-1]][" "] -= 1
+        counts[t.split()[-1]]["end"] += 1
+    assert len(counts) > 500_000
+    code = {c: letters.symbol[ord(c)] for c in "abcdefghijklmnopqrstuvwxyz "} | {"end": lm_scoring.END}
+    symbols, at, _ = lm_scoring.sequence(letters, mine[:3])
+    own = m._rows(symbols, at)[3]
+    begins = [word[:k] for t in mine[:3] for word in t.decode().split() for k in range(len(word) + 1)]
+    assert len(begins) == len(own)
+    for row, begin in zip(own, begins):
+        seen = np.zeros(64)
+        for c, n in counts[begin].items():
+            seen[code[c]] = n
+        assert (m.tables[3].reshape(-1, 64)[row] == lm_scoring.log_odds(letters, seen)[0]).all()
