@@ -11,7 +11,8 @@ Equal sets are one vertex, however many texts have it. Sets with a common prefix
 input lists a token once, so a token has no more rows in one task than there are slices. In rounds, each bucket's leader
 (first the set with the most shared tokens, then others by hash) is compared with those of the bucket that are in other
 components, and leaves it; buckets all in one component are done. When few pairs are left, each of them is compared once. So no
-link between components is lost, and pairs within one needn't be listed.
+link between components is lost. Then all pairs of distinct sets within a component are compared, each once, in blocks, and
+each text's links are counted; ``keep_one`` needs components only and leaves this out.
 
 Words are ASCII-lower-cased. A text with fewer words than a shingle has one shingle, all its words.
 
@@ -58,6 +59,8 @@ class Options:
     #: this share of them.
     pairs_per_row: int = 4
     settled: float = 0.15
+    #: How many sets of a component are compared with as many others at once.
+    block: int = 512
 
 
 def shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -260,8 +263,69 @@ def _links(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, options: Opti
     return links
 
 
-def _vertices(docs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
-    """The digest (doc_id, sid, n) of all texts, and (sid, root) of all sets that have a link."""
+def similar(x: list[np.ndarray], y: list[np.ndarray], percent: int, step: int = 1 << 12) -> np.ndarray:
+    """For each of the sets x and each of y whether they have the similarity, exactly."""
+    every_x, every_y = np.concatenate(x), np.concatenate(y)
+    n, m = (np.fromiter(map(len, s), np.int64, len(s)) for s in (x, y))
+    shared = np.intersect1d(every_x, every_y)
+    places = []
+    for tokens, sizes in ((every_x, n), (every_y, m)):
+        at = np.searchsorted(shared, tokens)
+        found = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == tokens) if len(shared) else np.empty(0, np.int64)
+        found = found[np.argsort(at[found], kind="stable")]
+        places.append((at[found], np.repeat(np.arange(len(sizes)), sizes)[found], len(sizes)))
+    both = np.zeros((len(x), len(y)), np.int64)
+    for a in range(0, len(shared), step):
+        has = []
+        for at, row, k in places:
+            i, j = np.searchsorted(at, [a, a + step])
+            has.append(np.zeros((k, min(step, len(shared) - a)), np.float32))
+            has[-1][row[i:j], at[i:j] - a] = 1
+        both += (has[0] @ has[1].T).astype(np.int64)
+    return 100 * both >= percent * (n[:, None] + m - both)
+
+
+def _degrees(docs: DataFrame, vertices: DataFrame, digest: DataFrame, roots: DataFrame, options: Options) -> DataFrame:
+    """(sid, links): with how many texts of other sets each set's texts are linked; a written table of the sets that have links."""
+    copies = digest.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"))
+    members = written(roots.withColumnRenamed("v", "sid").join(copies, "sid").select("sid", "root", "copies"))
+    sets = _sets(docs, vertices, members.select("sid"), options)
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / options.block).cast("int").alias("parts"))
+    bins = members.count() // (4 * options.block) + 1
+    part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
+    placed = members.join(sizes, "root").join(sets, "sid").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # Small components share a task; of a large one each pair of parts is one.
+    place = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root"))
+    tasks = placed.select("sid", "root", "copies", "tokens", "part", (F.col("parts") == 1).alias("small"), place.alias("place"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        sid, root, part, copies = (table.column(c).to_numpy() for c in ("sid", "root", "part", "copies"))
+        tokens = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        order = np.argsort(root, kind="stable")
+        names, links = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for mine in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+            x, y = mine[part[mine] == low], mine[part[mine] == high]
+            if not len(x) or not len(y):
+                continue
+            found = similar([tokens[i] for i in x], [tokens[i] for i in y], options.percent)
+            if low == high:
+                np.fill_diagonal(found, False)
+            else:
+                names.append(sid[y])
+                links.append(found.T.astype(np.int64) @ copies[x])
+            names.append(sid[x])
+            links.append(found.astype(np.int64) @ copies[y])
+        return pa.table({"sid": np.concatenate(names), "links": np.concatenate(links)})
+
+    found = tasks.groupBy("small", "place", "low", "high").applyInArrow(compare, "sid long, links long")
+    out = written(found.groupBy("sid").agg(F.sum("links").alias("links")))
+    discard(members, sets)
+    return out
+
+
+def _vertices(docs: DataFrame, options: Options, count_links: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The digest (doc_id, sid, n) of all texts, (sid, root) of all sets that have a link, and, where asked for, their links' numbers."""
     spark = docs.sparkSession
     table = written(_digest(docs, options))
     counts = table.where("tok is not null").groupBy("tok").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= options.frequent_from)
@@ -309,24 +373,30 @@ def _vertices(docs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
             discard(named)
             break
         r, pairs_before = r + 1, size["pairs"]
-    discard(left, vertices)
-    return digest, roots
+    discard(left)
+    degrees = _degrees(docs, vertices, digest, roots, options) if count_links else None
+    discard(vertices)
+    return digest, roots, degrees
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", options: Options = Options()) -> DataFrame:
-    """doc_id, n_shingles, component_id, sid (of its set; null: empty) and root (one for a component; null: empty) for each row. ``key`` is an integer column."""
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", options: Options = Options(), count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, sid (of its set; null: empty) and root (one for a component; null: empty) for each row,
+    and, unless ``count_links`` is false, n_links, how many other rows it is similar to. ``key`` is an integer column."""
     docs = df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text"))
-    digest, roots = _vertices(docs, options)
-    least = digest.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    placed = written(least.join(roots.withColumnRenamed("v", "sid"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root")))
+    digest, roots, degrees = _vertices(docs, options, count_links)
+    least = digest.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    placed = written(least.join(roots.withColumnRenamed("v", "sid"), "sid", "left").select("sid", "least", "copies", F.coalesce("root", "sid").alias("root")))
     ids = written(placed.groupBy("root").agg(F.min("least").alias("component_id")))
-    ids = written(placed.join(ids, "root").select("sid", "root", "component_id"))
-    return digest.join(ids, "sid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "sid", "root")
+    own = [] if degrees is None else [(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")]
+    if degrees is not None:
+        placed = placed.join(degrees, "sid", "left")
+    ids = written(placed.join(ids, "root").select("sid", "root", "component_id", *own))
+    return digest.join(ids, "sid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "sid", "root", *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if own else []))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", options: Options = Options()) -> DataFrame:
     """One row of each component, that with the least id, with all its columns; texts without words all stay."""
-    found = written(join(df, key, text, options))
+    found = written(join(df, key, text, options, count_links=False))
     kept = found.where("sid is null or doc_id <=> component_id")
     kept = written(kept.groupBy("root", "doc_id").agg(F.min("sid").alias("sid")).select("doc_id", "sid"))
     name, size, copy = (_free(df, x) for x in ("sid", "size", "copy"))

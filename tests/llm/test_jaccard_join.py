@@ -107,3 +107,26 @@ def test_keep_one(edge_docs, edge_rows, no_docs):
         assert len(mine) == 1 and kept[mine[0]] == 1
     assert sum(n for (d, t), n in kept.items() if d is not None and (t or "").split()) == len(groups)
     assert jaccard_join.keep_one(no_docs).collect() == []
+
+
+def test_every_link_within_a_component_is_counted(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in (2, 3, 40):  # near copies that are all unequal, some of them twice; and chains
+        w = words(rng, 80).split()
+        for i in range(k):
+            rows += [(len(rows) + j, " ".join([*w[:-3], f"n{i}", *w[-2:]])) for j in range(1 + i % 3)]
+    w = words(rng, 60).split()
+    for i in range(12):
+        w[rng.randrange(len(w))] = f"c{i}"
+        rows.append((len(rows), " ".join(w)))
+    rows += [(1000, ""), (1001, None), (1002, "alone")]
+    sets = []
+    for _, t in rows:
+        x = (t or "").split()
+        sets.append(frozenset(tuple(x[i : i + 5]) for i in range(len(x) - 4)) if len(x) > 4 else frozenset([tuple(x)] if x else []))
+    want = {d: sum(i != j and bool(x) and bool(y) and 100 * len(x & y) >= 75 * len(x | y) for j, y in enumerate(sets)) for i, ((d, _), x) in enumerate(zip(rows, sets))}
+    assert max(want.values()) > 60
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (512, 7):
+        assert {r.doc_id: r.n_links for r in jaccard_join.join(df, options=jaccard_join.Options(block=block)).collect()} == want
