@@ -79,6 +79,13 @@ def plan_bytes(df: DataFrame) -> int:
     return n if n < 1 << 60 else 0
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew where it is a scan of fewer files than there are cores and so small that these can't be split."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if 0 < files < cores and plan_bytes(df) < split * cores else df
+
+
 def block_count(df: DataFrame, block_bytes: int = 8 << 20) -> int:
     """How many blocks of about ``block_bytes`` the rows go to; in proportion to the input, several to a shuffle partition."""
     return max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df) // block_bytes, 1)

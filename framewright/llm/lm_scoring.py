@@ -1,20 +1,23 @@
 """Language-model scores of texts by online logistic context mixing.
 
-A text's words, ASCII-lower-cased, joined by one space and closed by an end, are a string of symbols (the 62 most frequent
-bytes of the training texts, an escape for the others, the end), each a path of binary decisions in a Huffman tree. Each
-decision is predicted under several contexts: the last two, three and four symbols, and the word so far; contexts of more
-than three symbols are known by 57-bit hashes. A predictor gives log odds from how often the training texts went either way there. The log
-odds are added with weights, a shared set and a gate's set, which counts where the longest context is known; after each
-decision the weights move along the gradient, and so do a scale and an offset that refine the sum. A text is cut into
-segments of a fixed number of decisions, each mixed from the same first weights, all segments of a batch side by side.
-
-What is gathered from the corpus are counts of (context, symbol) and of words. Contexts of two and three symbols have a
-row each in tables that go to all workers (17 MB). The others grow with the corpus and are never on one machine: blocks of
-texts list their distinct contexts with the counts of their training texts, buckets of contexts add them up, and each block
-gets the rows of the contexts it has. Words, for the base score, an add-one unigram model, do the same.
+A text's words, ASCII-lower-cased, joined by one space and closed by an end (a line feed), are a string of bytes, each a
+path of binary decisions in a Huffman tree over all 256 bytes. Each decision is predicted under four contexts: the last
+three and five bytes, the word so far, and the word so far with the word before it. A predictor's input is the log odds
+of how often the training texts went either way there, under a name of the context that is a hash. The inputs are added
+with weights; a gate, what is known of the two word contexts there, says which set of weights. All sets start from equal
+weights and move along the gradient after every ``chunk`` decisions of the text, from its first to its last, and so does a
+table that refines the sum by an offset for each range of its values.
+
+What is gathered from the corpus are counts of (context, next byte) and of words; they grow with the corpus, without a
+cap, and are never on one machine. The texts are packed in blocks. Each block lists its distinct contexts with the counts
+of its training texts, buckets of contexts add them up, and each block gets the log odds of those it has. The names of
+contexts have ``spare_bits`` more bits than the corpus has bytes, so how many contexts share a name doesn't grow with it.
+Words, for the base score, an add-one unigram model, go the same way under 64-bit hashes. Scores don't depend on how texts
+are packed.
 
 Cases: null and empty text has the end only; a null id is a training text; repeated rows are scored (and counted) each; an
-empty table gives an empty result; without training texts all counts are 0; extra columns are not read.
+empty table gives an empty result; without training texts all counts are 0; a very long text is a block of its own, mixed
+piece by piece with one state; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,35 +26,43 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Tokens, as_bytes, block_of, give_back, mix, plan_bytes, signed, slices, unsigned, written
+from .common import U64, Tokens, as_bytes, discard, give_back, mix, plan_bytes, slices, spread, written
 
-SYMBOLS, END, ESCAPE = 64, 0, 63
-PAD = 4  # symbols before each text, so that no context holds another text
-TABLES = 4
-LONGEST = 2  # the table whose knowing a context opens the gate; the gate's weights are for it and the one after it
-INPUTS = TABLES + TABLES - LONGEST
-SEGMENT = 1 << 10  # contexts in a row of gathered counts
-STEP_BYTES = 1 << 17  # of text that is looked up together, so that a processor's cache holds it
+END = 0x0A  # never in a normalised text
+PAD = 8  # ends before each text, so that no context holds another text
+ORDERS = (3, 5)
+KINDS = len(ORDERS) + 2
+WORD, WORDS = KINDS - 2, KINDS - 1  # the kinds of the word so far, and of it with the word before
+_KIND = 60  # the first bit of a context's kind in its code; the byte's rank has the last 8
 
 
 @dataclass(frozen=True)
 class Options:
-    decisions: int = 2048  # in a segment
+    #: Decisions between two changes of the weights.
+    chunk: int = 64
     rate: float = 0.02
-    least_rate: float = 0.002
-    first_weights: tuple = (0.25, 0.35, 0.45, 0.35)
-    #: In a ``Model`` of hashed tables that of word beginnings has this many bits more.
-    word_bits: int = 2
+    least_rate: float = 0.004
+    refine_rate: float = 0.02
+    #: The sum of a set's weights at the start.
+    first_weights: float = 1.4
+    #: What either way counts before anything is seen.
+    seen: float = 0.05
+    #: Bits of a context's name beyond the logarithm of the corpus's bytes.
+    spare_bits: int = 3
+    block_bytes: int = 4 << 20
+    #: Text bytes whose contexts go to one bucket.
+    bucket_bytes: int = 4 << 20
+    #: Text bytes that are mixed together; a longer text is cut into pieces of this size that are mixed one after another.
+    step_bytes: int = 1 << 20
 
 
 def held_out(key: Column) -> Column:
@@ -63,481 +74,501 @@ def normalised(texts: list[bytes]) -> list[bytes]:
 
 
 class Alphabet:
-    """The symbols and their Huffman tree, from byte counts of the training texts."""
-
-    def __init__(self, counts: np.ndarray, ends: int):
-        order = np.lexsort((np.arange(256), -counts))[: SYMBOLS - 2]
-        self.symbol = np.full(256, ESCAPE, np.uint8)
-        self.symbol[order] = np.arange(1, SYMBOLS - 1)
-        rare = np.where(self.symbol == ESCAPE, counts + 1, 0)
-        self.rare_cost = -np.log2(np.maximum(rare, 1) / rare.sum())
-        weight = np.zeros(SYMBOLS)
-        weight[END], weight[ESCAPE] = ends + 1, rare.sum()
-        weight[1:ESCAPE] = counts[order] + 1
+    """The Huffman tree of the bytes. A byte's rank is its leaf's place from left to right."""
+
+    def __init__(self, counts: np.ndarray):
+        weight = counts + 1 + counts.sum() / 2**20  # keeps paths short
         heap = [(w, s, s) for s, w in enumerate(weight.tolist())]
         heapq.heapify(heap)
-        children, node = {}, SYMBOLS
+        children, node = {}, 256
         while len(heap) > 1:
             (w, _, a), (v, _, b) = heapq.heappop(heap), heapq.heappop(heap)
             children[node] = (a, b)
             heapq.heappush(heap, (w + v, node, node))
             node += 1
-        self.sides = np.zeros((2, SYMBOLS, SYMBOLS), np.float32)  # side, symbol, node: whether the symbol is on that side of the node
-        paths: list[list[tuple[int, int]]] = [[] for _ in range(SYMBOLS)]
-
-        def walk(at: int, path: list) -> None:
-            if at < SYMBOLS:
-                paths[at] = path
-                for n, bit in path:
-                    self.sides[bit, at, n] = 1
+        self.rank = np.empty(256, np.uint8)
+        paths: list[tuple] = []
+        stack: list[tuple] = [(node - 1, ())]
+        while stack:
+            at, path = stack.pop()
+            if at < 256:
+                self.rank[at] = len(paths)
+                paths.append(path)
             else:
-                for bit in (0, 1):
-                    walk(children[at][bit], [*path, (at - SYMBOLS, bit)])
-
-        walk(node - 1, [])
+                left, right = children[at]
+                stack += [(right, (*path, (at, 1))), (left, (*path, (at, 0)))]
         self.length = np.array([len(p) for p in paths])
-        self.offset = np.cumsum(self.length) - self.length
-        self.node = np.array([n for p in paths for n, _ in p], np.uint8)
-        self.bit = np.array([b for p in paths for _, b in p], np.int8)
-
-
-def sequence(alphabet: Alphabet, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols with pads before each text and its end, where the symbols to predict are, how many each text has)."""
-    raw = np.frombuffer(b"".join(b"\0" * PAD + t + b"\0" for t in texts), np.uint8)
+        self.offset = (np.cumsum(self.length) - self.length).astype(np.int32)
+        self.bits = np.array([bit for p in paths for _, bit in p], np.uint8)
+        #: By depth and rank: the node there and which way the path goes.
+        self.node = np.full((int(self.length.max()), 256), -1, np.int16)
+        self.way = np.zeros(self.node.shape, np.int16)
+        for rank, path in enumerate(paths):
+            for depth, (at, bit) in enumerate(path):
+                self.node[depth, rank], self.way[depth, rank] = at, bit
+
+
+def sequence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the bytes of normalised texts with pads before each and its end, where the bytes to predict are, how many each has)."""
+    raw = np.frombuffer(b"".join(b"\n" * PAD + t + b"\n" for t in texts) + b"\n" * 8, np.uint8)
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    real = np.ones(len(raw) - 8, bool)
     ends = np.cumsum(size + PAD)
-    symbols = alphabet.symbol[raw]
-    real = np.ones(len(raw), bool)
     for k in range(PAD):
         real[ends - size - 1 - k] = False
-    symbols[~real] = END
-    symbols[ends - 1] = END
-    return symbols, np.flatnonzero(real), size
+    return raw, np.flatnonzero(real), size
 
 
 _ODD = 0x9E3779B97F4A7C15
-_VALUES = mix(np.arange(SYMBOLS, dtype=np.uint64), 50)
+_VALUES = mix(np.arange(256, dtype=np.uint64), 50)
 
 
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first 2 ** bits powers of _ODD and of its inverse."""
-    back = pow(_ODD, -1, 2**64)
-    out = np.empty((2, 1 << bits), np.uint64)
-    out[:] = np.array([[_ODD], [back]], np.uint64)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _ODD and of its inverse."""
+    out = np.empty((2, n), np.uint64)
+    out[:] = np.array([[_ODD], [pow(_ODD, -1, 2**64)]], np.uint64)
     out[:, 0] = 1
     return tuple(np.cumprod(out, axis=1))
 
 
-def exact_contexts(symbols: np.ndarray, at: np.ndarray, space: int) -> list[np.ndarray]:
-    """The context of each symbol to predict: the last two, three and four symbols, and a 64-bit hash of the word so far."""
-    s = symbols.astype(np.int32)
-    two = s[3:-1] | s[2:-2] << 6
-    three = two | s[1:-3] << 12
-    four = three | s[:-4] << 18
-    # The word so far: the sum of its symbols' values times powers of their places in it.
-    n = len(s)
-    powers, back = _powers(n.bit_length())
+def contexts(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """For each kind a 64-bit name of the context of each byte to predict."""
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw.data, 0, (1,))[at - 8]
+    for kind, order in enumerate(ORDERS):
+        yield mix(eight >> U64(64 - 8 * order), 60 + kind)
+    del eight
+    # The word so far: the sum of its bytes' values times powers of their places in it.
+    n = len(raw)
+    powers, back = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[symbols] * powers[:n], out=sums[1:])
-    edge = np.flatnonzero((symbols == space) | (symbols == END))
-    begin = np.zeros(n + 1, np.int32)
-    begin[edge + 1] = edge + 1
-    start = np.maximum.accumulate(begin)[at]
-    word = (sums[at] - sums[start]) * back[start]
-    word += (at - start).astype(np.uint64)
-    at = at - PAD
-    return [two[at], three[at], four[at], word]
+    np.cumsum(_VALUES[raw] * powers[:n], out=sums[1:])
+    edge = np.flatnonzero((raw == 0x20) | (raw == END)) + 1
+    start = np.zeros(n + 1, np.int32)
+    start[edge] = edge
+    np.maximum.accumulate(start, out=start)
+    word = (sums - sums[start]) * back[start]
+    del sums, powers, back
+    word += (np.arange(n + 1, dtype=np.int32) - start).astype(np.uint64)
+    before = word[np.maximum(start - 1, 0)[at]]
+    word = word[at]
+    yield mix(word, 60 + WORD)
+    yield mix(mix(before) + word, 60 + WORDS)
+
+
+def codes(raw: np.ndarray, at: np.ndarray, rank: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """For each kind the codes of the (context, byte) at each byte to predict: the name's first ``bits`` bits, the byte's rank."""
+    own = rank[raw[at]].astype(np.uint64)
+    for name in contexts(raw, at):
+        name >>= U64(64 - bits)
+        name <<= U64(8)
+        name |= own
+        yield name
+
+
+def listed(alphabet: Alphabet, texts: list[bytes], learned: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each kind the distinct codes of normalised texts, sorted, and how often those that are learned from have them."""
+    raw, at, size = sequence(texts)
+    other = np.repeat(~learned, size).astype(np.uint64)
+    out = []
+    for code in codes(raw, at, alphabet.rank, bits):
+        code <<= U64(1)
+        code |= other
+        code.sort()
+        mine = code & U64(1) == 0
+        code >>= U64(1)
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        out.append((code[first], np.add.reduceat(mine, first, dtype=np.int64)))
+    return out
+
+
+def log_odds(alphabet: Alphabet, code: np.ndarray, times: np.ndarray, seen: float) -> tuple[np.ndarray, np.ndarray]:
+    """(for each sorted code where its path begins, a byte for each decision of the paths one after another).
+
+    A byte has in its first two bits how much is known there (nothing; once; up to 7 times; more), in the others the log
+    odds of the path's own way, in quarters, plus 32. Codes of a context follow each other from the tree's left to its right, so
+    at each depth those that pass one node are a run. A context with one code has the same byte along its path.
+    """
+    rank = (code & U64(255)).astype(np.uint8)
+    context = code >> U64(8)
+    length = alphabet.length[rank]
+    begin = np.cumsum(length) - length
+
+    def states(right: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        odds = np.clip(np.rint(4 * np.log((right + seen) / (every - right + seen))), -31, 31).astype(np.int16)
+        return (every > 0).astype(np.int16) + (every > 1) + (every > 7), odds
+
+    other = np.concatenate([[True], context[1:] != context[:-1], [True]])
+    known, odds = states(times, times)
+    out = np.repeat(np.where(known > 0, known * 64 + 32 + odds, 0).astype(np.uint8), length)
+    some = np.flatnonzero(~(other[1:] & other[:-1]))
+    for depth, (nodes, ways) in enumerate(zip(alphabet.node, alphabet.way)):
+        some = some[length[some] > depth]
+        if not len(some):
+            break
+        node, own = nodes[rank[some]], context[some]
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | (node[1:] != node[:-1])])
+        first = np.flatnonzero(new)
+        every = np.add.reduceat(times[some], first)
+        way = ways[rank[some]]
+        right = np.add.reduceat(times[some] * way, first)
+        known, odds = (x[np.cumsum(new) - 1] for x in states(right, every))
+        out[begin[some] + depth] = np.where(known > 0, known * 64 + 32 + odds * (2 * way - 1), 0)
+    return begin, out
+
+
+#: The input that a byte of ``log_odds`` stands for.
+_INPUT = np.where(np.arange(256) < 64, 0, (np.arange(256) % 64 - 32) / 4).astype(np.float32)
+_WAY = np.array([-1, 1], np.float32)
+#: The set of weights, by what is known of the word with the word before it (times 4) and of the word.
+_GATE = np.array([[min(w, 2) if b == 0 else b + 2 for w in range(4)] for b in range(4)], np.uint8).ravel()
+GATES = 6
+RANGES = 25  # of the sum, one wide, for the refinement
+
+
+class Lookup:
+    """A table of hashed codes of one kind, and where each one's path of log odds begins."""
+
+    def __init__(self, code: np.ndarray, begin: np.ndarray, odds: np.ndarray):
+        self.shift = U64(64 - max(4, len(code).bit_length()))
+        place = (code * U64(_ODD) >> self.shift).astype(np.uint32)
+        order = np.argsort(place)
+        self.code, self.begin, self.odds = code[order], begin[order].astype(np.int32), odds
+        self.start = np.searchsorted(place[order], np.arange(1 << 64 - int(self.shift), dtype=np.uint32)).astype(np.int32)
+
+    def find(self, code: np.ndarray) -> np.ndarray:
+        at = self.start[code * U64(_ODD) >> self.shift]
+        todo = np.flatnonzero(self.code[at] != code)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.code[at[todo]] != code[todo]]
+        return self.begin[at]
+
+
+class Mixer:
+    """Weights and refinements of texts side by side, the texts sorted by the number of their decisions, the most first."""
+
+    def __init__(self, lanes: int, options: Options):
+        self.options, self.steps = options, 0
+        self.weights = np.full((lanes, GATES, KINDS), options.first_weights / KINDS, np.float32)
+        self.offsets = np.zeros((lanes, RANGES), np.float32)
+
+    def run(self, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The cost in bits of each text's next n decisions; ``rows``: 8 bytes for each decision, text after text: the
+        kinds' bytes (log odds of the way that is taken), the way (1: right), the gate."""
+        o, size = self.options, self.options.chunk
+        chunks = -(-n // size)
+        live = np.searchsorted(-chunks, -np.arange(int(chunks[0])), "left")
+        base = np.concatenate([[0], np.cumsum(live)]) * size
+        # Decisions in the order in which they are mixed: chunk by chunk, in a chunk text by text, each padded to its size.
+        nth = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+        slot = base[nth // size] + np.repeat(np.arange(len(n)) * size, n) + nth % size
+        del nth
+        packed = np.zeros(int(base[-1]), np.int64)
+        real = np.zeros(len(packed), bool)
+        packed[slot], real[slot] = rows.view(np.int64).ravel(), True
+        del slot
+        pads = np.flatnonzero(~real)
+        cuts = np.searchsorted(pads, base).tolist()
+        cost = np.zeros(len(n))
+        most = int(live[0]) * size
+        place = np.arange(most, dtype=np.int32) * GATES
+        lane = np.repeat(np.arange(int(live[0]), dtype=np.int32) * RANGES, size)
+        for t, (k, a) in enumerate(zip(live.tolist(), base.tolist())):
+            m = k * size
+            row = packed[a : a + m].view(np.uint8).reshape(m, 8)
+            x = _INPUT[row[:, :KINDS]]
+            sums = np.matmul(x.reshape(k, size, KINDS), self.weights[:k].transpose(0, 2, 1))
+            at = place[:m] + row[:, KINDS + 1]
+            p = sums.ravel()[at]
+            np.maximum(np.minimum(p, 12, out=p), -12, out=p)
+            way = _WAY[row[:, KINDS]]
+            part = lane[:m] + (p * way + 12).astype(np.int32)
+            p += self.offsets[:k].ravel()[part] * way
+            np.negative(p, out=p)
+            np.exp(p, out=p)
+            p += 1
+            np.reciprocal(p, out=p)
+            error = 1 - p
+            if cuts[t + 1] > cuts[t]:
+                pad = pads[cuts[t] : cuts[t + 1]] - a
+                error[pad], p[pad] = 0, 1
+            cost[:k] -= np.log2(p, out=p).reshape(k, size).sum(axis=1, dtype=np.float64)
+            way *= error
+            self.offsets[:k] += np.float32(o.refine_rate) * np.bincount(part, way, k * RANGES).reshape(k, RANGES)
+            error *= np.float32(max(o.least_rate, o.rate / (1 + self.steps / 16)))
+            sums.fill(0)
+            sums.ravel()[at] = error
+            self.weights[:k] += np.matmul(sums.transpose(0, 2, 1), x.reshape(k, size, KINDS))
+            self.steps += 1
+        return cost
+
+
+class Model:
+    """The log odds of all contexts of some texts."""
+
+    def __init__(self, alphabet: Alphabet, lookups: list[Lookup], bits: int, options: Options):
+        self.alphabet, self.lookups, self.bits, self.options = alphabet, lookups, bits, options
+
+    def _rows(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(8 bytes for each decision, as ``Mixer.run`` has them; how many decisions each byte to predict has)."""
+        rank = self.alphabet.rank[raw[at]]
+        length = self.alphabet.length[rank]
+        of = np.repeat(np.arange(len(at), dtype=np.int32), length)
+        depth = np.arange(len(of), dtype=np.int32)
+        depth -= (np.cumsum(length) - length).astype(np.int32)[of]
+        rows = np.zeros((len(depth), 8), np.uint8)
+        for kind, (code, lookup) in enumerate(zip(codes(raw, at, self.alphabet.rank, self.bits), self.lookups)):
+            rows[:, kind] = lookup.odds[lookup.find(code)[of] + depth]
+        rows[:, KINDS] = self.alphabet.bits[self.alphabet.offset[rank][of] + depth]
+        rows[:, KINDS + 1] = _GATE[rows[:, WORDS] >> 6 << 2 | rows[:, WORD] >> 6]
+        return rows, length
+
+    def bits_of(self, texts: list[bytes]) -> np.ndarray:
+        """The negative log2 probability of each normalised text and its end."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        out = np.zeros(len(texts))
+        order = np.argsort(-size, kind="stable")
+        run = np.cumsum(size[order]) // self.options.step_bytes
+        for mine in np.split(order, np.flatnonzero(np.diff(run)) + 1):
+            if len(mine):
+                out[mine] = self._together([texts[i] for i in mine])
+        return out
+
+    def _together(self, texts: list[bytes]) -> np.ndarray:
+        raw, at, size = sequence(texts)
+        step = self.options.step_bytes
+        if len(texts) == 1:  # in pieces that begin with the word before
+            mixer, cost, a = Mixer(1, self.options), np.zeros(1), 0
+            while a < len(at):
+                rows, _ = self._piece(raw, at[a : a + step])
+                cost += mixer.run(rows, np.array([len(rows)]))
+                a += step
+            return cost
+        rows, length = self._rows(raw, at)
+        n = np.add.reduceat(length, np.cumsum(size) - size)
+        rank = np.argsort(-n, kind="stable")
+        if (rank != np.arange(len(n))).any():
+            begin = np.cumsum(n) - n
+            where = np.arange(len(rows)) + np.repeat(begin[rank] - (np.cumsum(n[rank]) - n[rank]), n[rank])
+            rows = rows.view(np.int64).ravel()[where].view(np.uint8).reshape(-1, 8)
+        cost = np.empty(len(n))
+        cost[rank] = Mixer(len(n), self.options).run(rows, n[rank])
+        return cost
+
+    def _piece(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of some bytes of a text; only the text from the word before them on is looked at."""
+        low = int(at[0])
+        data = raw.data.obj
+        before = data.rfind(b" ", 0, max(0, data.rfind(b" ", 0, low)))
+        low = max(0, min(before, low - PAD))
+        return self._rows(raw[low : int(at[-1]) + 9], at - low)
+
 
+def _press():
+    return zstandard.ZstdCompressor(level=1)
 
-def contexts(symbols: np.ndarray, at: np.ndarray, space: int, bits: int, word_bits: int) -> list[np.ndarray]:
-    """The context of each symbol to predict in each of a ``Model``'s hashed tables, as int32."""
-    two, three, four, word = exact_contexts(symbols, at, space)
-    down = np.uint64(64 - bits)
-    hashed = lambda x, odd: ((x.astype(np.uint64) + U64(1)) * U64(odd) >> down).astype(np.int32)
-    return [two, hashed(three, 0xD6E8FEB86659FD93), hashed(four, 0xA0761D6478BD642F), (word * U64(0xE7037ED1A0B428DB) >> np.uint64(64 - bits - word_bits)).astype(np.int32)]
 
 
-_WORD = 1 << 57
 
+def _squeezed(press, numbers: np.ndarray) -> bytes:
+    """64-bit numbers as their differences, all first bytes, all second bytes, ..., compressed."""
+    step = np.diff(numbers.view(np.uint64), prepend=U64(0))
+    return press.compress(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes())
 
-def names(four: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The contexts that grow with the corpus as numbers of 58 bits: four symbols as they are, word beginnings by a hash."""
-    return four.astype(np.uint64), mix(word, 51) >> U64(7) | U64(_WORD)
 
+def _opened(open_, data: bytes) -> np.ndarray:
+    planes = np.frombuffer(open_.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
-def bucket_of(context: np.ndarray, buckets: int) -> np.ndarray:
-    return ((mix(context, 52) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
 
+def _starts(buckets: int, bits: int) -> np.ndarray:
+    """The first number of ``bits`` bits of each bucket."""
+    return np.array([(k << bits) // buckets for k in range(buckets)], np.uint64)
 
-def distinct(numbers: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+
+def _distinct(numbers: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct numbers, sorted, and the sums of their times."""
     every, n = np.concatenate(numbers), np.concatenate(times)
     if not len(every):
         return every, n
     order = np.argsort(every)
-    every, n = every[order], n[order]
-    begin = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    return every[begin], np.add.reduceat(n, begin)
-
-
-def listed_pairs(letters: Alphabet, texts: list[bytes], learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (context << 6 | symbol) of normalised texts, sorted, and how often those that are learned from have them."""
-    space = int(letters.symbol[0x20])
-    pairs, times = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for mine in (True, False):
-        chosen = [t for t, x in zip(texts, learned.tolist()) if x == mine]
-        sizes = np.fromiter(map(len, chosen), np.int64, len(chosen))
-        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // (1 << 20))) + 1).tolist(), len(chosen)]
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                symbols, at, _ = sequence(letters, chosen[a:b])
-                for name in names(*exact_contexts(symbols, at, space)[2:]):
-                    found, n = np.unique(name << U64(6) | symbols[at], return_counts=True)
-                    pairs.append(found)
-                    times.append(n if mine else np.zeros(len(n), np.int64))
-    return distinct(pairs, times)
+    every = every[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    return every[first], np.add.reduceat(n[order], first)
 
 
-def table_bits(bits: int, word_bits: int) -> list[int]:
-    return [12, bits, bits, bits + word_bits]
-
-
-def _tally(counts: np.ndarray, at: np.ndarray, part: int = 1 << 23) -> None:
-    """Adds one at each place, a part of a large table after another, so that no second table of its size is made."""
-    for a in range(0, len(counts), part):
-        here = counts[a : a + part]
-        mine = at if len(here) == len(counts) else at[(at >= a) & (at < a + part)] - a
-        here += np.bincount(mine, minlength=len(here)).astype(np.int32)
+def byte_counts(docs: DataFrame) -> np.ndarray:
+    """Of the rows of ``docs`` (text, held) that aren't held: how often each byte is in their normalised texts, their words, their number."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(258, np.int64)
+        for part in slices(batches):
+            clean = normalised(as_bytes(part.column("text")))
+            seen[:256] += np.bincount(np.frombuffer(b"\n".join(clean) + b"\n", np.uint8), minlength=256)
+            seen[256] += sum(t.count(b" ") + 1 if t else 0 for t in clean)
+            seen[257] += len(clean)
+        yield pa.RecordBatch.from_pydict({"what": np.arange(258, dtype=np.int32), "n": seen})
 
-SHARED_BITS = [12, 18]  # of the tables that all workers have whole
+    out = np.zeros(258, np.int64)
+    for row in docs.where("not held").select("text").mapInArrow(count, "what int, n long").groupBy("what").agg(F.sum("n").alias("n")).collect():
+        out[row["what"]] = row["n"]
+    return out
 
 
-def _partial_counts(docs: DataFrame, alphabet) -> DataFrame:
-    """The counts of (context, symbol) of each partition's training texts, in compressed rows of SEGMENT contexts."""
+def pack(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """A written table (block, data) of the rows of ``docs``, about ``block_bytes`` of text in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        letters = alphabet.value
-        space = int(letters.symbol[0x20])
-        counts = [np.zeros(SYMBOLS << b, np.int32) for b in SHARED_BITS]
-        waiting: list[list[np.ndarray]] = [[] for _ in counts]
+        press, task, number, waiting, size = _press(), TaskContext.get().partitionId(), 0, [], 0
 
-        def tally() -> None:
-            for count, places in zip(counts, waiting):
-                if places:
-                    _tally(count, np.concatenate(places))
-                places.clear()
+        def block() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, waiting[0].schema) as stream:
+                for part in waiting:
+                    stream.write_batch(part)
+            return pa.RecordBatch.from_pydict({"block": [task << 32 | number], "data": [press.compress(sink.getvalue())]})
 
-        for part in slices(batches, "text", STEP_BYTES):
-            symbols, at, _ = sequence(letters, normalised(as_bytes(part.column("text"))))
-            for places, context in zip(waiting, exact_contexts(symbols, at, space)):
-                places.append(context * np.int32(SYMBOLS) + symbols[at])
-            if sum(map(len, waiting[0])) > 4 << 20:
-                tally()
-        tally()
-        press = zstandard.ZstdCompressor(level=1)
-        task = TaskContext.get().partitionId()
-        for k, count in enumerate(counts):
-            for segment, row in enumerate(count.reshape(-1, min(len(count), SEGMENT * SYMBOLS))):
-                if row.any():
-                    yield pa.RecordBatch.from_pydict({"k": [k], "segment": [segment], "salt": [task], "counts": [press.compress(row.astype(np.int64).tobytes())]}, _COUNTS)
+        for part in slices(batches, most=block_bytes):
+            own = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if waiting and size + own > block_bytes:
+                yield block()
+                waiting, size, number = [], 0, number + 1
+            waiting.append(part)
+            size += own
+        if waiting:
+            yield block()
 
-    return docs.where("not held").select("text").mapInArrow(run, "k int, segment int, salt int, counts binary")
+    return written(docs.mapInArrow(run, "block long, data binary"))
 
 
-_COUNTS = pa.schema([("k", pa.int32()), ("segment", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
 
 
-def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Adds up rows with equal ``by``, one after another."""
+def _listed_rows(blocks: DataFrame, alphabet, bits: int, buckets: int) -> DataFrame:
+    """For each block and bucket the block's (context, byte) codes and word hashes there, with the counts of its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, open_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        key, total = None, None
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"k": [key[0]], "segment": [key[1]], "salt": [key[2]], "counts": [press.compress(total.tobytes())]}, _COUNTS)
-
+        press = _press()
+        names, hashes = _starts(buckets, bits) << U64(8), _starts(buckets, 64)
         for batch in batches:
-            for k, segment, salt, counts in zip(*(batch.column(c).to_pylist() for c in _COUNTS.names)):
-                row = np.frombuffer(open_.decompress(counts), np.int64)
-                if key == (k, segment, salt):
-                    total += row
-                    continue
-                if key is not None:
-                    yield done()
-                key, total = (k, segment, salt), row.copy()
-        if key is not None:
-            yield done()
-
-    return rows.repartition(*by).sortWithinPartitions("k", "segment", "salt").mapInArrow(run, rows.schema)
-
-
-SCALE = 8 / 127
-SEEN = 0.02  # what either way counts before anything is seen
-
-
-def log_odds(alphabet: Alphabet, counts: np.ndarray) -> np.ndarray:
-    """A byte for each context and node: the log odds of going right, in units of SCALE; 0 where nothing is known."""
-    rows = counts.reshape(-1, SYMBOLS).astype(np.float32)
-    left, right = rows @ alphabet.sides[0], rows @ alphabet.sides[1]
-    odds = np.log((right + SEEN) / (left + SEEN))
-    return np.clip(np.rint(odds / SCALE), -127, 127).astype(np.int8)
-
-
-class Model:
-    def __init__(self, alphabet: Alphabet, tables: list[np.ndarray], bits: int, options: Options):
-        self.alphabet, self.tables, self.bits, self.options = alphabet, tables, bits, options
-
-    def _rows(self, symbols: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        """The row of each table for each symbol to predict."""
-        return contexts(symbols, at, int(self.alphabet.symbol[0x20]), self.bits, self.options.word_bits)
-
-    def _looked_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(of each decision 8 bytes: the tables' log odds, and which way it went; decisions of each text; cost of its escaped bytes)."""
-        letters = self.alphabet
-        symbols, at, size = sequence(letters, texts)
-        here = symbols[at]
-        lengths = letters.length[here]
-        stop = np.cumsum(lengths)
-        path = np.arange(int(stop[-1])) + np.repeat(letters.offset[here] - (stop - lengths), lengths)
-        node = letters.node[path]
-        inputs = np.zeros((len(path), 8), np.int8)
-        inputs[:, TABLES] = letters.bit[path]
-        for k, context in enumerate(self._rows(symbols, at)):
-            inputs[:, k] = np.take(self.tables[k], np.repeat(context.astype(np.int64) * SYMBOLS, lengths) + node, mode="clip")
-        ends = np.cumsum(size)
-        rare = np.zeros(len(texts))
-        escaped = np.flatnonzero(here == ESCAPE)
-        if len(escaped):
-            raw = np.frombuffer(b"".join(b"\0" * PAD + t + b"\0" for t in texts), np.uint8)
-            rare = np.bincount(np.searchsorted(ends, escaped, "right"), letters.rare_cost[raw[at[escaped]]], len(texts))
-        return inputs, np.diff(stop[ends - 1], prepend=0), rare
-
-    def bits_of(self, texts: list[bytes]) -> np.ndarray:
-        """The negative log2 probability of each normalised text and its end."""
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // STEP_BYTES)) + 1).tolist(), len(texts)]
-        found = [self._looked_up(texts[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
-        n, out = (np.concatenate([f[k] for f in found]) for k in (1, 2))
-        inputs, begin = np.empty((int(n.sum()), 8), np.int8), 0
-        for k, (rows, *_) in enumerate(found):
-            inputs[begin : begin + len(rows)] = rows
-            begin += len(rows)
-            found[k] = (None,)  # its memory is free
-            del rows
-        # Segments: each text's decisions, cut.
-        parts = -(-n // self.options.decisions)
-        text = np.repeat(np.arange(len(texts)), parts)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = (np.cumsum(n) - n)[text] + nth * self.options.decisions
-        length = np.minimum(n[text] - nth * self.options.decisions, self.options.decisions)
-        order = np.argsort(-length, kind="stable")
-        cost = self._mixed(inputs, begin[order], length[order])
-        return out + np.bincount(text[order], cost, len(texts))
-
-    def _mixed(self, inputs: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The cost in bits of each segment; segments are sorted from long to short and go on side by side."""
-        o, lanes = self.options, len(begin)
-        packed = inputs.view(np.int64).ravel()
-        weights = np.zeros((INPUTS, lanes), np.float32)  # the shared set, the gate's set
-        weights[:TABLES] = np.array(o.first_weights, np.float32)[:, None]
-        scale, offset = np.ones(lanes, np.float32), np.zeros(lanes, np.float32)
-        cost, product = np.zeros(lanes), np.ones(lanes)
-        x, p, sure = np.empty((INPUTS, lanes), np.float32), np.empty(lanes, np.float32), np.empty(lanes, np.float32)
-        live_at = np.searchsorted(-length, -np.arange(int(length[0])) if lanes else np.empty(0), "left").tolist()
-        for t, live in enumerate(live_at):
-            if live < len(product):
-                cost[live : len(product)] -= np.log2(product[live:])
-                weights, x = (np.ascontiguousarray(a[:, :live]) for a in (weights, x))
-                scale, offset, product, p, sure = (a[:live].copy() for a in (scale, offset, product, p, sure))
-            row = packed[begin[:live] + t].view(np.int8).reshape(-1, 8)
-            np.multiply(row[:, :TABLES].T, np.float32(SCALE), out=x[:TABLES])
-            np.multiply(x[LONGEST:TABLES], row[:, LONGEST] != 0, out=x[TABLES:])
-            own = np.einsum("kn,kn->n", weights, x)
-            np.multiply(scale, own, out=p)
-            p += offset
-            np.maximum(np.minimum(p, 14, out=p), -14, out=p)
-            np.exp(np.negative(p, out=p), out=p)
-            p += 1
-            np.reciprocal(p, out=p)
-            np.subtract(row[:, TABLES], p, out=p)  # the error
-            np.subtract(1, np.abs(p, out=sure), out=sure)
-            product *= sure
-            if t & 15 == 15:
-                cost[:live] -= np.log2(product)
-                product[:] = 1
-            p *= np.float32(max(o.least_rate, o.rate / (1 + t / 256)))
-            x *= p
-            weights += x
-            offset += p
-            p *= np.float32(0.1)
-            own *= p
-            scale += own
-        cost[: len(product)] -= np.log2(product)
-        return cost
-
-
-def train(docs: DataFrame) -> tuple[Alphabet, list[np.ndarray]]:
-    """The alphabet and the shared tables from the rows of ``docs`` (text, held) that are not held."""
-    spark = docs.sparkSession
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, ends = np.zeros(256, np.int64), 0
-        for part in slices(batches):
-            texts = as_bytes(part.column("text"))
-            counts += np.bincount(np.frombuffer(b"".join(texts).lower(), np.uint8), minlength=256)
-            ends += len(texts)
-        counts[0x20] += counts[0x09:0x0E].sum()
-        counts[0x09:0x0E] = 0
-        yield pa.RecordBatch.from_pydict({"byte": np.arange(257, dtype=np.int32), "n": np.append(counts, ends)})
-
-    seen = np.zeros(257, np.int64)
-    for row in docs.where("not held").select("text").mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        seen[row["byte"]] = row["n"]
-    alphabet = Alphabet(seen[:256], int(seen[256]))
-    sent = spark.sparkContext.broadcast(alphabet)
-    parts = _partial_counts(docs, sent)
-    groups = max(1, math.isqrt(plan_bytes(docs) // (64 << 20)))
-    some = _summed(parts.withColumn("salt", F.col("salt") % groups), ["k", "segment", "salt"])
-    whole = _summed(some.withColumn("salt", F.lit(0)), ["k", "segment"])
-    tables = [np.zeros(SYMBOLS << b, np.int8) for b in SHARED_BITS]
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
-        for batch in batches:
-            rows = [log_odds(sent.value, np.frombuffer(open_.decompress(x), np.int64)).tobytes() for x in batch.column("counts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("segment"), pa.array(rows, pa.binary())], ["k", "segment", "odds"])
-
-    for row in whole.mapInArrow(finish, "k int, segment int, odds binary").toLocalIterator():
-        odds = np.frombuffer(row["odds"], np.int8)
-        tables[row["k"]][row["segment"] * SEGMENT * SYMBOLS :][: len(odds)] = odds
-    return alphabet, tables
-
-
-def _context_rows(docs: DataFrame, alphabet, buckets: int) -> DataFrame:
-    """For each block and bucket the log odds of the block's contexts in the bucket, ordered by context; all training texts count."""
-
-    def list_contexts(table: pa.Table) -> pa.Table:
-        give_back()
-        pairs, times = listed_pairs(alphabet.value, normalised(as_bytes(table.column("text"))), ~table.column("held").to_numpy())
-        place = bucket_of(pairs >> U64(6), buckets)
-        order = np.argsort(place, kind="stable")
-        found, begin = np.unique(place[order], return_index=True)
-        press = zstandard.ZstdCompressor(level=1)
-        rows = [(press.compress(np.diff(pairs[x], prepend=U64(0)).tobytes()), press.compress(times[x].astype(np.int32).tobytes())) for x in np.split(order, begin[1:])]
-        return pa.table({"bucket": found, "block": np.full(len(found), table.column("block")[0].as_py(), np.int32), "pairs": pa.array([p for p, _ in rows], pa.binary()), "times": pa.array([n for _, n in rows], pa.binary())})
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                table = _unpacked(data)
+                learned = ~table.column("held").to_numpy()
+                clean = normalised(as_bytes(table.column("text")))
+                del table, data
+                kinds = listed(alphabet.value, clean, learned, bits)
+                tokens = Tokens(clean)
+                words, times = _distinct([tokens.hashes], [learned[tokens.text].astype(np.int64)])
+                del tokens, clean
+                cuts = [np.append(np.searchsorted(code, names), len(code)) for code, _ in kinds]
+                word_cuts = np.append(np.searchsorted(words, hashes), len(words))
+                for k in range(buckets):
+                    mine = [slice(c[k], c[k + 1]) for c in cuts]
+                    code = np.concatenate([x[s] | U64(kind << _KIND) for kind, ((x, _), s) in enumerate(zip(kinds, mine))])
+                    n = np.concatenate([x[s] for (_, x), s in zip(kinds, mine)])
+                    w = slice(word_cuts[k], word_cuts[k + 1])
+                    if len(code) or w.start < w.stop:
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block]), *(pa.array([x], pa.binary()) for x in (_squeezed(press, code), press.compress(n.astype(np.int32).tobytes()), _squeezed(press, words[w]), press.compress(times[w].astype(np.int32).tobytes())))], ["bucket", "block", "codes", "times", "words", "word_times"])
+                del kinds, words, times
+            give_back()
+
+    return blocks.mapInArrow(run, "bucket int, block long, codes binary, times binary, words binary, word_times binary")
+
+
+def _answers(rows: DataFrame, alphabet, seen: float) -> DataFrame:
+    """For each row of ``_listed_rows`` the log odds along its codes' paths and its words' counts, of all training texts;
+    known: how many words of the bucket training texts have, in one of its rows."""
 
     def add_up(table: pa.Table) -> pa.Table:
         give_back()
-        press, open_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        pairs = [np.cumsum(np.frombuffer(open_.decompress(x), np.uint64), dtype=np.uint64) for x in table.column("pairs").to_pylist()]
-        every, times = distinct(pairs, [np.frombuffer(open_.decompress(x), np.int32).astype(np.int64) for x in table.column("times").to_pylist()])
-        known, row = np.unique(every >> U64(6), return_inverse=True)
-        symbol = (every & U64(63)).astype(np.int64)
-        odds = np.empty((len(known), SYMBOLS), np.int8)
-        step = 1 << 14
-        for a in range(0, len(known), step):
-            i, j = np.searchsorted(row, [a, a + step])
-            counts = np.zeros((min(step, len(known) - a), SYMBOLS), np.float32)
-            counts[row[i:j] - a, symbol[i:j]] = times[i:j]
-            odds[a : a + step] = log_odds(alphabet.value, counts)
-        packed = [press.compress(odds[np.searchsorted(known, np.unique(p >> U64(6)))].tobytes()) for p in pairs]
-        return pa.table([table.column("block"), table.column("bucket"), pa.array(packed, pa.binary())], names=["block", "bucket", "odds"])
-
-    listed = docs.groupBy("block").applyInArrow(list_contexts, "bucket int, block int, pairs binary, times binary")
-    return listed.groupBy("bucket").applyInArrow(add_up, "block int, bucket int, odds binary")
-
-
-class BlockModel(Model):
-    """The model for the texts of one block: of the growing tables it has the rows of the block's contexts."""
-
-    def __init__(self, alphabet: Alphabet, shared: list[np.ndarray], options: Options, texts: list[bytes], odds: dict[int, bytes], buckets: int):
-        pairs, _ = listed_pairs(alphabet, texts, np.zeros(len(texts), bool))
-        self.known = np.unique(pairs >> U64(6))
-        del pairs
-        rows = np.empty((len(self.known), SYMBOLS), np.int8)
-        place = bucket_of(self.known, buckets)
-        order = np.argsort(place, kind="stable")
-        found, begin = np.unique(place[order], return_index=True)
-        open_ = zstandard.ZstdDecompressor()
-        for bucket, mine in zip(found.tolist(), np.split(order, begin[1:])):
-            rows[mine] = np.frombuffer(open_.decompress(odds[bucket]), np.int8).reshape(-1, SYMBOLS)
-        super().__init__(alphabet, [*shared, rows.ravel(), rows.ravel()], 0, options)
-
-    def _rows(self, symbols: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        two, three, four, word = exact_contexts(symbols, at, int(self.alphabet.symbol[0x20]))
-        own = []
-        for name in names(four, word):
-            found, back = np.unique(name, return_inverse=True)
-            own.append(np.searchsorted(self.known, found)[back])
-        return [two, three, *own]
-
-
-def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column | None = None, options: Options = Options(), block_bytes: int = 8 << 20) -> DataFrame:
+        press, open_ = _press(), zstandard.ZstdDecompressor()
+        counts = lambda name: [np.frombuffer(open_.decompress(x), np.int32).astype(np.int64) for x in table.column(name).to_pylist()]
+        own = [_opened(open_, x) for x in table.column("words").to_pylist()]
+        words, times = _distinct(own, counts("word_times"))
+        sent = [press.compress(times[np.searchsorted(words, x)].tobytes()) for x in own]
+        known = int(np.count_nonzero(times))
+        own = [_opened(open_, x) for x in table.column("codes").to_pylist()]
+        every, times = _distinct(own, counts("times"))
+        begin, odds = log_odds(alphabet.value, every, times, seen)
+        begin = np.append(begin, len(odds))
+        paths = []
+        for code in own:
+            at = np.searchsorted(every, code)
+            length = begin[at + 1] - begin[at]
+            stop = np.cumsum(length)
+            take = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin[at] - (stop - length), length)
+            paths.append(press.compress(odds[take].tobytes()))
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "odds": pa.array(paths, pa.binary()), "counts": pa.array(sent, pa.binary()), "known": np.array([known, *[0] * (len(paths) - 1)])})
+
+    return rows.groupBy("bucket").applyInArrow(add_up, "block long, bucket int, odds binary, counts binary, known long")
+
+
+def _block_model(alphabet: Alphabet, clean: list[bytes], answers: dict[int, bytes], bits: int, buckets: int, options: Options) -> Model:
+    names = _starts(buckets, bits) << U64(8)
+    kinds = [code for code, _ in listed(alphabet, clean, np.zeros(len(clean), bool), bits)]
+    cuts = [np.append(np.searchsorted(code, names), len(code)) for code in kinds]
+    stops = [np.concatenate([[0], np.cumsum(alphabet.length[(code & U64(255)).astype(np.int64)])]) for code in kinds]
+    odds = [np.empty(int(s[-1]), np.uint8) for s in stops]
+    open_ = zstandard.ZstdDecompressor()
+    for bucket, data in answers.items():
+        row, at = np.frombuffer(open_.decompress(data), np.uint8), 0
+        for out, cut, stop in zip(odds, cuts, stops):
+            a, b = int(stop[cut[bucket]]), int(stop[cut[bucket + 1]])
+            out[a:b] = row[at : at + b - a]
+            at += b - a
+        if at != len(row):
+            raise RuntimeError("the answers are not those of the block's contexts")
+    return Model(alphabet, [Lookup(code, stop[:-1], x) for code, stop, x in zip(kinds, stops, odds)], bits, options)
+
+
+def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column | None = None, options: Options = Options()) -> DataFrame:
     """A row for each text: key, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10 of the probability), bits_per_byte.
 
     ``held``: which rows are not learned from; by default those whose id's crc32 leaves 2 when divided by 7.
     """
     spark = df.sparkSession
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df) // block_bytes)
     held = held_out(df[key]) if held is None else held
-    docs = df.select(df[key].alias("id"), df[text].alias("text"), held.alias("held"))
-    letters, tables = train(docs)
-    alphabet, shared = spark.sparkContext.broadcast(letters), spark.sparkContext.broadcast(tables)
-    del tables
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 2)
-    docs = docs.select(block_of(F.struct("id", F.length("text")), blocks).alias("block"), "id", "text", "held")
-
-    def list_words(table: pa.Table) -> pa.Table:
-        give_back()
-        learned = ~table.column("held").to_numpy()
-        tokens = Tokens([t.lower() for t in as_bytes(table.column("text"))])
-        mine = learned[tokens.text]
-        words, counts = np.unique(tokens.hashes[mine], return_counts=True)
-        others = np.setdiff1d(tokens.hashes[~mine], words)
-        words, counts = np.concatenate([words, others]), np.concatenate([counts, np.zeros(len(others), np.int64)])
-        return pa.table({"word": signed(words), "block": np.full(len(words), table.column("block")[0].as_py(), np.int32), "n": counts})
-
-    of_word = Window.partitionBy("word")
-    listed = docs.groupBy("block").applyInArrow(list_words, "word long, block int, n long")
-    known = written(listed.select("block", "word", F.sum("n").over(of_word).alias("n"), (F.min("block").over(of_word) == F.col("block")).alias("first")).where("n > 0"))
-    seen = known.where("first").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    ends = docs.where("not held").count()
-    n, v = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
+    docs = spread(df.select(df[key].alias("id"), df[text].alias("text"), held.alias("held")))
+    seen = byte_counts(docs)
+    ends = int(seen[257])
+    n = int(seen[256]) + ends
+    alphabet = spark.sparkContext.broadcast(Alphabet(seen[:256]))
+    packed = pack(docs, options.block_bytes)
+    size = max(plan_bytes(df), int(seen[:256].sum()))
+    bits = min(50, max(24, size.bit_length() + options.spare_bits))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // options.bucket_bytes)
+    answers = written(_answers(_listed_rows(packed, alphabet, bits, buckets), alphabet, options.seen))
+    discard()
+    v = (answers.agg(F.sum("known").alias("v")).first()["v"] or 0) + (ends > 0)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(c, t) for c, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType())))])
 
-    def score_texts(table: pa.Table, gathered: pa.Table) -> pa.Table:
+    def score_texts(table: pa.Table, answered: pa.Table) -> pa.Table:
         give_back()
-        words = gathered.filter(pc.is_valid(gathered.column("word")))
-        rows = gathered.filter(pc.is_valid(gathered.column("bucket")))
-        odds = dict(zip(rows.column("bucket").to_pylist(), rows.column("odds").to_pylist()))
-        del rows, gathered
-        texts = as_bytes(table.column("text"))
-        tokens = Tokens([t.lower() for t in texts])
-        counts = np.zeros(len(tokens.hashes), np.int64)
-        if words.num_rows:
-            name, times = unsigned(words.column("word").to_numpy()), words.column("n").to_numpy()
-            order = np.argsort(name)
-            name, times = name[order], times[order]
-            at = np.minimum(np.searchsorted(name, tokens.hashes), len(name) - 1)
-            counts = np.where(name[at] == tokens.hashes, times[at], 0)
-        base = np.bincount(tokens.text, np.log10((counts + 1) / (n + v + 1)), len(texts)) + math.log10((ends + 1) / (n + v + 1))
-        hit = np.bincount(tokens.text, counts > 0, len(texts)).astype(np.int64) + (ends > 0)
-        clean = normalised(texts)
-        model = BlockModel(alphabet.value, shared.value, options, clean, odds, buckets)
-        odds.clear()
-        sizes = np.fromiter(map(len, clean), np.int64, len(clean)) + 1
-        bits = np.empty(len(texts))
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes) // (2 << 20))) + 1, [len(texts)]])
-        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-            if b > a:
-                bits[a:b] = model.bits_of(clean[a:b])
-        return pa.table([table.column("id"), table.column("held"), pa.array(tokens.counts + 1), pa.array(hit), pa.array(np.full(len(texts), n)), pa.array(base), pa.array(-bits * math.log10(2)), pa.array(bits / sizes)], names=schema.names)
-
-    rows = _context_rows(docs, alphabet, buckets)
-    gathered = known.select("block", "word", "n", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("odds")).unionByName(rows, allowMissingColumns=True)
-    return docs.groupBy("block").cogroup(gathered.groupBy("block")).applyInArrow(score_texts, schema)
+        found = []
+        for data in table.column("data").to_pylist():
+            rows = _unpacked(data)
+            ids, helds, clean = rows.column("id"), rows.column("held"), normalised(as_bytes(rows.column("text")))
+            del rows, data
+            here = answered.column("bucket").to_pylist()
+            tokens = Tokens(clean)
+            words, place = np.unique(tokens.hashes, return_inverse=True)
+            cuts = np.append(np.searchsorted(words, _starts(buckets, 64)), len(words))
+            times = np.zeros(len(words), np.int64)
+            open_ = zstandard.ZstdDecompressor()
+            for bucket, x in zip(here, answered.column("counts").to_pylist()):
+                times[cuts[bucket] : cuts[bucket + 1]] = np.frombuffer(open_.decompress(x), np.int64)
+            counts = times[place]
+            base = np.bincount(tokens.text, np.log10((counts + 1) / (n + v + 1)), len(clean)) + math.log10((ends + 1) / (n + v + 1))
+            hit = np.bincount(tokens.text, counts > 0, len(clean)).astype(np.int64) + (ends > 0)
+            n_tokens = tokens.counts + 1
+            del tokens, words, place, counts
+            model = _block_model(alphabet.value, clean, dict(zip(here, answered.column("odds").to_pylist())), bits, buckets, options)
+            cost = model.bits_of(clean)
+            del model
+            found.append(pa.table([ids, helds, pa.array(n_tokens), pa.array(hit), pa.array(np.full(len(clean), n)), pa.array(base), pa.array(-cost * math.log10(2)), pa.array(cost / (np.fromiter(map(len, clean), np.int64, len(clean)) + 1))], names=schema.names))
+        return pa.concat_tables(found)
+
+    return packed.groupBy("block").cogroup(answers.drop("known").groupBy("block")).applyInArrow(score_texts, schema)
