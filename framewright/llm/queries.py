@@ -47,7 +47,8 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_documents(spark, sf_dir))
+    docs = _documents(spark, sf_dir)
+    return quality_rules.judge(docs, bands=quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
