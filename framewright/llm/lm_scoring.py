@@ -1,23 +1,27 @@
 """Language-model scores of texts by online logistic context mixing.
 
-A text's words, ASCII-lower-cased, joined by one space and closed by an end (a line feed), are a string of bytes, each a
-path of binary decisions in a Huffman tree over all 256 bytes. Each decision is predicted under four contexts: the last
-three and five bytes, the word so far, and the word so far with the word before it. A predictor's input is the log odds
-of how often the training texts went either way there, under a name of the context that is a hash. The inputs are added
-with weights; a gate, what is known of the two word contexts there, says which set of weights. All sets start from equal
-weights and move along the gradient after every ``chunk`` decisions of the text, from its first to its last, and so does a
-table that refines the sum by an offset for each range of its values.
-
-What is gathered from the corpus are counts of (context, next byte) and of words; they grow with the corpus, without a
-cap, and are never on one machine. The texts are packed in blocks. Each block lists its distinct contexts with the counts
-of its training texts, buckets of contexts add them up, and each block gets the log odds of those it has. The names of
-contexts have ``spare_bits`` more bits than the corpus has bytes, so how many contexts share a name doesn't grow with it.
+A text's words, ASCII-lower-cased, joined by one space and closed by an end (a line feed), are coded word by word in binary
+decisions. Where the training texts know the two words before, the first decision is whether the word (with what ends it)
+is the one expected after them. A word that isn't is a string of bytes, each a path of decisions in a Huffman tree over all
+256 bytes. Decisions are predicted under hashed contexts: whether the expected word comes under the two words before, bytes
+under the last three and five bytes and the word so far. A predictor's input is the log odds of how often the training
+texts went either way there. The inputs are added with weights; a gate, what is known there and how the last decision of
+its sort went, says which set of weights. All sets start from equal weights and move along the gradient after every
+``chunk`` decisions of the text, from its first to its last, and so does a table that refines the sum by an offset for each
+range of its values.
+
+What is gathered from the corpus are counts of (context, next byte), of words after two words and of words; they grow with
+the corpus, without a cap, and are never on one machine. The texts are packed in blocks. Each block lists its distinct
+contexts with the counts of its training texts, buckets of contexts add them up, and each block gets what it needs for the
+contexts it has. Of the words after two words a block lists that with the least hash, so a frequent context has one entry
+for each block; the one expected is that with the least hash of all. The names of contexts have ``spare_bits`` more bits
+than the corpus has bytes, so how many contexts share a name doesn't grow with it; an expected word is known by 16 bits.
 Words, for the base score, an add-one unigram model, go the same way under 64-bit hashes. Scores don't depend on how texts
 are packed.
 
 Cases: null and empty text has the end only; a null id is a training text; repeated rows are scored (and counted) each; an
-empty table gives an empty result; without training texts all counts are 0; a very long text is a block of its own, mixed
-piece by piece with one state; extra columns are not read.
+empty table gives an empty result; without training texts all counts are 0; a very long text is a block of its own, listed
+and mixed piece by piece with one state; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,13 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Tokens, as_bytes, discard, give_back, mix, plan_bytes, slices, spread, written
+from .common import U64, as_bytes, discard, give_back, mix, plan_bytes, slices, spread, written
 
-END = 0x0A  # never in a normalised text
-PAD = 8  # ends before each text, so that no context holds another text
+SPACE, END = 0x20, 0x0A  # the end is never in a normalised text
+PAD = 8  # ends before each piece, so that no context holds another text
 ORDERS = (3, 5)
-KINDS = len(ORDERS) + 2
-WORD, WORDS = KINDS - 2, KINDS - 1  # the kinds of the word so far, and of it with the word before
+KINDS = len(ORDERS) + 1
+WORD = KINDS - 1  # the kind of the word so far
 _KIND = 60  # the first bit of a context's kind in its code; the byte's rank has the last 8
 
 
@@ -52,8 +56,9 @@ class Options:
     rate: float = 0.02
     least_rate: float = 0.004
     refine_rate: float = 0.02
-    #: The sum of a set's weights at the start.
+    #: The sum of a set's weights at the start; for whether the expected word comes: after none was known, after one that came, after one that didn't.
     first_weights: float = 1.4
+    first_expected: tuple = (0.6, 1.1, 0.4)
     #: What either way counts before anything is seen.
     seen: float = 0.05
     #: Bits of a context's name beyond the logarithm of the corpus's bytes.
@@ -61,7 +66,7 @@ class Options:
     block_bytes: int = 4 << 20
     #: Text bytes whose contexts go to one bucket.
     bucket_bytes: int = 4 << 20
-    #: Text bytes that are mixed together; a longer text is cut into pieces of this size that are mixed one after another.
+    #: Text bytes that are mixed together; a longer text is cut at spaces into pieces of about this size.
     step_bytes: int = 1 << 20
 
 
@@ -108,15 +113,28 @@ class Alphabet:
                 self.node[depth, rank], self.way[depth, rank] = at, bit
 
 
-def sequence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(the bytes of normalised texts with pads before each and its end, where the bytes to predict are, how many each has)."""
-    raw = np.frombuffer(b"".join(b"\n" * PAD + t + b"\n" for t in texts) + b"\n" * 8, np.uint8)
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    real = np.ones(len(raw) - 8, bool)
-    ends = np.cumsum(size + PAD)
-    for k in range(PAD):
-        real[ends - size - 1 - k] = False
-    return raw, np.flatnonzero(real), size
+@dataclass(frozen=True)
+class Piece:
+    """Words of a text with what ends the last of them, after the two words before."""
+
+    text: int
+    before: bytes
+    body: bytes
+
+
+def pieces(texts: list[bytes], most: int) -> list[Piece]:
+    """Each normalised text in one piece, or cut after spaces where it is longer than ``most``."""
+    out = []
+    for k, text in enumerate(texts):
+        a = 0
+        while True:
+            b = len(text) if len(text) - a <= most else text.find(b" ", a + most - 1) + 1 or len(text)
+            before = text.rfind(b" ", 0, max(0, text.rfind(b" ", 0, max(0, a - 1)))) + 1
+            out.append(Piece(k, text[before:a], text[a:b] if b < len(text) else text[a:] + b"\n"))
+            if b == len(text):
+                break
+            a = b
+    return out
 
 
 _ODD = 0x9E3779B97F4A7C15
@@ -131,75 +149,166 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(out, axis=1))
 
 
-def contexts(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-    """For each kind a 64-bit name of the context of each byte to predict."""
-    eight = np.ndarray((len(raw) - 7,), "<u8", raw.data, 0, (1,))[at - 8]
-    for kind, order in enumerate(ORDERS):
-        yield mix(eight >> U64(64 - 8 * order), 60 + kind)
-    del eight
-    # The word so far: the sum of its bytes' values times powers of their places in it.
-    n = len(raw)
-    powers, back = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[raw] * powers[:n], out=sums[1:])
-    edge = np.flatnonzero((raw == 0x20) | (raw == END)) + 1
-    start = np.zeros(n + 1, np.int32)
-    start[edge] = edge
-    np.maximum.accumulate(start, out=start)
-    word = (sums - sums[start]) * back[start]
-    del sums, powers, back
-    word += (np.arange(n + 1, dtype=np.int32) - start).astype(np.uint64)
-    before = word[np.maximum(start - 1, 0)[at]]
-    word = word[at]
-    yield mix(word, 60 + WORD)
-    yield mix(mix(before) + word, 60 + WORDS)
-
-
-def codes(raw: np.ndarray, at: np.ndarray, rank: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """For each kind the codes of the (context, byte) at each byte to predict: the name's first ``bits`` bits, the byte's rank."""
-    own = rank[raw[at]].astype(np.uint64)
-    for name in contexts(raw, at):
-        name >>= U64(64 - bits)
-        name <<= U64(8)
-        name |= own
-        yield name
-
-
-def listed(alphabet: Alphabet, texts: list[bytes], learned: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each kind the distinct codes of normalised texts, sorted, and how often those that are learned from have them."""
-    raw, at, size = sequence(texts)
-    other = np.repeat(~learned, size).astype(np.uint64)
-    out = []
-    for code in codes(raw, at, alphabet.rank, bits):
+class Sequence:
+    """Some pieces one after another: their bytes, words and contexts."""
+
+    def __init__(self, some: list[Piece], rank: np.ndarray, bits: int):
+        raw = np.frombuffer(b"".join(b"\n" * PAD + p.before + p.body for p in some) + b"\n" * 8, np.uint8)
+        n = len(raw)
+        self.size = np.fromiter((len(p.body) for p in some), np.int64, len(some))
+        lead = np.fromiter((PAD + len(p.before) for p in some), np.int64, len(some))
+        stop = np.cumsum(self.size + lead)
+        at = np.arange(int(self.size.sum())) + np.repeat(stop - np.cumsum(self.size), self.size)  # where the bytes to predict are
+        here = raw[at]
+        self.rank, self.bits = rank[here], bits
+        # The word so far: the sum of its bytes' values times powers of their places in it.
+        powers, back = _powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_VALUES[raw] * powers[:n], out=sums[1:])
+        edge = np.flatnonzero((raw == SPACE) | (raw == END))
+        start = np.zeros(n + 1, np.int32)
+        start[edge + 1] = edge + 1
+        np.maximum.accumulate(start, out=start)
+        so_far = sums[at] - sums[start[at]]
+        so_far *= back[start[at]]
+        so_far += (at - start[at]).astype(np.uint64)
+        self.word = so_far
+        # Words: each ends with a space or the text's end; one without a byte is an empty text's.
+        ends = (here == SPACE) | (here == END)
+        self.last = np.flatnonzero(ends)  # of each word the place, among the bytes to predict, of what ends it
+        self.first = np.concatenate([[0], self.last[:-1] + 1])
+        places = np.concatenate([edge[edge < n - 8], [0]])
+        whole = sums[places] - sums[start[places]]
+        whole *= back[start[places]]
+        whole += (places - start[places]).astype(np.uint64)
+        del sums, powers, back, start
+        mixed = mix(whole, 70)
+        mine = np.searchsorted(places[:-1], at[self.last])
+        self.hash = mixed[mine]  # of the word
+        self.full = (self.last - self.first) > 0
+        two = mix(mixed[np.maximum(mine - 2, 0)]) + mixed[np.maximum(mine - 1, 0)]
+        self.expecting = mix(two, 71) >> U64(64 - bits)  # the name of the two words before
+        self.ending = ((self.hash + (here[self.last] == END)) * U64(_ODD) >> U64(48)).astype(np.uint16)  # the word and what ends it
+        self.piece = np.repeat(np.arange(len(some)), self.size)[self.last]
+        self.eight = np.ndarray((n - 7,), "<u8", raw.data, 0, (1,))[at - 8]
+
+    def codes(self) -> Iterator[np.ndarray]:
+        """For each kind the code of the (context, byte) at each byte to predict: the name's first bits, the byte's rank."""
+        for kind in range(KINDS):
+            name = mix(self.word if kind == WORD else self.eight >> U64(64 - 8 * ORDERS[kind]), 60 + kind)
+            name >>= U64(64 - self.bits)
+            name <<= U64(8)
+            name |= self.rank
+            yield name
+
+
+@dataclass
+class Listed:
+    """What some texts have of each sort, sorted and distinct, and how often those that are learned from have it."""
+
+    codes: list[np.ndarray]  # by kind
+    times: list[np.ndarray]
+    names: np.ndarray  # of two words
+    expected: np.ndarray  # the least of the words after them, how often it comes, how often any
+    came: np.ndarray
+    every: np.ndarray
+    words: np.ndarray
+    word_times: np.ndarray
+
+
+def _runs(ranked: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
+
+
+def _summed(ranked: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = _runs(ranked)
+    return ranked[first], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n.astype(np.int64)
+
+
+def _distinct(numbers: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, sorted, and the sums of their times."""
+    every, n = np.concatenate(numbers), np.concatenate(times)
+    order = np.argsort(every)
+    return _summed(every[order], n[order])
+
+
+def _expected(names: np.ndarray, expected: np.ndarray, came: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same with a row for each name: the least of the words that come after it, how often it comes, how often any."""
+    order = np.lexsort((expected, every == 0, names))
+    names, expected, came, every = names[order], expected[order], came[order], every[order]
+    first = _runs(names)
+    if not len(first):
+        return names, expected, came, every
+    run = np.zeros(len(names), np.int64)
+    run[first[1:]] = 1
+    least = expected[first]
+    same = expected == least[np.cumsum(run)]
+    return names[first], least, np.add.reduceat(np.where(same, came, 0), first), np.add.reduceat(every, first)
+
+
+def listed(alphabet: Alphabet, texts: list[bytes], learned: np.ndarray, bits: int, options: Options) -> Listed:
+    """What the normalised texts have; those that aren't ``learned`` from are counted 0 times."""
+    cut = pieces(texts, options.block_bytes)
+    groups = np.split(np.arange(len(cut)), np.flatnonzero(np.diff(np.cumsum([len(p.body) for p in cut]) // (2 * options.block_bytes))) + 1)
+    found = [_listed(Sequence([cut[i] for i in mine], alphabet.rank, bits), learned[[cut[i].text for i in mine]]) for mine in groups if len(mine)]
+    if len(found) == 1:
+        return found[0]
+    both = [_distinct([f.codes[k] for f in found], [f.times[k] for f in found]) for k in range(KINDS)]
+    words = _distinct([f.words for f in found], [f.word_times for f in found])
+    after = _expected(*(np.concatenate([getattr(f, c) for f in found]) for c in ("names", "expected", "came", "every")))
+    return Listed([c for c, _ in both], [n for _, n in both], *after, *words)
+
+
+def _listed(seq: Sequence, learned: np.ndarray) -> Listed:
+    other = np.repeat(~learned, seq.size).astype(np.uint64)
+    codes, times = [], []
+    for code in seq.codes():
         code <<= U64(1)
         code |= other
         code.sort()
         mine = code & U64(1) == 0
         code >>= U64(1)
-        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        out.append((code[first], np.add.reduceat(mine, first, dtype=np.int64)))
-    return out
+        both = _summed(code, mine)
+        codes.append(both[0])
+        times.append(both[1])
+    mine = learned[seq.piece]
+    # Sorted by name, learned first, word: of each name the first is the least word of those that are learned.
+    after = seq.expecting << U64(17) | (~mine).astype(np.uint64) << U64(16) | seq.ending
+    after.sort()
+    first, names = _runs(after >> U64(17)), after >> U64(17)
+    once, n = _summed(after, np.ones(len(after), np.int64))
+    held = after[first] & U64(1 << 16) != 0
+    every = np.add.reduceat(after & U64(1 << 16) == 0, first, dtype=np.int64)
+    came = np.where(held, 0, n[np.searchsorted(once, after[first])])
+    expected = np.where(held, 0, after[first] & U64(0xFFFF)).astype(np.uint16)
+    words = _distinct([seq.hash[seq.full]], [mine[seq.full].astype(np.int64)])
+    return Listed(codes, times, names[first], expected, came, every, *words)
+
+
+def states(right: np.ndarray, every: np.ndarray, seen: float) -> tuple[np.ndarray, np.ndarray]:
+    """(how much is known: 0 nothing, 1 once, 2 up to 7 times, 3 more; the log odds of going right, in quarters)."""
+    odds = np.clip(np.rint(4 * np.log((right + seen) / (every - right + seen))), -31, 31).astype(np.int16)
+    return (every > 0).astype(np.int16) + (every > 1) + (every > 7), odds
+
+
+def _state_bytes(known: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Two bits for how much is known, six for the log odds plus 32."""
+    return np.where(known > 0, known * 64 + 32 + odds, 0).astype(np.uint8)
 
 
 def log_odds(alphabet: Alphabet, code: np.ndarray, times: np.ndarray, seen: float) -> tuple[np.ndarray, np.ndarray]:
-    """(for each sorted code where its path begins, a byte for each decision of the paths one after another).
+    """(for each sorted code where its path begins; for each decision of the paths, one after another, a state byte with
+    the log odds of the path's own way).
 
-    A byte has in its first two bits how much is known there (nothing; once; up to 7 times; more), in the others the log
-    odds of the path's own way, in quarters, plus 32. Codes of a context follow each other from the tree's left to its right, so
-    at each depth those that pass one node are a run. A context with one code has the same byte along its path.
+    Codes of a context follow each other from the tree's left to its right, so at each depth those that pass one node are a
+    run. A context with one code has the same byte along its path.
     """
     rank = (code & U64(255)).astype(np.uint8)
     context = code >> U64(8)
     length = alphabet.length[rank]
     begin = np.cumsum(length) - length
-
-    def states(right: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        odds = np.clip(np.rint(4 * np.log((right + seen) / (every - right + seen))), -31, 31).astype(np.int16)
-        return (every > 0).astype(np.int16) + (every > 1) + (every > 7), odds
-
-    other = np.concatenate([[True], context[1:] != context[:-1], [True]])
-    known, odds = states(times, times)
-    out = np.repeat(np.where(known > 0, known * 64 + 32 + odds, 0).astype(np.uint8), length)
+    other = np.concatenate([[True], context[1:] != context[:-1], [True]]) if len(code) else np.ones(1, bool)
+    out = np.repeat(_state_bytes(*states(times, times, seen)), length)
     some = np.flatnonzero(~(other[1:] & other[:-1]))
     for depth, (nodes, ways) in enumerate(zip(alphabet.node, alphabet.way)):
         some = some[length[some] > depth]
@@ -211,37 +320,39 @@ def log_odds(alphabet: Alphabet, code: np.ndarray, times: np.ndarray, seen: floa
         every = np.add.reduceat(times[some], first)
         way = ways[rank[some]]
         right = np.add.reduceat(times[some] * way, first)
-        known, odds = (x[np.cumsum(new) - 1] for x in states(right, every))
-        out[begin[some] + depth] = np.where(known > 0, known * 64 + 32 + odds * (2 * way - 1), 0)
+        known, odds = (x[np.cumsum(new) - 1] for x in states(right, every, seen))
+        out[begin[some] + depth] = _state_bytes(known, odds * (2 * way - 1))
     return begin, out
 
 
-#: The input that a byte of ``log_odds`` stands for.
+#: The input that a state byte stands for.
 _INPUT = np.where(np.arange(256) < 64, 0, (np.arange(256) % 64 - 32) / 4).astype(np.float32)
 _WAY = np.array([-1, 1], np.float32)
-#: The set of weights, by what is known of the word with the word before it (times 4) and of the word.
-_GATE = np.array([[min(w, 2) if b == 0 else b + 2 for w in range(4)] for b in range(4)], np.uint8).ravel()
-GATES = 6
+#: Sets of weights: bytes by what is known of the word so far (nothing, once, more) and whether another word was expected;
+#: expected words by what is known (once, up to 7 times, more) and whether the last expected one came.
+BYTE_GATES = 6
+GATES = BYTE_GATES + 9
 RANGES = 25  # of the sum, one wide, for the refinement
 
 
 class Lookup:
-    """A table of hashed codes of one kind, and where each one's path of log odds begins."""
-
-    def __init__(self, code: np.ndarray, begin: np.ndarray, odds: np.ndarray):
-        self.shift = U64(64 - max(4, len(code).bit_length()))
-        place = (code * U64(_ODD) >> self.shift).astype(np.uint32)
-        order = np.argsort(place)
-        self.code, self.begin, self.odds = code[order], begin[order].astype(np.int32), odds
-        self.start = np.searchsorted(place[order], np.arange(1 << 64 - int(self.shift), dtype=np.uint32)).astype(np.int32)
-
-    def find(self, code: np.ndarray) -> np.ndarray:
-        at = self.start[code * U64(_ODD) >> self.shift]
-        todo = np.flatnonzero(self.code[at] != code)
+    """A hash table of numbers: the place of each among them."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.shift = U64(64 - max(4, len(numbers).bit_length()))
+        place = (numbers * U64(_ODD) >> self.shift).astype(np.uint32)
+        self.order = np.argsort(place)
+        self.numbers = numbers[self.order]
+        self.order = self.order.astype(np.int32)
+        self.start = np.searchsorted(place[self.order], np.arange(1 << 64 - int(self.shift), dtype=np.uint32)).astype(np.int32)
+
+    def find(self, numbers: np.ndarray) -> np.ndarray:
+        at = self.start[numbers * U64(_ODD) >> self.shift]
+        todo = np.flatnonzero(self.numbers[at] != numbers)
         while len(todo):
             at[todo] += 1
-            todo = todo[self.code[at[todo]] != code[todo]]
-        return self.begin[at]
+            todo = todo[self.numbers[at[todo]] != numbers[todo]]
+        return self.order[at]
 
 
 class Mixer:
@@ -249,15 +360,17 @@ class Mixer:
 
     def __init__(self, lanes: int, options: Options):
         self.options, self.steps = options, 0
-        self.weights = np.full((lanes, GATES, KINDS), options.first_weights / KINDS, np.float32)
-        self.offsets = np.zeros((lanes, RANGES), np.float32)
+        first = np.full(GATES, options.first_weights / KINDS, np.float32)
+        first[BYTE_GATES:] = np.tile(np.array(options.first_expected, np.float32), 3)
+        self.weights = [np.tile(first, lanes) for _ in range(KINDS)]
+        self.offsets = np.zeros(lanes * RANGES, np.float32)
 
     def run(self, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The cost in bits of each text's next n decisions; ``rows``: 8 bytes for each decision, text after text: the
-        kinds' bytes (log odds of the way that is taken), the way (1: right), the gate."""
+        inputs' state bytes (log odds of the way that is taken), the way (1: right), the gate."""
         o, size = self.options, self.options.chunk
         chunks = -(-n // size)
-        live = np.searchsorted(-chunks, -np.arange(int(chunks[0])), "left")
+        live = np.searchsorted(-chunks, -np.arange(int(chunks.max(initial=0))), "left")
         base = np.concatenate([[0], np.cumsum(live)]) * size
         # Decisions in the order in which they are mixed: chunk by chunk, in a chunk text by text, each padded to its size.
         nth = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
@@ -270,20 +383,27 @@ class Mixer:
         pads = np.flatnonzero(~real)
         cuts = np.searchsorted(pads, base).tolist()
         cost = np.zeros(len(n))
-        most = int(live[0]) * size
-        place = np.arange(most, dtype=np.int32) * GATES
-        lane = np.repeat(np.arange(int(live[0]), dtype=np.int32) * RANGES, size)
+        most = int(live.max(initial=0))
+        gates = np.repeat(np.arange(most, dtype=np.int32) * GATES, size)
+        ranges = np.repeat(np.arange(most, dtype=np.int32) * RANGES + 12, size)
         for t, (k, a) in enumerate(zip(live.tolist(), base.tolist())):
             m = k * size
             row = packed[a : a + m].view(np.uint8).reshape(m, 8)
-            x = _INPUT[row[:, :KINDS]]
-            sums = np.matmul(x.reshape(k, size, KINDS), self.weights[:k].transpose(0, 2, 1))
-            at = place[:m] + row[:, KINDS + 1]
-            p = sums.ravel()[at]
+            at = gates[:m] + row[:, KINDS + 1]
+            xs = [_INPUT.take(row[:, j]) for j in range(KINDS)]
+            p = self.weights[0].take(at)
+            p *= xs[0]
+            for w, x in zip(self.weights[1:], xs[1:]):
+                own = w.take(at)
+                own *= x
+                p += own
             np.maximum(np.minimum(p, 12, out=p), -12, out=p)
-            way = _WAY[row[:, KINDS]]
-            part = lane[:m] + (p * way + 12).astype(np.int32)
-            p += self.offsets[:k].ravel()[part] * way
+            way = _WAY.take(row[:, KINDS])
+            own = p * way
+            part = ranges[:m] + np.floor(own, out=own).astype(np.int32)
+            own = self.offsets.take(part)
+            own *= way
+            p += own
             np.negative(p, out=p)
             np.exp(p, out=p)
             p += 1
@@ -294,82 +414,112 @@ class Mixer:
                 error[pad], p[pad] = 0, 1
             cost[:k] -= np.log2(p, out=p).reshape(k, size).sum(axis=1, dtype=np.float64)
             way *= error
-            self.offsets[:k] += np.float32(o.refine_rate) * np.bincount(part, way, k * RANGES).reshape(k, RANGES)
+            self.offsets[: k * RANGES] += np.float32(o.refine_rate) * np.bincount(part, way, k * RANGES)
             error *= np.float32(max(o.least_rate, o.rate / (1 + self.steps / 16)))
-            sums.fill(0)
-            sums.ravel()[at] = error
-            self.weights[:k] += np.matmul(sums.transpose(0, 2, 1), x.reshape(k, size, KINDS))
+            for w, x in zip(self.weights, xs):
+                x *= error
+                w[: k * GATES] += np.bincount(at, x, k * GATES)
             self.steps += 1
         return cost
 
 
 class Model:
-    """The log odds of all contexts of some texts."""
-
-    def __init__(self, alphabet: Alphabet, lookups: list[Lookup], bits: int, options: Options):
-        self.alphabet, self.lookups, self.bits, self.options = alphabet, lookups, bits, options
-
-    def _rows(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(8 bytes for each decision, as ``Mixer.run`` has them; how many decisions each byte to predict has)."""
-        rank = self.alphabet.rank[raw[at]]
-        length = self.alphabet.length[rank]
-        of = np.repeat(np.arange(len(at), dtype=np.int32), length)
+    """What the training texts know of all contexts of some texts."""
+
+    def __init__(self, alphabet: Alphabet, found: Listed, odds: list[np.ndarray], expected: np.ndarray, sure: np.ndarray, bits: int, options: Options):
+        """``odds``: of each kind the paths' state bytes; ``expected``, ``sure``: of each name of two words the word and its state byte."""
+        self.alphabet, self.bits, self.options = alphabet, bits, options
+        length = alphabet.length
+        self.begin = [(np.cumsum(x := length[(c & U64(255)).astype(np.uint8)]) - x).astype(np.int32) for c in found.codes]
+        self.odds = [np.append(x, np.uint8(0)) for x in odds]
+        self.codes, self.names = [Lookup(c) for c in found.codes], Lookup(found.names)
+        self.expected, self.sure = expected, sure
+
+    def rows(self, some: list[Piece], last: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+        """(8 bytes for each decision, as ``Mixer.run`` has them; decisions of each piece; how the last expected word went).
+
+        ``last``: how the last expected word before the first piece went (0: there is none, 1: it came, 2: another came).
+        """
+        seq = Sequence(some, self.alphabet.rank, self.bits)
+        at = self.names.find(seq.expecting)
+        sure = self.sure[at]
+        asked = sure > 0
+        came = asked & (self.expected[at] == seq.ending)
+        # How the last expected word before each word of its text went.
+        went = np.where(asked, np.where(came, 1, 2), 0)
+        begins = np.concatenate([[True], seq.piece[1:] != seq.piece[:-1]])
+        marks = np.arange(len(went)) * (asked | begins)
+        before = np.concatenate([[0], np.maximum.accumulate(marks)[:-1]])
+        went_before = np.where(begins, 0, went[before])
+        went_before[0] = last
+        spelled = np.repeat(~came, seq.last - seq.first + 1)
+        letters = np.flatnonzero(spelled)
+        # Elements: for each word whether it is the expected one, if one is, then its bytes, if it isn't.
+        word = np.repeat(np.arange(len(came), dtype=np.int32), seq.last - seq.first + 1)[letters]
+        questions = np.cumsum(asked)
+        where = np.arange(len(letters)) + questions[word]
+        ask = np.flatnonzero(asked)
+        bytes_before = np.concatenate([[0], np.cumsum(np.where(came, 0, seq.last - seq.first + 1))])
+        where_asked = bytes_before[ask] + np.arange(len(ask))
+        total = len(letters) + len(ask)
+        length = np.ones(total, np.int64)
+        rank = seq.rank[letters]
+        length[where] = self.alphabet.length[rank]
+        of = np.repeat(np.arange(total, dtype=np.int32), length)
         depth = np.arange(len(of), dtype=np.int32)
-        depth -= (np.cumsum(length) - length).astype(np.int32)[of]
-        rows = np.zeros((len(depth), 8), np.uint8)
-        for kind, (code, lookup) in enumerate(zip(codes(raw, at, self.alphabet.rank, self.bits), self.lookups)):
-            rows[:, kind] = lookup.odds[lookup.find(code)[of] + depth]
-        rows[:, KINDS] = self.alphabet.bits[self.alphabet.offset[rank][of] + depth]
-        rows[:, KINDS + 1] = _GATE[rows[:, WORDS] >> 6 << 2 | rows[:, WORD] >> 6]
-        return rows, length
+        begin = np.cumsum(length) - length
+        depth -= begin.astype(np.int32)[of]
+        rows = np.zeros((len(of), 8), np.uint8)
+        for kind, code in enumerate(seq.codes()):
+            start = np.full(total, len(self.odds[kind]) - 1, np.int32)
+            start[where] = self.begin[kind][self.codes[kind].find(code[letters])]
+            rows[:, kind] = self.odds[kind][start[of] + depth]
+        start = np.zeros(total, np.int32)
+        start[where] = self.alphabet.offset[rank]
+        rows[:, KINDS] = self.alphabet.bits[start[of] + depth]
+        known = np.minimum(rows[:, WORD] >> 6, 2)
+        missed = np.zeros(total, np.uint8)
+        missed[where] = 3 * (asked[word])
+        rows[:, KINDS + 1] = known + missed[of]
+        q = begin[where_asked]
+        own = sure[ask]
+        rows[q, 0] = np.where(came[ask], own, (own & 192) + 64 - (own & 63))
+        rows[q, KINDS] = came[ask]
+        rows[q, KINDS + 1] = BYTE_GATES + 3 * ((own >> 6) - 1) + went_before[ask]
+        n = np.bincount(seq.piece, asked, len(some)).astype(np.int64)
+        np.add.at(n, seq.piece, np.add.reduceat(np.where(spelled, self.alphabet.length[seq.rank], 0), seq.first))
+        return rows, n, int(went[-1] or went_before[-1])
 
     def bits_of(self, texts: list[bytes]) -> np.ndarray:
         """The negative log2 probability of each normalised text and its end."""
+        step, out = self.options.step_bytes, np.zeros(len(texts))
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        out = np.zeros(len(texts))
+        for i in np.flatnonzero(size > step).tolist():
+            mixer, last = Mixer(1, self.options), 0
+            for piece in pieces([texts[i]], step):
+                rows, n, last = self.rows([piece], last)
+                out[i] += mixer.run(rows, n)[0]
         order = np.argsort(-size, kind="stable")
-        run = np.cumsum(size[order]) // self.options.step_bytes
-        for mine in np.split(order, np.flatnonzero(np.diff(run)) + 1):
+        order = order[size[order] <= step]
+        for mine in np.split(order, np.flatnonzero(np.diff(np.cumsum(size[order]) // step)) + 1):
             if len(mine):
                 out[mine] = self._together([texts[i] for i in mine])
         return out
 
     def _together(self, texts: list[bytes]) -> np.ndarray:
-        raw, at, size = sequence(texts)
-        step = self.options.step_bytes
-        if len(texts) == 1:  # in pieces that begin with the word before
-            mixer, cost, a = Mixer(1, self.options), np.zeros(1), 0
-            while a < len(at):
-                rows, _ = self._piece(raw, at[a : a + step])
-                cost += mixer.run(rows, np.array([len(rows)]))
-                a += step
-            return cost
-        rows, length = self._rows(raw, at)
-        n = np.add.reduceat(length, np.cumsum(size) - size)
+        rows, n, _ = self.rows(pieces(texts, self.options.step_bytes))
         rank = np.argsort(-n, kind="stable")
-        if (rank != np.arange(len(n))).any():
-            begin = np.cumsum(n) - n
-            where = np.arange(len(rows)) + np.repeat(begin[rank] - (np.cumsum(n[rank]) - n[rank]), n[rank])
-            rows = rows.view(np.int64).ravel()[where].view(np.uint8).reshape(-1, 8)
+        begin = np.cumsum(n) - n
+        where = np.arange(len(rows)) + np.repeat(begin[rank] - (np.cumsum(n[rank]) - n[rank]), n[rank])
         cost = np.empty(len(n))
-        cost[rank] = Mixer(len(n), self.options).run(rows, n[rank])
+        cost[rank] = Mixer(len(n), self.options).run(rows.view(np.int64).ravel()[where].view(np.uint8).reshape(-1, 8), n[rank])
         return cost
 
-    def _piece(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of some bytes of a text; only the text from the word before them on is looked at."""
-        low = int(at[0])
-        data = raw.data.obj
-        before = data.rfind(b" ", 0, max(0, data.rfind(b" ", 0, low)))
-        low = max(0, min(before, low - PAD))
-        return self._rows(raw[low : int(at[-1]) + 9], at - low)
-
 
 def _press():
     return zstandard.ZstdCompressor(level=1)
 
 
-
-
 def _squeezed(press, numbers: np.ndarray) -> bytes:
     """64-bit numbers as their differences, all first bytes, all second bytes, ..., compressed."""
     step = np.diff(numbers.view(np.uint64), prepend=U64(0))
@@ -386,37 +536,23 @@ def _starts(buckets: int, bits: int) -> np.ndarray:
     return np.array([(k << bits) // buckets for k in range(buckets)], np.uint64)
 
 
-def _distinct(numbers: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers, sorted, and the sums of their times."""
-    every, n = np.concatenate(numbers), np.concatenate(times)
-    if not len(every):
-        return every, n
-    order = np.argsort(every)
-    every = every[order]
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    return every[first], np.add.reduceat(n[order], first)
-
+class Cuts:
+    """Which part of each list of a ``Listed`` each bucket has."""
 
-def byte_counts(docs: DataFrame) -> np.ndarray:
-    """Of the rows of ``docs`` (text, held) that aren't held: how often each byte is in their normalised texts, their words, their number."""
+    def __init__(self, found: Listed, buckets: int, bits: int):
+        first = _starts(buckets, bits)
+        ends = lambda x, at: np.append(np.searchsorted(x, at), len(x))
+        self.codes = [ends(c, first << U64(8)) for c in found.codes]
+        self.names, self.words = ends(found.names, first), ends(found.words, _starts(buckets, 64))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(258, np.int64)
-        for part in slices(batches):
-            clean = normalised(as_bytes(part.column("text")))
-            seen[:256] += np.bincount(np.frombuffer(b"\n".join(clean) + b"\n", np.uint8), minlength=256)
-            seen[256] += sum(t.count(b" ") + 1 if t else 0 for t in clean)
-            seen[257] += len(clean)
-        yield pa.RecordBatch.from_pydict({"what": np.arange(258, dtype=np.int32), "n": seen})
-
-    out = np.zeros(258, np.int64)
-    for row in docs.where("not held").select("text").mapInArrow(count, "what int, n long").groupBy("what").agg(F.sum("n").alias("n")).collect():
-        out[row["what"]] = row["n"]
-    return out
+    @staticmethod
+    def of(cut: np.ndarray, bucket: int) -> slice:
+        return slice(int(cut[bucket]), int(cut[bucket + 1]))
 
 
 def pack(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """A written table (block, data) of the rows of ``docs``, about ``block_bytes`` of text in each."""
+    """A written table (block, data, counts) of the rows of ``docs``, about ``block_bytes`` of text in each: their ids,
+    whether they are held out and their normalised texts; of the training texts how often they have each byte, their words and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -428,69 +564,98 @@ def pack(docs: DataFrame, block_bytes: int) -> DataFrame:
             with pa.ipc.new_stream(sink, waiting[0].schema) as stream:
                 for part in waiting:
                     stream.write_batch(part)
-            return pa.RecordBatch.from_pydict({"block": [task << 32 | number], "data": [press.compress(sink.getvalue())]})
+            counts = np.zeros(258, np.int64)
+            for part in waiting:
+                mine = part.filter(pc.invert(part.column("held"))).column("text")
+                texts = as_bytes(mine)
+                counts[:256] += np.bincount(np.frombuffer(b"\n".join(texts) + b"\n" * (len(texts) > 0), np.uint8), minlength=256)
+                counts[256] += sum(t.count(b" ") + 1 for t in texts if t)
+                counts[257] += len(texts)
+            return pa.RecordBatch.from_pydict({"block": [task << 32 | number], "data": [press.compress(sink.getvalue())], "counts": [counts.tolist()]}, pa.schema([("block", pa.int64()), ("data", pa.binary()), ("counts", pa.list_(pa.int64()))]))
 
         for part in slices(batches, most=block_bytes):
-            own = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            texts = pa.array(normalised(as_bytes(part.column("text"))), pa.binary())
+            own = pc.sum(pc.binary_length(texts)).as_py() or 0
             if waiting and size + own > block_bytes:
                 yield block()
                 waiting, size, number = [], 0, number + 1
-            waiting.append(part)
+            waiting.append(pa.RecordBatch.from_arrays([part.column("id"), part.column("held"), texts], ["id", "held", "text"]))
             size += own
         if waiting:
             yield block()
 
-    return written(docs.mapInArrow(run, "block long, data binary"))
+    return written(docs.mapInArrow(run, "block long, data binary, counts array<long>"))
+
+
+def training_counts(packed: DataFrame) -> np.ndarray:
+    """How often the training texts have each byte, their words and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(258, np.int64)
+        for batch in batches:
+            for row in batch.column("counts"):
+                counts += row.values.to_numpy()
+        yield pa.RecordBatch.from_pydict({"what": np.arange(258, dtype=np.int32), "n": counts})
+
+    out = np.zeros(258, np.int64)
+    for row in packed.select("counts").mapInArrow(run, "what int, n long").groupBy("what").agg(F.sum("n").alias("n")).collect():
+        out[row["what"]] = row["n"]
+    return out
 
 
 def _unpacked(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
 
 
-def _listed_rows(blocks: DataFrame, alphabet, bits: int, buckets: int) -> DataFrame:
-    """For each block and bucket the block's (context, byte) codes and word hashes there, with the counts of its training texts."""
+_ROW = ["codes", "times", "names", "expected", "came", "every", "words", "word_times"]
+
+
+def _listed_rows(packed: DataFrame, alphabet, bits: int, buckets: int, options: Options) -> DataFrame:
+    """For each block and bucket what the block has there, as in ``Listed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = _press()
-        names, hashes = _starts(buckets, bits) << U64(8), _starts(buckets, 64)
+        small = lambda x: press.compress(x.astype(np.int32).tobytes())
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
                 table = _unpacked(data)
-                learned = ~table.column("held").to_numpy()
-                clean = normalised(as_bytes(table.column("text")))
+                found = listed(alphabet.value, as_bytes(table.column("text")), ~table.column("held").to_numpy(), bits, options)
                 del table, data
-                kinds = listed(alphabet.value, clean, learned, bits)
-                tokens = Tokens(clean)
-                words, times = _distinct([tokens.hashes], [learned[tokens.text].astype(np.int64)])
-                del tokens, clean
-                cuts = [np.append(np.searchsorted(code, names), len(code)) for code, _ in kinds]
-                word_cuts = np.append(np.searchsorted(words, hashes), len(words))
+                cuts = Cuts(found, buckets, bits)
                 for k in range(buckets):
-                    mine = [slice(c[k], c[k + 1]) for c in cuts]
-                    code = np.concatenate([x[s] | U64(kind << _KIND) for kind, ((x, _), s) in enumerate(zip(kinds, mine))])
-                    n = np.concatenate([x[s] for (_, x), s in zip(kinds, mine)])
-                    w = slice(word_cuts[k], word_cuts[k + 1])
-                    if len(code) or w.start < w.stop:
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block]), *(pa.array([x], pa.binary()) for x in (_squeezed(press, code), press.compress(n.astype(np.int32).tobytes()), _squeezed(press, words[w]), press.compress(times[w].astype(np.int32).tobytes())))], ["bucket", "block", "codes", "times", "words", "word_times"])
-                del kinds, words, times
-            give_back()
+                    mine = [cuts.of(c, k) for c in cuts.codes]
+                    n, w = cuts.of(cuts.names, k), cuts.of(cuts.words, k)
+                    code = np.concatenate([x[s] | U64(kind << _KIND) for kind, (x, s) in enumerate(zip(found.codes, mine))])
+                    if len(code) or n.start < n.stop or w.start < w.stop:
+                        row = (_squeezed(press, code), small(np.concatenate([x[s] for x, s in zip(found.times, mine)])), _squeezed(press, found.names[n]), press.compress(found.expected[n].tobytes()), small(found.came[n]), small(found.every[n]), _squeezed(press, found.words[w]), small(found.word_times[w]))
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block]), *(pa.array([x], pa.binary()) for x in row)], ["bucket", "block", *_ROW])
+                del found, cuts
+                give_back()
 
-    return blocks.mapInArrow(run, "bucket int, block long, codes binary, times binary, words binary, word_times binary")
+    return packed.select("block", "data").mapInArrow(run, "bucket int, block long, " + ", ".join(f"{c} binary" for c in _ROW))
 
 
 def _answers(rows: DataFrame, alphabet, seen: float) -> DataFrame:
-    """For each row of ``_listed_rows`` the log odds along its codes' paths and its words' counts, of all training texts;
-    known: how many words of the bucket training texts have, in one of its rows."""
+    """For each row of ``_listed_rows`` what all training texts know: the state bytes along its codes' paths, the words
+    expected after its two words and their state bytes, its words' counts; known: how many words of the bucket training
+    texts have, in one of its rows."""
 
     def add_up(table: pa.Table) -> pa.Table:
         give_back()
         press, open_ = _press(), zstandard.ZstdDecompressor()
-        counts = lambda name: [np.frombuffer(open_.decompress(x), np.int32).astype(np.int64) for x in table.column(name).to_pylist()]
-        own = [_opened(open_, x) for x in table.column("words").to_pylist()]
+        opened = lambda c: [_opened(open_, x) for x in table.column(c).to_pylist()]
+        plain = lambda c, t: [np.frombuffer(open_.decompress(x), t) for x in table.column(c).to_pylist()]
+        counts = lambda c: [x.astype(np.int64) for x in plain(c, np.int32)]
+        own = opened("words")
         words, times = _distinct(own, counts("word_times"))
         sent = [press.compress(times[np.searchsorted(words, x)].tobytes()) for x in own]
         known = int(np.count_nonzero(times))
-        own = [_opened(open_, x) for x in table.column("codes").to_pylist()]
+        own = opened("names")
+        names, expected, came, every = _expected(*(np.concatenate(x) for x in (own, plain("expected", np.uint16), counts("came"), counts("every"))))
+        sure = _state_bytes(*states(came, every, seen))
+        at = [np.searchsorted(names, x) for x in own]
+        after, sures = ([press.compress(x[i].tobytes()) for i in at] for x in (np.where(sure > 0, expected, 0).astype(np.uint16), sure))
+        own = opened("codes")
         every, times = _distinct(own, counts("times"))
         begin, odds = log_odds(alphabet.value, every, times, seen)
         begin = np.append(begin, len(odds))
@@ -501,27 +666,40 @@ def _answers(rows: DataFrame, alphabet, seen: float) -> DataFrame:
             stop = np.cumsum(length)
             take = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin[at] - (stop - length), length)
             paths.append(press.compress(odds[take].tobytes()))
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "odds": pa.array(paths, pa.binary()), "counts": pa.array(sent, pa.binary()), "known": np.array([known, *[0] * (len(paths) - 1)])})
+        binary = [pa.array(x, pa.binary()) for x in (paths, after, sures, sent)]
+        return pa.table([table.column("block"), table.column("bucket"), *binary, pa.array([known, *[0] * (len(paths) - 1)])], names=["block", "bucket", "odds", "expected", "sure", "counts", "known"])
 
-    return rows.groupBy("bucket").applyInArrow(add_up, "block long, bucket int, odds binary, counts binary, known long")
+    return rows.groupBy("bucket").applyInArrow(add_up, "block long, bucket int, odds binary, expected binary, sure binary, counts binary, known long")
 
 
-def _block_model(alphabet: Alphabet, clean: list[bytes], answers: dict[int, bytes], bits: int, buckets: int, options: Options) -> Model:
-    names = _starts(buckets, bits) << U64(8)
-    kinds = [code for code, _ in listed(alphabet, clean, np.zeros(len(clean), bool), bits)]
-    cuts = [np.append(np.searchsorted(code, names), len(code)) for code in kinds]
-    stops = [np.concatenate([[0], np.cumsum(alphabet.length[(code & U64(255)).astype(np.int64)])]) for code in kinds]
+def _block_model(alphabet: Alphabet, found: Listed, answered: pa.Table, bits: int, buckets: int, options: Options) -> tuple[Model, np.ndarray]:
+    """The model for a block's texts, and the counts of its words."""
+    cuts, open_ = Cuts(found, buckets, bits), zstandard.ZstdDecompressor()
+    stops = [np.concatenate([[0], np.cumsum(alphabet.length[(code & U64(255)).astype(np.uint8)])]) for code in found.codes]
     odds = [np.empty(int(s[-1]), np.uint8) for s in stops]
-    open_ = zstandard.ZstdDecompressor()
-    for bucket, data in answers.items():
-        row, at = np.frombuffer(open_.decompress(data), np.uint8), 0
-        for out, cut, stop in zip(odds, cuts, stops):
+    expected, sure, counts = np.zeros(len(found.names), np.uint16), np.zeros(len(found.names), np.uint8), np.zeros(len(found.words), np.int64)
+    for bucket, *row in zip(*(answered.column(c).to_pylist() for c in ("bucket", "odds", "expected", "sure", "counts"))):
+        paths, after, sures, times = (np.frombuffer(open_.decompress(x), t) for x, t in zip(row, (np.uint8, np.uint16, np.uint8, np.int64)))
+        at = 0
+        for out, cut, stop in zip(odds, cuts.codes, stops):
             a, b = int(stop[cut[bucket]]), int(stop[cut[bucket + 1]])
-            out[a:b] = row[at : at + b - a]
+            out[a:b] = paths[at : at + b - a]
             at += b - a
-        if at != len(row):
+        if at != len(paths):
             raise RuntimeError("the answers are not those of the block's contexts")
-    return Model(alphabet, [Lookup(code, stop[:-1], x) for code, stop, x in zip(kinds, stops, odds)], bits, options)
+        expected[cuts.of(cuts.names, bucket)], sure[cuts.of(cuts.names, bucket)] = after, sures
+        counts[cuts.of(cuts.words, bucket)] = times
+    return Model(alphabet, found, odds, expected, sure, bits, options), counts
+
+
+def base_scores(texts: list[bytes], words: np.ndarray, counts: np.ndarray, ends: int, all_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words and end, how many of them are known, add-one score) of each normalised text, with the counts of the words' sorted hashes."""
+    seq = Sequence(pieces(texts, max(1, max(map(len, texts)))), np.zeros(256, np.uint8), 32)
+    n = counts[np.searchsorted(words, seq.hash[seq.full])]
+    text = seq.piece[seq.full]
+    size = len(texts)
+    score = np.bincount(text, np.log10((n + 1) / all_), size) + math.log10((ends + 1) / all_)
+    return np.bincount(text, minlength=size) + 1, np.bincount(text, n > 0, size).astype(np.int64) + (ends > 0), score
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column | None = None, options: Options = Options()) -> DataFrame:
@@ -531,44 +709,32 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
     """
     spark = df.sparkSession
     held = held_out(df[key]) if held is None else held
-    docs = spread(df.select(df[key].alias("id"), df[text].alias("text"), held.alias("held")))
-    seen = byte_counts(docs)
+    docs = spread(df.select(df[key].alias("id"), df[text].alias("text"), F.coalesce(held, F.lit(False)).alias("held")))
+    packed = pack(docs, options.block_bytes)
+    seen = training_counts(packed)
     ends = int(seen[257])
     n = int(seen[256]) + ends
     alphabet = spark.sparkContext.broadcast(Alphabet(seen[:256]))
-    packed = pack(docs, options.block_bytes)
     size = max(plan_bytes(df), int(seen[:256].sum()))
-    bits = min(50, max(24, size.bit_length() + options.spare_bits))
+    bits = min(44, max(24, size.bit_length() + options.spare_bits))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // options.bucket_bytes)
-    answers = written(_answers(_listed_rows(packed, alphabet, bits, buckets), alphabet, options.seen))
+    answers = written(_answers(_listed_rows(packed, alphabet, bits, buckets, options), alphabet, options.seen))
     discard()
     v = (answers.agg(F.sum("known").alias("v")).first()["v"] or 0) + (ends > 0)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(c, t) for c, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType())))])
 
     def score_texts(table: pa.Table, answered: pa.Table) -> pa.Table:
         give_back()
-        found = []
-        for data in table.column("data").to_pylist():
-            rows = _unpacked(data)
-            ids, helds, clean = rows.column("id"), rows.column("held"), normalised(as_bytes(rows.column("text")))
-            del rows, data
-            here = answered.column("bucket").to_pylist()
-            tokens = Tokens(clean)
-            words, place = np.unique(tokens.hashes, return_inverse=True)
-            cuts = np.append(np.searchsorted(words, _starts(buckets, 64)), len(words))
-            times = np.zeros(len(words), np.int64)
-            open_ = zstandard.ZstdDecompressor()
-            for bucket, x in zip(here, answered.column("counts").to_pylist()):
-                times[cuts[bucket] : cuts[bucket + 1]] = np.frombuffer(open_.decompress(x), np.int64)
-            counts = times[place]
-            base = np.bincount(tokens.text, np.log10((counts + 1) / (n + v + 1)), len(clean)) + math.log10((ends + 1) / (n + v + 1))
-            hit = np.bincount(tokens.text, counts > 0, len(clean)).astype(np.int64) + (ends > 0)
-            n_tokens = tokens.counts + 1
-            del tokens, words, place, counts
-            model = _block_model(alphabet.value, clean, dict(zip(here, answered.column("odds").to_pylist())), bits, buckets, options)
-            cost = model.bits_of(clean)
-            del model
-            found.append(pa.table([ids, helds, pa.array(n_tokens), pa.array(hit), pa.array(np.full(len(clean), n)), pa.array(base), pa.array(-cost * math.log10(2)), pa.array(cost / (np.fromiter(map(len, clean), np.int64, len(clean)) + 1))], names=schema.names))
-        return pa.concat_tables(found)
-
-    return packed.groupBy("block").cogroup(answers.drop("known").groupBy("block")).applyInArrow(score_texts, schema)
+        rows = _unpacked(table.column("data")[0].as_py())
+        ids, helds, clean = rows.column("id"), rows.column("held"), as_bytes(rows.column("text"))
+        del table, rows
+        found = listed(alphabet.value, clean, np.zeros(len(clean), bool), bits, options)
+        model, counts = _block_model(alphabet.value, found, answered, bits, buckets, options)
+        base = base_scores(clean, found.words, counts, ends, n + v + 1)
+        del found, answered
+        cost = model.bits_of(clean)
+        sizes = np.fromiter(map(len, clean), np.int64, len(clean)) + 1
+        n_tokens, hit, base_score = (pa.array(x) for x in base)
+        return pa.table([ids, helds, n_tokens, hit, pa.array(np.full(len(clean), n)), base_score, pa.array(-cost * math.log10(2)), pa.array(cost / sizes)], names=schema.names)
+
+    return packed.select("block", "data").groupBy("block").cogroup(answers.drop("known").groupBy("block")).applyInArrow(score_texts, schema)
