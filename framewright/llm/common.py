@@ -34,16 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives the loss of executors; deleted by ``discard`` or when the session ends."""
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives the loss of executors; deleted by ``discard``
+    or when the session ends. What the query shuffled is deleted as soon as the table is there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/framewright/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     _TABLES[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
 
 
+#: Whether Spark deletes a query's shuffle files when it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _TABLES: dict[str, SparkSession] = {}
 
 

@@ -3,12 +3,17 @@
 A page is read into blocks of text (what stands between two block-level tags). Runs of neighbouring blocks that have the
 same place in the tree and the same traits are one node. A linear classifier gives each node a cost for being called
 content and one for being called boilerplate; these are its capacities from the source and to the sink. Neighbours in page
-order, and nodes that next share a parent, are joined by edges that are the stronger the more of their places in the tree
-they share. The minimum cut, by Dinic's maximum flow, is the labelling of least total cost.
+order, and nodes that next share a parent, are joined by edges that are the stronger the nearer they are in the tree: the
+larger the share of their ancestors that they have in common. The minimum cut, by Dinic's maximum flow, is the labelling
+of least total cost.
+
+Tags end at the first ">" that isn't in a quoted attribute value; quotes elsewhere, as in title=it's, open nothing. An
+inline element whose class says that it is an advert, a share button or the like, or that is hidden, stands apart from the
+paragraph around it, which goes on after it; other inline elements are part of their paragraph.
 
 Character references are decoded, white space in a block becomes one space, and the content's blocks are joined by one.
 
-Cases: null or empty html and pages without content give an empty text; cut-off tags, comments and raw elements at the end
+Cases: a very long page is read once from its start to its end, in memory and time that grow with its length; null or empty html and pages without content give an empty text; cut-off tags, comments and raw elements at the end
 of a page are dropped, what stands before is kept; pages are independent, so repeated rows get equal texts; null ids pass;
 extra columns are not read.
 """
@@ -17,8 +22,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,18 +33,19 @@ from pyspark.sql import types as T
 from .common import slices
 
 # Names of HTML elements.
-RAW = frozenset("script style noscript template textarea title iframe svg math select option button object canvas noframes xmp".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select option button object canvas noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset head figcaption".split())
+INLINE = frozenset("math a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var".split())
+BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset head".split())
 MAIN = frozenset("article main".split())
 #: In class, id and role: what marks a part as boilerplate, by whole words between - and _.
 HINTS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer form header login masthead menu modal nav navbar navigation newsletter notice popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget alert overlay paywall teaser complementary contentinfo search".split())
+#: Those that mark an inline element.
+INLINE_HINTS = frozenset("ad ads advert adverts advertisement byline promo promoted share sharing social sponsor sponsored tags".split())
 CONTENT_HINTS = frozenset("article content entry main post story body text".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_CUT = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?)*+)>", re.S)
+_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 #: The classifier: what a node's traits add to the log odds of being content.
@@ -47,7 +54,7 @@ WEIGHTS = {"bias": -0.4, "boilerplate": -6.0, "main": 3.0, "content_hint": 2.0,
 ADJACENT, SIBLING = 0.3, 0.6
 
 
-def _marks(name: str, attributes: str) -> str:
+def _marks(name: str, attributes: str, hints: frozenset = HINTS) -> str:
     """What an element says of all within it: "-" boilerplate, "+" main, "c" a hint at content, "h" hidden, or nothing."""
     if name in ("html", "body"):  # their class and id speak of the whole page
         return ""
@@ -59,7 +66,7 @@ def _marks(name: str, attributes: str) -> str:
                 marks += "h"
             elif key in ("class", "id", "role"):
                 words = set(_WORD.findall(value))
-                if words & HINTS:
+                if words & hints:
                     marks += "-"
                 elif words & CONTENT_HINTS:
                     marks += "c"
@@ -67,21 +74,34 @@ def _marks(name: str, attributes: str) -> str:
 
 
 class Node:
-    __slots__ = ("chars", "links", "parent", "path", "tag", "texts")
+    __slots__ = ("above", "chars", "links", "path", "tag", "texts")
+
+    def __init__(self, path: tuple, above: tuple, tag: str):
+        self.path, self.above, self.tag, self.texts, self.chars, self.links = path, above, tag, [], 0, 0
+
+
+@cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I)
+
 
-    def __init__(self, path: tuple, parent: int, tag: str):
-        self.path, self.parent, self.tag, self.texts, self.chars, self.links = path, parent, tag, [], 0, 0
+#: What an opening tag closes, if it is the innermost block; all others close a paragraph.
+_CLOSES = {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "tr": ("p", "td", "th", "tr")}
 
 
-def blocks(html: str) -> Iterator[tuple[str, int, tuple, int, str]]:
-    """(text, characters in links, path: (element number, marks) from the root, parent's number, tag) of each block."""
-    stack: list[tuple[str, int, str]] = []
+def blocks(html: str) -> Iterator[tuple[str, int, tuple, tuple, str]]:
+    """(text, characters in links, path: (element number, marks) of the marked elements from the root, the numbers of all
+    block elements from the root, the innermost one's tag) of each block."""
+    stack: list[tuple[str, int, str]] = []  # elements: name, number, marks; of inline ones the marked ones
+    opened: Counter = Counter()  # the names in the stack
     path: tuple = ()
     number = at = links = inside = 0
     parts: list[str] = []
-    end = len(html)
-    if cut := _CUT.search(html, max(0, html.rfind("<"))):
-        end = cut.start()
+    end = html.rfind(">") + 1  # there are no whole tags after it
+    cut = html.find("<", end)
+    while 0 <= cut < len(html) - 1 and not (html[cut + 1].isalpha() or html[cut + 1] in "/!?"):
+        cut = html.find("<", cut + 1)
+    rest = html[end : cut if cut >= 0 else len(html)]
 
     def close():
         text = " ".join(entities.unescape("".join(parts)).split())
@@ -89,8 +109,8 @@ def blocks(html: str) -> Iterator[tuple[str, int, tuple, int, str]]:
         return text
 
     def where():
-        tag = stack[-1][0] if stack else ""
-        return path, stack[-2][1] if len(stack) > 1 else 0, tag
+        above = [(name, n) for name, n, _ in stack if name not in INLINE]
+        return path, tuple(n for _, n in above), above[-1][0] if above else ""
 
     while at < end:
         m = _TAG.search(html, at, end)
@@ -106,54 +126,74 @@ def blocks(html: str) -> Iterator[tuple[str, int, tuple, int, str]]:
             continue
         if name in RAW:
             if not m[1] and not m[3].endswith("/"):
-                close_tag = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(html, at)
-                at = close_tag.end() if close_tag else end
+                close_tag = _closing(name).search(html, at)
+                at = close_tag.end() if close_tag else len(html)
+                rest = rest if close_tag else ""
             continue
+        drop, push = len(stack), None  # what happens to the stack after the block that ends here
         if name in INLINE:
             if name == "a":
                 inside = 0 if m[1] else 1
-                if m[1]:
+            if m[1]:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] not in INLINE:
+                        break
+                    if stack[k][0] == name:
+                        drop = k
+                        break
+                if drop == len(stack):
                     continue
-            if m[1] or not m[3]:
-                continue
-            marks = _marks(name, m[3])
-            if "-" not in marks and "h" not in marks:
-                continue
+            else:
+                marks = _marks(name, m[3], INLINE_HINTS) if m[3] else ""
+                if not opened[name] and ("-" not in marks and "h" not in marks or m[3].endswith("/")):
+                    continue
+                push = marks.replace("c", "")  # within a marked one of its name its end must be told apart
         elif name in ("br", "wbr"):
             parts.append(" " if name == "br" else "")
             continue
         elif name in VOID and name != "hr":
             continue
+        elif m[1]:
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
+                if stack[k][0] == name:
+                    drop = k
+                    break
+        elif name != "hr":
+            closes = _CLOSES.get(name, ("p",))
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in closes:
+                    drop = k
+                elif stack[k][0] not in INLINE:
+                    break
+            if not m[3].endswith("/"):
+                push = _marks(name, m[3])
         # A block ends here.
         if parts and (text := close()):
             yield text, links, *where()
         links = 0
-        if name == "hr":
-            continue
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        else:
-            closes = ("p",) if name not in ("li", "dt", "dd", "tr", "td", "th") else ("p", "li") if name == "li" else ("p", "dt", "dd") if name in ("dt", "dd") else ("p", "td", "th") if name != "tr" else ("p", "td", "th", "tr")
-            while stack and stack[-1][0] in closes:
-                stack.pop()
-            if not m[3].endswith("/"):
-                number += 1
-                stack.append((name, number, _marks(name, m[3])))
-        path = tuple((n, marks) for _, n, marks in stack if marks)
+        marked = bool(push) or any(marks for _, _, marks in stack[drop:])
+        opened.subtract(x for x, _, _ in stack[drop:])
+        del stack[drop:]
+        if push is not None:
+            number += 1
+            stack.append((name, number, push))
+            opened[name] += 1
+        if marked:
+            path = tuple((n, marks) for _, n, marks in stack if marks)
+    if rest and at <= end:
+        parts.append(rest)
+        links += len(rest) if inside else 0
     if parts and (text := close()):
         yield text, links, *where()
 
 
 def nodes(html: str) -> list[Node]:
     out: list[Node] = []
-    for text, links, path, parent, tag in blocks(html):
+    for text, links, path, above, tag in blocks(html):
         linked = 2 * links > len(text)
         last = out[-1] if out else None
-        if last is None or (last.path, last.parent, last.tag) != (path, parent, tag) or (2 * last.links > last.chars) != linked:
-            last = Node(path, parent, tag)
+        if last is None or (last.path, last.above[:-1], last.tag) != (path, above[:-1], tag) or (2 * last.links > last.chars) != linked:
+            last = Node(path, above, tag)
             out.append(last)
         last.texts.append(text)
         last.chars += len(text)
@@ -175,20 +215,23 @@ def log_odds(node: Node) -> float:
 
 
 def edges(page: list[Node]) -> Iterator[tuple[int, int, float]]:
-    last: dict[int, int] = {}
+    last: dict[tuple, int] = {}
     for i, node in enumerate(page):
         if i:
-            yield i - 1, i, ADJACENT * _shared(page[i - 1], node)
-        j = last.get(node.parent)
+            yield i - 1, i, ADJACENT * _near(page[i - 1], node)
+        parent = node.above[:-1]
+        j = last.get(parent)
         if j is not None and j < i:
-            yield j, i, SIBLING * _shared(page[j], node)
-        last[node.parent] = i
+            yield j, i, SIBLING * _near(page[j], node)
+        last[parent] = i
 
 
-def _shared(x: Node, y: Node) -> float:
-    """The share of marked ancestors that two nodes have in common."""
-    a, b = set(x.path), set(y.path)
-    return (1 + len(a & b)) / (1 + len(a | b))
+def _near(x: Node, y: Node) -> float:
+    """The share of their ancestors and marks that two nodes have in common; 1 for neighbours in one unmarked parent."""
+    a, b = x.above[:-1], y.above[:-1]
+    same = next((k for k, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+    one, two = set(x.path), set(y.path)
+    return (1 + same) / (1 + max(len(a), len(b))) * (1 + len(one & two)) / (1 + len(one | two))
 
 
 def minimum_cut(gain: list[float], joined: list[tuple[int, int, float]]) -> list[bool]:

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, as_bytes, discard, give_back, mix, plan_bytes, slices, spread, written
+from .common import U64, as_bytes, give_back, hash_ranges, mix, plan_bytes, slices, spread, written
 
 SPACE, END = 0x20, 0x0A  # the end is never in a normalised text
 PAD = 8  # ends before each piece, so that no context holds another text
@@ -138,15 +138,6 @@ def pieces(texts: list[bytes], most: int) -> list[Piece]:
 
 
 _ODD = 0x9E3779B97F4A7C15
-_VALUES = mix(np.arange(256, dtype=np.uint64), 50)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of _ODD and of its inverse."""
-    out = np.empty((2, n), np.uint64)
-    out[:] = np.array([[_ODD], [pow(_ODD, -1, 2**64)]], np.uint64)
-    out[:, 0] = 1
-    return tuple(np.cumprod(out, axis=1))
 
 
 class Sequence:
@@ -154,54 +145,71 @@ class Sequence:
 
     def __init__(self, some: list[Piece], rank: np.ndarray, bits: int):
         raw = np.frombuffer(b"".join(b"\n" * PAD + p.before + p.body for p in some) + b"\n" * 8, np.uint8)
-        n = len(raw)
-        self.size = np.fromiter((len(p.body) for p in some), np.int64, len(some))
+        n = len(raw) - 8
+        self.bits, self.count = bits, len(some)
+        size = np.fromiter((len(p.body) for p in some), np.int64, len(some))
         lead = np.fromiter((PAD + len(p.before) for p in some), np.int64, len(some))
-        stop = np.cumsum(self.size + lead)
-        at = np.arange(int(self.size.sum())) + np.repeat(stop - np.cumsum(self.size), self.size)  # where the bytes to predict are
-        here = raw[at]
-        self.rank, self.bits = rank[here], bits
-        # The word so far: the sum of its bytes' values times powers of their places in it.
-        powers, back = _powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[raw] * powers[:n], out=sums[1:])
-        edge = np.flatnonzero((raw == SPACE) | (raw == END))
-        start = np.zeros(n + 1, np.int32)
-        start[edge + 1] = edge + 1
-        np.maximum.accumulate(start, out=start)
-        so_far = sums[at] - sums[start[at]]
-        so_far *= back[start[at]]
-        so_far += (at - start[at]).astype(np.uint64)
-        self.word = so_far
+        self.bytes_of = np.concatenate([[0], np.cumsum(size)])  # of each piece the first byte to predict
+        to_raw = np.cumsum(lead)  # what is before a piece's bytes to predict and isn't one of them
+        at = np.arange(int(size.sum()), dtype=np.int32)
+        at += np.repeat(to_raw.astype(np.int32), size)
+        self.rank = rank[raw[at]]
+        edge = np.flatnonzero((raw[:n] == SPACE) | (raw[:n] == END)).astype(np.int32)
+        begin = np.concatenate([np.zeros(1, np.int32), edge[:-1] + 1])
+        length = edge - begin  # of the words, most of which are pads and have none
+        start = np.repeat(begin, length + 1)
+        eight = np.ndarray((n + 1,), "<u8", raw.data, 0, (1,))[at - 8]
+        self.eight = eight
+        # The word so far: its last eight bytes, and, where it is longer, its length.
+        so_far = (at - start[at]).astype(np.uint64)
+        del start
+        long = np.flatnonzero(so_far > 8)
+        self.word = eight >> ((U64(8) - np.minimum(so_far, U64(8))) << U64(3))
+        self.word[so_far == 0] = 0
+        self.word[long] += mix(so_far[long], 72)
         # Words: each ends with a space or the text's end; one without a byte is an empty text's.
-        ends = (here == SPACE) | (here == END)
-        self.last = np.flatnonzero(ends)  # of each word the place, among the bytes to predict, of what ends it
-        self.first = np.concatenate([[0], self.last[:-1] + 1])
-        places = np.concatenate([edge[edge < n - 8], [0]])
-        whole = sums[places] - sums[start[places]]
-        whole *= back[start[places]]
-        whole += (places - start[places]).astype(np.uint64)
-        del sums, powers, back, start
-        mixed = mix(whole, 70)
-        mine = np.searchsorted(places[:-1], at[self.last])
-        self.hash = mixed[mine]  # of the word
-        self.full = (self.last - self.first) > 0
-        two = mix(mixed[np.maximum(mine - 2, 0)]) + mixed[np.maximum(mine - 1, 0)]
-        self.expecting = mix(two, 71) >> U64(64 - bits)  # the name of the two words before
-        self.ending = ((self.hash + (here[self.last] == END)) * U64(_ODD) >> U64(48)).astype(np.uint16)  # the word and what ends it
-        self.piece = np.repeat(np.arange(len(some)), self.size)[self.last]
-        self.eight = np.ndarray((n - 7,), "<u8", raw.data, 0, (1,))[at - 8]
-
-    def codes(self) -> Iterator[np.ndarray]:
+        of_piece = np.searchsorted(edge, self.bytes_of[1:] + to_raw - 1) + 1  # one after the place of each piece's last word among all
+        first = np.searchsorted(edge, self.bytes_of[:-1] + to_raw)
+        self.words_of = np.concatenate([[0], np.cumsum(of_piece - first)])
+        mine = np.arange(int(self.words_of[-1])) + np.repeat(first - self.words_of[:-1], of_piece - first)
+        self.piece = np.repeat(np.arange(len(some)), of_piece - first)
+        self.last = edge[mine] - to_raw[self.piece]  # the place, among the bytes to predict, of what ends it
+        self.size = length[mine] + 1
+        every = np.zeros(len(edge), np.uint64)
+        near = np.unique(np.concatenate([mine, mine - 1, mine - 2]))
+        every[near] = mix(hash_ranges(raw, begin[near], edge[near]), 70)
+        self.hash = every[mine]
+        self.expecting = mix(mix(every[mine - 2]) + every[mine - 1], 71) >> U64(64 - bits)  # the name of the two words before
+        self.ending = ((self.hash + (raw[edge[mine]] == END)) * U64(_ODD) >> U64(48)).astype(np.uint16)  # the word and what ends it
+
+    def codes(self, part: slice = slice(None)) -> Iterator[np.ndarray]:
         """For each kind the code of the (context, byte) at each byte to predict: the name's first bits, the byte's rank."""
         for kind in range(KINDS):
-            name = mix(self.word if kind == WORD else self.eight >> U64(64 - 8 * ORDERS[kind]), 60 + kind)
+            name = mix(self.word[part] if kind == WORD else self.eight[part] >> U64(64 - 8 * ORDERS[kind]), 60 + kind)
             name >>= U64(64 - self.bits)
             name <<= U64(8)
-            name |= self.rank
+            name |= self.rank[part]
             yield name
 
 
+class Block:
+    """The normalised texts of a block, the longest first, in pieces and these in groups of a limited size."""
+
+    def __init__(self, texts: list[bytes], learned: np.ndarray, rank: np.ndarray, bits: int, options: Options):
+        self.size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.order = np.argsort(-self.size, kind="stable")
+        cut = pieces([texts[i] for i in self.order.tolist()], options.step_bytes)
+        run = np.cumsum([len(p.body) for p in cut]) // (2 * options.block_bytes)
+        self.groups = [[cut[i] for i in mine.tolist()] for mine in np.split(np.arange(len(cut)), np.flatnonzero(np.diff(run)) + 1)]
+        self.learned = [learned[self.order[[p.text for p in mine]]] for mine in self.groups]
+        self._make = lambda mine: Sequence(mine, rank, bits)
+        self._only = self._make(self.groups[0]) if len(self.groups) == 1 else None
+
+    def sequences(self) -> Iterator[Sequence]:
+        for mine in self.groups:
+            yield self._only or self._make(mine)
+
+
 @dataclass
 class Listed:
     """What some texts have of each sort, sorted and distinct, and how often those that are learned from have it."""
@@ -246,11 +254,9 @@ def _expected(names: np.ndarray, expected: np.ndarray, came: np.ndarray, every:
     return names[first], least, np.add.reduceat(np.where(same, came, 0), first), np.add.reduceat(every, first)
 
 
-def listed(alphabet: Alphabet, texts: list[bytes], learned: np.ndarray, bits: int, options: Options) -> Listed:
-    """What the normalised texts have; those that aren't ``learned`` from are counted 0 times."""
-    cut = pieces(texts, options.block_bytes)
-    groups = np.split(np.arange(len(cut)), np.flatnonzero(np.diff(np.cumsum([len(p.body) for p in cut]) // (2 * options.block_bytes))) + 1)
-    found = [_listed(Sequence([cut[i] for i in mine], alphabet.rank, bits), learned[[cut[i].text for i in mine]]) for mine in groups if len(mine)]
+def listed(block: Block) -> Listed:
+    """What the block's texts have; those that aren't learned from are counted 0 times."""
+    found = [_listed(seq, learned) for seq, learned in zip(block.sequences(), block.learned)]
     if len(found) == 1:
         return found[0]
     both = [_distinct([f.codes[k] for f in found], [f.times[k] for f in found]) for k in range(KINDS)]
@@ -260,28 +266,33 @@ def listed(alphabet: Alphabet, texts: list[bytes], learned: np.ndarray, bits: in
 
 
 def _listed(seq: Sequence, learned: np.ndarray) -> Listed:
-    other = np.repeat(~learned, seq.size).astype(np.uint64)
+    other = np.repeat(~learned, np.diff(seq.bytes_of))
     codes, times = [], []
     for code in seq.codes():
         code <<= U64(1)
         code |= other
         code.sort()
-        mine = code & U64(1) == 0
-        code >>= U64(1)
-        both = _summed(code, mine)
-        codes.append(both[0])
-        times.append(both[1])
+        first = _runs(code >> U64(1))
+        codes.append(code[first] >> U64(1))
+        # A run's training texts come first; where its last is one, all are.
+        stop = np.append(first[1:], len(code))
+        n = stop - first
+        mixed = np.flatnonzero(code[stop - 1] & U64(1) == 1)
+        n[mixed] = np.searchsorted(code, codes[-1][mixed] << U64(1) | U64(1)) - first[mixed]
+        times.append(n)
     mine = learned[seq.piece]
     # Sorted by name, learned first, word: of each name the first is the least word of those that are learned.
     after = seq.expecting << U64(17) | (~mine).astype(np.uint64) << U64(16) | seq.ending
     after.sort()
-    first, names = _runs(after >> U64(17)), after >> U64(17)
+    names = after >> U64(17)
+    first = _runs(names)
     once, n = _summed(after, np.ones(len(after), np.int64))
     held = after[first] & U64(1 << 16) != 0
     every = np.add.reduceat(after & U64(1 << 16) == 0, first, dtype=np.int64)
     came = np.where(held, 0, n[np.searchsorted(once, after[first])])
     expected = np.where(held, 0, after[first] & U64(0xFFFF)).astype(np.uint16)
-    words = _distinct([seq.hash[seq.full]], [mine[seq.full].astype(np.int64)])
+    full = seq.size > 1
+    words = _distinct([seq.hash[full]], [mine[full].astype(np.int64)])
     return Listed(codes, times, names[first], expected, came, every, *words)
 
 
@@ -435,79 +446,81 @@ class Model:
         self.codes, self.names = [Lookup(c) for c in found.codes], Lookup(found.names)
         self.expected, self.sure = expected, sure
 
-    def rows(self, some: list[Piece], last: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
-        """(8 bytes for each decision, as ``Mixer.run`` has them; decisions of each piece; how the last expected word went).
+    def rows(self, seq: Sequence, a: int, b: int, last: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+        """For the pieces a to b of ``seq``: (8 bytes for each decision, as ``Mixer.run`` has them; decisions of each piece;
+        how the last expected word went).
 
         ``last``: how the last expected word before the first piece went (0: there is none, 1: it came, 2: another came).
         """
-        seq = Sequence(some, self.alphabet.rank, self.bits)
-        at = self.names.find(seq.expecting)
-        sure = self.sure[at]
+        words, part = slice(seq.words_of[a], seq.words_of[b]), slice(seq.bytes_of[a], seq.bytes_of[b])
+        at = self.names.find(seq.expecting[words])
+        sure, size, piece = self.sure[at], seq.size[words], seq.piece[words] - a
         asked = sure > 0
-        came = asked & (self.expected[at] == seq.ending)
+        came = asked & (self.expected[at] == seq.ending[words])
         # How the last expected word before each word of its text went.
-        went = np.where(asked, np.where(came, 1, 2), 0)
-        begins = np.concatenate([[True], seq.piece[1:] != seq.piece[:-1]])
-        marks = np.arange(len(went)) * (asked | begins)
-        before = np.concatenate([[0], np.maximum.accumulate(marks)[:-1]])
-        went_before = np.where(begins, 0, went[before])
-        went_before[0] = last
-        spelled = np.repeat(~came, seq.last - seq.first + 1)
-        letters = np.flatnonzero(spelled)
+        begins = np.concatenate([[True], piece[1:] != piece[:-1]])
+        marks = np.maximum.accumulate(np.where(asked | begins, np.arange(len(came)), 0))
+        before = np.concatenate([[0], np.where(asked, np.where(came, 1, 2), 0)[marks[:-1]]])
+        before = np.where(begins, 0, before)
+        before[: int(np.argmax(asked)) + 1 if asked.any() else None] = last
         # Elements: for each word whether it is the expected one, if one is, then its bytes, if it isn't.
-        word = np.repeat(np.arange(len(came), dtype=np.int32), seq.last - seq.first + 1)[letters]
-        questions = np.cumsum(asked)
-        where = np.arange(len(letters)) + questions[word]
+        letters = np.flatnonzero(np.repeat(~came, size))
+        word = np.repeat(np.flatnonzero(~came), size[~came])
         ask = np.flatnonzero(asked)
-        bytes_before = np.concatenate([[0], np.cumsum(np.where(came, 0, seq.last - seq.first + 1))])
-        where_asked = bytes_before[ask] + np.arange(len(ask))
+        where = np.arange(len(letters)) + np.cumsum(asked)[word]
+        spelled = np.where(came, 0, size)
+        where_asked = (np.cumsum(spelled) - spelled)[ask] + np.arange(len(ask))
         total = len(letters) + len(ask)
+        rank = seq.rank[part][letters]
         length = np.ones(total, np.int64)
-        rank = seq.rank[letters]
         length[where] = self.alphabet.length[rank]
+        begin = np.cumsum(length) - length
         of = np.repeat(np.arange(total, dtype=np.int32), length)
         depth = np.arange(len(of), dtype=np.int32)
-        begin = np.cumsum(length) - length
         depth -= begin.astype(np.int32)[of]
         rows = np.zeros((len(of), 8), np.uint8)
-        for kind, code in enumerate(seq.codes()):
-            start = np.full(total, len(self.odds[kind]) - 1, np.int32)
+        start = np.empty(total, np.int32)
+        for kind, code in enumerate(seq.codes(part)):
+            start.fill(len(self.odds[kind]) - 1)
             start[where] = self.begin[kind][self.codes[kind].find(code[letters])]
             rows[:, kind] = self.odds[kind][start[of] + depth]
-        start = np.zeros(total, np.int32)
+        start.fill(0)
         start[where] = self.alphabet.offset[rank]
         rows[:, KINDS] = self.alphabet.bits[start[of] + depth]
-        known = np.minimum(rows[:, WORD] >> 6, 2)
         missed = np.zeros(total, np.uint8)
-        missed[where] = 3 * (asked[word])
-        rows[:, KINDS + 1] = known + missed[of]
-        q = begin[where_asked]
-        own = sure[ask]
+        missed[where] = 3 * asked[word]
+        rows[:, KINDS + 1] = np.minimum(rows[:, WORD] >> 6, 2) + missed[of]
+        q, own = begin[where_asked], sure[ask]
         rows[q, 0] = np.where(came[ask], own, (own & 192) + 64 - (own & 63))
         rows[q, KINDS] = came[ask]
-        rows[q, KINDS + 1] = BYTE_GATES + 3 * ((own >> 6) - 1) + went_before[ask]
-        n = np.bincount(seq.piece, asked, len(some)).astype(np.int64)
-        np.add.at(n, seq.piece, np.add.reduceat(np.where(spelled, self.alphabet.length[seq.rank], 0), seq.first))
-        return rows, n, int(went[-1] or went_before[-1])
-
-    def bits_of(self, texts: list[bytes]) -> np.ndarray:
-        """The negative log2 probability of each normalised text and its end."""
-        step, out = self.options.step_bytes, np.zeros(len(texts))
-        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        for i in np.flatnonzero(size > step).tolist():
-            mixer, last = Mixer(1, self.options), 0
-            for piece in pieces([texts[i]], step):
-                rows, n, last = self.rows([piece], last)
-                out[i] += mixer.run(rows, n)[0]
-        order = np.argsort(-size, kind="stable")
-        order = order[size[order] <= step]
-        for mine in np.split(order, np.flatnonzero(np.diff(np.cumsum(size[order]) // step)) + 1):
-            if len(mine):
-                out[mine] = self._together([texts[i] for i in mine])
+        rows[q, KINDS + 1] = BYTE_GATES + 3 * ((own >> 6) - 1) + before[ask]
+        n = np.bincount(piece, asked, b - a)
+        n += np.bincount(piece[word], self.alphabet.length[rank], b - a)
+        return rows, n.astype(np.int64), (1 if came[ask[-1]] else 2) if len(ask) else last
+
+    def bits_of(self, block: Block) -> np.ndarray:
+        """The negative log2 probability of each text of the block and its end."""
+        step, out = self.options.step_bytes, np.zeros(len(block.size))
+        text, mixer, last = -1, None, 0
+        for seq, mine in zip(block.sequences(), block.groups):
+            run = (seq.bytes_of[:-1] // step).tolist()
+            a = 0
+            while a < seq.count:
+                b = a + 1
+                if block.size[block.order[mine[a].text]] > step:  # a long text's pieces, one after another
+                    if mine[a].text != text:
+                        text, mixer, last = mine[a].text, Mixer(1, self.options), 0
+                    rows, n, last = self.rows(seq, a, b, last)
+                    out[block.order[text]] += mixer.run(rows, n)[0]
+                else:
+                    while b < seq.count and run[b] == run[a]:
+                        b += 1
+                    out[block.order[[p.text for p in mine[a:b]]]] = self._together(seq, a, b)
+                a = b
         return out
 
-    def _together(self, texts: list[bytes]) -> np.ndarray:
-        rows, n, _ = self.rows(pieces(texts, self.options.step_bytes))
+    def _together(self, seq: Sequence, a: int, b: int) -> np.ndarray:
+        rows, n, _ = self.rows(seq, a, b)
         rank = np.argsort(-n, kind="stable")
         begin = np.cumsum(n) - n
         where = np.arange(len(rows)) + np.repeat(begin[rank] - (np.cumsum(n[rank]) - n[rank]), n[rank])
@@ -619,7 +632,7 @@ def _listed_rows(packed: DataFrame, alphabet, bits: int, buckets: int, options:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
                 table = _unpacked(data)
-                found = listed(alphabet.value, as_bytes(table.column("text")), ~table.column("held").to_numpy(), bits, options)
+                found = listed(Block(as_bytes(table.column("text")), ~table.column("held").to_numpy(), alphabet.value.rank, bits, options))
                 del table, data
                 cuts = Cuts(found, buckets, bits)
                 for k in range(buckets):
@@ -637,7 +650,7 @@ def _listed_rows(packed: DataFrame, alphabet, bits: int, buckets: int, options:
 
 def _answers(rows: DataFrame, alphabet, seen: float) -> DataFrame:
     """For each row of ``_listed_rows`` what all training texts know: the state bytes along its codes' paths, the words
-    expected after its two words and their state bytes, its words' counts; known: how many words of the bucket training
+    expected after its two words (by how they differ from the row's) and their state bytes, its words' counts; known: how many words of the bucket training
     texts have, in one of its rows."""
 
     def add_up(table: pa.Table) -> pa.Table:
@@ -654,7 +667,8 @@ def _answers(rows: DataFrame, alphabet, seen: float) -> DataFrame:
         names, expected, came, every = _expected(*(np.concatenate(x) for x in (own, plain("expected", np.uint16), counts("came"), counts("every"))))
         sure = _state_bytes(*states(came, every, seen))
         at = [np.searchsorted(names, x) for x in own]
-        after, sures = ([press.compress(x[i].tobytes()) for i in at] for x in (np.where(sure > 0, expected, 0).astype(np.uint16), sure))
+        after = [press.compress((x ^ expected[i]).tobytes()) for i, x in zip(at, plain("expected", np.uint16))]
+        sures = [press.compress(sure[i].tobytes()) for i in at]
         own = opened("codes")
         every, times = _distinct(own, counts("times"))
         begin, odds = log_odds(alphabet.value, every, times, seen)
@@ -687,19 +701,24 @@ def _block_model(alphabet: Alphabet, found: Listed, answered: pa.Table, bits: in
             at += b - a
         if at != len(paths):
             raise RuntimeError("the answers are not those of the block's contexts")
-        expected[cuts.of(cuts.names, bucket)], sure[cuts.of(cuts.names, bucket)] = after, sures
+        here = cuts.of(cuts.names, bucket)
+        expected[here], sure[here] = after ^ found.expected[here], sures
         counts[cuts.of(cuts.words, bucket)] = times
     return Model(alphabet, found, odds, expected, sure, bits, options), counts
 
 
-def base_scores(texts: list[bytes], words: np.ndarray, counts: np.ndarray, ends: int, all_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words and end, how many of them are known, add-one score) of each normalised text, with the counts of the words' sorted hashes."""
-    seq = Sequence(pieces(texts, max(1, max(map(len, texts)))), np.zeros(256, np.uint8), 32)
-    n = counts[np.searchsorted(words, seq.hash[seq.full])]
-    text = seq.piece[seq.full]
-    size = len(texts)
-    score = np.bincount(text, np.log10((n + 1) / all_), size) + math.log10((ends + 1) / all_)
-    return np.bincount(text, minlength=size) + 1, np.bincount(text, n > 0, size).astype(np.int64) + (ends > 0), score
+def base_scores(block: Block, words: np.ndarray, counts: np.ndarray, ends: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words and end, how many of them are known, add-one score) of each text, with the counts of the words' sorted hashes."""
+    size = len(block.size)
+    n_words, known, score = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size)
+    for seq, mine in zip(block.sequences(), block.groups):
+        full = seq.size > 1
+        n = counts[np.searchsorted(words, seq.hash[full])]
+        text = block.order[[p.text for p in mine]][seq.piece[full]]
+        n_words += np.bincount(text, minlength=size)
+        known += np.bincount(text, n > 0, size).astype(np.int64)
+        score += np.bincount(text, np.log10((n + 1) / every), size)
+    return n_words + 1, known + (ends > 0), score + math.log10((ends + 1) / every)
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column | None = None, options: Options = Options()) -> DataFrame:
@@ -719,7 +738,6 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
     bits = min(44, max(24, size.bit_length() + options.spare_bits))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // options.bucket_bytes)
     answers = written(_answers(_listed_rows(packed, alphabet, bits, buckets, options), alphabet, options.seen))
-    discard()
     v = (answers.agg(F.sum("known").alias("v")).first()["v"] or 0) + (ends > 0)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(c, t) for c, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType())))])
 
@@ -728,13 +746,15 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
         rows = _unpacked(table.column("data")[0].as_py())
         ids, helds, clean = rows.column("id"), rows.column("held"), as_bytes(rows.column("text"))
         del table, rows
-        found = listed(alphabet.value, clean, np.zeros(len(clean), bool), bits, options)
+        block = Block(clean, ~helds.to_numpy(), alphabet.value.rank, bits, options)
+        sizes = block.size
+        del clean
+        found = listed(block)
         model, counts = _block_model(alphabet.value, found, answered, bits, buckets, options)
-        base = base_scores(clean, found.words, counts, ends, n + v + 1)
+        base = base_scores(block, found.words, counts, ends, n + v + 1)
         del found, answered
-        cost = model.bits_of(clean)
-        sizes = np.fromiter(map(len, clean), np.int64, len(clean)) + 1
+        cost = model.bits_of(block)
         n_tokens, hit, base_score = (pa.array(x) for x in base)
-        return pa.table([ids, helds, n_tokens, hit, pa.array(np.full(len(clean), n)), base_score, pa.array(-cost * math.log10(2)), pa.array(cost / sizes)], names=schema.names)
+        return pa.table([ids, helds, n_tokens, hit, pa.array(np.full(len(sizes), n)), base_score, pa.array(-cost * math.log10(2)), pa.array(cost / sizes)], names=schema.names)
 
     return packed.select("block", "data").groupBy("block").cogroup(answers.drop("known").groupBy("block")).applyInArrow(score_texts, schema)

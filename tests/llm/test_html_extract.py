@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from framewright.llm import html_extract
 
@@ -44,3 +45,48 @@ def test_table(spark):
     assert got[:4] == [(1, "u", TEXT, len(TEXT)), (1, "u", TEXT, len(TEXT)), (None, None, "", 0), (2, "v", "", 0)]
     assert got[6][2] == " ".join(["word <b>"] * 3000)
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+ARTICLE = "<article><p>One {} more words here.</p><p>Two is here.</p><p>Three is here.</p></article>"
+
+
+def test_marked_inline_elements_end_with_their_own_tag():
+    without = "One more words here. Two is here. Three is here."
+    for part in ("<i class='icon' aria-hidden='true'></i>", "<span class='ad'>Buy now</span>", "<a class='tags' href=x>tag</a>", "<span class=share><span>x</span> y</span>", "<span hidden>no</span>", "<span class=ad/>", "<b style='display: none'>no</b>"):
+        assert html_extract.main_text(ARTICLE.format(part)) == without, part
+    assert html_extract.main_text(ARTICLE.format("<span class=ad>Buy")) == "One Two is here. Three is here."
+    for part, text in (("<code><span class=comment># c</span></code>", "# c"), ("<math><mi>x</mi> <mo>=</mo></math>", "x ="), ("<b class=icon>kept</b>", "kept"), ("<time>now</time>", "now")):
+        assert html_extract.main_text(ARTICLE.format(part)) == without.replace("One", "One " + text), part
+    assert html_extract.main_text("<article><p>One.</p><figure><img src=a><figcaption>A caption of it.</figcaption></figure><p>Two.</p></article>") == "One. A caption of it. Two."
+
+
+def test_quotes_in_and_out_of_attribute_values():
+    for opening in ("<p title=it's>", "<p title=5\">", "<p title='a>b'>", '<p title="it\'s > that">', "<p ' \">", "<p a=b=c'd e=\"f\">", '<p title="x>', "<p title=>", "<p = title>"):
+        text = html_extract.main_text(f"<article>{opening}One isn't one.</p><p>Two.</p><p>Three.</p></article>")
+        assert text == "One isn't one. Two. Three.", opening
+
+
+def test_planted_pages():
+    """Random pages with known text: article blocks with inline markup among menus, adverts, comments and hidden parts."""
+    rng = random.Random(11)
+    sentence = lambda n: " ".join(rng.choice("bright water over stones runs down all day long".split()) for _ in range(n)) + "."
+    noise = [lambda: f"<nav><ul><li><a href=x>{sentence(2)}</a></ul></nav>", lambda: f"<div class='ad-box'><p>{sentence(9)}</p></div>", lambda: f"<aside>{sentence(5)}</aside>", lambda: "<script>if (a < b) { c('</p>') }</script>", lambda: f"<p hidden>{sentence(8)}</p>", lambda: f"<form><label>{sentence(3)}</label><input></form>"]
+    inline = ["<b>%s</b>", "<a href='y'>%s</a>", "<em title=it's>%s</em>", "%s<i class=icon aria-hidden=true></i>", "<span class='share'>no</span> %s", "%s"]
+    for _ in range(60):
+        body, text = [], []
+        for _ in range(rng.randrange(2, 9)):
+            if rng.random() < 0.35:
+                body.append(rng.choice(noise)())
+            words = sentence(rng.randrange(12, 40))
+            head, tail = words[: len(words) // 2].rsplit(" ", 1)[0], words[len(words[: len(words) // 2].rsplit(" ", 1)[0]) + 1 :]
+            body.append(f"<p>{head} {rng.choice(inline) % tail}</p>")
+            text.append(words)
+        page = f"<html><body><header><a href=/>{sentence(3)}</a></header><article>{''.join(body)}</article><section class=comments><p>{sentence(20)}</p></section><footer>{sentence(6)}</footer></body></html>"
+        assert html_extract.main_text(page) == " ".join(text)
+
+
+def test_hostile_pages_take_time_in_proportion():
+    for page in ("<a " * 200_000, "<a x=\"'" * 100_000, "<div>" * 50_000 + "x", "<!--" * 100_000, "<p>" + "a<b " * 100_000, "</div>" * 100_000, "<script>" * 100_000):
+        began = time.perf_counter()
+        html_extract.main_text(page)
+        assert time.perf_counter() - began < 20, page[:8]
