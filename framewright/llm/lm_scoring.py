@@ -4,7 +4,7 @@ A text's words, ASCII-lower-cased, joined by one space and closed by an end (a l
 decisions. Where the training texts know the two words before, the first decision is whether the word (with what ends it)
 is the one expected after them. A word that isn't is a string of bytes, each a path of decisions in a Huffman tree over all
 256 bytes. Decisions are predicted under hashed contexts: whether the expected word comes under the two words before, bytes
-under the last three and five bytes and the word so far. A predictor's input is the log odds of how often the training
+under the last four bytes and the word so far. A predictor's input is the log odds of how often the training
 texts went either way there. The inputs are added with weights; a gate, what is known there and how the last decision of
 its sort went, says which set of weights. All sets start from equal weights and move along the gradient after every
 ``chunk`` decisions of the text, from its first to its last, and so does a table that refines the sum by an offset for each
@@ -43,7 +43,7 @@ from .common import U64, as_bytes, give_back, hash_ranges, mix, plan_bytes, slic
 
 SPACE, END = 0x20, 0x0A  # the end is never in a normalised text
 PAD = 8  # ends before each piece, so that no context holds another text
-ORDERS = (3, 5)
+ORDERS = (4,)
 KINDS = len(ORDERS) + 1
 WORD = KINDS - 1  # the kind of the word so far
 _KIND = 60  # the first bit of a context's kind in its code; the byte's rank has the last 8
