@@ -20,11 +20,12 @@ def frame_schema(config: RenderConfig) -> T.StructType:
 
 
 def conform(df: DataFrame, config: RenderConfig) -> DataFrame:
-    """``df`` with the schema of the configuration, metadata included, which expressions lose."""
+    """``df`` with the schema of the configuration, metadata included, which expressions lose; a null fails where it is read."""
     frame, sample = frame_schema(config).fields
+    given = lambda c, what, none: F.coalesce(c, F.raise_error(F.lit(what)).cast(none.dataType), F.lit(0).cast(none.dataType))
     return df.select(
-        F.coalesce("frame", F.lit(0).cast("long")).alias("frame", metadata=frame.metadata),
-        F.coalesce("sample", F.lit(0.0).cast("float")).alias("sample", metadata=sample.metadata),
+        given("frame", "null frame index", frame).alias("frame", metadata=frame.metadata),
+        given("sample", "null sample", sample).alias("sample", metadata=sample.metadata),
     )
 
 

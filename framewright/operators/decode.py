@@ -50,18 +50,24 @@ class FrameDecoder:
 
 
 def ordered_batches(df: DataFrame, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """The rows by frame, a partition at a time on the driver."""
-    frames, samples = [], []
+    """The rows by frame, a range of frames at a time on the driver, in Arrow batches of at most ``rows``."""
+    packed = df.select("frame", "sample").orderBy("frame").mapInArrow(_packed(rows), "rows binary")
+    for row in packed.toLocalIterator(prefetchPartitions=True):
+        yield from pa.ipc.open_stream(row[0])
+
+
+def _packed(rows: int):
     schema = pa.schema([("frame", pa.int64()), ("sample", pa.float32())])
-    batch = lambda: pa.RecordBatch.from_arrays([pa.array(frames, pa.int64()), pa.array(samples, pa.float32())], schema=schema)
-    for row in df.select("frame", "sample").orderBy("frame").toLocalIterator(prefetchPartitions=True):
-        frames.append(row[0])
-        samples.append(row[1])
-        if len(frames) == rows:
-            yield batch()
-            frames.clear(), samples.clear()
-    if frames:
-        yield batch()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, rows):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, schema) as out:
+                    out.write_batch(batch.slice(a, rows).cast(schema))
+                yield pa.RecordBatch.from_pydict({"rows": [sink.getvalue().to_pybytes()]})
+
+    return run
 
 
 def decode(df: DataFrame, config: RenderConfig) -> np.ndarray:

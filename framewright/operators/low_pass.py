@@ -4,7 +4,7 @@ With L(n) the decay summed up to frame n (in nepers), the filter's output is the
 Frames are cut where L passes a multiple of SPAN. Within a part, a running window sum of a x exp(L - start) gives the
 output up to a factor; the part before is added through its total; what lies further back weighs less than exp(-SPAN).
 Parts of low cutoffs span many frames; they are cut into pieces of PIECE frames, whose totals are summed first. So no
-window holds more than PIECE rows, or the pieces of one part.
+window holds more than PIECE rows, or the pieces of one part. A frame that comes twice falls in one piece, where it fails.
 """
 
 from __future__ import annotations
@@ -20,6 +20,13 @@ SPAN = 300.0
 PIECE = 1 << 16
 
 
+def _ascending(running: Window) -> Column:
+    """The frame; a task that meets a negative one, or the one before it again, fails."""
+    frame, before = F.col("frame"), F.lag("frame").over(running)
+    said = F.concat(F.lit("low pass: out-of-order frame "), frame.cast("string"), F.lit(" after "), F.coalesce(before, F.lit(-1)).cast("string"))
+    return F.when((frame < 0) | (before >= frame), F.raise_error(said)).otherwise(frame)
+
+
 def decayed_sum(rows: DataFrame, term: Column, decay: Column, out: str = "y") -> DataFrame:
     """``rows`` (with a column frame) and ``out``, the sum over frames up to each of term * exp(decay there - decay here).
 
@@ -27,8 +34,8 @@ def decayed_sum(rows: DataFrame, term: Column, decay: Column, out: str = "y") ->
     """
     part = F.floor(decay / F.lit(SPAN))
     cut = rows.withColumns({"_decay": decay, "_part": part, "_piece": F.floor(F.col("frame") / F.lit(PIECE))}).withColumn("_term", term * F.exp(F.col("_decay") - F.lit(SPAN) * F.col("_part")))
-    running = Window.partitionBy("_part", "_piece").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    summed = cut.withColumn("_sum", F.sum("_term").over(running))
+    by = Window.partitionBy("_part", "_piece").orderBy("frame")
+    summed = cut.withColumns({"_sum": F.sum("_term").over(by.rowsBetween(Window.unboundedPreceding, 0)), "_frame": _ascending(by)}).withColumn("frame", F.col("_frame")).drop("_frame")
     totals = summed.groupBy("_part", "_piece").agg(F.max_by("_sum", "frame").alias("_total"))
     ahead = Window.partitionBy("_part").orderBy("_piece")
     carried = totals.select("_part", "_piece", F.coalesce(F.sum("_total").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
@@ -45,8 +52,8 @@ def prefix_sum(rows: DataFrame, value: Column, out: str) -> DataFrame:
     The window over totals has one row for PIECE frames.
     """
     cut = rows.withColumns({"_piece": F.floor(F.col("frame") / F.lit(PIECE)), "_value": value})
-    running = Window.partitionBy("_piece").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    summed = cut.withColumn("_sum", F.sum("_value").over(running))
+    by = Window.partitionBy("_piece").orderBy("frame")
+    summed = cut.withColumns({"_sum": F.sum("_value").over(by.rowsBetween(Window.unboundedPreceding, 0)), "_frame": _ascending(by)}).withColumn("frame", F.col("_frame")).drop("_frame")
     totals = summed.groupBy("_piece").agg(F.max_by("_sum", "frame").alias("_total"))
     before = Window.partitionBy(F.lit(0)).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_piece", F.coalesce(F.sum("_total").over(before), F.lit(0.0)).alias("_before"))
