@@ -25,9 +25,12 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where the session names none."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where the session names none, a temporary one if all
+    executors are in this process; else it fails, as a folder of one machine would be lost to the others."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="framewright-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -14,6 +14,9 @@ def connected(links: DataFrame) -> DataFrame:
     Each round moves every vertex to the least of itself and its neighbours by a hash of their ids and links what they
     moved to; the hash lets long chains shrink by a constant share a round. A vertex with many links meets no task alone:
     minima are combined before the shuffle, and the joins are with written tables, whose skewed partitions Spark splits.
+
+    Cases: repeated links and links of a vertex with itself change nothing (a vertex with only such links has no row); a link
+    with a null end is none; an empty table gives an empty one; roots are vertices, which one of a component isn't stated.
     """
     edges = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = None

@@ -4,14 +4,16 @@ Candidates come from prefix filtering under several global token orders. If J(x,
 the first n - ceil(t n) + 1 of each under any one order of all tokens. Under the first order, by hash, the tokens of
 prefixes (and those that several sets of a slice have) are only counted; the second order has the tokens that were counted
 often last, by their counts. Sets that share a prefix
-token under it are brought together. Before two sets are compared, their parity bitmaps must allow the similarity and they
-must also share a prefix token under each further order (other hashes); what passes all filters is verified exactly.
+token under it are brought together; of these only pairs go on whose parity bitmaps allow the similarity and that share a
+prefix token under each further order (other hashes) too, known by 16 bits. Only for what passes all filters the sets
+themselves are read and compared exactly.
 
 Equal sets are one vertex, however many texts have it. Sets with a common prefix token are a bucket; each slice of the
 input lists a token once, so a token has no more rows in one task than there are slices. In rounds, each bucket's leader
 (first the set with the most shared tokens, then others by hash) is compared with those of the bucket that are in other
-components, and leaves it; buckets all in one component are done. When few pairs are left, each of them is compared once. So no
-link between components is lost. Then all pairs of distinct sets within a component are compared, each once, in blocks, and
+components, and leaves it; buckets all in one component are done. When few pairs are left, or a round settles little,
+the rest of each bucket is split into parts, and each pair of parts is a task that passes on the pairs whose bitmaps allow
+the similarity. So no link between components is lost, and no bucket meets one task. Then all pairs of distinct sets within a component are compared, each once, in blocks, and
 each text's links are counted; ``keep_one`` needs components only and leaves this out.
 
 Words are ASCII-lower-cased. A text with fewer words than a shingle has one shingle, all its words.
@@ -31,7 +33,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,7 +61,7 @@ class Options:
     #: this share of them.
     pairs_per_row: int = 4
     settled: float = 0.15
-    #: How many sets of a component are compared with as many others at once.
+    #: How many sets of a component, or of what is left of a bucket, are compared with as many others at once.
     block: int = 512
 
 
@@ -121,6 +123,26 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(hit.astype(np.uint8)).view(np.int64)
 
 
+def firsts(tokens: np.ndarray, options: Options) -> bytes:
+    """For each further order the first tokens under it, by 16 bits, sorted and distinct; the orders' numbers of them ahead.
+
+    Equal tokens have equal bits, so sets without a common number have no common prefix token.
+    """
+    size = prefix_size(len(tokens), options.percent)
+    found = [np.unique((np.partition(mix(tokens, 20 + k), size - 1)[:size] & np.uint64(0xFFFF)).astype("<u2")) for k in range(options.orders)] if size else []
+    return np.array([len(f) for f in found], "<u4").tobytes() + b"".join(f.tobytes() for f in found)
+
+
+def share_firsts(x: bytes, y: bytes, options: Options) -> bool:
+    """Whether two sets' ``firsts`` have a number in common under each further order."""
+    a = b = 4 * options.orders
+    for n, m in zip(np.frombuffer(x, "<u4", options.orders).tolist(), np.frombuffer(y, "<u4", options.orders).tolist()):
+        if not _common(np.frombuffer(x, "<u2", n, a), np.frombuffer(y, "<u2", m, b)):
+            return False
+        a, b = a + 2 * n, b + 2 * m
+    return True
+
+
 def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
     """False only for sets that aren't similar: J >= t means that at most (1 - t) / (1 + t) of both sizes' sum differs."""
     if len(x) > len(y):
@@ -130,12 +152,12 @@ def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
     return (100 + percent) * int(np.bitwise_count(a ^ b).sum()) <= (100 - percent) * (n + m)
 
 
-_DIGEST = "doc_id long, sid long, n int, parity binary, sketch array<long>, tok long, sets int"
+_DIGEST = "doc_id long, sid long, n int, copy long, parity binary, firsts binary, sketch array<long>, tok long, sets int"
 _ROWS = "tok long, sid long, n int, first boolean, others boolean"
 
 
 def _digest(docs: DataFrame, options: Options) -> DataFrame:
-    """A row (doc_id, sid, n, parity) for each text; for each slice a row (tok, sets) for each
+    """A row (doc_id, sid, n, copy: the text's hash, and what filters need) for each text; for each slice a row (tok, sets) for each
     token that is in the first prefix of one of its sets, or in several of its sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,13 +172,11 @@ def _digest(docs: DataFrame, options: Options) -> DataFrame:
                 counted[np.searchsorted(every, sets[i][: -(-prefix_size(len(sets[i]), options.percent) * (100 + options.counted_percent) // 100)])] = True
             every, times = every[counted], times[counted].astype(np.int32)
             k, m = len(sets), len(every)
-            none = pa.nulls
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([part.column("doc_id"), none(m, pa.int64())]), pa.concat_arrays([pa.array(signed(names), mask=sizes == 0), none(m, pa.int64())]),
-                 pa.concat_arrays([pa.array(sizes), none(m, pa.int32())]), pa.concat_arrays([pa.array([parities(x) for x in sets], pa.binary()), none(m, pa.binary())]),
-                 pa.concat_arrays([pa.array([sketch(x) for x in sets], pa.list_(pa.int64())), none(m, pa.list_(pa.int64()))]), pa.concat_arrays([none(k, pa.int64()), pa.array(signed(every))]), pa.concat_arrays([none(k, pa.int32()), pa.array(times)])],
-                ["doc_id", "sid", "n", "parity", "sketch", "tok", "sets"],
-            )
+            after = lambda column: pa.concat_arrays([column, pa.nulls(m, column.type)])
+            of_text = [part.column("doc_id"), pa.array(signed(names), mask=sizes == 0), pa.array(sizes), part.column("copy"), pa.array([parities(x) for x in sets], pa.binary()),
+                       pa.array([firsts(x, options) for x in sets], pa.binary()), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))]
+            of_token = [pa.concat_arrays([pa.nulls(k, c.type), c]) for c in (pa.array(signed(every)), pa.array(times))]
+            yield pa.RecordBatch.from_arrays([*map(after, of_text), *of_token], ["doc_id", "sid", "n", "copy", "parity", "firsts", "sketch", "tok", "sets"])
 
     return docs.mapInArrow(run, _DIGEST)
 
@@ -184,8 +204,9 @@ def _prefix_rows(docs: DataFrame, frequent, options: Options) -> DataFrame:
 
 def _sets(docs: DataFrame, vertices: DataFrame, wanted: DataFrame, options: Options) -> DataFrame:
     """(sid, tokens: the set as 8-byte numbers) for the sets in ``wanted`` (sid), each read from one text."""
-    source = vertices.select("sid", F.col("doc_id").alias("source")).join(wanted.distinct(), "sid", "left_semi")
-    chosen = docs.join(source, F.col("doc_id").eqNullSafe(F.col("source"))).select("sid", "text")
+    source = vertices.select("sid", F.col("doc_id").alias("source"), F.col("copy").alias("source_copy")).join(wanted.distinct(), "sid", "left_semi")
+    # By id and text: rows without an id, or that share one, have their own text's set only.
+    chosen = docs.join(source, F.col("doc_id").eqNullSafe(F.col("source")) & (F.col("copy") == F.col("source_copy"))).select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -196,22 +217,10 @@ def _sets(docs: DataFrame, vertices: DataFrame, wanted: DataFrame, options: Opti
     return written(chosen.mapInArrow(run, "sid long, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens")))
 
 
-def linked(x: np.ndarray, y: np.ndarray, options: Options, prefixes: dict | None = None, names: tuple = (None, None)) -> bool:
-    """Whether two sorted sets pass the further orders' filters and have the similarity."""
-    for k in range(options.orders):
-        firsts = []
-        for name, tokens in zip(names, (x, y)):
-            found = prefixes.get((name, k)) if prefixes is not None else None
-            if found is None:
-                size = prefix_size(len(tokens), options.percent)
-                found = np.sort(np.partition(mix(tokens, 20 + k), size - 1)[:size])
-                if prefixes is not None:
-                    prefixes[name, k] = found
-            firsts.append(found)
-        if not _common(*firsts):
-            return False
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have the similarity."""
     both = _common(x, y)
-    return 100 * both >= options.percent * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -228,11 +237,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, options: Options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes: dict = {}
-            keep = [
-                linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), options, prefixes, (a, b))
-                for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("a_tokens"), batch.column("b_tokens"))
-            ]
+            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), options.percent) for x, y in zip(batch.column("a_tokens"), batch.column("b_tokens"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long")
@@ -243,15 +248,16 @@ def _close(a: str, b: str, options: Options):
 
 
 def _possible(pairs: DataFrame, vertices: DataFrame, options: Options) -> DataFrame:
-    """The pairs (a, b) whose bitmaps don't rule them out."""
-    one, two = (vertices.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity")) for c in "ab")
+    """The pairs (a, b) that neither their bitmaps nor their first tokens under the further orders rule out."""
+    one, two = (vertices.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity"), F.col("firsts").alias(f"{c}_firsts")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("a_parity", "b_parity", "a_n", "b_n")))
-            yield batch.select(["a", "b"]).filter(pa.array([may_link(*row, options.percent) for row in rows], pa.bool_()))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a_parity", "b_parity", "a_n", "b_n", "a_firsts", "b_firsts")))
+            keep = [may_link(*row, options.percent) and share_firsts(x, y, options) for *row, x, y in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "a_parity", "b_parity", "a_n", "b_n").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "a_parity", "b_parity", "a_n", "b_n", "a_firsts", "b_firsts").mapInArrow(run, "a long, b long")
 
 
 def _links(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, options: Options) -> DataFrame:
@@ -285,6 +291,55 @@ def similar(x: list[np.ndarray], y: list[np.ndarray], percent: int, step: int =
     return 100 * both >= percent * (n[:, None] + m - both)
 
 
+def _across(left: DataFrame, sizes: DataFrame, vertices: DataFrame, options: Options) -> DataFrame:
+    """Of what is left of buckets (tok, sid, n, root) the pairs (a, b) across components whose sizes and sketches allow the similarity.
+
+    ``sizes``: (tok, k rows). Small buckets share a task; of a large one each pair of parts is one.
+    """
+    bins = left.count() // (4 * options.block) + 1
+    parts = F.ceil(F.col("k") / options.block).cast("int")
+    named = left.join(sizes.select("tok", parts.alias("parts")), "tok").join(vertices.select("sid", "sketch"), "sid")
+    placed = named.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    place = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("tok"), F.lit(bins))).otherwise(F.col("tok"))
+    tasks = placed.select("tok", "sid", "n", "root", "sketch", "part", (F.col("parts") == 1).alias("small"), place.alias("place"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        tok, part = table.column("tok").to_numpy(), table.column("part").to_numpy()
+        order = np.lexsort((part, tok))
+        tok, part = tok[order], part[order]
+        sid, n, root = (table.column(c).to_numpy()[order] for c in ("sid", "n", "root"))
+        bits = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)[order]
+        stop = np.searchsorted(tok, tok, "right")
+        first = np.arange(len(tok)) + 1
+        if low != high:  # rows of one part with those of the other
+            first = np.where(part == low, np.searchsorted(part, high), stop)
+        found = _close_pairs(first, stop, n.astype(np.int64), root, bits, options.percent)
+        a, b = sid[found[0]], sid[found[1]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return tasks.groupBy("small", "place", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _close_pairs(first: np.ndarray, stop: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray, percent: int, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of row i with rows first[i] to stop[i] that are in other components and whose sizes and sketches allow the similarity."""
+    count = np.maximum(stop - first, 0)
+    done, out = np.cumsum(count), []
+    a = 0
+    while a < len(count):
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + step, "right")))
+        size = count[a:b]
+        i = np.repeat(np.arange(a, b), size)
+        j = np.arange(len(i)) + np.repeat(first[a:b] - (np.cumsum(size) - size), size)
+        ok = (root[i] != root[j]) & (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
+        i, j = i[ok], j[ok]
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        ok = differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+        out.append((i[ok], j[ok]))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+
+
 def _degrees(docs: DataFrame, vertices: DataFrame, digest: DataFrame, roots: DataFrame, options: Options) -> DataFrame:
     """(sid, links): with how many texts of other sets each set's texts are linked; a written table of the sets that have links."""
     copies = digest.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"))
@@ -334,7 +389,7 @@ def _vertices(docs: DataFrame, options: Options, count_links: bool) -> tuple[Dat
     order = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[order], times[order]))
     digest = written(table.where("tok is null").select("doc_id", "sid", "n"))
-    vertices = written(table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("sketch").alias("sketch")))
+    vertices = written(table.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "copy")).alias("row"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("firsts").alias("firsts"), F.first("sketch").alias("sketch")).select("sid", "row.doc_id", "row.copy", "n", "parity", "firsts", "sketch"))
     discard(table)
 
     rows = written(_prefix_rows(docs, frequent, options))
@@ -361,16 +416,10 @@ def _vertices(docs: DataFrame, options: Options, count_links: bool) -> tuple[Dat
         if not size["rows"]:
             break
         if size["pairs"] <= options.pairs_per_row * size["rows"] or size["pairs"] > (1 - options.settled) * pairs_before:
-            # A pair is listed where its first common token of those left is.
-            earlier = Window.partitionBy("sid").orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
-            named = written(left.join(parts.select("tok"), "tok").withColumn("earlier", F.collect_list("tok").over(earlier)).join(vertices.select("sid", "sketch"), "sid"))
-            x, y = (named.select("tok", *(F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "root", "earlier", "sketch"))) for s in "xy")
-            differ = reduce(Column.__add__, (F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("y_sketch")[i])) for i in range(SKETCH)))
-            similar = differ * (100 + options.percent) <= (F.col("x_n") + F.col("y_n")) * (100 - options.percent)
-            across = x.join(y, "tok").where("x_root < y_root").where(_close("x_n", "y_n", options)).where(similar).where(~F.arrays_overlap("x_earlier", "y_earlier")).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b"))
+            across = written(_across(left, parts.select("tok", "k"), vertices, options))
             links.append(_links(docs, vertices, across, options))
             roots = connected(reduce(DataFrame.union, links))
-            discard(named)
+            discard(across)
             break
         r, pairs_before = r + 1, size["pairs"]
     discard(left)
@@ -382,7 +431,7 @@ def _vertices(docs: DataFrame, options: Options, count_links: bool) -> tuple[Dat
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", options: Options = Options(), count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, sid (of its set; null: empty) and root (one for a component; null: empty) for each row,
     and, unless ``count_links`` is false, n_links, how many other rows it is similar to. ``key`` is an integer column."""
-    docs = df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text"))
+    docs = df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text"), F.xxhash64(df[text]).alias("copy"))
     digest, roots, degrees = _vertices(docs, options, count_links)
     least = digest.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     placed = written(least.join(roots.withColumnRenamed("v", "sid"), "sid", "left").select("sid", "least", "copies", F.coalesce("root", "sid").alias("root")))

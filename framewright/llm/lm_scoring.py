@@ -140,56 +140,73 @@ def pieces(texts: list[bytes], most: int) -> list[Piece]:
 _ODD = 0x9E3779B97F4A7C15
 
 
+_SLICE = 1 << 15  # numbers that are hashed together, so that a processor's cache holds them
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), first[1], ..."""
+    stop = np.cumsum(size)
+    out = np.arange(int(stop[-1]) if len(stop) else 0, dtype=np.int32)
+    out += np.repeat((first - (stop - size)).astype(np.int32), size)
+    return out
+
+
 class Sequence:
-    """Some pieces one after another: their bytes, words and contexts."""
+    """Some pieces one after another, each after its pads and the words before: their bytes, words and contexts."""
 
     def __init__(self, some: list[Piece], rank: np.ndarray, bits: int):
         raw = np.frombuffer(b"".join(b"\n" * PAD + p.before + p.body for p in some) + b"\n" * 8, np.uint8)
         n = len(raw) - 8
         self.bits, self.count = bits, len(some)
-        size = np.fromiter((len(p.body) for p in some), np.int64, len(some))
         lead = np.fromiter((PAD + len(p.before) for p in some), np.int64, len(some))
-        self.bytes_of = np.concatenate([[0], np.cumsum(size)])  # of each piece the first byte to predict
-        to_raw = np.cumsum(lead)  # what is before a piece's bytes to predict and isn't one of them
-        at = np.arange(int(size.sum()), dtype=np.int32)
-        at += np.repeat(to_raw.astype(np.int32), size)
-        self.rank = rank[raw[at]]
+        self.whole = lead + np.fromiter((len(p.body) for p in some), np.int64, len(some))
+        stop = np.cumsum(self.whole)
+        self.not_asked = _ranges(stop - self.whole, lead)  # the places that aren't predicted
+        self.rank = rank[raw[:n]]
         edge = np.flatnonzero((raw[:n] == SPACE) | (raw[:n] == END)).astype(np.int32)
         begin = np.concatenate([np.zeros(1, np.int32), edge[:-1] + 1])
         length = edge - begin  # of the words, most of which are pads and have none
-        start = np.repeat(begin, length + 1)
-        eight = np.ndarray((n + 1,), "<u8", raw.data, 0, (1,))[at - 8]
-        self.eight = eight
-        # The word so far: its last eight bytes, and, where it is longer, its length.
-        so_far = (at - start[at]).astype(np.uint64)
-        del start
+        # The eight bytes before each place, and the word so far: the last eight of its bytes and, if it is longer, its length.
+        self.eight, self.word = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.eight[8:] = np.ndarray((n - 8,), "<u8", raw.data, 0, (1,))
+        so_far = np.arange(n, dtype=np.int32)
+        so_far -= np.repeat(begin, length + 1)
+        keep = ((8 - np.minimum(so_far, 8)) * 8).astype(np.uint8)
+        np.right_shift(self.eight, keep, out=self.word)
+        self.word[edge[length == 0]] = 0
+        self.word[begin[length > 0]] = 0
         long = np.flatnonzero(so_far > 8)
-        self.word = eight >> ((U64(8) - np.minimum(so_far, U64(8))) << U64(3))
-        self.word[so_far == 0] = 0
-        self.word[long] += mix(so_far[long], 72)
+        self.word[long] += mix(so_far[long].astype(np.uint64), 72)
         # Words: each ends with a space or the text's end; one without a byte is an empty text's.
-        of_piece = np.searchsorted(edge, self.bytes_of[1:] + to_raw - 1) + 1  # one after the place of each piece's last word among all
-        first = np.searchsorted(edge, self.bytes_of[:-1] + to_raw)
-        self.words_of = np.concatenate([[0], np.cumsum(of_piece - first)])
-        mine = np.arange(int(self.words_of[-1])) + np.repeat(first - self.words_of[:-1], of_piece - first)
-        self.piece = np.repeat(np.arange(len(some)), of_piece - first)
-        self.last = edge[mine] - to_raw[self.piece]  # the place, among the bytes to predict, of what ends it
-        self.size = length[mine] + 1
+        first, last = np.searchsorted(edge, stop - self.whole + lead), np.searchsorted(edge, stop - 1) + 1
+        self.words_of = np.concatenate([[0], np.cumsum(last - first)])  # of each piece the first word
+        mine = _ranges(first, last - first)
+        self.piece = np.repeat(np.arange(len(some)), last - first)
+        self.first, self.size = begin[mine], length[mine] + 1  # of each word, with what ends it
         every = np.zeros(len(edge), np.uint64)
-        near = np.unique(np.concatenate([mine, mine - 1, mine - 2]))
-        every[near] = mix(hash_ranges(raw, begin[near], edge[near]), 70)
+        near = np.flatnonzero(length > 0)
+        every[near] = hash_ranges(raw, begin[near], edge[near])
+        every = mix(every, 70)
         self.hash = every[mine]
         self.expecting = mix(mix(every[mine - 2]) + every[mine - 1], 71) >> U64(64 - bits)  # the name of the two words before
         self.ending = ((self.hash + (raw[edge[mine]] == END)) * U64(_ODD) >> U64(48)).astype(np.uint16)  # the word and what ends it
 
-    def codes(self, part: slice = slice(None)) -> Iterator[np.ndarray]:
-        """For each kind the code of the (context, byte) at each byte to predict: the name's first bits, the byte's rank."""
-        for kind in range(KINDS):
-            name = mix(self.word[part] if kind == WORD else self.eight[part] >> U64(64 - 8 * ORDERS[kind]), 60 + kind)
-            name >>= U64(64 - self.bits)
-            name <<= U64(8)
-            name |= self.rank[part]
-            yield name
+    def code(self, kind: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Of one kind the code of the (context, byte) at all places or some: the name's first bits, the byte's rank."""
+        source = self.word if kind == WORD else self.eight
+        out = np.empty(len(source) if at is None else len(at), np.uint64)
+        for a in range(0, len(out), _SLICE):
+            some = slice(a, a + _SLICE) if at is None else at[a : a + _SLICE]
+            x = source[some] >> U64(0 if kind == WORD else 64 - 8 * ORDERS[kind])
+            x += U64(kind + 1)
+            x *= U64(0xD6E8FEB86659FD93)
+            x ^= x >> U64(32)
+            x *= U64(0xA0761D6478BD642F)
+            x >>= U64(64 - self.bits)
+            x <<= U64(8)
+            x |= self.rank[some]
+            out[a : a + _SLICE] = x
+        return out
 
 
 class Block:
@@ -266,12 +283,15 @@ def listed(block: Block) -> Listed:
 
 
 def _listed(seq: Sequence, learned: np.ndarray) -> Listed:
-    other = np.repeat(~learned, np.diff(seq.bytes_of))
+    other = np.repeat(~learned, seq.whole)
     codes, times = [], []
-    for code in seq.codes():
+    for kind in range(KINDS):
+        code = seq.code(kind)
         code <<= U64(1)
         code |= other
+        code[seq.not_asked] = U64(2**64 - 1)
         code.sort()
+        code = code[: len(code) - len(seq.not_asked)]
         first = _runs(code >> U64(1))
         codes.append(code[first] >> U64(1))
         # A run's training texts come first; where its last is one, all are.
@@ -452,7 +472,7 @@ class Model:
 
         ``last``: how the last expected word before the first piece went (0: there is none, 1: it came, 2: another came).
         """
-        words, part = slice(seq.words_of[a], seq.words_of[b]), slice(seq.bytes_of[a], seq.bytes_of[b])
+        words = slice(seq.words_of[a], seq.words_of[b])
         at = self.names.find(seq.expecting[words])
         sure, size, piece = self.sure[at], seq.size[words], seq.piece[words] - a
         asked = sure > 0
@@ -464,14 +484,14 @@ class Model:
         before = np.where(begins, 0, before)
         before[: int(np.argmax(asked)) + 1 if asked.any() else None] = last
         # Elements: for each word whether it is the expected one, if one is, then its bytes, if it isn't.
-        letters = np.flatnonzero(np.repeat(~came, size))
+        letters = _ranges(seq.first[words][~came], size[~came])
         word = np.repeat(np.flatnonzero(~came), size[~came])
         ask = np.flatnonzero(asked)
         where = np.arange(len(letters)) + np.cumsum(asked)[word]
         spelled = np.where(came, 0, size)
         where_asked = (np.cumsum(spelled) - spelled)[ask] + np.arange(len(ask))
         total = len(letters) + len(ask)
-        rank = seq.rank[part][letters]
+        rank = seq.rank[letters]
         length = np.ones(total, np.int64)
         length[where] = self.alphabet.length[rank]
         begin = np.cumsum(length) - length
@@ -480,9 +500,9 @@ class Model:
         depth -= begin.astype(np.int32)[of]
         rows = np.zeros((len(of), 8), np.uint8)
         start = np.empty(total, np.int32)
-        for kind, code in enumerate(seq.codes(part)):
+        for kind in range(KINDS):
             start.fill(len(self.odds[kind]) - 1)
-            start[where] = self.begin[kind][self.codes[kind].find(code[letters])]
+            start[where] = self.begin[kind][self.codes[kind].find(seq.code(kind, letters))]
             rows[:, kind] = self.odds[kind][start[of] + depth]
         start.fill(0)
         start[where] = self.alphabet.offset[rank]
@@ -501,17 +521,21 @@ class Model:
     def bits_of(self, block: Block) -> np.ndarray:
         """The negative log2 probability of each text of the block and its end."""
         step, out = self.options.step_bytes, np.zeros(len(block.size))
-        text, mixer, last = -1, None, 0
+        text, mixer, last, rest = -1, None, 0, np.empty((0, 8), np.uint8)
         for seq, mine in zip(block.sequences(), block.groups):
-            run = (seq.bytes_of[:-1] // step).tolist()
+            run = ((np.cumsum(seq.whole) - seq.whole) // step).tolist()
             a = 0
             while a < seq.count:
                 b = a + 1
                 if block.size[block.order[mine[a].text]] > step:  # a long text's pieces, one after another
                     if mine[a].text != text:
                         text, mixer, last = mine[a].text, Mixer(1, self.options), 0
-                    rows, n, last = self.rows(seq, a, b, last)
-                    out[block.order[text]] += mixer.run(rows, n)[0]
+                    rows, _, last = self.rows(seq, a, b, last)
+                    rows = np.concatenate([rest, rows])
+                    ended = mine[a].body.endswith(b"\n")
+                    done = len(rows) if ended else len(rows) // self.options.chunk * self.options.chunk  # whole chunks, as if it were one piece
+                    out[block.order[text]] += mixer.run(rows[:done], np.array([done]))[0]
+                    rest = rows[done:]
                 else:
                     while b < seq.count and run[b] == run[a]:
                         b += 1

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, html_extract, jaccard_join, lm_scoring, quality_rules, sentencepiece_nbest, sharding, substring_dedup, token_counts
+from .common import spread
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +24,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.count_tokens(spread(_documents(spark, sf_dir)), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return html_extract.extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return sentencepiece_nbest.encode(_documents(spark, sf_dir), model, keep=("doc_id", "text"), decoded="decoded").select(
+    return sentencepiece_nbest.encode(spread(_documents(spark, sf_dir)), model, keep=("doc_id", "text"), decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         "cost",

@@ -1,14 +1,15 @@
 """N-best segmentation into the pieces of a SentencePiece model, and decoding.
 
-White space never stands inside or at the end of a piece of such a model, so a text falls into units (a run of spaces and
-what follows up to the next) whose lattices are independent. For the distinct units of a batch, all at once: a walk through
+White space stands at most at the beginning of a piece (a model with other pieces is refused), so a text falls into units
+(a run of spaces and what follows up to the next) whose lattices are independent. For the distinct units of a batch, all at once: a walk through
 the pieces' trie finds the lattices' edges, forward Viterbi gives the least cost to each position, backward Viterbi that
 to the end, and so the least extra cost of a segmentation other than the best. A text's N best differ from its best in
 units among the N - 1 of least extra cost; for these, A-star searches the lattice backwards with the forward Viterbi
 costs, which are the exact remaining costs, as heuristic, so segmentations come out in order; then sums are merged.
 
-Costs are whole micro-nats of a Zipf law over the pieces' ranks, so sums and ties are exact. A character without a piece
-costs its byte pieces. Spaces are pieces' white space mark, and a space goes before a text; the mark's own character in a text
+Costs are whole micro-nats, so sums and ties are exact: of the model's own log probabilities, or, where its scores are the
+ranks of merges and not probabilities, of a Zipf law over these ranks. A character without a piece costs its byte pieces;
+where the model has no probability for these, each costs 10 nats more than the least probable piece. Spaces are pieces' white space mark, and a space goes before a text; the mark's own character in a text
 goes as bytes, so decoding gives back every text exactly.
 
 Cases: null and empty texts have no pieces, cost 0 and one segmentation; ties are ordered by the search, alike everywhere;
@@ -37,6 +38,17 @@ _EDIT = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("drop"
 _OTHER = T.StructType([T.StructField("cost", T.LongType()), T.StructField("edits", T.ArrayType(_EDIT))])
 
 
+def costs(scores: list[float], pieces: int) -> tuple[list[int], int]:
+    """(the cost of each piece with these scores, the cost of a byte) in micro-nats, for a model of so many pieces."""
+    if all(x <= 0 and x == int(x) for x in scores):  # ranks, the earliest merge first; equal ones as they come
+        zipf = lambda rank: round(1e6 * (math.log(rank + 2.7) + math.log(math.log(pieces + 2.7))))
+        out = [0] * len(scores)
+        for rank, i in enumerate(sorted(range(len(scores)), key=lambda i: -scores[i])):
+            out[i] = zipf(rank)
+        return out, zipf(pieces)
+    return [round(-1e6 * x) for x in scores], round(1e6 * (10 - min(scores)))
+
+
 class Pieces:
     """The pieces of a model: bytes and cost of each id, and a trie in one hash table."""
 
@@ -46,26 +58,28 @@ class Pieces:
         self.bytes = [b""] * n
         self.cost = np.zeros(n, np.int64)
         self.byte_id = np.zeros(256, np.int32)
-        ranked, trie, spans = 0, {}, [0]
-        rank_cost = lambda r: round(1e6 * (math.log(r + 2.7) + math.log(math.log(n + 2.7))))
+        trie, spans = {}, [0]
+        plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        cost, byte_cost = costs([model.get_score(i) for i in plain], n)
+        self.cost[plain] = cost
         ends = {}
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 value = int(piece[3:5], 16)
                 self.bytes[i], self.byte_id[value] = bytes([value]), i
-                self.cost[i] = rank_cost(n)
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.bytes[i] = piece.replace(_MARK, " ").encode()
-                self.cost[i] = rank_cost(ranked)
-                ranked += 1
-                node = 0
-                for b in self.bytes[i]:
-                    key = node << 8 | b
-                    node = trie.setdefault(key, len(spans))
-                    if node == len(spans):
-                        spans.append(0)
-                ends.setdefault(node, i)
+                self.cost[i] = byte_cost
+        for i in plain:
+            self.bytes[i] = model.id_to_piece(i).replace(_MARK, " ").encode()
+            if b" " in self.bytes[i].lstrip(b" "):
+                raise ValueError(f"piece {i} has white space inside or at its end")
+            node = 0
+            for b in self.bytes[i]:
+                key = node << 8 | b
+                node = trie.setdefault(key, len(spans))
+                if node == len(spans):
+                    spans.append(0)
+            ends.setdefault(node, i)
         self.piece_at = np.full(len(spans), -1, np.int32)
         self.piece_at[list(ends)] = list(ends.values())
         bits = max(10, (4 * len(trie)).bit_length())

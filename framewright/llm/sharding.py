@@ -11,7 +11,8 @@ about ``range_rows`` rows and never a whole shard. All of it is DataFrame operat
 
 A row's hashes come from its values and its position in the input (written once to the shared folder, so that a lost
 executor changes nothing): equal rows, also a third of all, spread evenly. Cases: nulls are values like others; repeated
-rows get a slot each; an empty table gives an empty result; a column that already has the name of a result is replaced.
+rows get a slot each; an empty table gives an empty result; a column that already has the name of a result is replaced;
+a very long text is carried as it is, and once more in each of the two exchanges.
 """
 
 from __future__ import annotations
@@ -27,14 +28,44 @@ from .common import written
 BLOCKS = 64
 
 
+def _rest(n: int) -> float:
+    """What Stirling's formula leaves of log n!."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n / n) / n / n) / n / n) / n
+
+
+def _off(x: int, mean: float) -> float:
+    """x log(x / mean) + mean - x, without loss of digits where x is near the mean."""
+    t = (x - mean) / mean
+    if abs(t) < 0.1:
+        return mean * sum((-t) ** k / (k * (k - 1)) for k in range(2, 20))
+    return (x * math.log(x / mean) if x else 0.0) + mean - x
+
+
+def _binomial(x: int, n: int, p: float) -> float:
+    """The probability of x of n, by Stirling's formula and its rest: exact to some digits for any n."""
+    if x in (0, n):
+        return math.exp(n * (math.log1p(-p) if x == 0 else math.log(p))) if n else 1.0
+    log = _rest(n) - _rest(x) - _rest(n - x) - _off(x, n * p) - _off(n - x, n * (1 - p))
+    return math.exp(log) * math.sqrt(n / (2 * math.pi * x * (n - x)))
+
+
+def probability(x: int, good: int, bad: int, draws: int) -> float:
+    """That x of the draws are among the good ones, for numbers of any size."""
+    if draws in (0, good + bad):
+        return 1.0
+    p = draws / (good + bad)
+    return _binomial(x, good, p) * _binomial(draws - x, bad, p) / _binomial(draws, good + bad, p)
+
+
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
     """How many of ``draws`` items taken without replacement are among the ``good`` ones: inversion, outward from the mode."""
     low, high = max(0, draws - bad), min(draws, good)
     if low == high:
         return low
-    log = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
     mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    top = math.exp(log(good, mode) + log(bad, draws - mode) - log(good + bad, draws))
+    top = probability(mode, good, bad, draws)
     while True:  # again only where rounding left a last sliver
         left = rng.random() - top
         if left < 0:

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -42,6 +43,28 @@ def test_search_finds_all_above_the_threshold(monkeypatch):
     assert np.isclose(1.0, ix.retrieve(np.zeros(len(set(items[0][1].split())), np.int64), np.array([ix.terms[w] for w in set(items[0][1].split())]), 1, 0.99)[2].max())
 
 
+def bm25(items, passage):
+    """The share of each item's BM25 score with itself that a passage has, by the formula."""
+    rows = [dc.words_of(t) for _, t in items]
+    mean = sum(map(len, rows)) / len(rows)
+    idf = {t: math.log(1 + (len(rows) - n + 0.5) / (n + 0.5)) for t, n in Counter(t for r in rows for t in set(r)).items()}
+    for row in rows:
+        weight = {t: idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(row) / mean)) for t, n in Counter(row).items()}
+        yield sum(w for t, w in weight.items() if t in passage) / sum(weight.values())
+
+
+def test_scores_are_bm25():
+    rng = random.Random(4)
+    items = [(i, words(rng, rng.randrange(3, 30), 60).encode()) for i in range(50)]
+    ix = index(items)
+    texts = [words(rng, rng.randrange(1, 32), 60).encode() for _ in range(30)]  # a passage each
+    passage, term, text, _ = ix.passages(Tokens(texts))
+    p, i, score = ix.retrieve(passage, term, len(text), 0.2)
+    got = {(int(text[x]), int(y)): s for x, y, s in zip(p, i, score)}
+    want = {(k, y): s for k, t in enumerate(texts) for y, s in enumerate(bm25(items, set(t.split()))) if s >= 0.2}
+    assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], rel_tol=1e-9) for x in want) and len(want) > 50
+
+
 def corpus(rng):
     items = [(i, words(rng, 30) + ".\n" + words(rng, 8) + ".") for i in range(25)] + [(90, "tiny item"), (91, None), (92, ""), (None, words(rng, 20))]
     docs = [(i, words(rng, rng.randrange(400))) for i in range(60)]

@@ -73,9 +73,11 @@ def test_filters_never_drop_a_link():
             continue
         both = len(np.intersect1d(base, other))
         linked = 100 * both >= 75 * (len(base) + len(other) - both)
-        assert jaccard_join.linked(base, other, jaccard_join.Options()) == linked
+        assert jaccard_join.linked(base, other, 75) == linked
         if linked:
             assert jaccard_join.may_link(jaccard_join.parities(base), jaccard_join.parities(other), len(base), len(other), 75)
+            options = jaccard_join.Options()
+            assert jaccard_join.share_firsts(jaccard_join.firsts(base, options), jaccard_join.firsts(other, options), options)
             frequent = np.sort(rng.choice(base, len(base) // 3))
             differ = np.bitwise_count((jaccard_join.sketch(base) ^ jaccard_join.sketch(other)).view(np.uint64)).sum()
             assert not linked or 175 * differ <= 25 * (len(base) + len(other))
@@ -130,3 +132,32 @@ def test_every_link_within_a_component_is_counted(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     for block in (512, 7):
         assert {r.doc_id: r.n_links for r in jaccard_join.join(df, options=jaccard_join.Options(block=block)).collect()} == want
+
+
+def test_first_tokens_keep_few_strangers():
+    rng = np.random.default_rng(3)
+    options = jaccard_join.Options()
+    sets = [np.unique(rng.integers(0, 2**63, 200).astype(np.uint64)) for _ in range(60)]
+    known = [jaccard_join.firsts(s, options) for s in sets]
+    met = sum(jaccard_join.share_firsts(x, y, options) for i, x in enumerate(known) for y in known[:i])
+    assert met < 10 and jaccard_join.share_firsts(known[0], known[0], options)
+
+
+def test_close_pairs_against_all_pairs():
+    rng = np.random.default_rng(6)
+    n, root = rng.integers(20, 60, 90), rng.integers(0, 5, 90)
+    bits = rng.integers(0, 2**63, (90, 8)).astype(np.uint64) & rng.integers(0, 2**63, (90, 8)).astype(np.uint64) & np.uint64(0x0101010101010101)
+    first, stop = np.arange(90) + 1, np.repeat([40, 90], [40, 50])
+    for step in (1, 7, 1 << 18):
+        got = set(zip(*(x.tolist() for x in jaccard_join._close_pairs(first, stop, n, root, bits, 75, step))))
+        want = {(i, j) for i in range(90) for j in range(i + 1, int(stop[i])) if root[i] != root[j] and 100 * min(n[i], n[j]) >= 75 * max(n[i], n[j]) and 175 * np.bitwise_count(bits[i] ^ bits[j]).sum() <= 25 * (n[i] + n[j])}
+        assert got == want and want
+
+
+def test_rows_without_ids_and_large_buckets(spark):
+    rng = random.Random(12)
+    shared = words(rng, 12)
+    rows = [(None, words(rng, 40)) for _ in range(30)] + [(None, rows_) for rows_ in [words(rng, 40)] * 30]
+    rows += [(i, shared + " " + words(rng, 60)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check(df, rows, block=6, pairs_per_row=10**6)

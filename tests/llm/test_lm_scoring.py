@@ -4,6 +4,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from framewright.llm import lm_scoring
 
@@ -35,95 +37,146 @@ def test_nothing_to_learn_from(spark):
     assert [(r.n_known, r.train_tokens, r.n_tokens) for r in rows] == [(0, 0, 3)] * 2 and all(r.base_score == 0 and r.score < 0 for r in rows)
 
 
-def model(texts):
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    letters = lm_scoring.Alphabet(np.bincount(raw, minlength=256), len(texts))
-    symbols, at, _ = lm_scoring.sequence(letters, texts)
-    tables = []
-    for context, bits in zip(lm_scoring.contexts(symbols, at, int(letters.symbol[0x20]), 12, 2), lm_scoring.table_bits(12, 2)):
-        counts = np.bincount(context * 64 + symbols[at], minlength=64 << bits)
-        tables.append(lm_scoring.log_odds(letters, counts).ravel())
-    return lm_scoring.Model(letters, tables, 12, lm_scoring.Options(decisions=64))
+def prepared(text):
+    return b" ".join((text or "").encode().lower().split())
+
+
+def brute(rows, o):
+    """The score of each text from plain counts, a decision at a time, weights moved after each chunk."""
+    texts = [prepared(t) for _, t in rows]
+    train = [t for (d, _), t in zip(rows, texts) if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
+    raw = b"".join(t + b"\n" for t in train)
+    a = lm_scoring.Alphabet(np.bincount(np.frombuffer(raw, np.uint8), minlength=256))
+    path = lambda byte: [(int(a.node[k, r]), int(a.way[k, r])) for r in [a.rank[byte]] for k in range(a.length[r])]
+    marks = {}
+
+    def mark(word, end):  # the 16 bits that stand for a word and what ends it
+        if (word, end) not in marks:
+            one = lm_scoring.Sequence(lm_scoring.pieces([word if end == 10 else word + b" x"], 1 << 20), a.rank, 30)
+            marks[word, end] = int(one.ending[0])
+        return marks[word, end]
+
+    def coded(text):
+        """For each word: (its two words before, its mark, [(contexts, byte)])."""
+        line, at = b"\n" * 8 + text + b"\n", 8
+        before = (b"", b"")
+        for word in text.split(b" "):
+            end = line[at + len(word)]
+            letters = []
+            for i, byte in enumerate(word + bytes([end])):
+                own = word[:i]
+                letters.append(((line[at + i - 4 : at + i], (own[-8:], len(own) > 8 and len(own))), byte))
+            yield before, mark(word, end), letters
+            before = (before[1], word)
+            at += len(word) + 1
+
+    ways = [Counter() for _ in range(2)]
+    after = {}
+    for t in train:
+        for before, own, letters in coded(t):
+            after.setdefault(before, Counter())[own] += 1
+            for contexts, byte in letters:
+                for node, way in path(byte):
+                    for k, c in enumerate(contexts):
+                        ways[k][c, node, way] += 1
+
+    def state(right, every):  # (how much is known, the log odds of going right)
+        odds = min(31, max(-31, round(4 * math.log((right + o.seen) / (every - right + o.seen)))))
+        return ((every > 0) + (every > 1) + (every > 7), odds / 4) if every else (0, 0.0)
+
+    for text in texts:
+        decisions, went = [], 0  # (inputs, way, gate)
+        for before, own, letters in coded(text):
+            asked = before in after
+            if asked:
+                seen = after[before]
+                least = min(seen)
+                known, odds = state(seen[least], sum(seen.values()))
+                decisions.append(([odds, 0], int(own == least), 6 + 3 * (known - 1) + went))
+                went = 1 if own == least else 2
+                if own == least:
+                    continue
+            for contexts, byte in letters:
+                for node, way in path(byte):
+                    states = [state(ways[k][c, node, 1], ways[k][c, node, 1] + ways[k][c, node, 0]) for k, c in enumerate(contexts)]
+                    decisions.append(([x for _, x in states], way, min(states[1][0], 2) + 3 * asked))
+        weights = np.array([[o.first_weights / 2] * 2] * 6 + [[w] * 2 for _ in range(3) for w in o.first_expected])
+        offsets, bits = np.zeros(25), 0.0
+        for t in range(0, len(decisions), o.chunk):
+            moves, shifts = np.zeros_like(weights), np.zeros(25)
+            for x, way, gate in decisions[t : t + o.chunk]:
+                x = np.array(x)
+                total = min(12, max(-12, weights[gate] @ x))
+                p = 1 / (1 + math.exp(-(total + offsets[math.floor(total) + 12])))
+                bits -= math.log2(p if way else 1 - p)
+                moves[gate] += (way - p) * x
+                shifts[math.floor(total) + 12] += way - p
+            weights += max(o.least_rate, o.rate / (1 + t // o.chunk / 16)) * moves
+            offsets += o.refine_rate * shifts
+        yield -bits * math.log10(2)
+
+
+def some_rows():
+    rng = random.Random(2)
+    lines = [words(rng, 30, 40) for _ in range(9)]
+    rows = [(i, rng.choice(lines) + " " + words(rng, rng.randrange(1, 60), 90)) for i in range(40)]
+    rows += [(50 + i, t) for i, t in enumerate(["", None, "w1", "Ünï漢 " * 9, "a" * 40 + " b", lines[0], lines[0], "x y " * 70, words(rng, 600, 50) + " " + lines[3]])]
+    return [*rows, (None, lines[1]), (None, None)]
+
+
+def test_scores_against_plain_counts(spark):
+    rows = some_rows()
+    df = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(rows)], "place long, doc_id long, text string")
+    held = lm_scoring.held_out(F.col("doc_id"))
+    plain = list(brute(rows, lm_scoring.Options()))
+    # However the texts are packed and cut, the scores are the same.
+    for options in (lm_scoring.Options(), lm_scoring.Options(block_bytes=700, step_bytes=200, bucket_bytes=2000), lm_scoring.Options(step_bytes=900)):
+        found = {r.place: r for r in lm_scoring.score(df.repartition(3), key="place", held=held, options=options).collect()}
+        assert len(found) == len(rows)
+        assert np.allclose([found[i].score for i in range(len(rows))], plain, rtol=2e-3)
+        sizes = [len(prepared(t)) + 1 for _, t in rows]
+        assert np.allclose([found[i].bits_per_byte * n for i, n in enumerate(sizes)], [-found[i].score / math.log10(2) for i in range(len(rows))])
 
 
 def test_the_tree_is_a_code():
-    m = model([b"abracadabra", b"some other text"])
-    a = m.alphabet
-    assert math.isclose(sum(2.0 ** -int(n) for n in a.length), 1)
-    assert (a.sides.sum(axis=(0, 2)) == a.length).all()
-
-
-def step_by_step(m, text):
-    """The same model, a decision at a time."""
-    a, o = m.alphabet, m.options
-    symbols, at, _ = lm_scoring.sequence(a, [text])
-    rows = lm_scoring.contexts(symbols, at, int(a.symbol[0x20]), m.bits, 2)
-    bits, t = 0.0, 0
-    for i, s in enumerate(symbols[at]):
-        for k in range(a.length[s]):
-            if t % o.decisions == 0:
-                w, g, scale, offset = np.array(o.first_weights), np.zeros(2), 1.0, 0.0
-            node, bit = a.node[a.offset[s] + k], a.bit[a.offset[s] + k]
-            x = np.array([m.tables[j][rows[j][i] * 64 + node] for j in range(4)], float) * lm_scoring.SCALE
-            gate = float(x[2] != 0)
-            own = w @ x + gate * (g @ x[2:])
-            p = 1 / (1 + math.exp(-min(14, max(-14, scale * own + offset))))
-            bits -= math.log2(p if bit else 1 - p)
-            step = (bit - p) * max(o.least_rate, o.rate / (1 + (t % o.decisions) / 256))
-            w, g = w + step * x, g + gate * step * x[2:]
-            scale, offset = scale + 0.1 * step * own, offset + step
-            t += 1
-        if s == lm_scoring.ESCAPE:
-            bits += a.rare_cost[text[i]]
-    return bits
-
-
-def test_mixing_side_by_side_is_mixing_step_by_step():
-    rng = random.Random(2)
-    train = [words(rng, 50, 30).encode() for _ in range(20)]
-    m = model(train)
-    texts = [b"", b"w1", words(rng, 40, 30).encode(), bytes(range(33, 127)), "é漢".encode(), words(rng, 7, 30).encode()]
-    got = m.bits_of(texts)
-    assert np.allclose(got, [step_by_step(m, t) for t in texts], rtol=1e-3)
-    assert np.allclose(got, [m.bits_of([t])[0] for t in texts], rtol=1e-5)  # a text's neighbours don't matter
-
-
-def test_held_out_texts_score_better_than_the_base(spark):
-    rng = random.Random(3)
-    syllables = ["ka", "ro", "ti", "men", "su", "lo", "vi", "da"]
-    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
-    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(120))) for i in range(150)]
-    found = [r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
-    assert found and sum(r.score for r in found) > 1.05 * sum(r.base_score for r in found)
-
-
-def test_no_two_contexts_share_a_row_however_large_the_corpus(spark):
-    rng = random.Random(4)
-    train = [d for d in range(2000) if zlib.crc32(str(d).encode()) % 7 != 2]
-    # Over 500,000 word beginnings, twice the rows that a table of 2 ** 18 has: each is followed by one letter only.
-    rows = [(d, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(100))) for d in train[:1200]]
-    letters, shared = lm_scoring.train(spark.createDataFrame([(t, False) for _, t in rows], "text string, held boolean"))
-    assert [len(t) for t in shared] == [64 << 12, 64 << 18]
-    docs = spark.createDataFrame([(i % 8, t, False) for i, (_, t) in enumerate(rows)], "block int, text string, held boolean")
-    found = lm_scoring._context_rows(docs, spark.sparkContext.broadcast(letters), 8).collect()
-    mine = [t.encode() for i, (_, t) in enumerate(rows) if i % 8 == 3]
-    m = lm_scoring.BlockModel(letters, shared, lm_scoring.Options(), mine, {r.bucket: r.odds for r in found if r.block == 3}, 8)
-    counts = {}
-    for _, t in rows:
-        for word in t.split():
-            for k in range(len(word) + 1):
-                counts.setdefault(word[:k], Counter())[word[k] if k < len(word) else " "] += 1
-    for _, t in rows:  # a text's last word is followed by the end
-        counts[t.split()[-1]][" "] -= 1
-        counts[t.split()[-1]]["end"] += 1
-    assert len(counts) > 500_000
-    code = {c: letters.symbol[ord(c)] for c in "abcdefghijklmnopqrstuvwxyz "} | {"end": lm_scoring.END}
-    symbols, at, _ = lm_scoring.sequence(letters, mine[:3])
-    own = m._rows(symbols, at)[3]
-    begins = [word[:k] for t in mine[:3] for word in t.decode().split() for k in range(len(word) + 1)]
-    assert len(begins) == len(own)
-    for row, begin in zip(own, begins):
-        seen = np.zeros(64)
-        for c, n in counts[begin].items():
-            seen[code[c]] = n
-        assert (m.tables[3].reshape(-1, 64)[row] == lm_scoring.log_odds(letters, seen)[0]).all()
+    a = lm_scoring.Alphabet(np.bincount(np.frombuffer(b"abracadabra some other text", np.uint8), minlength=256))
+    assert math.isclose(sum(2.0 ** -int(n) for n in a.length), 1) and sorted(a.rank.tolist()) == list(range(256))
+    assert len({tuple(a.bits[b : b + n]) for b, n in zip(a.offset, a.length)}) == 256
+
+
+def test_pieces_hold_a_text_once():
+    rng = random.Random(6)
+    for text in (b"", b"one", words(rng, 500).encode(), b"z" * 700, b"a " + b"z" * 700 + b" b"):
+        for most in (1, 7, 100, 10_000):
+            cut = lm_scoring.pieces([text], most)
+            assert b"".join(p.body for p in cut) == text + b"\n"
+            done = b""
+            for p in cut:
+                assert done.endswith(p.before) and p.before.split() == done.split()[-2:]
+                done += p.body
+
+
+def test_words_after_two_words_add_up():
+    rng = np.random.default_rng(3)
+    rows = [(int(n), int(w)) for n, w in zip(rng.integers(0, 40, 900), rng.integers(0, 9, 900))]
+    want = {}
+    for n, w in rows:
+        want.setdefault(n, Counter())[w] += 1
+    parts = []
+    for k in range(5):  # five blocks; names of the last are only asked for
+        mine = {}
+        for n, w in rows[k::5]:
+            mine.setdefault(n, Counter())[w] += 1
+        parts += [(n, min(c), c[min(c)], sum(c.values())) for n, c in mine.items()]
+    parts += [(n, 0, 0, 0) for n in range(50)]
+    got = lm_scoring._expected(*(np.array(x, t) for x, t in zip(zip(*parts), (np.uint64, np.uint16, np.int64, np.int64))))
+    for n, w, came, every in zip(*(x.tolist() for x in got)):
+        c = want.get(n)
+        assert (w, came, every) == ((min(c), c[min(c)], sum(c.values())) if c else (0, 0, 0))
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_held_out_texts_score_a_tenth_better_than_the_base(spark, size):
+    found = lm_scoring.score(spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text")).where("held_out")
+    score, base = found.agg(F.sum("score"), F.sum("base_score")).first()
+    assert score > 0.9 * base

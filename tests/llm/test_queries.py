@@ -2,10 +2,12 @@ import os
 from collections import Counter
 
 import duckdb
+import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from framewright.llm import queries
+from framewright.llm import quality_rules, queries
+from framewright.llm import sentencepiece_nbest as sp
 
 from ..test_queries import SF_DIR, TABLES, rows
 from .test_jaccard_join import brute as components
@@ -39,6 +41,7 @@ def test_query_covers_its_table(spark, name):
 def test_stages_follow_one_another(spark, tmp_path, edge_docs, edge_rows):
     item = next(t for d, t in edge_rows if d == 6)
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(6, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = edge_docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "cast(null as string) as source", "cast(length(text) as long) as n_chars", "1 as sid", "2 as rest")
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
@@ -48,6 +51,8 @@ def test_stages_follow_one_another(spark, tmp_path, edge_docs, edge_rows):
         after.write.parquet(path)
         docs = spark.read.parquet(path)
         seen[name] = [(r.doc_id, r.text) for r in docs.collect()]
+    verdicts = [quality_rules.measure([(t or "").encode()], quality_rules.Bands())["kept"][0] for _, t in edge_rows]  # held against brute force elsewhere
+    assert Counter(seen["quality"]) == Counter(r for r, kept in zip(edge_rows, verdicts) if kept)
     groups = {c if c is not None else ("null", i) for i, (_, n, c) in enumerate(components(seen["quality"])) if n}
     assert len(seen["near_duplicates"]) == len(groups)
     assert set(seen["near_duplicates"]) <= set(seen["quality"])
@@ -59,11 +64,16 @@ def test_stages_follow_one_another(spark, tmp_path, edge_docs, edge_rows):
     assert {d for d, _ in seen["repeated_passages"]} - {d for d, _ in seen["benchmark_leaks"]} == {6}
     assert Counter(seen["pieces"]) == Counter(seen["benchmark_leaks"])
     assert docs.where("not round_trip").count() == 0
+    model = sp.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    for r in docs.collect():  # the pieces spell the text, a space ahead, and cost what they cost
+        assert b"".join(model.bytes[i] for i in r.ids) == b" " + r.text.encode() and r.n_pieces == len(r.ids)
+        assert r.cost == sum(int(model.cost[i]) for i in r.ids) and all(o.cost >= r.cost for o in r.others)
 
 
 def test_stages_on_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
     assert docs.collect() == []

@@ -70,3 +70,11 @@ def test_edges(edge_docs, no_docs):
     first = made.where("coalesce(text, '') = ''").first()
     assert first.ids == [] and first.cost == 0 and first.others == []
     assert sp.decode(edge_docs.sparkSession.createDataFrame([(None,), ([],)], "ids array<int>"), PATH).collect()[0].decoded == ""
+
+
+def test_costs_are_log_probabilities_or_ranks():
+    cost, byte = sp.costs([-2.5, -0.25, -7.0], 3)
+    assert cost == [2_500_000, 250_000, 7_000_000] and byte == 17_000_000
+    cost, byte = sp.costs([0.0, -1.0, -2.0], 3)
+    assert cost == sorted(cost) and len(set(cost)) == 3 and byte > cost[-1]
+    assert sp.costs([-2.0, 0.0, -1.0], 3)[0] == [cost[2], cost[0], cost[1]]

@@ -1,5 +1,7 @@
+import math
 import random
 from collections import Counter
+from fractions import Fraction
 from math import comb
 
 from pyspark.sql import functions as F
@@ -55,3 +57,14 @@ def test_sizes_and_checksums(spark):
 def test_main_path_is_native(spark):
     plan = sharding.shuffle(spark.range(10), 2)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_probabilities_at_any_size():
+    for good, bad, draws in ((5, 7, 4), (1, 1, 1), (300, 900, 250), (40, 4_000, 1_000), (10_000, 3, 9_000), (50_000, 70_000, 333)):
+        for x in range(max(0, draws - bad), min(draws, good) + 1, max(1, min(draws, good) // 40)):
+            want = Fraction(math.comb(good, x) * math.comb(bad, draws - x), math.comb(good + bad, draws))
+            if want > 1e-250:
+                assert math.isclose(sharding.probability(x, good, bad, draws), want, rel_tol=1e-9)
+    good, bad, draws = 10**12, 15 * 10**12, 10**12
+    spread = math.sqrt(draws * good / (good + bad) * bad / (good + bad) * (1 - draws / (good + bad)))
+    assert math.isclose(sharding.probability(draws // 16, good, bad, draws), 1 / (spread * math.sqrt(2 * math.pi)), rel_tol=1e-6)
