@@ -245,6 +245,12 @@ def _runs(ranked: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
 
 
+def _sorted(numbers: np.ndarray) -> np.ndarray:
+    """The distinct numbers, sorted."""
+    ranked = np.sort(numbers)
+    return ranked[_runs(ranked)]
+
+
 def _summed(ranked: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = _runs(ranked)
     return ranked[first], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n.astype(np.int64)
@@ -271,22 +277,29 @@ def _expected(names: np.ndarray, expected: np.ndarray, came: np.ndarray, every:
     return names[first], least, np.add.reduceat(np.where(same, came, 0), first), np.add.reduceat(every, first)
 
 
-def listed(block: Block) -> Listed:
-    """What the block's texts have; those that aren't learned from are counted 0 times."""
-    found = [_listed(seq, learned) for seq, learned in zip(block.sequences(), block.learned)]
+def listed(block: Block, counted: bool = True) -> Listed:
+    """What the block's texts have; those that aren't learned from are counted 0 times. Not ``counted``: bytes and words without counts."""
+    found = [_listed(seq, learned, counted) for seq, learned in zip(block.sequences(), block.learned)]
     if len(found) == 1:
         return found[0]
-    both = [_distinct([f.codes[k] for f in found], [f.times[k] for f in found]) for k in range(KINDS)]
-    words = _distinct([f.words for f in found], [f.word_times for f in found])
+    sums = _distinct if counted else lambda numbers, times: (_sorted(np.concatenate(numbers)), times[0])
+    both = [sums([f.codes[k] for f in found], [f.times[k] for f in found]) for k in range(KINDS)]
+    words = sums([f.words for f in found], [f.word_times for f in found])
     after = _expected(*(np.concatenate([getattr(f, c) for f in found]) for c in ("names", "expected", "came", "every")))
     return Listed([c for c, _ in both], [n for _, n in both], *after, *words)
 
 
-def _listed(seq: Sequence, learned: np.ndarray) -> Listed:
+def _listed(seq: Sequence, learned: np.ndarray, counted: bool) -> Listed:
     other = np.repeat(~learned, seq.whole)
     codes, times = [], []
     for kind in range(KINDS):
         code = seq.code(kind)
+        if not counted:
+            code[seq.not_asked] = U64(2**64 - 1)
+            code.sort()
+            codes.append(code[_runs(code[: len(code) - len(seq.not_asked)])])
+            times.append(np.empty(0, np.int64))
+            continue
         code <<= U64(1)
         code |= other
         code[seq.not_asked] = U64(2**64 - 1)
@@ -312,8 +325,11 @@ def _listed(seq: Sequence, learned: np.ndarray) -> Listed:
     came = np.where(held, 0, n[np.searchsorted(once, after[first])])
     expected = np.where(held, 0, after[first] & U64(0xFFFF)).astype(np.uint16)
     full = seq.size > 1
-    words = _distinct([seq.hash[full]], [mine[full].astype(np.int64)])
-    return Listed(codes, times, names[first], expected, came, every, *words)
+    if not counted:
+        return Listed(codes, times, names[first], expected, came, every, _sorted(seq.hash[full]), np.empty(0, np.int64))
+    words, n = np.unique(seq.hash[full & mine], return_counts=True)
+    others = _sorted(seq.hash[full & ~mine])
+    return Listed(codes, times, names[first], expected, came, every, *_distinct([words, others], [n, np.zeros(len(others), np.int64)]))
 
 
 def states(right: np.ndarray, every: np.ndarray, seen: float) -> tuple[np.ndarray, np.ndarray]:
@@ -372,10 +388,12 @@ class Lookup:
     def __init__(self, numbers: np.ndarray):
         self.shift = U64(64 - max(4, len(numbers).bit_length()))
         place = (numbers * U64(_ODD) >> self.shift).astype(np.uint32)
-        self.order = np.argsort(place)
+        self.order = np.argsort((place & np.uint32(0xFFFF)).astype(np.uint16), kind="stable").astype(np.int32)  # 16 bits at a time: numpy counts these
+        if len(numbers) > 1 << 15:
+            self.order = self.order[np.argsort((place >> np.uint32(16)).astype(np.uint16)[self.order], kind="stable")]
         self.numbers = numbers[self.order]
-        self.order = self.order.astype(np.int32)
-        self.start = np.searchsorted(place[self.order], np.arange(1 << 64 - int(self.shift), dtype=np.uint32)).astype(np.int32)
+        self.start = np.zeros(1 << 64 - int(self.shift), np.int32)
+        np.cumsum(np.bincount(place, minlength=len(self.start))[:-1], out=self.start[1:])
 
     def find(self, numbers: np.ndarray) -> np.ndarray:
         at = self.start[numbers * U64(_ODD) >> self.shift]
@@ -387,7 +405,7 @@ class Lookup:
 
 
 class Mixer:
-    """Weights and refinements of texts side by side, the texts sorted by the number of their decisions, the most first."""
+    """Weights and refinements of texts side by side."""
 
     def __init__(self, lanes: int, options: Options):
         self.options, self.steps = options, 0
@@ -400,12 +418,19 @@ class Mixer:
         """The cost in bits of each text's next n decisions; ``rows``: 8 bytes for each decision, text after text: the
         inputs' state bytes (log odds of the way that is taken), the way (1: right), the gate."""
         o, size = self.options, self.options.chunk
-        chunks = -(-n // size)
+        # Decisions in the order in which they are mixed: chunk by chunk, in a chunk text by text (those with the most
+        # decisions first), each padded to its size.
+        order = np.argsort(-n, kind="stable")
+        lane_of = np.empty(len(n), np.int64)
+        lane_of[order] = np.arange(len(n))
+        chunks = -(-n[order] // size)
         live = np.searchsorted(-chunks, -np.arange(int(chunks.max(initial=0))), "left")
         base = np.concatenate([[0], np.cumsum(live)]) * size
-        # Decisions in the order in which they are mixed: chunk by chunk, in a chunk text by text, each padded to its size.
-        nth = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-        slot = base[nth // size] + np.repeat(np.arange(len(n)) * size, n) + nth % size
+        nth = _ranges(np.zeros(len(n), np.int64), n)
+        slot = base[nth // size]
+        nth %= size
+        slot += nth
+        slot += np.repeat(lane_of * size, n)
         del nth
         packed = np.zeros(int(base[-1]), np.int64)
         real = np.zeros(len(packed), bool)
@@ -416,7 +441,7 @@ class Mixer:
         cost = np.zeros(len(n))
         most = int(live.max(initial=0))
         gates = np.repeat(np.arange(most, dtype=np.int32) * GATES, size)
-        ranges = np.repeat(np.arange(most, dtype=np.int32) * RANGES + 12, size)
+        ranges = np.repeat(np.arange(most, dtype=np.int32) * RANGES - 1, size)
         for t, (k, a) in enumerate(zip(live.tolist(), base.tolist())):
             m = k * size
             row = packed[a : a + m].view(np.uint8).reshape(m, 8)
@@ -431,7 +456,8 @@ class Mixer:
             np.maximum(np.minimum(p, 12, out=p), -12, out=p)
             way = _WAY.take(row[:, KINDS])
             own = p * way
-            part = ranges[:m] + np.floor(own, out=own).astype(np.int32)
+            own += 13  # above 0, where a number is cut to its floor
+            part = ranges[:m] + own.astype(np.int32)
             own = self.offsets.take(part)
             own *= way
             p += own
@@ -451,7 +477,7 @@ class Mixer:
                 x *= error
                 w[: k * GATES] += np.bincount(at, x, k * GATES)
             self.steps += 1
-        return cost
+        return cost[lane_of]
 
 
 class Model:
@@ -539,19 +565,11 @@ class Model:
                 else:
                     while b < seq.count and run[b] == run[a]:
                         b += 1
-                    out[block.order[[p.text for p in mine[a:b]]]] = self._together(seq, a, b)
+                    rows, n, _ = self.rows(seq, a, b)
+                    out[block.order[[p.text for p in mine[a:b]]]] = Mixer(b - a, self.options).run(rows, n)
                 a = b
         return out
 
-    def _together(self, seq: Sequence, a: int, b: int) -> np.ndarray:
-        rows, n, _ = self.rows(seq, a, b)
-        rank = np.argsort(-n, kind="stable")
-        begin = np.cumsum(n) - n
-        where = np.arange(len(rows)) + np.repeat(begin[rank] - (np.cumsum(n[rank]) - n[rank]), n[rank])
-        cost = np.empty(len(n))
-        cost[rank] = Mixer(len(n), self.options).run(rows.view(np.int64).ravel()[where].view(np.uint8).reshape(-1, 8), n[rank])
-        return cost
-
 
 def _press():
     return zstandard.ZstdCompressor(level=1)
@@ -731,13 +749,13 @@ def _block_model(alphabet: Alphabet, found: Listed, answered: pa.Table, bits: in
     return Model(alphabet, found, odds, expected, sure, bits, options), counts
 
 
-def base_scores(block: Block, words: np.ndarray, counts: np.ndarray, ends: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words and end, how many of them are known, add-one score) of each text, with the counts of the words' sorted hashes."""
+def base_scores(block: Block, words: Lookup, counts: np.ndarray, ends: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words and end, how many of them are known, add-one score) of each text, with the counts of the words' hashes."""
     size = len(block.size)
     n_words, known, score = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size)
     for seq, mine in zip(block.sequences(), block.groups):
         full = seq.size > 1
-        n = counts[np.searchsorted(words, seq.hash[full])]
+        n = counts[words.find(seq.hash[full])]
         text = block.order[[p.text for p in mine]][seq.piece[full]]
         n_words += np.bincount(text, minlength=size)
         known += np.bincount(text, n > 0, size).astype(np.int64)
@@ -773,9 +791,9 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
         block = Block(clean, ~helds.to_numpy(), alphabet.value.rank, bits, options)
         sizes = block.size
         del clean
-        found = listed(block)
+        found = listed(block, counted=False)
         model, counts = _block_model(alphabet.value, found, answered, bits, buckets, options)
-        base = base_scores(block, found.words, counts, ends, n + v + 1)
+        base = base_scores(block, Lookup(found.words), counts, ends, n + v + 1)
         del found, answered
         cost = model.bits_of(block)
         n_tokens, hit, base_score = (pa.array(x) for x in base)
