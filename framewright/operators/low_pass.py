@@ -20,11 +20,11 @@ SPAN = 300.0
 PIECE = 1 << 16
 
 
-def _ascending(running: Window) -> Column:
-    """The frame; a task that meets a negative one, or the one before it again, fails."""
-    frame, before = F.col("frame"), F.lag("frame").over(running)
-    said = F.concat(F.lit("low pass: out-of-order frame "), frame.cast("string"), F.lit(" after "), F.coalesce(before, F.lit(-1)).cast("string"))
-    return F.when((frame < 0) | (before >= frame), F.raise_error(said)).otherwise(frame)
+def ascending(before: Column | None = None) -> Column:
+    """The frame; a task that meets a negative one, or one that isn't above the one before it, fails."""
+    frame, before = F.col("frame"), F.lit(-1) if before is None else F.coalesce(before, F.lit(-1))
+    said = F.concat(F.lit("low pass: out-of-order frame "), frame.cast("string"), F.lit(" after "), before.cast("string"))
+    return F.when(before >= frame, F.raise_error(said)).otherwise(frame)
 
 
 def decayed_sum(rows: DataFrame, term: Column, decay: Column, out: str = "y") -> DataFrame:
@@ -35,7 +35,7 @@ def decayed_sum(rows: DataFrame, term: Column, decay: Column, out: str = "y") ->
     part = F.floor(decay / F.lit(SPAN))
     cut = rows.withColumns({"_decay": decay, "_part": part, "_piece": F.floor(F.col("frame") / F.lit(PIECE))}).withColumn("_term", term * F.exp(F.col("_decay") - F.lit(SPAN) * F.col("_part")))
     by = Window.partitionBy("_part", "_piece").orderBy("frame")
-    summed = cut.withColumns({"_sum": F.sum("_term").over(by.rowsBetween(Window.unboundedPreceding, 0)), "_frame": _ascending(by)}).withColumn("frame", F.col("_frame")).drop("_frame")
+    summed = cut.withColumns({"_sum": F.sum("_term").over(by.rowsBetween(Window.unboundedPreceding, 0)), "_frame": ascending(F.lag("frame").over(by))}).withColumn("frame", F.col("_frame")).drop("_frame")
     totals = summed.groupBy("_part", "_piece").agg(F.max_by("_sum", "frame").alias("_total"))
     ahead = Window.partitionBy("_part").orderBy("_piece")
     carried = totals.select("_part", "_piece", F.coalesce(F.sum("_total").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
@@ -53,7 +53,7 @@ def prefix_sum(rows: DataFrame, value: Column, out: str) -> DataFrame:
     """
     cut = rows.withColumns({"_piece": F.floor(F.col("frame") / F.lit(PIECE)), "_value": value})
     by = Window.partitionBy("_piece").orderBy("frame")
-    summed = cut.withColumns({"_sum": F.sum("_value").over(by.rowsBetween(Window.unboundedPreceding, 0)), "_frame": _ascending(by)}).withColumn("frame", F.col("_frame")).drop("_frame")
+    summed = cut.withColumns({"_sum": F.sum("_value").over(by.rowsBetween(Window.unboundedPreceding, 0)), "_frame": ascending(F.lag("frame").over(by))}).withColumn("frame", F.col("_frame")).drop("_frame")
     totals = summed.groupBy("_piece").agg(F.max_by("_sum", "frame").alias("_total"))
     before = Window.partitionBy(F.lit(0)).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_piece", F.coalesce(F.sum("_total").over(before), F.lit(0.0)).alias("_before"))

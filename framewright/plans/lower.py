@@ -95,7 +95,7 @@ def _low_pass(node: nodes.LowPass, spark: SparkSession, frames: int, range_: Dat
         hz = low_pass.cutoff(checked, frame, cut.base_hz, cut.depth_hz, config)
         rows = low_pass.modulated(base, audio.valid("low pass"), hz, config)
     else:
-        heard = audio.over(range_).select("frame", audio.valid("low pass").alias("_audio"))
+        heard = audio.over(range_).select(low_pass.ascending().alias("frame"), audio.valid("low pass").alias("_audio"))
         moved = modulator.over(range_).select("frame", checked.alias("_mod")).where(frame < frames)
         moved = moved.groupBy("frame").agg(F.max("_mod").alias("_mod"), F.count("*").alias("_times"))
         base = range_.join(moved, "frame", "left").join(heard, "frame", "left")

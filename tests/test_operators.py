@@ -11,6 +11,7 @@ from framewright.functions import columns
 from framewright.operators import blocks, decode, waveform
 from framewright.plans import nodes
 from framewright.plans.rewrite import fuse_gains
+from framewright.sources.tables import signal_table
 
 SMALL = RenderConfig(8, 10, 4)
 
@@ -113,6 +114,28 @@ def one_pole(rows, steps):
 HALF = 8 * math.log(2) / (2 * math.pi)
 
 
+@pytest.mark.parametrize("rows, message", [([(None, 1.0), (1, 0.5)], "null frame index"), ([(0, None), (1, 0.5)], "null sample")])
+def test_nulls_fail_at_any_input(spark, rows, message):
+    signal = table(spark, rows)
+    assert [f.nullable for f in signal.to_df().schema] == [False, False]
+    for made in (signal, signal.gain(0.5), signal.mix(signal), signal.low_pass(1.0), signal.low_pass(FrameSignal.sine(spark, SMALL, 1), 2.0, 1.0)):
+        with pytest.raises(FAILED, match=message):
+            made.to_df().collect()
+    df = spark.createDataFrame(rows, "frame long, sample float")
+    with pytest.raises(FAILED, match=message):
+        signal_table(df, F.col("frame"), F.col("sample"), SMALL).collect()
+
+
+@pytest.mark.parametrize("frames, message", [([0, 1, 1, 3], "out-of-order frame 1 after 1"), ([-1, 0], "out-of-order frame -1 after -1"), ([5, 2, 5], "out-of-order frame 5 after 5")])
+def test_filter_audio_must_have_each_frame_once(spark, frames, message):
+    signal = table(spark, [(f, 0.5) for f in frames])
+    modulator = FrameSignal.sine(spark, SMALL, 1)
+    for made in (signal.low_pass(1.0), signal.low_pass(modulator, 2.0, 1.0), signal.gain(0.5).low_pass(3.0).gain(0.1)):
+        with pytest.raises(FAILED, match=message):
+            made.to_df().collect()
+    assert len(rows_of(table(spark, [(f, 0.5) for f in (0, 1, 3)]).low_pass(1.0))) == 3
+
+
 def test_low_pass_constant(spark):
     close([s for _, s in rows_of(table(spark, [(0, 1.0), (1, 0.0), (2, 0.0), (4, 0.0)]).low_pass(HALF))], [0.5, 0.25, 0.125, 0.03125])
     close([s for _, s in rows_of(table(spark, [(0, 1.0), (1, 0.0), (2, 0.0), (3, 0.0)]).low_pass(HALF))], [0.5, 0.25, 0.125, 0.0625])
