@@ -571,8 +571,8 @@ class Model:
         return out
 
 
-def _press():
-    return zstandard.ZstdCompressor(level=1)
+def _press(level: int = 1):
+    return zstandard.ZstdCompressor(level=level)
 
 
 def _squeezed(press, numbers: np.ndarray) -> bytes:
@@ -612,7 +612,7 @@ def pack(docs: DataFrame, block_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        press, task, number, waiting, size = _press(), TaskContext.get().partitionId(), 0, [], 0
+        press, task, number, waiting, size = _press(3), TaskContext.get().partitionId(), 0, [], 0
 
         def block() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
