@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RenderConfig
@@ -108,10 +108,22 @@ def report(df: DataFrame, frame_count: int) -> DataFrame:
     )
 
 
-def check_delivery(df: DataFrame, order: str) -> DataFrame:
-    """``df`` for rows that come in the order of a column: fails where a frame isn't above the one before it."""
-    from pyspark.sql import Window
+#: How many values of an order column are checked in one window.
+PIECE = 1 << 16
+
 
-    before = F.lag("frame").over(Window.orderBy(order))
+def check_delivery(df: DataFrame, order: str) -> DataFrame:
+    """``df`` for rows that come in the order of a column (a number or a time): fails where a frame isn't above the one before it.
+
+    Each piece of the order is checked by itself; its first frame is held against the last one of the piece before.
+    """
+    piece = F.floor(F.col(order).cast("double") / F.lit(PIECE))
+    cut = df.withColumn("_piece", piece)
+    inner = cut.withColumn("_before", F.lag("frame").over(Window.partitionBy("_piece").orderBy(order)))
+    ends = cut.groupBy("_piece").agg(F.max_by("frame", F.struct(order, "frame")).alias("_end"))
+    carried = ends.select(F.col("_piece").alias("_of"), F.lag("_end").over(Window.partitionBy(F.lit(0)).orderBy("_piece")).alias("_carried"))
+    rows = inner.join(carried, F.col("_piece").eqNullSafe(F.col("_of")))
+    before = F.coalesce("_before", "_carried")
     said = F.concat(F.lit("out-of-order frame "), F.col("frame").cast("string"), F.lit(" after "), before.cast("string"))
-    return df.withColumn("frame", F.when(before >= F.col("frame"), F.raise_error(said)).otherwise(F.col("frame")))
+    checked = F.when(before >= F.col("frame"), F.raise_error(said)).otherwise(F.col("frame"))
+    return rows.withColumn("frame", checked).select(*df.columns)

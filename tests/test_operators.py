@@ -273,6 +273,12 @@ def test_delivery_order(spark):
     with pytest.raises(FAILED, match="out-of-order frame 1 after 2"):
         decode.check_delivery(df, "seq").collect()
     assert decode.check_delivery(df.where("seq < 2"), "seq").count() == 2
+    wide = [(k * 30_000, 10 * k, 0.5) for k in range(12)]  # several pieces of the order
+    got = decode.check_delivery(spark.createDataFrame(wide, "seq int, frame long, sample float"), "seq")
+    assert got.columns == ["seq", "frame", "sample"] and sorted(map(tuple, got.collect())) == wide
+    wide[7] = (210_000, 60, 0.5)  # the first of its piece, as the last of the piece before
+    with pytest.raises(FAILED, match="out-of-order frame 60 after 60"):
+        decode.check_delivery(spark.createDataFrame(wide, "seq int, frame long, sample float"), "seq").collect()
 
 
 def test_blocks(spark):
