@@ -92,9 +92,9 @@ def plan_bytes(df: DataFrame) -> int:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt anew where it is a scan of fewer files than there are cores and so small that these can't be split."""
-    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    cores = df.sparkSession.sparkContext.defaultParallelism
     split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if 0 < files < cores and plan_bytes(df) < split * cores else df
+    return df.repartition(cores) if plan_bytes(df) < split * cores and 0 < len(df.inputFiles()) < cores else df
 
 
 def block_count(df: DataFrame, block_bytes: int = 8 << 20) -> int:

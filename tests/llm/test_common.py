@@ -1,8 +1,11 @@
 import random
 
+from types import SimpleNamespace
+
 import numpy as np
+import pytest
 
-from framewright.llm.common import Tokens, covered, window_hash
+from framewright.llm.common import _CLEAN, Tokens, covered, shared_dir, spread, window_hash, written
 
 
 def test_words_are_those_of_split():
@@ -30,3 +33,26 @@ def test_window_hashes_are_those_of_the_windows():
 def test_covered():
     assert covered(6, np.array([1, 2]), 2).tolist() == [False, True, True, True, False, False]
     assert covered(3, np.array([2]), 5).tolist() == [False, False, True]
+
+
+def test_small_scans_use_all_cores(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    assert cores > 1 and spread(one).rdd.getNumPartitions() == cores and spread(one).count() == 1000
+    made = spark.range(10)
+    assert spread(made) is made
+
+
+def test_written_tables_are_their_query(spark):
+    before = spark.conf.get(_CLEAN, None)
+    out = written(spark.range(100).selectExpr("id % 7 as k").groupBy("k").count())
+    assert spark.conf.get(_CLEAN, None) == before
+    assert sorted(map(tuple, out.collect())) == [(k, 15 if k < 2 else 14) for k in range(7)]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    session = lambda where, master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: where), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("hdfs://here/x/", "yarn")) == "hdfs://here/x"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session(None, "spark://host:7077"))
