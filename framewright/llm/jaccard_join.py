@@ -416,10 +416,11 @@ def _vertices(docs: DataFrame, options: Options, count_links: bool) -> tuple[Dat
         if not size["rows"]:
             break
         if size["pairs"] <= options.pairs_per_row * size["rows"] or size["pairs"] > (1 - options.settled) * pairs_before:
-            across = written(_across(left, parts.select("tok", "k"), vertices, options))
+            sizes = written(parts.select("tok", "k"))  # a table of its own, so that Spark can split the buckets it is joined with
+            across = written(_across(left, sizes, vertices, options))
             links.append(_links(docs, vertices, across, options))
             roots = connected(reduce(DataFrame.union, links))
-            discard(across)
+            discard(across, sizes)
             break
         r, pairs_before = r + 1, size["pairs"]
     discard(left)
