@@ -12,9 +12,11 @@ Equal sets are one vertex, however many texts have it. Sets with a common prefix
 input lists a token once, so a token has no more rows in one task than there are slices. In rounds, each bucket's leader
 (first the set with the most shared tokens, then others by hash) is compared with those of the bucket that are in other
 components, and leaves it; buckets all in one component are done. When few pairs are left, or a round settles little,
-the rest of each bucket is split into parts, and each pair of parts is a task that passes on the pairs whose bitmaps allow
-the similarity. So no link between components is lost, and no bucket meets one task. Then all pairs of distinct sets within a component are compared, each once, in blocks, and
-each text's links are counted; ``keep_one`` needs components only and leaves this out.
+the rest of each bucket is split into parts, and each pair of parts is a task. It compares all its pairs by sizes and
+bitmaps, then the sets of the rows that any pair allows, and passes on links between components, no more than join them.
+So no component is split, no bucket meets one task, and pairs are never rows. Then all pairs of distinct sets within a
+component are compared, each once, in blocks, and each text's links are counted; ``keep_one`` needs components only and
+leaves this out.
 
 Words are ASCII-lower-cased. A text with fewer words than a shingle has one shingle, all its words.
 
@@ -42,6 +44,8 @@ from .components import connected
 
 _SLICE = 8 << 20
 SKETCH = 8
+#: The largest bitmaps that go with pairs and rows of buckets; those of larger sets are folded.
+MAP_BYTES = 1024
 
 
 @dataclass(frozen=True)
@@ -123,6 +127,17 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(hit.astype(np.uint8)).view(np.int64)
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """The parities of SKETCH * 64 buckets at least and of MAP_BYTES * 8 at most."""
+    found = parities(tokens)
+    return folded(found, MAP_BYTES) if len(found) >= 8 * SKETCH else sketch(tokens).tobytes()
+
+
+def folded(found: bytes, most: int) -> bytes:
+    """A bitmap of parities for at most ``most`` bytes' buckets (a power of two)."""
+    return np.bitwise_xor.reduce(np.frombuffer(found, np.uint8).reshape(-1, most), axis=0).tobytes() if len(found) > most else found
+
+
 def firsts(tokens: np.ndarray, options: Options) -> bytes:
     """For each further order the first tokens under it, by 16 bits, sorted and distinct; the orders' numbers of them ahead.
 
@@ -152,7 +167,7 @@ def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
     return (100 + percent) * int(np.bitwise_count(a ^ b).sum()) <= (100 - percent) * (n + m)
 
 
-_DIGEST = "doc_id long, sid long, n int, copy long, parity binary, firsts binary, sketch array<long>, tok long, sets int"
+_DIGEST = "doc_id long, sid long, n int, copy long, parity binary, firsts binary, map binary, tok long, sets int"
 _ROWS = "tok long, sid long, n int, first boolean, others boolean"
 
 
@@ -174,9 +189,9 @@ def _digest(docs: DataFrame, options: Options) -> DataFrame:
             k, m = len(sets), len(every)
             after = lambda column: pa.concat_arrays([column, pa.nulls(m, column.type)])
             of_text = [part.column("doc_id"), pa.array(signed(names), mask=sizes == 0), pa.array(sizes), part.column("copy"), pa.array([parities(x) for x in sets], pa.binary()),
-                       pa.array([firsts(x, options) for x in sets], pa.binary()), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))]
+                       pa.array([firsts(x, options) for x in sets], pa.binary()), pa.array(list(map(bitmap, sets)), pa.binary())]
             of_token = [pa.concat_arrays([pa.nulls(k, c.type), c]) for c in (pa.array(signed(every)), pa.array(times))]
-            yield pa.RecordBatch.from_arrays([*map(after, of_text), *of_token], ["doc_id", "sid", "n", "copy", "parity", "firsts", "sketch", "tok", "sets"])
+            yield pa.RecordBatch.from_arrays([*map(after, of_text), *of_token], ["doc_id", "sid", "n", "copy", "parity", "firsts", "map", "tok", "sets"])
 
     return docs.mapInArrow(run, _DIGEST)
 
@@ -248,8 +263,17 @@ def _close(a: str, b: str, options: Options):
 
 
 def _possible(pairs: DataFrame, vertices: DataFrame, options: Options) -> DataFrame:
-    """The pairs (a, b) that neither their bitmaps nor their first tokens under the further orders rule out."""
-    one, two = (vertices.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity"), F.col("firsts").alias(f"{c}_firsts")) for c in "ab")
+    """The pairs (a, b) that neither their bitmaps nor their first tokens under the further orders rule out; a written table.
+
+    Small bitmaps come first, so that the larger ones and the tokens are exchanged for the few sets that are left only.
+    """
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("a_n", "b_n")]).astype(np.int64)
+            at = np.arange(batch.num_rows)
+            keep = _alike(at, at + batch.num_rows, n, batch.column("a_map").to_pylist() + batch.column("b_map").to_pylist(), options.percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,12 +281,21 @@ def _possible(pairs: DataFrame, vertices: DataFrame, options: Options) -> DataFr
             keep = [may_link(*row, options.percent) and share_firsts(x, y, options) for *row, x, y in rows]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "a_parity", "b_parity", "a_n", "b_n", "a_firsts", "b_firsts").mapInArrow(run, "a long, b long")
+    def joined(pairs: DataFrame, sets: DataFrame, columns: list[str], keep) -> DataFrame:
+        one, two = (sets.select(F.col("sid").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in columns)) for c in "ab")
+        return written(pairs.join(one, "a").join(two, "b").select("a", "b", *(f"{c}_{x}" for x in columns for c in "ab")).mapInArrow(keep, "a long, b long"))
+
+    few = joined(pairs, vertices, ["n", "map"], narrow)
+    wanted = few.select(F.col("a").alias("sid")).union(few.select("b")).distinct()
+    sets = written(vertices.select("sid", "n", "parity", "firsts").join(wanted, "sid", "left_semi"))
+    possible = joined(few, sets, ["n", "parity", "firsts"], run)
+    discard(few, sets)
+    return possible
 
 
 def _links(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, options: Options) -> DataFrame:
     """Those of the pairs that are links, as a written table."""
-    possible = written(_possible(pairs, vertices, options))
+    possible = _possible(pairs, vertices, options)
     sets = _sets(docs, vertices, possible.select(F.col("a").alias("sid")).union(possible.select("b")), options)
     links = written(_verified(possible, sets, options))
     discard(possible, sets)
@@ -291,34 +324,89 @@ def similar(x: list[np.ndarray], y: list[np.ndarray], percent: int, step: int =
     return 100 * both >= percent * (n[:, None] + m - both)
 
 
-def _across(left: DataFrame, sizes: DataFrame, vertices: DataFrame, options: Options) -> DataFrame:
-    """Of what is left of buckets (tok, sid, n, root) the pairs (a, b) across components whose sizes and sketches allow the similarity.
+def _across(docs: DataFrame, left: DataFrame, sizes: DataFrame, vertices: DataFrame, options: Options) -> DataFrame:
+    """Of what is left of buckets (tok, sid, n, root) links (a, b) across components, enough of them to connect all that links
+    connect; a written table.
 
-    ``sizes``: (tok, k rows). Small buckets share a task; of a large one each pair of parts is one.
+    ``sizes``: (tok, k rows). Small buckets share a task; of a large one each pair of parts is one. Two passes keep, in each
+    task, the rows that have another one which their sizes and bitmaps allow, first by the small bitmaps, then by the whole
+    ones; a third one compares these rows' sets and passes on only links that join what its other links haven't joined. So
+    none has more rows than it is given.
     """
     bins = left.count() // (4 * options.block) + 1
     parts = F.ceil(F.col("k") / options.block).cast("int")
-    named = left.join(sizes.select("tok", parts.alias("parts")), "tok").join(vertices.select("sid", "sketch"), "sid")
-    placed = named.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    named = left.join(sizes.select("tok", parts.alias("parts")), "tok").join(vertices.select("sid", "map"), "sid")
     place = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("tok"), F.lit(bins))).otherwise(F.col("tok"))
-    tasks = placed.select("tok", "sid", "n", "root", "sketch", "part", (F.col("parts") == 1).alias("small"), place.alias("place"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    placed = named.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    task = ["small", "place", "low", "high"]
+    tasks = placed.select("tok", "sid", "n", "root", "map", "part", (F.col("parts") == 1).alias("small"), place.alias("place"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
 
-    def compare(table: pa.Table) -> pa.Table:
+    def allowed(table: pa.Table, maps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        tok, part = table.column("tok").to_numpy(), table.column("part").to_numpy()
+        tok, part, n, root = (table.column(c).to_numpy() for c in ("tok", "part", "n", "root"))
         order = np.lexsort((part, tok))
-        tok, part = tok[order], part[order]
-        sid, n, root = (table.column(c).to_numpy()[order] for c in ("sid", "n", "root"))
-        bits = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)[order]
+        tok, part, n, root = tok[order], part[order], n[order].astype(np.int64), root[order]
         stop = np.searchsorted(tok, tok, "right")
         first = np.arange(len(tok)) + 1
         if low != high:  # rows of one part with those of the other
             first = np.where(part == low, np.searchsorted(part, high), stop)
-        found = _close_pairs(first, stop, n.astype(np.int64), root, bits, options.percent)
-        a, b = sid[found[0]], sid[found[1]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        bits = np.frombuffer(b"".join(folded(x, 8 * SKETCH) for x in maps), np.uint64).reshape(-1, SKETCH)
+        i, j = (order[x] for x in _close_pairs(first, stop, n, root, bits[order], options.percent))
+        ok = _alike(i, j, table.column("n").to_numpy().astype(np.int64), maps, options.percent)
+        return i[ok], j[ok]
+
+    def near(table: pa.Table) -> pa.Table:
+        found = np.unique(np.concatenate(allowed(table, table.column("map").to_pylist())))
+        return table.select(["tok", "sid", "n", "root", "part", *task]).take(pa.array(found))
+
+    def compare(table: pa.Table) -> pa.Table:
+        every, at = np.unique(table.column("sid").to_numpy(), return_index=True)
+        tokens = {x: np.frombuffer(table.column("tokens")[i].as_buffer(), np.uint64) for x, i in zip(every.tolist(), at.tolist())}
+        maps = {x: parities(t) if len(t) >= 32 * SKETCH else bitmap(t) for x, t in tokens.items()}
+        sid, root = table.column("sid").to_pylist(), table.column("root").to_pylist()
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while above.get(x, x) != x:
+                above[x] = x = above.get(above[x], above[x])
+            return x
+
+        links, strangers = [], set()
+        for i, j in zip(*(x.tolist() for x in allowed(table, [maps[x] for x in sid]))):
+            one, two, pair = top(root[i]), top(root[j]), (min(sid[i], sid[j]), max(sid[i], sid[j]))
+            if one != two and pair not in strangers:
+                if linked(tokens[pair[0]], tokens[pair[1]], options.percent):
+                    above[one] = two
+                    links.append(pair)
+                else:
+                    strangers.add(pair)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    made = "tok long, sid long, n int, root long, part int, small boolean, place long, low int, high int"
+    some = written(tasks.groupBy(*task).applyInArrow(near, made))
+    whole = vertices.select("sid", F.when(F.length("parity") > MAP_BYTES, F.col("parity")).otherwise(F.col("map")).alias("map"))
+    rows = written(some.join(whole, "sid").groupBy(*task).applyInArrow(near, made))
+    discard(some)
+    sets = _sets(docs, vertices, rows.select("sid"), options)
+    links = written(rows.join(sets, "sid").groupBy(*task).applyInArrow(compare, "a long, b long").distinct())
+    discard(rows, sets)
+    return links
+
 
-    return tasks.groupBy("small", "place", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+def _alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, maps: list[bytes], percent: int, step: int = 1 << 20) -> np.ndarray:
+    """What ``may_link`` says of each pair of rows i and j with these sizes and bitmaps."""
+    width = np.fromiter(map(len, maps), np.int64, len(maps)) // 8
+    least, ok = np.minimum(width[i], width[j]), np.zeros(len(i), bool)
+    for w in np.unique(least).tolist():
+        pairs = np.flatnonzero(least == w)
+        rows = np.unique(np.concatenate([i[pairs], j[pairs]]))
+        bits = np.stack([np.frombuffer(folded(maps[r], 8 * w), np.uint64) for r in rows.tolist()])
+        each = max(1, step // w)
+        for a in range(0, len(pairs), each):
+            at = pairs[a : a + each]
+            differ = np.bitwise_count(bits[np.searchsorted(rows, i[at])] ^ bits[np.searchsorted(rows, j[at])]).sum(axis=1, dtype=np.int64)
+            ok[at] = (100 + percent) * differ <= (100 - percent) * (n[i[at]] + n[j[at]])
+    return ok
 
 
 def _close_pairs(first: np.ndarray, stop: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray, percent: int, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
@@ -389,7 +477,7 @@ def _vertices(docs: DataFrame, options: Options, count_links: bool) -> tuple[Dat
     order = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[order], times[order]))
     digest = written(table.where("tok is null").select("doc_id", "sid", "n"))
-    vertices = written(table.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "copy")).alias("row"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("firsts").alias("firsts"), F.first("sketch").alias("sketch")).select("sid", "row.doc_id", "row.copy", "n", "parity", "firsts", "sketch"))
+    vertices = written(table.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "copy")).alias("row"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("firsts").alias("firsts"), F.first("map").alias("map")).select("sid", "row.doc_id", "row.copy", "n", "parity", "firsts", "map"))
     discard(table)
 
     rows = written(_prefix_rows(docs, frequent, options))
@@ -417,10 +505,9 @@ def _vertices(docs: DataFrame, options: Options, count_links: bool) -> tuple[Dat
             break
         if size["pairs"] <= options.pairs_per_row * size["rows"] or size["pairs"] > (1 - options.settled) * pairs_before:
             sizes = written(parts.select("tok", "k"))  # a table of its own, so that Spark can split the buckets it is joined with
-            across = written(_across(left, sizes, vertices, options))
-            links.append(_links(docs, vertices, across, options))
+            links.append(_across(docs, left, sizes, vertices, options))
             roots = connected(reduce(DataFrame.union, links))
-            discard(across, sizes)
+            discard(sizes)
             break
         r, pairs_before = r + 1, size["pairs"]
     discard(left)

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from framewright.llm import jaccard_join
 from framewright.llm.components import connected
@@ -161,3 +162,36 @@ def test_rows_without_ids_and_large_buckets(spark):
     rows += [(i, shared + " " + words(rng, 60)) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     check(df, rows, block=6, pairs_per_row=10**6)
+
+
+def test_buckets_pass_on_no_more_links_than_join_them(spark):
+    rng = np.random.default_rng(21)
+    options = jaccard_join.Options(block=16)
+    near, far = (rng.integers(0, 10**9, n) for n in (400, 400))
+    texts = [" ".join(f"w{x}" for x in [*near[:-2], rng.integers(10**9), near[-1]]) for _ in range(40)]  # every two are linked
+    texts += [" ".join(f"w{x}" for x in [*far[:280], *rng.integers(0, 10**9, 120)]) for _ in range(40)]  # no two are, though they share most
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) copy").repartition(3)
+    digest = jaccard_join._digest(df, options).where("sid is not null").cache()
+    for tok in (1, 2):  # two buckets that hold all of them: pairs meet in each
+        rows = digest.selectExpr(f"{tok}L tok", "sid", "n", "sid root")
+        left = rows if tok == 1 else left.union(rows)
+    found = jaccard_join._across(df, left, left.groupBy("tok").agg(F.count("*").alias("k")), digest, options)
+    ids = {r.sid: r.doc_id for r in digest.collect()}
+    links = [(ids[r.a], ids[r.b]) for r in found.collect()]
+    assert all(max(x) < 40 for x in links) and len({r.root for r in connected(found).collect()}) == 1
+    # 3 parts give 6 pairs of parts; in each at most one link fewer than there are sets.
+    assert {x for link in links for x in link} == set(range(40)) and len(links) <= 3 * 80 < 40 * 39 // 2
+
+
+def test_folded_bitmaps_allow_what_may_link_allows():
+    rng = np.random.default_rng(22)
+    base = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: rng.integers(20, 3000)], rng.integers(0, 2**63, rng.integers(1, 300)).astype(np.uint64)])) for _ in range(40)]
+    n = np.array([len(x) for x in sets])
+    maps = [jaccard_join.folded(jaccard_join.parities(x), 256) for x in sets]
+    assert max(map(len, maps)) == 256 and len(set(map(len, maps))) > 2
+    i, j = np.triu_indices(len(sets), 1)
+    want = [jaccard_join.may_link(maps[a], maps[b], int(n[a]), int(n[b]), 75) for a, b in zip(i, j)]
+    for step in (1, 100, 1 << 20):
+        assert jaccard_join._alike(i, j, n, maps, 75, step).tolist() == want
+    assert all(w for a, b, w in zip(i, j, want) if jaccard_join.linked(sets[a], sets[b], 75)) and any(want) and not all(want)
