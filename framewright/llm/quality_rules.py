@@ -3,9 +3,9 @@
 A text is compressed whole and in fixed chunks with zstandard. Text that repeats itself, lists and markup compress too
 well, random or encoded text hardly at all; how well ordinary text compresses depends on its length, and so do the limits.
 They are interpolated over the logarithm of the length between the points of a ``Bands``, and beyond its first and last
-point are those of that point. ``fit`` finds them from texts that are labelled as good, at most ``Fit.rows`` of them: at
-each power of two the ratios of such texts of about that size lie on a line, and the limits are so far from it that few
-of them are outside. Where no good texts of a size are labelled, the limits of ``Bands`` hold: the lower ones lie between
+point are those of that point. ``fit`` finds them from all texts that are labelled as good: at each power of two the
+ratios of such texts of about that size lie on a line, and the limits are so far from it that few of them are outside.
+Lines come from sums and quantiles from counts in ever narrower ranges, so no ratios meet on one machine. Where no good texts of a size are labelled, the limits of ``Bands`` hold: the lower ones lie between
 base64 and the least ratios of prose; random letters are found from 8 KiB on, hex digits (ratio 1.9) aren't told from prose.
 
 Cases: null or empty text has no words, fails the base rules and gets ratio 0. Repeated rows get equal results; a text of
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Tokens, as_bytes, covered, pair_hash, slices, window_hash
+from .common import Tokens, as_bytes, covered, discard, pair_hash, slices, window_hash, written
 
 SYMBOLS = b"#*$%&|<>"
 _NOT_WORD_CHARS = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
@@ -53,9 +53,7 @@ class Bands:
 
 @dataclass(frozen=True)
 class Fit:
-    #: The most labelled texts that limits are fitted to, those whose ids have the least hashes.
-    rows: int = 20_000
-    #: Shares of them that may lie below and above the limits of whole texts, or have a chunk below and above those of chunks.
+    #: Shares of the labelled texts that may lie below and above the limits of whole texts, or have a chunk below and above those of chunks.
     whole: tuple = (0.002, 0.004)
     chunk: tuple = (0.002, 0.004)
     #: Ratios by which the limits are then widened.
@@ -123,41 +121,85 @@ def measure(texts: list[bytes], bands: Bands) -> dict[str, np.ndarray]:
     return {"n_words": tokens.counts, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dups, "n_repeat_words": repeat, "base_failed": failed, "kept": ~failed & fits, "ratio": ratio, "n_chunks": chunks, "n_bad_chunks": bad}
 
 
-def limits_of(size: np.ndarray, ratio: np.ndarray, least: np.ndarray, most: np.ndarray, bands: Bands, options: Fit) -> Bands:
-    """``bands`` with the limits that fit the ratios of good texts of these sizes and the least and largest ratios of each one's full chunks."""
-    x, points = np.log2(np.maximum(size, 1)), {b: (low, high) for b, low, high in bands.whole}
-    for k in range(6, int(x.max(initial=0)) + 1):
-        near = np.abs(x - k) <= 1
-        if near.sum() < options.least:
-            continue
-        line = np.polyfit(x[near] - k, ratio[near], 1)
-        off = np.quantile(ratio[near] - np.polyval(line, x[near] - k), [options.whole[0], 1 - options.whole[1]])
-        points[1 << k] = (float(line[-1] + off[0] - options.margin), float(line[-1] + off[1] + options.margin))
-    chunk = bands.chunk
-    if len(least) >= options.least:
-        chunk = (float(np.quantile(least, options.chunk[0]) - options.margin), float(np.quantile(most, 1 - options.chunk[1]) + options.margin))
+#: The ranges that each step of ``_quantiles`` counts, and the steps: values are told apart down to their span / 2^36.
+_RANGES, _STEPS = 1 << 12, 3
+
+
+def _quantiles(values: DataFrame, shares: tuple) -> dict[int, list[float]]:
+    """For each k of ``values`` (k int, v double) the values that these shares of its rows lie below, from all rows.
+
+    A step counts the rows in equal ranges and goes on in the one that holds the row asked for, so at most ``_RANGES`` counts
+    for each k and share come to the driver, however many rows there are.
+    """
+    spans = {r["k"]: (r["low"], r["high"], r["n"]) for r in values.groupBy("k").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).collect()}
+    if not spans:
+        return {}
+    #: By k and share: the range, and the place of the row in it.
+    at = {(k, i): (low, high, round(share * (n - 1))) for k, (low, high, n) in spans.items() for i, share in enumerate(shares)}
+    schema = "k int, i int, low double, high double"
+    for _ in range(_STEPS):
+        ranges = values.sparkSession.createDataFrame([(k, i, low, high) for (k, i), (low, high, _) in at.items()], schema)
+        inside = values.join(F.broadcast(ranges), "k").where("v >= low and v <= high")
+        place = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * _RANGES), F.lit(_RANGES - 1))).otherwise(F.lit(0))
+        found: dict = {}
+        for r in inside.groupBy("k", "i", place.alias("place")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
+            found.setdefault((r["k"], r["i"]), []).append((r["place"], r["n"], r["low"], r["high"]))
+        for key, rows in found.items():
+            left = at[key][2]
+            for _, n, low, high in sorted(rows):
+                if left < n:
+                    at[key] = (low, high, left)
+                    break
+                left -= n
+    return {k: [at[k, i][0] for i in range(len(shares))] for k in spans}
+
+
+def limits_of(found: DataFrame, bands: Bands, options: Fit) -> Bands:
+    """``bands`` with the limits that fit good texts; ``found``: (size long, ratio, least, most double) of each, the last two of
+    its full chunks' ratios, null where it has none."""
+    points = {b: (low, high) for b, low, high in bands.whole}
+    x = F.log2(F.greatest("size", F.lit(1)).cast("double"))
+    near = found.withColumn("k", F.explode(F.sequence(F.ceil(x - 1), F.floor(x + 1)))).where("k >= 6").select(F.col("k").cast("int").alias("k"), (x - F.col("k")).alias("x"), F.col("ratio").alias("y"))
+    lines = {}
+    for r in near.groupBy("k").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx")).collect():
+        if r["n"] >= options.least:
+            slope = r["xy"] / r["xx"] if r["xx"] > 0 else 0.0
+            lines[r["k"]] = (slope, r["y"] - slope * r["x"])
+    if lines:
+        table = found.sparkSession.createDataFrame([(k, *line) for k, line in lines.items()], "k int, slope double, base double")
+        off = _quantiles(near.join(F.broadcast(table), "k").select("k", (F.col("y") - F.col("slope") * F.col("x") - F.col("base")).alias("v")), (options.whole[0], 1 - options.whole[1]))
+        # The largest size's power of two is the last that has limits of its own.
+        last = found.agg(F.max("size").alias("size")).first()["size"].bit_length() - 1
+        points |= {1 << k: (lines[k][1] + low - options.margin, lines[k][1] + high + options.margin) for k, (low, high) in off.items() if k <= last}
+    chunk, chunks = bands.chunk, found.where("least is not null")
+    if chunks.count() >= options.least:
+        ends = chunks.select(F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("least").alias("v")), F.struct(F.lit(1).alias("k"), F.col("most").alias("v")))).alias("r")).select("r.k", "r.v")
+        both = _quantiles(ends, (options.chunk[0], 1 - options.chunk[1]))
+        chunk = (both[0][0] - options.margin, both[1][1] + options.margin)
     return replace(bands, whole=tuple((b, *points[b]) for b in sorted(points)), chunk=chunk)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", good: Column | None = None, bands: Bands = Bands(), options: Fit = Fit()) -> Bands:
-    """``bands`` with the limits that fit the texts of ``docs`` whose ``labels`` are ``good`` (by default: quality = 1)."""
+    """``bands`` with the limits that fit all texts of ``docs`` whose ``labels`` are ``good`` (by default: quality = 1)."""
     good = F.col("quality") == 1 if good is None else good
-    named = labels.where(good & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(options.rows)
-
-    made = pa.schema([("size", pa.int64()), *((c, pa.float64()) for c in ("ratio", "least", "most"))])
+    named = labels.where(good & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id")).distinct()
+    made = pa.schema([("id", pa.int64()), ("size", pa.int64()), *((c, pa.float64()) for c in ("ratio", "least", "most"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=bands.level).compress
         for part in slices(batches, text):
             texts = as_bytes(part.column(text))
-            rows = [x for x, wrong in zip(texts, measure(texts, bands)["base_failed"]) if not wrong]
-            chunks = [[len(c) / len(press(c)) for c in parts(x, bands) if len(c) == bands.chunk_bytes] for x in rows]
-            yield pa.RecordBatch.from_pydict({"size": [len(x) for x in rows], "ratio": [len(x) / len(press(x)) for x in rows], "least": [min(c, default=None) for c in chunks], "most": [max(c, default=None) for c in chunks]}, made)
-
-    texts = docs.select(F.col(key).cast("long").alias("id"), text)
-    found = texts.join(F.broadcast(named), "id", "left_semi").select(text).mapInArrow(run, "size long, ratio double, least double, most double").toArrow()
-    size, ratio, least, most = (found.column(c).to_numpy() for c in made.names)
-    return limits_of(size, ratio, least[~np.isnan(least)], most[~np.isnan(most)], bands, options)
+            found = measure(texts, bands)
+            at = np.flatnonzero(~found["base_failed"])
+            chunks = [[len(c) / len(press(c)) for c in parts(texts[i], bands) if len(c) == bands.chunk_bytes] for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at)), pa.array([len(texts[i]) for i in at.tolist()], pa.int64()), pa.array(found["ratio"][at]), pa.array([min(c, default=None) for c in chunks], pa.float64()), pa.array([max(c, default=None) for c in chunks], pa.float64())], schema=made)
+
+    # All texts are measured, so that only numbers and not texts are exchanged for the labels.
+    texts = docs.select(F.col(key).cast("long").alias("id"), text).where("id is not null")
+    found = written(texts.mapInArrow(run, "id long, size long, ratio double, least double, most double").join(named, "id", "left_semi").drop("id"))
+    out = limits_of(found, bands, options)
+    discard(found)
+    return out
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", bands: Bands = Bands()) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import zstandard
 from pyspark.sql import functions as F
 
@@ -116,3 +117,42 @@ def test_fit_without_labels_and_with_nulls(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(1, None), (None, 1), (10**9, 1)], "doc_id long, quality int")
     assert quality_rules.fit(edge_docs, labels) == bands == quality_rules.fit(no_docs, labels)
     assert quality_rules.fit(edge_docs, labels.limit(0)) == bands
+
+
+def test_quantiles_and_lines_come_from_all_rows(spark):
+    rng = np.random.default_rng(4)
+    values = {0: rng.normal(2, 0.3, 9000), 1: np.full(50, 1.5), 2: np.repeat([1.0, 3.0], [999, 1]), 3: np.array([7.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x], "k int, v double").repartition(5)
+    shares = (0.002, 0.5, 0.996, 1.0)
+    got = quality_rules._quantiles(df, shares)
+    for k, x in values.items():
+        assert np.allclose(got[k], [np.sort(x)[round(s * (len(x) - 1))] for s in shares], atol=1e-9)
+    size = np.exp2(rng.uniform(5, 12, 21_000)).astype(int)  # more than 20,000 labelled texts
+    ratio = 1 + 0.1 * np.log2(size) + rng.normal(0, 0.05, len(size))
+    texts = spark.createDataFrame([(int(n), float(r), None, None) for n, r in zip(size, ratio)], "size long, ratio double, least double, most double")
+    bands = quality_rules.limits_of(texts, quality_rules.Bands(), quality_rules.Fit())
+    x, found = np.log2(size), {b: (low, high) for b, low, high in bands.whole}
+    for k in range(6, 12):
+        near = np.abs(x - k) <= 1
+        line = np.polyfit(x[near] - k, ratio[near], 1)
+        off = np.sort(ratio[near] - np.polyval(line, x[near] - k))
+        low, high = (off[round(s * (len(off) - 1))] for s in (0.002, 0.996))
+        assert np.allclose(found[1 << k], (line[-1] + low - 0.01, line[-1] + high + 0.01), atol=1e-6)
+    assert bands.chunk == quality_rules.Bands().chunk
+
+
+def test_fit_uses_every_label(spark):
+    assert "rows" not in quality_rules.Fit.__dataclass_fields__
+    rng = random.Random(8)
+    rows = [(i, words(rng, 60 + i % 7)) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (None, words(rng, 70))], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i, _ in rows] * 2, "doc_id long, quality int")
+    bands = quality_rules.fit(docs, labels)
+    raw = [t.encode() for _, t in rows]
+    size = np.array([len(t) for t in raw])
+    ratio = np.array([len(t) / len(zstandard.ZstdCompressor(level=3).compress(t)) for t in raw])
+    k = int(np.log2(size.max()))
+    near = np.abs(np.log2(size) - k) <= 1
+    line = np.polyfit(np.log2(size[near]) - k, ratio[near], 1)
+    off = ratio[near] - np.polyval(line, np.log2(size[near]) - k)
+    assert np.allclose({b: x for b, *x in bands.whole}[1 << k], (line[-1] + off.min() - 0.01, line[-1] + off.max() + 0.01), atol=1e-6)
