@@ -74,8 +74,27 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
+_NORMAL = bytes.maketrans(b"\t\n\x0b\x0c\r" + bytes(range(0x41, 0x5B)), b" " * 5 + bytes(range(0x61, 0x7B)))
+
+
 def normalised(texts: list[bytes]) -> list[bytes]:
-    return [b" ".join(t.lower().split()) for t in texts]
+    """The words of each text, ASCII-lower-cased, joined by one space."""
+    out = []
+    for text in texts:
+        text = text.translate(_NORMAL).strip(b" ")
+        while b"  " in text:
+            text = text.replace(b"  ", b" ")
+        out.append(text)
+    return out
+
+
+def byte_counts(data: bytes) -> np.ndarray:
+    """How often ``data`` has each byte: pairs are counted."""
+    pairs = np.bincount(np.frombuffer(data, np.uint16, len(data) // 2), minlength=1 << 16).reshape(256, 256)
+    counts = pairs.sum(axis=0) + pairs.sum(axis=1)
+    if len(data) % 2:
+        counts[data[-1]] += 1
+    return counts
 
 
 class Alphabet:
@@ -140,7 +159,8 @@ def pieces(texts: list[bytes], most: int) -> list[Piece]:
 _ODD = 0x9E3779B97F4A7C15
 
 
-_SLICE = 1 << 15  # numbers that are hashed together, so that a processor's cache holds them
+_SLICE = 1 << 15  # numbers that are worked on together, so that a processor's cache holds them
+_BUT_LAST = np.arange(64, -1, -8, dtype=np.uint64)  # the bits of eight bytes but the last k; a shift by 64 leaves nothing
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -151,6 +171,17 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def _strings(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Strings of these sizes, one after another in ``data``."""
+    begin = np.concatenate([[0], np.cumsum(size)])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(begin), pa.py_buffer(data)])
+
+
+def _joined(strings: pa.Array, which: np.ndarray) -> np.ndarray:
+    """Some of the strings one after another."""
+    return np.frombuffer(strings.take(pa.array(which)).buffers()[2] or b"", np.uint8)
+
+
 class Sequence:
     """Some pieces one after another, each after its pads and the words before: their bytes, words and contexts."""
 
@@ -162,21 +193,13 @@ class Sequence:
         self.whole = lead + np.fromiter((len(p.body) for p in some), np.int64, len(some))
         stop = np.cumsum(self.whole)
         self.not_asked = _ranges(stop - self.whole, lead)  # the places that aren't predicted
-        self.rank = rank[raw[:n]]
+        self.rank = np.frombuffer(raw[:n].tobytes().translate(rank.tobytes()), np.uint8)
         edge = np.flatnonzero((raw[:n] == SPACE) | (raw[:n] == END)).astype(np.int32)
         begin = np.concatenate([np.zeros(1, np.int32), edge[:-1] + 1])
         length = edge - begin  # of the words, most of which are pads and have none
-        # The eight bytes before each place, and the word so far: the last eight of its bytes and, if it is longer, its length.
-        self.eight, self.word = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.eight = np.zeros(n, np.uint64)  # the eight bytes before each place
         self.eight[8:] = np.ndarray((n - 8,), "<u8", raw.data, 0, (1,))
-        so_far = np.arange(n, dtype=np.int32)
-        so_far -= np.repeat(begin, length + 1)
-        keep = ((8 - np.minimum(so_far, 8)) * 8).astype(np.uint8)
-        np.right_shift(self.eight, keep, out=self.word)
-        self.word[edge[length == 0]] = 0
-        self.word[begin[length > 0]] = 0
-        long = np.flatnonzero(so_far > 8)
-        self.word[long] += mix(so_far[long].astype(np.uint64), 72)
+        self.so_far = _ranges(np.zeros(len(edge), np.int32), length + 1)  # how many bytes of its word are before each place
         # Words: each ends with a space or the text's end; one without a byte is an empty text's.
         first, last = np.searchsorted(edge, stop - self.whole + lead), np.searchsorted(edge, stop - 1) + 1
         self.words_of = np.concatenate([[0], np.cumsum(last - first)])  # of each piece the first word
@@ -189,15 +212,30 @@ class Sequence:
         every = mix(every, 70)
         self.hash = every[mine]
         self.expecting = mix(mix(every[mine - 2]) + every[mine - 1], 71) >> U64(64 - bits)  # the name of the two words before
-        self.ending = ((self.hash + (raw[edge[mine]] == END)) * U64(_ODD) >> U64(48)).astype(np.uint16)  # the word and what ends it
+        self._ended = (self.hash + (raw[edge[mine]] == END)) * U64(_ODD)
+        self.ending = (self._ended >> U64(48)).astype(np.uint16)  # the word and what ends it
+
+    def different(self) -> np.ndarray:
+        """Some of the words, among them each that is there, with what ends it; few are there twice."""
+        place = (self._ended >> U64(44)).astype(np.int64)
+        table = np.zeros(1 << 20, np.int32)
+        number = np.arange(len(place), dtype=np.int32)
+        table[place] = number
+        same = table[place]
+        return np.flatnonzero((same == number) | (self._ended[same] != self._ended))
 
     def code(self, kind: int, at: np.ndarray | None = None) -> np.ndarray:
         """Of one kind the code of the (context, byte) at all places or some: the name's first bits, the byte's rank."""
-        source = self.word if kind == WORD else self.eight
-        out = np.empty(len(source) if at is None else len(at), np.uint64)
+        out = np.empty(len(self.eight) if at is None else len(at), np.uint64)
         for a in range(0, len(out), _SLICE):
-            some = slice(a, a + _SLICE) if at is None else at[a : a + _SLICE]
-            x = source[some] >> U64(0 if kind == WORD else 64 - 8 * ORDERS[kind])
+            some, x = slice(a, a + _SLICE) if at is None else at[a : a + _SLICE], out[a : a + _SLICE]
+            if kind == WORD:  # the last eight of its bytes and, if it is longer, its length
+                size = self.so_far[some]
+                np.right_shift(self.eight[some], _BUT_LAST.take(np.minimum(size, 8)), out=x)
+                long = np.flatnonzero(size > 8)
+                x[long] += mix(size[long].astype(np.uint64), 72)
+            else:
+                np.right_shift(self.eight[some], U64(64 - 8 * ORDERS[kind]), out=x)
             x += U64(kind + 1)
             x *= U64(0xD6E8FEB86659FD93)
             x ^= x >> U64(32)
@@ -205,7 +243,6 @@ class Sequence:
             x >>= U64(64 - self.bits)
             x <<= U64(8)
             x |= self.rank[some]
-            out[a : a + _SLICE] = x
         return out
 
 
@@ -241,8 +278,13 @@ class Listed:
     word_times: np.ndarray
 
 
-def _runs(ranked: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
+def _runs(ranked: np.ndarray, below: int = 0) -> np.ndarray:
+    """Where numbers begin that aren't as the one before them, their last ``below`` bits aside."""
+    new = np.ones(len(ranked), bool)
+    for a in range(1, len(ranked), _SLICE):
+        some, last = ranked[a : a + _SLICE], ranked[a - 1 : a - 1 + _SLICE]
+        np.not_equal(some, last[: len(some)], out=new[a : a + _SLICE]) if not below else np.greater_equal(some ^ last[: len(some)], U64(1 << below), out=new[a : a + _SLICE])
+    return np.flatnonzero(new)
 
 
 def _sorted(numbers: np.ndarray) -> np.ndarray:
@@ -258,23 +300,43 @@ def _summed(ranked: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _distinct(numbers: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct numbers, sorted, and the sums of their times."""
+    return _placed(numbers, times)[:2]
+
+
+def _placed(numbers: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct numbers, sorted, the sums of their times, and for each list where its numbers are."""
     every, n = np.concatenate(numbers), np.concatenate(times)
     order = np.argsort(every)
-    return _summed(every[order], n[order])
+    ranked = every[order]
+    return *_summed(ranked, n[order]), _places(ranked, order, numbers)
+
+
+def _places(ranked: np.ndarray, order: np.ndarray, lists: list[np.ndarray], below: int = 0) -> list[np.ndarray]:
+    """For each list which of the distinct numbers its numbers are; ``order`` sorts all lists' numbers to ``ranked``."""
+    new = np.zeros(len(ranked), np.int32)
+    new[_runs(ranked, below)[1:]] = 1
+    at = np.empty(len(ranked), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32)
+    return np.split(at, np.cumsum([len(x) for x in lists])[:-1])
 
 
 def _expected(names: np.ndarray, expected: np.ndarray, came: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, ...]:
     """The same with a row for each name: the least of the words that come after it, how often it comes, how often any."""
-    order = np.lexsort((expected, every == 0, names))
-    names, expected, came, every = names[order], expected[order], came[order], every[order]
-    first = _runs(names)
+    return _expected_of([names], expected, came, every)[0]
+
+
+def _expected_of(lists: list[np.ndarray], expected: np.ndarray, came: np.ndarray, every: np.ndarray) -> tuple[tuple[np.ndarray, ...], list[np.ndarray]]:
+    """That, and for each list of names where they are."""
+    names = np.concatenate(lists)
+    ranked = names << U64(17) | (every == 0).astype(np.uint64) << U64(16) | expected.astype(np.uint64)
+    order = np.argsort(ranked)
+    ranked, came, every = ranked[order], came[order], every[order]
+    expected, first = ranked.astype(np.uint16), _runs(ranked, 17)
     if not len(first):
-        return names, expected, came, every
-    run = np.zeros(len(names), np.int64)
-    run[first[1:]] = 1
+        return (names, expected, came, every), lists
     least = expected[first]
-    same = expected == least[np.cumsum(run)]
-    return names[first], least, np.add.reduceat(np.where(same, came, 0), first), np.add.reduceat(every, first)
+    same = expected == np.repeat(least, np.diff(first, append=len(ranked)))
+    return (ranked[first] >> U64(17), least, np.add.reduceat(np.where(same, came, 0), first), np.add.reduceat(every, first)), _places(ranked, order, lists, 17)
 
 
 def listed(block: Block, counted: bool = True) -> Listed:
@@ -290,46 +352,52 @@ def listed(block: Block, counted: bool = True) -> Listed:
 
 
 def _listed(seq: Sequence, learned: np.ndarray, counted: bool) -> Listed:
-    other = np.repeat(~learned, seq.whole)
+    other = np.repeat(~learned, seq.whole) if counted else None
     codes, times = [], []
     for kind in range(KINDS):
-        code = seq.code(kind)
-        if not counted:
-            code[seq.not_asked] = U64(2**64 - 1)
+        if not counted and kind == WORD:  # which equal words share
+            some = seq.different()
+            code = seq.code(kind, _ranges(seq.first[some], seq.size[some]))
             code.sort()
-            codes.append(code[_runs(code[: len(code) - len(seq.not_asked)])])
+            codes.append(code[_runs(code)])
             times.append(np.empty(0, np.int64))
             continue
-        code <<= U64(1)
-        code |= other
+        code = seq.code(kind)
+        if counted:  # a code's training texts come first
+            code <<= U64(1)
+            code |= other
         code[seq.not_asked] = U64(2**64 - 1)
         code.sort()
         code = code[: len(code) - len(seq.not_asked)]
-        first = _runs(code >> U64(1))
-        codes.append(code[first] >> U64(1))
-        # A run's training texts come first; where its last is one, all are.
-        stop = np.append(first[1:], len(code))
-        n = stop - first
-        mixed = np.flatnonzero(code[stop - 1] & U64(1) == 1)
-        n[mixed] = np.searchsorted(code, codes[-1][mixed] << U64(1) | U64(1)) - first[mixed]
-        times.append(n)
+        first = _runs(code)
+        if not counted:
+            codes.append(code[first])
+            times.append(np.empty(0, np.int64))
+            continue
+        n = np.diff(first, append=len(code))
+        once = code[first]
+        first = _runs(once, 1)
+        once = once[first]
+        codes.append(once >> U64(1))
+        times.append(np.where(once & U64(1) == 0, n[first], 0))
     mine = learned[seq.piece]
     # Sorted by name, learned first, word: of each name the first is the least word of those that are learned.
     after = seq.expecting << U64(17) | (~mine).astype(np.uint64) << U64(16) | seq.ending
     after.sort()
-    names = after >> U64(17)
-    first = _runs(names)
-    once, n = _summed(after, np.ones(len(after), np.int64))
-    held = after[first] & U64(1 << 16) != 0
-    every = np.add.reduceat(after & U64(1 << 16) == 0, first, dtype=np.int64)
-    came = np.where(held, 0, n[np.searchsorted(once, after[first])])
-    expected = np.where(held, 0, after[first] & U64(0xFFFF)).astype(np.uint16)
+    first = _runs(after)
+    once, n = after[first], np.diff(first, append=len(after))
+    first = _runs(once, 17)
+    held = once & U64(1 << 16) != 0
+    every = np.add.reduceat(np.where(held, 0, n), first)
+    names, held = once[first] >> U64(17), held[first]
+    came = np.where(held, 0, n[first])
+    expected = np.where(held, 0, once[first] & U64(0xFFFF)).astype(np.uint16)
     full = seq.size > 1
     if not counted:
-        return Listed(codes, times, names[first], expected, came, every, _sorted(seq.hash[full]), np.empty(0, np.int64))
+        return Listed(codes, times, names, expected, came, every, _sorted(seq.hash[full]), np.empty(0, np.int64))
     words, n = np.unique(seq.hash[full & mine], return_counts=True)
     others = _sorted(seq.hash[full & ~mine])
-    return Listed(codes, times, names[first], expected, came, every, *_distinct([words, others], [n, np.zeros(len(others), np.int64)]))
+    return Listed(codes, times, names, expected, came, every, *_distinct([words, others], [n, np.zeros(len(others), np.int64)]))
 
 
 def states(right: np.ndarray, every: np.ndarray, seen: float) -> tuple[np.ndarray, np.ndarray]:
@@ -372,9 +440,6 @@ def log_odds(alphabet: Alphabet, code: np.ndarray, times: np.ndarray, seen: floa
     return begin, out
 
 
-#: The input that a state byte stands for.
-_INPUT = np.where(np.arange(256) < 64, 0, (np.arange(256) % 64 - 32) / 4).astype(np.float32)
-_WAY = np.array([-1, 1], np.float32)
 #: Sets of weights: bytes by what is known of the word so far (nothing, once, more) and whether another word was expected;
 #: expected words by what is known (once, up to 7 times, more) and whether the last expected one came.
 BYTE_GATES = 6
@@ -383,10 +448,17 @@ RANGES = 25  # of the sum, one wide, for the refinement
 
 
 class Lookup:
-    """A hash table of numbers: the place of each among them."""
-
-    def __init__(self, numbers: np.ndarray):
-        self.shift = U64(64 - max(4, len(numbers).bit_length()))
+    """A hash table of numbers. What is found is a place in ``order``, which has the places among the numbers (None: as they are)."""
+
+    def __init__(self, numbers: np.ndarray, bits: int = 0):
+        """``bits``: of sorted numbers whose first bits are a hash already, how many they have."""
+        size = max(4, len(numbers).bit_length())
+        self.hashed, self.shift = bits > 0, U64(max(0, bits - size) if bits else 64 - size)
+        if self.hashed:
+            self.order, self.numbers = None, numbers
+            self.start = np.zeros(1 << size, np.int32)
+            np.cumsum(np.bincount((numbers >> self.shift).view(np.int64), minlength=len(self.start))[:-1], out=self.start[1:])
+            return
         place = (numbers * U64(_ODD) >> self.shift).astype(np.uint32)
         self.order = np.argsort((place & np.uint32(0xFFFF)).astype(np.uint16), kind="stable").astype(np.int32)  # 16 bits at a time: numpy counts these
         if len(numbers) > 1 << 15:
@@ -396,12 +468,17 @@ class Lookup:
         np.cumsum(np.bincount(place, minlength=len(self.start))[:-1], out=self.start[1:])
 
     def find(self, numbers: np.ndarray) -> np.ndarray:
-        at = self.start[numbers * U64(_ODD) >> self.shift]
+        at = self.start[((numbers if self.hashed else numbers * U64(_ODD)) >> self.shift).view(np.int64)]
         todo = np.flatnonzero(self.numbers[at] != numbers)
         while len(todo):
             at[todo] += 1
             todo = todo[self.numbers[at[todo]] != numbers[todo]]
-        return self.order[at]
+        return at
+
+
+#: What the last two bits of a decision's last byte say: the way is left, there is none (the row fills a chunk), right.
+LEFT, NONE, RIGHT = 0, 1, 2
+_TOGETHER = 1 << 15  # decisions whose rows become numbers together, so that a processor's cache holds them
 
 
 class Mixer:
@@ -409,75 +486,83 @@ class Mixer:
 
     def __init__(self, lanes: int, options: Options):
         self.options, self.steps = options, 0
-        first = np.full(GATES, options.first_weights / KINDS, np.float32)
-        first[BYTE_GATES:] = np.tile(np.array(options.first_expected, np.float32), 3)
-        self.weights = [np.tile(first, lanes) for _ in range(KINDS)]
-        self.offsets = np.zeros(lanes * RANGES, np.float32)
+        first = np.full(GATES, options.first_weights / KINDS)
+        first[BYTE_GATES:] = np.tile(np.array(options.first_expected), 3)
+        #: Of each text the weights of each input, a quarter of each as inputs are in quarters, and the offsets.
+        self.state = np.tile(np.concatenate([*[first / 4] * KINDS, np.zeros(RANGES)]), lanes)
 
     def run(self, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The cost in bits of each text's next n decisions; ``rows``: 8 bytes for each decision, text after text: the
-        inputs' state bytes (log odds of the way that is taken), the way (1: right), the gate."""
-        o, size = self.options, self.options.chunk
-        # Decisions in the order in which they are mixed: chunk by chunk, in a chunk text by text (those with the most
-        # decisions first), each padded to its size.
+        """The cost in bits of each text's next n decisions; ``rows``: of all decisions, text after text, each filled up to
+        whole chunks, each input's state bytes (log odds of the way that is taken), then bytes of the way and, above, the gate."""
+        o, size, wide = self.options, self.options.chunk, KINDS * GATES + RANGES
+        gate = (rows[KINDS] >> 2).reshape(-1, size)
+        # Inputs and ways with their signs turned: what is added up is the log odds against the way that is taken.
+        numbers = np.empty(rows.shape, np.int8)
+        np.multiply((32 - (rows[:KINDS] & 63)).view(np.int8), rows[:KINDS] > 0, out=numbers[:KINDS])
+        np.subtract(np.int8(1), (rows[KINDS] & 3).view(np.int8), out=numbers[KINDS])
+        numbers = numbers.reshape(-1, size)
+        # Chunks in the order in which they are mixed: the first of each text (those with the most decisions first), the second, ...
         order = np.argsort(-n, kind="stable")
-        lane_of = np.empty(len(n), np.int64)
-        lane_of[order] = np.arange(len(n))
-        chunks = -(-n[order] // size)
-        live = np.searchsorted(-chunks, -np.arange(int(chunks.max(initial=0))), "left")
-        base = np.concatenate([[0], np.cumsum(live)]) * size
-        nth = _ranges(np.zeros(len(n), np.int64), n)
-        slot = base[nth // size]
-        nth %= size
-        slot += nth
-        slot += np.repeat(lane_of * size, n)
-        del nth
-        packed = np.zeros(int(base[-1]), np.int64)
-        real = np.zeros(len(packed), bool)
-        packed[slot], real[slot] = rows.view(np.int64).ravel(), True
-        del slot
-        pads = np.flatnonzero(~real)
-        cuts = np.searchsorted(pads, base).tolist()
+        chunks = -(-n // size)
+        live = np.searchsorted(-chunks[order], -np.arange(int(chunks.max(initial=0))), "left")
+        base = np.concatenate([[0], np.cumsum(live)])
+        lane = _ranges(np.zeros(len(live), np.int64), live)
+        which = (np.cumsum(chunks) - chunks)[order][lane] + np.repeat(np.arange(len(live)), live)
+        ranges = np.repeat(np.arange(int(live.max(initial=0))) * wide + KINDS * GATES - 1, size)
+        least, most, above, one = (np.float64(x) for x in (-12, 12, 13, 1))  # above: over 0, where a number is cut to its floor
+        rates = np.full(wide, o.refine_rate)
         cost = np.zeros(len(n))
-        most = int(live.max(initial=0))
-        gates = np.repeat(np.arange(most, dtype=np.int32) * GATES, size)
-        ranges = np.repeat(np.arange(most, dtype=np.int32) * RANGES - 1, size)
-        for t, (k, a) in enumerate(zip(live.tolist(), base.tolist())):
-            m = k * size
-            row = packed[a : a + m].view(np.uint8).reshape(m, 8)
-            at = gates[:m] + row[:, KINDS + 1]
-            xs = [_INPUT.take(row[:, j]) for j in range(KINDS)]
-            p = self.weights[0].take(at)
-            p *= xs[0]
-            for w, x in zip(self.weights[1:], xs[1:]):
-                own = w.take(at)
-                own *= x
+        t = 0
+        while t < len(live):
+            stop = max(t + 1, int(np.searchsorted(base, base[t] + _TOGETHER // size, "right")) - 1)
+            # Of each step all of the first input, all of the second, ..., the ways.
+            k, a = live[t:stop], base[t:stop]
+            part = np.tile(k, (KINDS + 1, 1)).T.ravel()
+            some = _ranges(np.repeat(a, KINDS + 1), part)
+            kind = np.repeat(np.tile(np.arange(KINDS + 1), len(k)), part)
+            x = numbers[kind * len(gate) + which[some]].ravel().astype(np.float64)
+            at = gate[which[some]].astype(np.int64)
+            at += (lane[some] * wide + kind * GATES)[:, None]
+            at = at.ravel()
+            chance = np.empty(int(base[stop] - base[t]) * size)
+            done = 0
+            for k in k.tolist():
+                m = k * size
+                xs, places = x[(KINDS + 1) * done : (KINDS + 1) * (done + m)], at[(KINDS + 1) * done : (KINDS + 1) * (done + m)]
+                way, refined = xs[KINDS * m :], places[KINDS * m :]
+                p = chance[done : done + m]
+                terms = self.state.take(places[: KINDS * m])
+                terms *= xs[: KINDS * m]
+                np.add(terms[:m], terms[m : 2 * m], out=p)
+                for kind in range(2, KINDS):
+                    p += terms[kind * m : (kind + 1) * m]
+                np.minimum(p, most, out=p)
+                np.maximum(p, least, out=p)
+                own = p * way
+                own += above
+                np.copyto(refined, own, casting="unsafe")
+                refined += ranges[:m]
+                own = self.state.take(refined)
+                own *= way
                 p += own
-            np.maximum(np.minimum(p, 12, out=p), -12, out=p)
-            way = _WAY.take(row[:, KINDS])
-            own = p * way
-            own += 13  # above 0, where a number is cut to its floor
-            part = ranges[:m] + own.astype(np.int32)
-            own = self.offsets.take(part)
-            own *= way
-            p += own
-            np.negative(p, out=p)
-            np.exp(p, out=p)
-            p += 1
-            np.reciprocal(p, out=p)
-            error = 1 - p
-            if cuts[t + 1] > cuts[t]:
-                pad = pads[cuts[t] : cuts[t + 1]] - a
-                error[pad], p[pad] = 0, 1
-            cost[:k] -= np.log2(p, out=p).reshape(k, size).sum(axis=1, dtype=np.float64)
-            way *= error
-            self.offsets[: k * RANGES] += np.float32(o.refine_rate) * np.bincount(part, way, k * RANGES)
-            error *= np.float32(max(o.least_rate, o.rate / (1 + self.steps / 16)))
-            for w, x in zip(self.weights, xs):
-                x *= error
-                w[: k * GATES] += np.bincount(at, x, k * GATES)
-            self.steps += 1
-        return cost[lane_of]
+                np.exp(p, out=p)
+                p += one
+                np.reciprocal(p, out=p)
+                np.subtract(one, p, out=own)
+                xs = xs.reshape(KINDS + 1, m)
+                xs *= own
+                rates[: KINDS * GATES] = max(o.least_rate, o.rate / (1 + self.steps / 16)) / 16
+                move = np.bincount(places, xs.ravel(), k * wide).reshape(k, wide)
+                move *= rates
+                self.state[: k * wide] -= move.ravel()
+                self.steps += 1
+                done += m
+            bits = np.log2(chance, out=chance).reshape(-1, size).sum(axis=1)
+            cost -= np.bincount(lane[base[t] : base[stop]], bits, len(n))
+            t = stop
+        out = np.empty(len(n))
+        out[order] = cost
+        return out - (chunks * size - n)  # a row that has no way costs one bit
 
 
 class Model:
@@ -486,15 +571,22 @@ class Model:
     def __init__(self, alphabet: Alphabet, found: Listed, odds: list[np.ndarray], expected: np.ndarray, sure: np.ndarray, bits: int, options: Options):
         """``odds``: of each kind the paths' state bytes; ``expected``, ``sure``: of each name of two words the word and its state byte."""
         self.alphabet, self.bits, self.options = alphabet, bits, options
-        length = alphabet.length
-        self.begin = [(np.cumsum(x := length[(c & U64(255)).astype(np.uint8)]) - x).astype(np.int32) for c in found.codes]
-        self.odds = [np.append(x, np.uint8(0)) for x in odds]
-        self.codes, self.names = [Lookup(c) for c in found.codes], Lookup(found.names)
+        length, size = alphabet.length, options.chunk
+        self.codes, self.names = [Lookup(c) for c in found.codes], Lookup(found.names, bits)
+        # After the paths of a kind: 0 to size - 1 rows of 0 that fill chunks, and what is known of an expected word: each byte.
+        nothing, single = np.arange(size), np.arange(256)
+        self.paths = []
+        for lookup, code, x in zip(self.codes, found.codes, odds):
+            paths = _strings(np.concatenate([x, np.zeros(int(nothing.sum()), np.uint8), single.astype(np.uint8)]), np.concatenate([length[(code & U64(255)).astype(np.uint8)], nothing, single * 0 + 1]))
+            self.paths.append(paths.take(pa.array(np.concatenate([lookup.order, np.arange(len(code), len(paths), dtype=np.int32)]))))
         self.expected, self.sure = expected, sure
+        # Last bytes of a byte's path, where no other word was expected and where one was; of what fills chunks; of expected words.
+        ways = np.concatenate([alphabet.bits * RIGHT, alphabet.bits * RIGHT + 4 * 3, np.full(int(nothing.sum()), NONE), single])
+        self.ways = _strings(ways.astype(np.uint8), np.concatenate([length, length, nothing, single * 0 + 1]))
 
-    def rows(self, seq: Sequence, a: int, b: int, last: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
-        """For the pieces a to b of ``seq``: (8 bytes for each decision, as ``Mixer.run`` has them; decisions of each piece;
-        how the last expected word went).
+    def rows(self, seq: Sequence, a: int, b: int, last: int = 0, filled: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
+        """For the pieces a to b of ``seq``: (rows of all decisions, as ``Mixer.run`` has them, if they are ``filled`` up to
+        whole chunks; decisions of each piece; how the last expected word went).
 
         ``last``: how the last expected word before the first piece went (0: there is none, 1: it came, 2: another came).
         """
@@ -509,45 +601,47 @@ class Model:
         before = np.concatenate([[0], np.where(asked, np.where(came, 1, 2), 0)[marks[:-1]]])
         before = np.where(begins, 0, before)
         before[: int(np.argmax(asked)) + 1 if asked.any() else None] = last
-        # Elements: for each word whether it is the expected one, if one is, then its bytes, if it isn't.
-        letters = _ranges(seq.first[words][~came], size[~came])
-        word = np.repeat(np.flatnonzero(~came), size[~came])
-        ask = np.flatnonzero(asked)
-        where = np.arange(len(letters)) + np.cumsum(asked)[word]
+        # Elements: for each word whether it is the expected one, if one is, then its bytes, if it isn't; for each piece what fills it.
         spelled = np.where(came, 0, size)
-        where_asked = (np.cumsum(spelled) - spelled)[ask] + np.arange(len(ask))
-        total = len(letters) + len(ask)
+        letters = _ranges(seq.first[words], spelled)
         rank = seq.rank[letters]
-        length = np.ones(total, np.int64)
-        length[where] = self.alphabet.length[rank]
-        begin = np.cumsum(length) - length
-        of = np.repeat(np.arange(total, dtype=np.int32), length)
-        depth = np.arange(len(of), dtype=np.int32)
-        depth -= begin.astype(np.int32)[of]
-        rows = np.zeros((len(of), 8), np.uint8)
-        start = np.empty(total, np.int32)
-        for kind in range(KINDS):
-            start.fill(len(self.odds[kind]) - 1)
-            start[where] = self.begin[kind][self.codes[kind].find(seq.code(kind, letters))]
-            rows[:, kind] = self.odds[kind][start[of] + depth]
-        start.fill(0)
-        start[where] = self.alphabet.offset[rank]
-        rows[:, KINDS] = self.alphabet.bits[start[of] + depth]
-        missed = np.zeros(total, np.uint8)
-        missed[where] = 3 * asked[word]
-        rows[:, KINDS + 1] = np.minimum(rows[:, WORD] >> 6, 2) + missed[of]
-        q, own = begin[where_asked], sure[ask]
-        rows[q, 0] = np.where(came[ask], own, (own & 192) + 64 - (own & 63))
-        rows[q, KINDS] = came[ask]
-        rows[q, KINDS + 1] = BYTE_GATES + 3 * ((own >> 6) - 1) + before[ask]
+        ask = np.flatnonzero(asked)
         n = np.bincount(piece, asked, b - a)
-        n += np.bincount(piece[word], self.alphabet.length[rank], b - a)
-        return rows, n.astype(np.int64), (1 if came[ask[-1]] else 2) if len(ask) else last
+        each = np.concatenate([[0], np.cumsum(self.alphabet.length[rank])])
+        stop = np.cumsum(spelled)
+        n += np.bincount(piece, each[stop] - each[stop - spelled], b - a)
+        n = n.astype(np.int64)
+        fill = -n % self.options.chunk if filled else n * 0
+        shift = np.cumsum(asked) + piece  # of the elements before each word's bytes how many aren't bytes
+        where = np.arange(len(letters), dtype=np.int32)
+        where += np.repeat(shift.astype(np.int32), spelled)
+        where_asked = (stop - spelled + shift)[ask] - 1
+        ends = np.flatnonzero(np.append(begins[1:], True))
+        where_filled = (stop + shift)[ends]
+        own = sure[ask]
+        states = [np.where(came[ask], own, (own & 192) + 64 - (own & 63)), *[None] * (KINDS - 1)]
+        element = np.empty(len(letters) + len(ask) + b - a, np.int32)
+        rows = []
+        for kind in range(KINDS):
+            some = len(self.codes[kind].order)
+            element[where] = self.codes[kind].find(seq.code(kind, letters))
+            element[where_asked] = some + (1 if states[kind] is None else states[kind].astype(np.int32) + self.options.chunk)
+            element[where_filled] = some + fill
+            rows.append(_joined(self.paths[kind], element))
+        element[where] = rank
+        element[where] += np.repeat((asked * 256).astype(np.int32), spelled)
+        element[where_asked] = 512 + self.options.chunk + 4 * (BYTE_GATES + 3 * ((own >> 6).astype(np.int32) - 1) + before[ask]) + RIGHT * came[ask]
+        element[where_filled] = 512 + fill
+        rows.append(_joined(self.ways, element))
+        known = np.minimum(rows[WORD] >> 6, 2)
+        known <<= 2
+        rows[KINDS] += known
+        return np.stack(rows), n, (1 if came[ask[-1]] else 2) if len(ask) else last
 
     def bits_of(self, block: Block) -> np.ndarray:
         """The negative log2 probability of each text of the block and its end."""
-        step, out = self.options.step_bytes, np.zeros(len(block.size))
-        text, mixer, last, rest = -1, None, 0, np.empty((0, 8), np.uint8)
+        step, chunk, out = self.options.step_bytes, self.options.chunk, np.zeros(len(block.size))
+        text, mixer, last, rest = -1, None, 0, np.empty((KINDS + 1, 0), np.uint8)
         for seq, mine in zip(block.sequences(), block.groups):
             run = ((np.cumsum(seq.whole) - seq.whole) // step).tolist()
             a = 0
@@ -556,12 +650,17 @@ class Model:
                 if block.size[block.order[mine[a].text]] > step:  # a long text's pieces, one after another
                     if mine[a].text != text:
                         text, mixer, last = mine[a].text, Mixer(1, self.options), 0
-                    rows, _, last = self.rows(seq, a, b, last)
-                    rows = np.concatenate([rest, rows])
-                    ended = mine[a].body.endswith(b"\n")
-                    done = len(rows) if ended else len(rows) // self.options.chunk * self.options.chunk  # whole chunks, as if it were one piece
-                    out[block.order[text]] += mixer.run(rows[:done], np.array([done]))[0]
-                    rest = rows[done:]
+                    rows, _, last = self.rows(seq, a, b, last, filled=False)
+                    rows = np.concatenate([rest, rows], axis=1)
+                    n = rows.shape[1]
+                    if mine[a].body.endswith(b"\n"):
+                        fill = np.zeros((KINDS + 1, -n % chunk), np.uint8)
+                        fill[KINDS] = NONE
+                        rows, rest = np.concatenate([rows, fill], axis=1), rows[:, n:]
+                    else:
+                        n = n // chunk * chunk  # whole chunks, as if it were one piece
+                        rows, rest = np.ascontiguousarray(rows[:, :n]), rows[:, n:]
+                    out[block.order[text]] += mixer.run(rows, np.array([n]))[0]
                 else:
                     while b < seq.count and run[b] == run[a]:
                         b += 1
@@ -623,8 +722,9 @@ def pack(docs: DataFrame, block_bytes: int) -> DataFrame:
             for part in waiting:
                 mine = part.filter(pc.invert(part.column("held"))).column("text")
                 texts = as_bytes(mine)
-                counts[:256] += np.bincount(np.frombuffer(b"\n".join(texts) + b"\n" * (len(texts) > 0), np.uint8), minlength=256)
-                counts[256] += sum(t.count(b" ") + 1 for t in texts if t)
+                own = byte_counts(b"\n".join(texts) + b"\n" * (len(texts) > 0))
+                counts[:256] += own
+                counts[256] += own[SPACE] + sum(map(bool, texts))
                 counts[257] += len(texts)
             return pa.RecordBatch.from_pydict({"block": [task << 32 | number], "data": [press.compress(sink.getvalue())], "counts": [counts.tolist()]}, pa.schema([("block", pa.int64()), ("data", pa.binary()), ("counts", pa.list_(pa.int64()))]))
 
@@ -702,26 +802,20 @@ def _answers(rows: DataFrame, alphabet, seen: float) -> DataFrame:
         plain = lambda c, t: [np.frombuffer(open_.decompress(x), t) for x in table.column(c).to_pylist()]
         counts = lambda c: [x.astype(np.int64) for x in plain(c, np.int32)]
         own = opened("words")
-        words, times = _distinct(own, counts("word_times"))
-        sent = [press.compress(times[np.searchsorted(words, x)].tobytes()) for x in own]
+        _, times, at = _placed(own, counts("word_times"))
+        sent = [press.compress(times[i].tobytes()) for i in at]
         known = int(np.count_nonzero(times))
         own = opened("names")
-        names, expected, came, every = _expected(*(np.concatenate(x) for x in (own, plain("expected", np.uint16), counts("came"), counts("every"))))
+        theirs = plain("expected", np.uint16)
+        (_, expected, came, every), at = _expected_of(own, *(np.concatenate(x) for x in (theirs, counts("came"), counts("every"))))
         sure = _state_bytes(*states(came, every, seen))
-        at = [np.searchsorted(names, x) for x in own]
-        after = [press.compress((x ^ expected[i]).tobytes()) for i, x in zip(at, plain("expected", np.uint16))]
+        after = [press.compress((x ^ expected[i]).tobytes()) for i, x in zip(at, theirs)]
         sures = [press.compress(sure[i].tobytes()) for i in at]
         own = opened("codes")
-        every, times = _distinct(own, counts("times"))
+        every, times, at = _placed(own, counts("times"))
         begin, odds = log_odds(alphabet.value, every, times, seen)
-        begin = np.append(begin, len(odds))
-        paths = []
-        for code in own:
-            at = np.searchsorted(every, code)
-            length = begin[at + 1] - begin[at]
-            stop = np.cumsum(length)
-            take = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin[at] - (stop - length), length)
-            paths.append(press.compress(odds[take].tobytes()))
+        known_paths = _strings(odds, np.diff(begin, append=len(odds)))
+        paths = [press.compress(_joined(known_paths, i)) for i in at]
         binary = [pa.array(x, pa.binary()) for x in (paths, after, sures, sent)]
         return pa.table([table.column("block"), table.column("bucket"), *binary, pa.array([known, *[0] * (len(paths) - 1)])], names=["block", "bucket", "odds", "expected", "sure", "counts", "known"])
 
@@ -784,6 +878,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(c, t) for c, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType())))])
 
     def score_texts(table: pa.Table, answered: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         give_back()
         rows = _unpacked(table.column("data")[0].as_py())
         ids, helds, clean = rows.column("id"), rows.column("held"), as_bytes(rows.column("text"))
@@ -793,7 +888,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: Column |
         del clean
         found = listed(block, counted=False)
         model, counts = _block_model(alphabet.value, found, answered, bits, buckets, options)
-        base = base_scores(block, Lookup(found.words), counts, ends, n + v + 1)
+        base = base_scores(block, Lookup(found.words, 64), counts, ends, n + v + 1)
         del found, answered
         cost = model.bits_of(block)
         n_tokens, hit, base_score = (pa.array(x) for x in base)

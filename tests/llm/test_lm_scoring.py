@@ -180,3 +180,35 @@ def test_held_out_texts_score_a_tenth_better_than_the_base(spark, size):
     found = lm_scoring.score(spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text")).where("held_out")
     score, base = found.agg(F.sum("score"), F.sum("base_score")).first()
     assert score > 0.9 * base
+
+
+def test_scores_are_those_of_plain_counts_to_seven_digits(spark):
+    rows = some_rows()
+    df = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(rows)], "place long, doc_id long, text string")
+    plain = list(brute(rows, lm_scoring.Options()))
+    for options in (lm_scoring.Options(), lm_scoring.Options(block_bytes=700, step_bytes=200, bucket_bytes=2000)):
+        found = {r.place: r.score for r in lm_scoring.score(df, key="place", held=lm_scoring.held_out(F.col("doc_id")), options=options).collect()}
+        assert np.max(np.abs(np.array([found[i] for i in range(len(rows))]) / plain - 1)) < 1e-7
+
+
+def test_normalised_texts_and_their_bytes():
+    rng = random.Random(8)
+    texts = [bytes(rng.choices(b" \t\n\x0b\x0c\r\x00\x1c\x85\xa0AZaz[@`{0", k=n)) for n in (0, 1, 2, 3, 5, 8, 40, 41, 2000) for _ in range(40)]
+    assert lm_scoring.normalised(texts) == [b" ".join(t.lower().split()) for t in texts]
+    for t in texts:
+        assert lm_scoring.byte_counts(t).tolist() == np.bincount(np.frombuffer(t, np.uint8), minlength=256).tolist()
+
+
+def test_lists_without_counts_have_the_same():
+    texts = [prepared(t) for _, t in some_rows()]
+    alphabet = lm_scoring.Alphabet(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
+    block = lm_scoring.Block(texts, np.arange(len(texts)) % 3 > 0, alphabet.rank, 30, lm_scoring.Options())
+    counted, plain = lm_scoring.listed(block), lm_scoring.listed(block, counted=False)
+    seq = next(block.sequences())
+    for kind in range(lm_scoring.KINDS):
+        code, other = np.delete(seq.code(kind), seq.not_asked), np.delete(np.repeat(~block.learned[0], seq.whole), seq.not_asked)
+        want = Counter(code[~other].tolist())
+        assert plain.codes[kind].tolist() == counted.codes[kind].tolist() == sorted(set(code.tolist()))
+        assert counted.times[kind].tolist() == [want[c] for c in counted.codes[kind].tolist()]
+    for part in ("names", "expected", "came", "every", "words"):
+        assert np.array_equal(getattr(counted, part), getattr(plain, part))
