@@ -685,6 +685,16 @@ def _opened(open_, data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """In as few bytes each as the greatest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts that ``_narrow`` made small."""
+    return np.frombuffer(data, f"u{len(data) // n}" if n else np.uint8).astype(np.int64)
+
+
 def _starts(buckets: int, bits: int) -> np.ndarray:
     """The first number of ``bits`` bits of each bucket."""
     return np.array([(k << bits) // buckets for k in range(buckets)], np.uint64)
@@ -770,7 +780,7 @@ def _listed_rows(packed: DataFrame, alphabet, bits: int, buckets: int, options:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = _press()
-        small = lambda x: press.compress(x.astype(np.int32).tobytes())
+        small = lambda x: press.compress(_narrow(x).tobytes())
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
                 table = _unpacked(data)
@@ -800,10 +810,10 @@ def _answers(rows: DataFrame, alphabet, seen: float) -> DataFrame:
         press, open_ = _press(), zstandard.ZstdDecompressor()
         opened = lambda c: [_opened(open_, x) for x in table.column(c).to_pylist()]
         plain = lambda c, t: [np.frombuffer(open_.decompress(x), t) for x in table.column(c).to_pylist()]
-        counts = lambda c: [x.astype(np.int64) for x in plain(c, np.int32)]
+        counts = lambda c: [_wide(open_.decompress(x), len(y)) for x, y in zip(table.column(c).to_pylist(), own)]
         own = opened("words")
         _, times, at = _placed(own, counts("word_times"))
-        sent = [press.compress(times[i].tobytes()) for i in at]
+        sent = [press.compress(_narrow(times[i]).tobytes()) for i in at]
         known = int(np.count_nonzero(times))
         own = opened("names")
         theirs = plain("expected", np.uint16)
@@ -829,7 +839,7 @@ def _block_model(alphabet: Alphabet, found: Listed, answered: pa.Table, bits: in
     odds = [np.empty(int(s[-1]), np.uint8) for s in stops]
     expected, sure, counts = np.zeros(len(found.names), np.uint16), np.zeros(len(found.names), np.uint8), np.zeros(len(found.words), np.int64)
     for bucket, *row in zip(*(answered.column(c).to_pylist() for c in ("bucket", "odds", "expected", "sure", "counts"))):
-        paths, after, sures, times = (np.frombuffer(open_.decompress(x), t) for x, t in zip(row, (np.uint8, np.uint16, np.uint8, np.int64)))
+        paths, after, sures, times = (np.frombuffer(open_.decompress(x), t) for x, t in zip(row, (np.uint8, np.uint16, np.uint8, np.uint8)))
         at = 0
         for out, cut, stop in zip(odds, cuts.codes, stops):
             a, b = int(stop[cut[bucket]]), int(stop[cut[bucket + 1]])
@@ -839,7 +849,8 @@ def _block_model(alphabet: Alphabet, found: Listed, answered: pa.Table, bits: in
             raise RuntimeError("the answers are not those of the block's contexts")
         here = cuts.of(cuts.names, bucket)
         expected[here], sure[here] = after ^ found.expected[here], sures
-        counts[cuts.of(cuts.words, bucket)] = times
+        here = cuts.of(cuts.words, bucket)
+        counts[here] = _wide(times, here.stop - here.start)
     return Model(alphabet, found, odds, expected, sure, bits, options), counts
 
 

@@ -212,3 +212,10 @@ def test_lists_without_counts_have_the_same():
         assert counted.times[kind].tolist() == [want[c] for c in counted.codes[kind].tolist()]
     for part in ("names", "expected", "came", "every", "words"):
         assert np.array_equal(getattr(counted, part), getattr(plain, part))
+
+
+def test_counts_made_small_are_the_same():
+    for most in (0, 1, 255, 256, 65535, 65536, 2**32, 2**40):
+        for n in (0, 1, 3, 8):
+            counts = np.array([most, 0, 1, most // 2, 5, 0, 1, 2][:n], np.int64)
+            assert lm_scoring._wide(lm_scoring._narrow(counts).tobytes(), n).tolist() == counts.tolist()
